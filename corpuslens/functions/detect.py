@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,30 +84,47 @@ def kind_of_ext(ext: Column) -> Column:
     return expr
 
 
-def sniff_mime(content: Column) -> Column:
-    """MIME type from leading bytes (binary column), null when unknown."""
+def _by_leading_bytes(content: Column, value_of: Callable[[str], str | None]) -> Column:
+    """First entry of the magic table that the bytes match, turned into a value.
+
+    The table is one literal array, so the generated code stays small; each MIME type becomes its
+    value when the plan is made.
+    """
+
+    def entry(offset: int, digits: str, mime: str) -> Column:
+        return F.struct(
+            F.lit(offset + 1).alias("at"),
+            _hex_literal(digits).alias("bytes"),
+            F.lit(value_of(mime)).cast("string").alias("value"),
+        )
 
-    def at(offset: int, digits: str) -> Column:
-        size = len(digits) // 2
-        if offset == 0:
-            return F.startswith(content, _hex_literal(digits))
-        return F.substring(content, offset + 1, size) == _hex_literal(digits)
+    def first(entries: list[Column], test: Callable[[Column], Column]) -> Column:
+        return F.get(F.filter(F.array(*entries), test), F.lit(0))
 
+    magic = first(
+        [entry(*m) for m in MAGIC],
+        lambda m: F.substring(content, m["at"], F.length(m["bytes"])) == m["bytes"],
+    )
+    head = F.decode(F.substring(content, 1, 64), "iso-8859-1")
+    markup = F.when(
+        F.rlike(head, F.lit(r"(?i)\A\s*<(?:!DOCTYPE )?HTML")), entry(0, "", "text/html")
+    ).when(F.rlike(head, F.lit(r"(?i)\A\s*<\?XML")), entry(0, "", "text/xml"))
     # First directory sector (little endian at byte 48) leads to the root class id at byte 80.
     sector = F.conv(
         F.concat(*[F.hex(F.substring(content, p, 1)) for p in (52, 51, 50, 49)]), 16, 10
     ).cast("bigint")
-    class_id = F.hex(F.substring(content, ((sector + 1) * 512 + 81).cast("int"), F.lit(16)))
-    ole = F.lit("application/x-ole-storage")
-    for digits, mime in OLE_CLASSES:
-        ole = F.when(class_id == digits, mime).otherwise(ole)
+    class_id = F.substring(content, ((sector + 1) * 512 + 81).cast("int"), F.lit(16))
+    ole = F.coalesce(
+        first([entry(0, d, m) for d, m in OLE_CLASSES], lambda m: class_id == m["bytes"]),
+        entry(0, "", "application/x-ole-storage"),
+    )
+    is_ole = F.startswith(content, _hex_literal(OLE_MAGIC))
+    return F.coalesce(F.when(is_ole, ole), magic, markup)["value"]
+
 
-    expr = F.when(at(0, OLE_MAGIC), ole)
-    for offset, digits, mime in MAGIC:
-        expr = expr.when(at(offset, digits), F.lit(mime))
-    head = F.upper(F.ltrim(F.decode(F.substring(content, 1, 64), "iso-8859-1")))
-    expr = expr.when(F.startswith(head, F.lit("<!DOCTYPE HTML")) | F.startswith(head, F.lit("<HTML")), "text/html")
-    return expr.when(F.startswith(head, F.lit("<?XML")), "text/xml")
+def sniff_mime(content: Column) -> Column:
+    """MIME type from leading bytes (binary column), null when unknown."""
+    return _by_leading_bytes(content, lambda mime: mime)
 
 
 def mime_matches(pattern: Column, mime: Column) -> Column:
@@ -127,6 +144,15 @@ def _matches_any(patterns: Sequence[str], mime: Column) -> Column:
     return hit
 
 
+def _matches(pattern: str, mime: str) -> bool:
+    """:func:`mime_matches` for values known when the plan is made."""
+    if pattern.endswith("/"):
+        return mime.startswith(pattern)
+    if "*" in pattern:
+        return mime.startswith(pattern.rstrip("*"))
+    return mime == pattern
+
+
 def kind_of_mime(mime: Column) -> Column:
     """First kind, in priority order, with a pattern that matches the MIME type."""
     expr = None
@@ -137,22 +163,34 @@ def kind_of_mime(mime: Column) -> Column:
     return expr
 
 
+def kind_of_content(content: Column) -> Column:
+    """Kind that claims the MIME type of the leading bytes; null when nobody does."""
+
+    def kind(mime: str) -> str | None:
+        return next((k.name for k in KINDS if any(_matches(p, mime) for p in k.mime)), None)
+
+    return _by_leading_bytes(content, kind)
+
+
 def custom_rules(rules: Sequence[Rule]) -> list[Rule]:
     """Rules that may apply: sorted by name, names of built-in kinds dropped."""
     return sorted((r for r in rules if r.name not in KIND_NAMES), key=lambda r: r.name)
 
 
-def kind_by_rules(ext: Column, mime: Column, rules: Sequence[Rule]) -> Column:
-    """Name of the first user rule (by name) that claims the extension or the MIME type."""
-    expr = F.lit(None).cast("string")
-    for rule in reversed(custom_rules(rules)):
-        hit = F.lit(False)
-        if rule.extensions:
-            hit = hit | F.coalesce(ext.isin(*[e.lower() for e in rule.extensions]), F.lit(False))
-        if rule.mime:
-            hit = hit | F.coalesce(_matches_any(rule.mime, mime), F.lit(False))
-        expr = F.when(hit, rule.name).otherwise(expr)
-    return expr
+def kind_by_rules(ext: Column, content: Column, rules: Sequence[Rule]) -> Column:
+    """Name of the first user rule (by name) that claims the extension or the leading bytes."""
+    own = custom_rules(rules)
+    by_ext = F.lit(None).cast("string")
+    for rule in reversed([r for r in own if r.extensions]):
+        hit = ext.isin(*[e.lower() for e in rule.extensions])
+        by_ext = F.when(hit, rule.name).otherwise(by_ext)
+    if not any(r.mime for r in own):
+        return by_ext
+
+    def rule_of(mime: str) -> str | None:
+        return next((r.name for r in own if any(_matches(p, mime) for p in r.mime)), None)
+
+    return F.least(by_ext, _by_leading_bytes(content, rule_of))
 
 
 def detect_kind(
@@ -168,12 +206,11 @@ def detect_kind(
     no known extension.
     """
     ext = ext_of(path)
-    mime = sniff_mime(content)
     return F.coalesce(
         F.when(is_dir, "directory"),
         kind_of_ext(ext),
-        kind_of_mime(mime),
-        kind_by_rules(ext, mime, rules),
+        kind_of_content(content),
+        kind_by_rules(ext, content, rules),
         F.lit(unknown).cast("string"),
     )
 

@@ -6,7 +6,7 @@ import io
 import re
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,37 +40,41 @@ def _any_case(name: str) -> str:
 PACKED_GLOB = "*.{" + ",".join(_any_case(e) for e in (*TREE_EXTENSIONS, "cbz")) + "}"
 
 
-def _zip_entries(content: bytes) -> Iterator[tuple[str, bool, int, int | None]]:
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        for info in archive.infolist():
-            yield info.filename, info.is_dir(), info.file_size, None
-
-
-def _tar_entries(content: bytes) -> Iterator[tuple[str, bool, int, int | None]]:
-    with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as archive:
-        for info in archive:
-            name = info.name + "/" if info.isdir() else info.name
-            yield name, info.isdir(), info.size, info.mode
-
-
-def _list_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _archive_lister() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Function that lists archives batch by batch. Nested, so that it is shipped by value and
+    executors need no copy of this package."""
+    batch_rows = 10_000
     columns = ["archive", "seq", "path", "is_dir", "size", "bits", "error"]
-    for batch in batches:
-        for archive, form, content in zip(batch["archive"], batch["form"], batch["content"]):
-            rows: list[tuple] = []
-            try:
-                opener = _zip_entries if form == "zip" else _tar_entries
-                for seq, entry in enumerate(opener(bytes(content)), start=1):
-                    rows.append((archive, seq, *entry, None))
-                    if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=columns).astype({"bits": "Int64"})
-                        rows = []
-            except Exception as reason:  # noqa: BLE001 - one bad archive must not fail the job
-                rows.append((archive, None, None, None, None, None, f"unreadable archive: {reason}"))
-            if rows:
-                yield pd.DataFrame(rows, columns=columns).astype(
-                    {"seq": "Int64", "size": "Int64", "bits": "Int64", "is_dir": "boolean"}
-                )
+    types = {"seq": "Int64", "size": "Int64", "bits": "Int64", "is_dir": "boolean"}
+
+    def entries(content: bytes, form: str) -> Iterator[tuple]:
+        if form == "zip":
+            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                for info in archive.infolist():
+                    yield info.filename, info.is_dir(), info.file_size, None
+        else:
+            with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as archive:
+                for info in archive:
+                    name = info.name + "/" if info.isdir() else info.name
+                    yield name, info.isdir(), info.size, info.mode
+
+    def list_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for archive, form, content in zip(batch["archive"], batch["form"], batch["content"]):
+                try:
+                    for seq, entry in enumerate(entries(bytes(content), form), start=1):
+                        rows.append((archive, seq, *entry, None))
+                        if len(rows) >= batch_rows:
+                            yield pd.DataFrame(rows, columns=columns).astype(types)
+                            rows = []
+                except Exception as reason:  # noqa: BLE001 - a bad archive must not fail the job
+                    note = f"unreadable archive: {reason}"
+                    rows.append((archive, None, None, None, None, None, note))
+        if rows:
+            yield pd.DataFrame(rows, columns=columns).astype(types)
+
+    return list_batches
 
 
 def archive_manifest(
@@ -101,7 +105,7 @@ def archive_manifest(
     opened = (
         archives.filter(F.col("form") != "single")
         .select(F.col("path").alias("archive"), "form", "content")
-        .mapInPandas(_list_batches, schema)
+        .mapInPandas(_archive_lister(), schema)
     )
     constant = F.when(F.col("is_dir"), "drwxr-xr-x").otherwise("-rw-r--r--")
     mode = F.when(F.col("bits").isNotNull(), mode_string(F.col("bits"))).when(
@@ -135,10 +139,9 @@ def manifest_entries(manifest: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(
-    "members array<struct<seq:bigint,member:string,text:string>>, error string"
-)
-def _read_members(content: pd.Series, pattern: pd.Series, first_only: pd.Series) -> pd.DataFrame:
+def _member_reader() -> Callable[[Column, Column, Column], Column]:
+    """Pandas UDF that reads the text members of containers; nested to be shipped by value."""
+
     def read(blob: bytes, expr: str, once: bool) -> tuple[list[dict] | None, str | None]:
         members: list[dict] = []
         try:
@@ -153,11 +156,18 @@ def _read_members(content: pd.Series, pattern: pd.Series, first_only: pd.Series)
             return None, f"unreadable container: {reason}"
         return (members, None) if members else (None, "no matching member")
 
-    rows = [
-        (None, None) if blob is None or expr is None else read(blob, expr, bool(once))
-        for blob, expr, once in zip(content, pattern, first_only)
-    ]
-    return pd.DataFrame(rows, columns=["members", "error"], dtype=object)
+    def read_members(
+        content: pd.Series, pattern: pd.Series, first_only: pd.Series
+    ) -> pd.DataFrame:
+        rows = [
+            (None, None) if blob is None or expr is None else read(blob, expr, bool(once))
+            for blob, expr, once in zip(content, pattern, first_only)
+        ]
+        return pd.DataFrame(rows, columns=["members", "error"], dtype=object)
+
+    return F.pandas_udf(
+        read_members, "members array<struct<seq:bigint,member:string,text:string>>, error string"
+    )
 
 
 def container_members(
@@ -182,7 +192,7 @@ def container_members(
         # An fb2 file may be plain text; other containers are always zip files.
         is_zip = is_zip | (ext != "fb2")
     blob = F.when(chosen.isNotNull() & is_zip, content)
-    return _read_members(blob, chosen, once)
+    return _member_reader()(blob, chosen, once)
 
 
 def zip_member_text(
