@@ -224,9 +224,27 @@ def hex_line_array(content: Column, cols: int = 16) -> Column:
     )
 
 
+def json_value(text: Column) -> Column:
+    """The one JSON value a text holds, as a variant; null when it is not exactly one.
+
+    The parser stops at the end of the first value and ignores what follows. So the text is parsed
+    inside brackets, alone and with a value behind it: only if it is one whole value do both
+    arrays have the expected size.
+    """
+
+    def elements(tail: str) -> Column:
+        boxed = F.concat(F.lit("["), text, F.lit(tail))
+        return F.try_variant_get(F.try_parse_json(boxed), "$", "array<variant>")
+
+    return let(
+        elements("]"),
+        lambda alone: F.when((F.size(alone) == 1) & (F.size(elements(",0]")) == 2), F.get(alone, F.lit(0))),
+    )
+
+
 def json_canonical(text: Column) -> Column:
     """Valid JSON re-serialised with sorted keys, null when it does not parse."""
-    return F.to_json(F.try_parse_json(text))
+    return F.to_json(json_value(text))
 
 
 def _header(head: Column, name: str) -> Column:
@@ -378,7 +396,7 @@ def delimited_text(text: Column, sep: str, rows: int = 500) -> Column:
 
 def notebook_cells(text: Column) -> Column:
     """``array<struct<cell_type, text>>`` of a notebook; null when it has no cells."""
-    cells = F.try_variant_get(F.try_parse_json(text), "$.cells", "array<variant>")
+    cells = F.try_variant_get(json_value(text), "$.cells", "array<variant>")
 
     def is_string(value: Column) -> Column:
         return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))

@@ -98,7 +98,7 @@ def notebook_cells(df: DataFrame, id_col: str = "id", text_col: str = "text") ->
     cells = df.select(
         id_col,
         raw.alias("_raw"),
-        F.try_parse_json(raw).isNull().alias("_bad"),
+        T.json_value(raw).isNull().alias("_bad"),
         F.posexplode_outer(T.notebook_cells(raw)).alias("pos", "cell"),
     )
     return cells.select(

@@ -201,7 +201,7 @@ def _by_kind(limits: Limits) -> Column:
                     "text",
                     text,
                     None,
-                    F.when(F.try_parse_json(text).isNull(), "invalid json"),
+                    F.when(T.json_value(text).isNull(), "invalid json"),
                 ),
             ),
         )

@@ -305,8 +305,9 @@ def md_inline_text(spark, sf):
 
 @query
 def head_rows(spark, sf):
-    order = ["l_orderkey", "l_linenumber"]
-    return TB.head_rows(V.table(spark, sf, "lineitem"), order, Limits().delimited_rows)
+    lineitem = V.table(spark, sf, "lineitem")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"]
+    return TB.head_rows(lineitem, order, Limits().delimited_rows)
 
 
 @query
@@ -443,7 +444,7 @@ def first_success(spark, sf):
 @query
 def register_extractor(spark, sf):
     own = P.Extractors()
-    own.register("markdown", lambda text, content: F.upper(F.substring(text, 1, 20)))
+    own.register("markdown", lambda text, content: F.concat(F.lit("md: "), F.substring(text, 1, 20)))
     own.register("notes9", lambda text, content: F.concat(F.lit("notes: "), F.substring(text, 1, 9)), ["nb9"])
     own.register("code", lambda text, content: F.when(F.contains(text, F.lit("|")), "piped"))
     own.register("code", lambda text, content: F.when(F.contains(text, F.lit("#")), "hashed"))

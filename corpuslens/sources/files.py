@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
-from corpuslens.functions.text import delimited_cells, line_array
+from corpuslens.functions.text import delimited_cells, json_value, line_array
 from corpuslens.limits import DEFAULTS, Limits
 from corpuslens.operators.tables import table_preview
 
@@ -125,12 +125,17 @@ def read_json_docs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """``(path, value variant, error)``: one JSON value per file; a bad file gives an error row."""
     paths = path if isinstance(path, str) else list(path)
     docs = spark.read.text(paths, wholetext=True, recursiveFileLookup=True)
-    value = F.try_parse_json("value")
-    return docs.select(
+    parsed = docs.select(
         F.col("_metadata.file_path").alias("path"),
-        value.alias("value"),
-        F.when(value.isNull(), "invalid json").alias("error"),
-        F.when(value.isNull(), F.col("value")).alias("raw"),
+        F.col("value").alias("raw"),
+        json_value(F.col("value")).alias("value"),
+    )
+    bad = F.col("value").isNull()
+    return parsed.select(
+        "path",
+        "value",
+        F.when(bad, "invalid json").alias("error"),
+        F.when(bad, F.col("raw")).alias("raw"),
     )
 
 
