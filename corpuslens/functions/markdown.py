@@ -7,9 +7,13 @@ All loops in the pattern are possessive, which Java runs without recursion.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpuslens.functions.text import let
+
 _N = r"\d+\x01"  # number and separator in front of every line
 _EOL = r"(?:\n|\z)"
 _FENCE = r" {0,3}(?:`{3,}[^`\n]*|~{3,}[^\n]*)" + _EOL
@@ -55,11 +59,16 @@ def blocks(text: Column) -> Column:
 
 
 def block_type(block: Column) -> Column:
-    """``fence``, ``table``, ``list`` or ``line``."""
+    """``fence``, ``table``, ``list`` or ``line``.
+
+    Single lines that open nothing are ``line``; a block of several lines that is neither fence nor
+    list can only be a table.
+    """
+    item = rf"\A(?!{_N}{_RULE}){_N} {{0,3}}(?:[-*+]|\d{{1,9}}[.)])(?=[ \t]|\n|\z)"
     return (
         F.when(F.rlike(block, F.lit(rf"\A{_N}{_FENCE}")), "fence")
-        .when(F.rlike(block, F.lit(rf"\A(?:{_TABLE_BLOCK})\z")), "table")
-        .when(F.rlike(block, F.lit(rf"\A(?!{_N}{_RULE}){_N} {{0,3}}(?:[-*+]|\d{{1,9}}[.)])(?=[ \t]|\n|\z)")), "list")
+        .when(F.rlike(block, F.lit(item)), "list")
+        .when(F.rlike(block, F.lit(r"\n.")), "table")
         .otherwise("line")
     )
 
@@ -231,47 +240,73 @@ _CODE = r"(?<!`)(`+)(?!`)(?:[^`]|(?!(?<!`)\1(?!`))`)*+\1(?!`)"
 
 def _outside_code(text: Column, pattern: str, replacement: str) -> Column:
     """Replace ``pattern`` but step over code spans; groups of ``pattern`` start at 3."""
-    return F.regexp_replace(text, rf"({_CODE.replace(chr(92) + '1', chr(92) + '2')})|{pattern}", f"$1{replacement}")
+    code = _CODE.replace(r"\1", r"\2")
+    return F.regexp_replace(text, rf"({code})|{pattern}", f"$1{replacement}")
 
 
 def inline_text(text: Column, keep_ticks: bool = True) -> Column:
     """Inline markup removed: emphasis, strong, strike; a link becomes its text, an image
-    ``[image: label]`` with title and alt text as label; code spans keep their backticks."""
+    ``[image: label]`` with title and alt text as label; code spans keep their backticks.
+
+    Every step runs only on texts that hold its marks.
+    """
     dest = r"\(\s*(?:<[^>]*>|[^()\s]*)"
     inner = r"((?:`+[^`]*+`+|(?!{0})[^`])++)"
-    out = text
-    for label, pattern in (
-        ("[image: $4 $3]", rf'!\[([^\[\]]+)\]{dest}\s+"([^"]+)"\s*\)'),
-        ("[image: $3]", rf'!\[\]{dest}\s+"([^"]+)"\s*\)'),
-        ("[image: $3]", rf'!\[([^\[\]]+)\]{dest}(?:\s+"")?\s*\)'),
-    ):
-        out = _image(out, pattern, label)
-    out = _image(out, rf'!(\[\]){dest}(?:\s+"")?\s*\)', "[image: image]")
-    out = _outside_code(
-        out, rf'(?<![\\!])\[((?:[^\[\]`]|\[[^\[\]`]*\]|`+[^`]*+`+)++)\]{dest}(?:\s+"[^"]*")?\s*\)', "$3"
-    )
-    out = _outside_code(out, r"<((?:https?|mailto):[^>\s]+)>", "$3")
-    for mark in (r"\*\*", "__", "~~"):
-        out = _outside_code(
-            out, rf"(?<!\\){mark}(?=\S){inner.format(mark)}(?<=\S){mark}", "$3"
+    title = r'(?:\s+"[^"]*")?\s*\)'
+
+    def images(t: Column) -> Column:
+        for label, pattern in (
+            ("[image: $2 $1]", rf'!\[([^\[\]]+)\]{dest}\s+"([^"]+)"\s*\)'),
+            ("[image: $1]", rf'!\[\]{dest}\s+"([^"]+)"\s*\)'),
+            ("[image: $1]", rf'!\[([^\[\]]+)\]{dest}(?:\s+"")?\s*\)'),
+            ("[image: image]", rf'!\[\]{dest}(?:\s+"")?\s*\)'),
+        ):
+            t = _image(t, pattern, label)
+        return t
+
+    def pairs(t: Column) -> Column:
+        for mark in (r"\*\*", "__", "~~"):
+            t = _outside_code(t, rf"(?<!\\){mark}(?=\S){inner.format(mark)}(?<=\S){mark}", "$3")
+        return t
+
+    def emphasis(t: Column) -> Column:
+        t = _outside_code(t, rf"(?<!\\)\*(?=\S){inner.format('[*]')}(?<=[^\s\\])\*", "$3")
+        return _outside_code(
+            t, rf"(?<![\w\\])_(?=\S){inner.format('_')}(?<=[^\s\\])_(?!\w)", "$3"
         )
-    out = _outside_code(out, rf"(?<!\\)\*(?=\S){inner.format('[*]')}(?<=[^\s\\])\*", "$3")
-    out = _outside_code(out, rf"(?<![\w\\])_(?=\S){inner.format('_')}(?<=[^\s\\])_(?!\w)", "$3")
-    out = _outside_code(out, r"\\([!-/:-@\[-`{-~])", "$3")
+
+    link = rf"(?<![\\!])\[((?:[^\[\]`]|\[[^\[\]`]*\]|`+[^`]*+`+)++)\]{dest}{title}"
+    ticks = r"(?<!`)(`+)(?!`)\s?((?:[^`]|(?!\1(?!`))`)*?)\s?\1(?!`)"
+    steps = [
+        (r"!\[", images),
+        (r"\]\(", lambda t: _outside_code(t, link, "$3")),
+        ("<[hm]", lambda t: _outside_code(t, r"<((?:https?|mailto):[^>\s]+)>", "$3")),
+        (r"\*\*|__|~~", pairs),
+        ("[*_]", emphasis),
+        (r"\\", lambda t: _outside_code(t, r"\\([!-/:-@\[-`{-~])", "$3")),
+    ]
     if not keep_ticks:
-        out = F.regexp_replace(out, r"(?<!`)(`+)(?!`)\s?((?:[^`]|(?!\1(?!`))`)*?)\s?\1(?!`)", "$2")
-    return out
+        steps.append(("`", lambda t: F.regexp_replace(t, ticks, "$2")))
+
+    def guarded(t: Column, mark: str, step: Callable[[Column], Column]) -> Column:
+        return let(t, lambda v: F.when(F.rlike(v, F.lit(mark)), step(v)).otherwise(v))
+
+    def run(t: Column) -> Column:
+        for mark, step in steps:
+            t = guarded(t, mark, step)
+        return t
+
+    return let(text, lambda t: F.when(F.rlike(t, F.lit(r"[*_`~\[<\\]")), run(t)).otherwise(t))
 
 
 def _image(text: Column, pattern: str, label: str) -> Column:
     """Replace images outside code; code spans are cut out first so that each piece is one kind."""
     pieces = F.regexp_extract_all(text, F.lit(rf"{_CODE}|[^`]++|`++"), F.lit(0))
-    shifted = label.replace("$3", "$1").replace("$4", "$2")
     return F.array_join(
         F.transform(
             pieces,
             lambda piece: F.when(F.startswith(piece, F.lit("`")), piece).otherwise(
-                F.regexp_replace(piece, pattern, shifted)
+                F.regexp_replace(piece, pattern, label)
             ),
         ),
         "",

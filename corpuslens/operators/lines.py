@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from corpuslens.functions import text as T
+from corpuslens.operators.ranking import first_per_group
 
 
 def number_lines(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -126,12 +126,8 @@ def join_slides(
     """
     joint = 17 if titled else len(T.SLIDE_BREAK)
     if max_chars:
-        ranked = W.partitionBy(id_col).orderBy(order)
-        df = (
-            df.select(id_col, order, text_col)
-            .withColumn("_rank", F.row_number().over(ranked))
-            .filter(F.col("_rank") <= max_chars // joint + 2)
-        )
+        most = max_chars // joint + 2
+        df = first_per_group(df.select(id_col, order, text_col), [id_col], [order], most, "_rank")
     slides = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text_col).alias("_t"))))
     return df.groupBy(id_col).agg(
         T.truncate_chars(

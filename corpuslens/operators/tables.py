@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from corpuslens.functions.markdown import pad_cells
 from corpuslens.limits import DEFAULTS, Limits
+from corpuslens.operators.ranking import first_per_group
 
 __all__ = [
     "cap_columns",
@@ -121,9 +122,7 @@ def head_per_group(
     The rank filter keeps at most ``n`` rows per group and task before the shuffle, and the totals
     are counted before they are shuffled, so a hot group never lands in one task.
     """
-    ranked = df.withColumn(
-        "row_no", F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("bigint")
-    ).filter(F.col("row_no") <= n)
+    ranked = first_per_group(df, group, order, n, "row_no")
     totals = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_total"))
     more = F.greatest(F.col("_total") - n, F.lit(0))
     return (

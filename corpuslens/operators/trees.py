@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpuslens.limits import DEFAULTS
+from corpuslens.operators.ranking import first_per_group
 
 
 def path_parts(path: Column) -> Column:
@@ -44,8 +45,7 @@ def drop_noise(entries: DataFrame, comic: bool = False) -> DataFrame:
 
 def cap_entries(entries: DataFrame, max_entries: int = DEFAULTS.archive_entries) -> DataFrame:
     """First ``max_entries`` entries of every tree by ``seq``."""
-    rank = F.row_number().over(W.partitionBy("tree_id").orderBy("seq"))
-    return entries.withColumn("_rank", rank).filter(F.col("_rank") <= max_entries).drop("_rank")
+    return first_per_group(entries, ["tree_id"], ["seq"], max_entries, "_rank").drop("_rank")
 
 
 def build_nodes(entries: DataFrame, max_entries: int = DEFAULTS.archive_entries) -> DataFrame:
@@ -134,12 +134,12 @@ def list_limit(
             F.when((i < last) | F.col("is_dir"), 0).otherwise(1).alias("f"), p.alias("n")
         ),
     )
-    ranked = nodes.withColumn("_key", key).withColumn(
-        "seq", F.row_number().over(W.partitionBy("tree_id").orderBy("_key"))
+    ranked = first_per_group(
+        nodes.withColumn("_key", key), ["tree_id"], ["_key"], max_entries, "seq"
     )
-    return ranked.filter(F.col("seq") <= max_entries).select(
+    return ranked.select(
         "tree_id",
-        F.col("seq").cast("bigint").alias("seq"),
+        "seq",
         F.array_join("parts", "/").alias("path"),
         "is_dir",
         F.when(~F.col("is_dir"), F.col("size")).alias("size"),

@@ -46,15 +46,20 @@ def query(fn: Query) -> Query:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return S.spread_rows(V.table(spark, sf, "documents"), "doc_id")
+
+
+def _doc_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents for queries that look at a few small columns only."""
     return V.table(spark, sf, "documents")
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return V.table(spark, sf, "pages").withColumnRenamed("page_id", "id")
+    return S.spread_rows(V.table(spark, sf, "pages"), "page_id").withColumnRenamed("page_id", "id")
 
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
-    return V.table(spark, sf, "conversations")
+    return S.spread_rows(V.table(spark, sf, "conversations"), "conv_id", "turn")
 
 
 def _id_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,13 +75,13 @@ def _bytes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ext_of(spark, sf):
-    return V.document_listing(_docs(spark, sf)).select("id", D.ext_of(F.col("path")).alias("ext"))
+    return V.document_listing(_doc_keys(spark, sf)).select("id", D.ext_of(F.col("path")).alias("ext"))
 
 
 @query
 def kind_by_ext(spark, sf):
     kind = D.kind_of_ext(D.ext_of(F.col("path")))
-    return V.document_listing(_docs(spark, sf)).select("id", "path", kind.alias("kind"))
+    return V.document_listing(_doc_keys(spark, sf)).select("id", "path", kind.alias("kind"))
 
 
 @query
@@ -161,12 +166,12 @@ def notebook_cells(spark, sf):
 
 @query
 def join_slides(spark, sf):
-    return L.join_slides(_turns(spark, sf), "turn", id_col="conv_id")
+    return L.join_slides(V.table(spark, sf, "conversations"), "turn", id_col="conv_id")
 
 
 @query
 def join_slides_titled(spark, sf):
-    return L.join_slides(_turns(spark, sf), "turn", id_col="conv_id", titled=True)
+    return L.join_slides(V.table(spark, sf, "conversations"), "turn", id_col="conv_id", titled=True)
 
 
 @query
@@ -364,7 +369,7 @@ def catalog_preview(spark, sf):
 
 
 def _entries(spark: SparkSession, sf: str) -> DataFrame:
-    return V.document_listing(_docs(spark, sf)).drop("id")
+    return V.document_listing(_doc_keys(spark, sf)).drop("id")
 
 
 def _url_nodes(spark: SparkSession, sf: str) -> DataFrame:

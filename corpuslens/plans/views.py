@@ -276,7 +276,7 @@ def _zip_packer():
     def pack_all(text: pd.Series) -> pd.Series:
         return text.map(pack)
 
-    return F.pandas_udf(pack_all, "binary")
+    return F.pandas_udf(pack_all, "binary").asNondeterministic()
 
 
 def zipped_docs(documents: DataFrame, ext: str) -> DataFrame:

@@ -165,9 +165,10 @@ def _member_reader() -> Callable[[Column, Column, Column], Column]:
         ]
         return pd.DataFrame(rows, columns=["members", "error"], dtype=object)
 
+    # Marked as nondeterministic so that the planner never runs it twice for one row.
     return F.pandas_udf(
         read_members, "members array<struct<seq:bigint,member:string,text:string>>, error string"
-    )
+    ).asNondeterministic()
 
 
 def container_members(
@@ -204,7 +205,7 @@ def zip_member_text(
         "path",
         container_members(F.col("path"), F.col("content"), pattern, first_only).alias("found"),
     )
-    wanted = found.filter(F.col("found.members").isNotNull() | F.col("found.error").isNotNull())
-    return wanted.select(
+    rows = found.select(
         "path", F.col("found.error").alias("error"), F.inline_outer("found.members")
     ).select("path", "member", "seq", "text", "error")
+    return rows.filter(F.col("member").isNotNull() | F.col("error").isNotNull())

@@ -8,11 +8,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
+from pyspark.sql import Window as W
 
-from corpuslens.functions.text import delimited_cells, json_value, line_array
+from corpuslens.functions.text import delimited_cells, json_value
 from corpuslens.limits import DEFAULTS, Limits
 from corpuslens.operators.tables import table_preview
 
+SPLIT_BYTES = 128 * 2**20  # size of a default input split
+MAX_BROADCAST_SPLITS = 100_000
 MAX_CONTENT = 2**31 - 1 - 2**20  # a file is one binary value, which cannot be larger
 
 
@@ -29,6 +32,24 @@ def scan_files(
     return reader.load(list(paths) if not isinstance(paths, str) else paths)
 
 
+def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a small table enough partitions for row-by-row work.
+
+    A table of few row groups is read by few tasks, however many cores there are. If the planner
+    estimates it below one default split per core, its rows are spread by ``keys``; a larger table
+    has enough splits and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if estimated_bytes(df) >= cores * SPLIT_BYTES:
+        return df
+    return df.repartition(cores, *keys)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Size of a frame as the planner estimates it; for plain scans the size of the files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def readable_files(files: DataFrame) -> DataFrame:
     """Files whose content fits one value; the size filter is pushed into the scan, so an oversize
     file is skipped before it is read."""
@@ -41,21 +62,37 @@ def oversize_files(files: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """``(file_no, path, line_no, line)``: files in the order given, lines unchanged."""
-    files = spark.read.text(list(paths), wholetext=True).select("value", "_metadata.file_path")
-    order = F.map_from_arrays(
-        F.array(*[F.lit(plain_path(p)) for p in paths]),
-        F.array(*[F.lit(i).cast("bigint") for i in range(1, len(paths) + 1)]),
+    """``(file_no, path, line_no, line)``: files in the order given, lines unchanged.
+
+    Files are read in splits, so a file may be of any size. A line's number is its place in its
+    split plus the lines of the splits before, which are counted first; only these counts meet the
+    lines again.
+    """
+    source = spark.read.option("lineSep", "\n").text(list(paths))
+    lines = source.select(
+        file_path(F.col("_metadata.file_path")).alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row_id"),
+        F.col("value").alias("line"),
+    )
+    counts = lines.groupBy("path", "start").agg(
+        F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first")
+    )
+    before = W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(
+        "path", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
-    path = file_path(F.col("file_path"))
-    return (
-        files.select(path.alias("path"), F.posexplode(line_array(F.col("value"))).alias("pos", "line"))
-        .select(
-            F.element_at(order, F.col("path")).alias("file_no"),
-            "path",
-            (F.col("pos") + 1).cast("bigint").alias("line_no"),
-            "line",
-        )
+    order = spark.createDataFrame(
+        [(i, plain_path(p)) for i, p in enumerate(paths, start=1)], "file_no bigint, path string"
+    )
+    placed = offsets.join(order, "path")
+    if estimated_bytes(source) // SPLIT_BYTES + len(paths) <= MAX_BROADCAST_SPLITS:
+        placed = F.broadcast(placed)  # one row per split
+    return lines.join(placed, ["path", "start"]).select(
+        "file_no",
+        "path",
+        (F.col("offset") + F.col("row_id") - F.col("first") + 1).alias("line_no"),
+        "line",
     )
 
 
@@ -155,8 +192,8 @@ def read_parquet_preview(
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
     total = df.agg(F.count(F.lit(1)).alias("n_rows"))
     head = table_preview(df, "", rows, order)
-    return head.join(F.broadcast(total)).select(  # one row: an aggregate without keys
-        F.lit(columns).alias("columns"), "n_rows", "row_no", "cells"
+    return head.select(
+        F.lit(columns).alias("columns"), total.scalar().alias("n_rows"), "row_no", "cells"
     )
 
 
@@ -183,17 +220,16 @@ def image_catalog(spark: SparkSession, path: str | Sequence[str], pixels: bool =
 def write_previews(previews: DataFrame, path: str, mode: str = "error") -> None:
     """Write preview rows as parquet, one directory per kind.
 
-    Rows are not shuffled: every task writes one file per kind it holds, so a kind with a third of
-    all rows is written by all tasks.
+    The rebalance hint brings the rows of a kind together for files of a good size; partitions of a
+    hot kind are split, small ones are merged.
     """
-    previews.write.mode(mode).partitionBy("kind").parquet(path)
+    previews.hint("rebalance", "kind").write.mode(mode).partitionBy("kind").parquet(path)
 
 
 def write_preview_text(previews: DataFrame, path: str, mode: str = "error") -> None:
     """Write only the preview text, one directory per kind."""
-    previews.select("kind", F.col("text").alias("value")).write.mode(mode).partitionBy("kind").text(
-        path
-    )
+    lines = previews.select("kind", F.col("text").alias("value")).hint("rebalance", "kind")
+    lines.write.mode(mode).partitionBy("kind").text(path)
 
 
 def content_text(content: Column) -> Column:
