@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpuslens.functions.text import let
 from corpuslens.registry import KIND_NAMES, KINDS, Rule, winning_extensions
 
 # Leading bytes (hex, at a byte offset) and the MIME type they stand for.
@@ -60,10 +62,6 @@ OLE_CLASSES: tuple[tuple[str, str], ...] = (
 )
 
 
-def _hex_literal(digits: str) -> Column:
-    return F.lit(bytes.fromhex(digits))
-
-
 def file_name(path: Column) -> Column:
     """Last component of a path."""
     return F.regexp_extract(path, r"([^/]+)/*\z", 1)
@@ -74,14 +72,15 @@ def ext_of(path: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)/*\z", 1)), F.lit(""))
 
 
+def _constant(value: object, type_: str) -> Column:
+    """A nested constant as one expression; the planner folds it into a literal."""
+    return F.from_json(F.lit(json.dumps(value)), type_)
+
+
 def kind_of_ext(ext: Column) -> Column:
     """Kind that owns an extension, null when nobody claims it."""
-    expr = None
-    for kind, extensions in winning_extensions().items():
-        if extensions:
-            hit = ext.isin(*extensions)
-            expr = F.when(hit, kind) if expr is None else expr.when(hit, kind)
-    return expr
+    owners = {e: kind for kind, extensions in winning_extensions().items() for e in extensions}
+    return F.try_element_at(_constant(owners, "map<string,string>"), ext)
 
 
 def _by_leading_bytes(content: Column, value_of: Callable[[str], str | None]) -> Column:
@@ -91,34 +90,38 @@ def _by_leading_bytes(content: Column, value_of: Callable[[str], str | None]) ->
     value when the plan is made.
     """
 
-    def entry(offset: int, digits: str, mime: str) -> Column:
-        return F.struct(
-            F.lit(offset + 1).alias("at"),
-            _hex_literal(digits).alias("bytes"),
-            F.lit(value_of(mime)).cast("string").alias("value"),
-        )
+    def entry(offset: int, digits: str, mime: str) -> dict:
+        return {"at": 2 * offset + 1, "bytes": digits, "value": value_of(mime)}
+
+    def table(*entries: dict) -> Column:
+        return _constant(entries, "array<struct<at:int,bytes:string,value:string>>")
+
+    def first(digits: Column, entries: Column) -> Column:
+        def matches(m: Column) -> Column:
+            return F.substring(digits, m["at"], F.length(m["bytes"])) == m["bytes"]
 
-    def first(entries: list[Column], test: Callable[[Column], Column]) -> Column:
-        return F.get(F.filter(F.array(*entries), test), F.lit(0))
+        return F.get(F.filter(entries, matches), F.lit(0))
 
-    magic = first(
-        [entry(*m) for m in MAGIC],
-        lambda m: F.substring(content, m["at"], F.length(m["bytes"])) == m["bytes"],
+    reach = max(offset + len(digits) // 2 for offset, digits, _ in MAGIC)
+    magic = let(
+        F.hex(F.substring(content, 1, reach)),
+        lambda digits: first(digits, table(*[entry(*m) for m in MAGIC])),
     )
     head = F.decode(F.substring(content, 1, 64), "iso-8859-1")
     markup = F.when(
-        F.rlike(head, F.lit(r"(?i)\A\s*<(?:!DOCTYPE )?HTML")), entry(0, "", "text/html")
-    ).when(F.rlike(head, F.lit(r"(?i)\A\s*<\?XML")), entry(0, "", "text/xml"))
+        F.rlike(head, F.lit(r"(?i)\A\s*<(?:!DOCTYPE )?HTML")),
+        F.get(table(entry(0, "", "text/html")), F.lit(0)),
+    ).when(
+        F.rlike(head, F.lit(r"(?i)\A\s*<\?XML")), F.get(table(entry(0, "", "text/xml")), F.lit(0))
+    )
     # First directory sector (little endian at byte 48) leads to the root class id at byte 80.
     sector = F.conv(
         F.concat(*[F.hex(F.substring(content, p, 1)) for p in (52, 51, 50, 49)]), 16, 10
     ).cast("bigint")
-    class_id = F.substring(content, ((sector + 1) * 512 + 81).cast("int"), F.lit(16))
-    ole = F.coalesce(
-        first([entry(0, d, m) for d, m in OLE_CLASSES], lambda m: class_id == m["bytes"]),
-        entry(0, "", "application/x-ole-storage"),
-    )
-    is_ole = F.startswith(content, _hex_literal(OLE_MAGIC))
+    class_id = F.hex(F.substring(content, ((sector + 1) * 512 + 81).cast("int"), F.lit(16)))
+    classes = [entry(0, digits, mime) for digits, mime in OLE_CLASSES]
+    ole = first(class_id, table(*classes, entry(0, "", "application/x-ole-storage")))
+    is_ole = F.startswith(content, F.lit(bytes.fromhex(OLE_MAGIC)))
     return F.coalesce(F.when(is_ole, ole), magic, markup)["value"]
 
 

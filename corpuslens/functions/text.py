@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space other than the line feed, as a Java regex class body.
-BLANKS = r"\t\x0B\f\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+# Unicode white space as one property test, which is much faster than a list of characters.
+BLANKS = r"(?U)[^\S\n]++"  # all but the line feed
+AT_ENDS = r"(?U)\A\s++|\s++\z"
+AT_END = r"(?U)\s++\z"
 
 # Markup that becomes a line break, replaced in this order.
 BREAKS: tuple[tuple[str, str], ...] = (
@@ -38,7 +40,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def trim_unicode(text: Column) -> Column:
     """Trim Unicode white space, line feeds included, from both ends."""
-    return F.regexp_replace(text, rf"\A[\n{BLANKS}]++|[\n{BLANKS}]++\z", "")
+    return F.regexp_replace(text, AT_ENDS, "")
 
 
 def strip_tags(html: Column) -> Column:
@@ -52,9 +54,9 @@ def html_to_text(html: Column) -> Column:
     for markup, text in BREAKS:
         out = F.replace(out, F.lit(markup), F.lit(text))
     out = strip_tags(out)
-    out = F.regexp_replace(out, rf"[{BLANKS}]++", " ")
+    out = F.regexp_replace(out, BLANKS, " ")
     out = F.regexp_replace(out, r"(\A|\n) ", "$1")
-    return F.regexp_replace(out, rf"[\n{BLANKS}]++\z", "")
+    return F.regexp_replace(out, AT_END, "")
 
 
 def truncate_chars(text: Column, limit: int = 5000) -> Column:

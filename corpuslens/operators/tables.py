@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,10 +124,15 @@ def head_per_group(
     are counted before they are shuffled, so a hot group never lands in one task.
     """
     ranked = first_per_group(df, group, order, n, "row_no")
-    totals = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_total"))
+    totals = df.groupBy(*[F.col(c).alias(f"_{c}") for c in group]).agg(
+        F.count(F.lit(1)).alias("_total")
+    )
+    # Null-safe, so that rows without a group keep theirs.
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group])
     more = F.greatest(F.col("_total") - n, F.lit(0))
     return (
-        ranked.join(totals, list(group))
+        ranked.join(totals, same)
+        .drop(*[f"_{c}" for c in group])
         .withColumn("more_rows", more)
         .withColumn(
             "note",

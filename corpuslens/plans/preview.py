@@ -122,7 +122,7 @@ def _by_kind(limits: Limits) -> Column:
         return F.when(condition, value)
 
     def plain(value: Column, shape: str = "text", title: Column | None = None) -> Column:
-        return F.when(value.isNotNull(), _piece(shape, value, title))
+        return T.let(value, lambda v: F.when(v.isNotNull(), _piece(shape, v, title)))
 
     ascii_text = F.decode(F.substring(content, 1, limits.fallback_bytes), "iso-8859-1")
     is_text = D.is_plain_ascii(content, limits.fallback_bytes)
@@ -142,7 +142,6 @@ def _by_kind(limits: Limits) -> Column:
             "No text extractor for this kind; register one.",
         )
     )
-    canonical = T.json_canonical(text)
     slides = T.let(
         T.notebook_cells(text),
         lambda cells: T.join_slide_array(F.transform(cells, lambda c: c["text"])),
@@ -155,7 +154,10 @@ def _by_kind(limits: Limits) -> Column:
         .when(ext == "tsv", plain(T.delimited_text(text, "\t", limits.delimited_rows), "table"))
         .when(
             (ext == "json") & text.isNotNull(),
-            _piece("text", F.coalesce(canonical, text), None, F.when(canonical.isNull(), "invalid json")),
+            T.let(
+                T.json_canonical(text),
+                lambda j: _piece("text", F.coalesce(j, text), None, F.when(j.isNull(), "invalid json")),
+            ),
         )
         .when(ext == "ini", plain(T.ini_text(text)))
     )
@@ -195,13 +197,11 @@ def _by_kind(limits: Limits) -> Column:
         )
         .when(
             F.col("kind") == "notebook",
-            F.when(slides.isNotNull(), _piece("slides", slides)).when(
-                text.isNotNull(),
-                _piece(
-                    "text",
-                    text,
-                    None,
-                    F.when(T.json_value(text).isNull(), "invalid json"),
+            F.coalesce(
+                plain(slides, "slides"),
+                F.when(
+                    text.isNotNull(),
+                    _piece("text", text, None, F.when(T.json_value(text).isNull(), "invalid json")),
                 ),
             ),
         )

@@ -152,10 +152,9 @@ def url_entries(pages: DataFrame) -> DataFrame:
 
 def plain_lines(text: Column) -> Column:
     """Lines of a text reduced to ASCII letters, digits and single spaces; empty ones dropped."""
-    kept = F.transform(
-        F.split(text, "\n", -1), lambda l: F.trim(F.regexp_replace(F.regexp_replace(l, "[^A-Za-z0-9 ]", ""), " +", " "))
-    )
-    return F.filter(kept, lambda l: l != "")
+    kept = F.regexp_replace(F.translate(text, "_", ""), r"[^\w \n]+", "")
+    kept = F.regexp_replace(kept, "  +", " ")
+    return F.filter(F.transform(F.split(kept, "\n", -1), F.trim), lambda l: l != "")
 
 
 def markdown_docs(documents: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from corpuslens.operators import reports as R
 from corpuslens.operators import tables as TB
 from corpuslens.registry import Rule
@@ -38,12 +40,15 @@ def test_tsv(spark):
 
 
 def test_head_per_group(spark):
-    df = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 1)], "g string, o int")
-    rows = TB.head_per_group(df, ["g"], ["o"], 2).orderBy("g", "o").collect()
+    df = spark.createDataFrame(
+        [("a", i) for i in range(5)] + [("b", 1), (None, 1)], "g string, o int"
+    )
+    rows = TB.head_per_group(df, ["g"], ["o"], 2).orderBy(F.col("g").asc_nulls_last(), "o").collect()
     assert [(r["g"], r["row_no"], r["more_rows"], r["note"]) for r in rows] == [
         ("a", 1, 3, "… 3 more row(s)"),
         ("a", 2, 3, "… 3 more row(s)"),
         ("b", 1, 0, None),
+        (None, 1, 0, None),
     ]
     plan = TB.head_per_group(df, ["g"], ["o"], 2)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
