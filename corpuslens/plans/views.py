@@ -154,7 +154,8 @@ def plain_lines(text: Column) -> Column:
     """Lines of a text reduced to ASCII letters, digits and single spaces; empty ones dropped."""
     kept = F.regexp_replace(F.translate(text, "_", ""), r"[^\w \n]+", "")
     kept = F.regexp_replace(kept, "  +", " ")
-    return F.filter(F.transform(F.split(kept, "\n", -1), F.trim), lambda l: l != "")
+    lines = F.transform(F.split(kept, "\n", -1), lambda l: F.trim(l))
+    return F.filter(lines, lambda l: l != "")
 
 
 def markdown_docs(documents: DataFrame) -> DataFrame:
