@@ -586,6 +586,30 @@ SELECT 'doc' || doc_id || '.zip' AS archive, seq, path, is_dir, size,
 FROM ranked WHERE r <= 100"""
 ORACLE_SQL["archive_tree"] = f"""
 WITH {_XML} SELECT 'doc' || doc_id || '.zip' AS tree_id, 4 + least(len(l), 498) AS n_nodes FROM packed"""
+_PREVIEW = f"""{_cut('t')} AS text, length(t) AS n_chars, length(t) > 5000 AS truncated,
+  NULL::VARCHAR AS error"""
+ORACLE_SQL["preview_containers"] = f"""
+WITH {_XML}, texts AS (SELECT 'doc' || doc_id || '.docx' AS id, array_to_string(
+  list_transform(l, lambda x: trim(x) || ' ')[1:5000], {LF} || {LF}) AS t FROM packed)
+SELECT id, 'document' AS kind, 'text' AS shape, id AS title, {_PREVIEW} FROM texts"""
+ORACLE_SQL["preview_archives"] = f"""
+WITH {_XML},
+files AS (SELECT 'doc' || doc_id || '.zip' AS tree_id, unnest(list_concat(
+  [{{'seq': 1, 'path': 'word/', 'size': 0}}, {{'seq': 2, 'path': 'word/document.xml', 'size': strlen(xml)}}],
+  list_transform(l, lambda x, i: {{'seq': 3 + i, 'path': 'lines/l' || (i - 1) || '.txt', 'size': strlen(x)}})),
+  recursive := true) FROM packed),
+entries AS (SELECT tree_id, seq, path, suffix(path, '/') AS is_dir, size,
+  CASE WHEN suffix(path, '/') THEN 'drwxr-xr-x' ELSE '-rw-r--r--' END AS mode FROM files),
+{_nodes_sql('entries')}, {_ORDERED}, drawn AS ({_rendered(False)}),
+texts AS (SELECT tree_id, string_agg(line || {LF}, '' ORDER BY pos) AS t FROM drawn GROUP BY 1)
+SELECT tree_id AS id, 'archive' AS kind, 'tree' AS shape, 'Archive: ' || tree_id AS title, {_PREVIEW}
+FROM texts"""
+ORACLE_SQL["preview_comics"] = f"""
+WITH {_XML}, texts AS (SELECT 'doc' || doc_id || '.cbz' AS id, 'Comic book archive — ' || (3 + len(l))
+  || ' file(s)' || {LF} || {LF} || 'word/' || {LF} || 'word/document.xml (' || strlen(xml) || ' bytes)' || {LF}
+  || array_to_string(list_transform(l, lambda x, i: 'lines/l' || (i - 1) || '.txt (' || strlen(x) || ' bytes)'
+  || {LF}), '') AS t FROM packed)
+SELECT id, 'ebook' AS kind, 'text' AS shape, id AS title, {_PREVIEW} FROM texts"""
 ORACLE_SQL["zip_member_text"] = f"""
 WITH {_XML} SELECT 'doc' || doc_id || '.docx' AS path, 'word/document.xml' AS member, 2 AS seq,
   xml AS text, NULL::VARCHAR AS error FROM packed"""

@@ -437,6 +437,30 @@ def preview_corpus(spark, sf):
     return P.preview_corpus(V.document_files(_docs(spark, sf)))
 
 
+@query
+def preview_containers(spark, sf):
+    """Previews of zip-based documents, whose members are read in the same pass."""
+    files = V.zipped_docs(_docs(spark, sf), "docx").select(
+        F.col("path").alias("id"),
+        "path",
+        F.lit(False).alias("is_dir"),
+        F.col("length").alias("size"),
+        "content",
+        A.container_members(F.col("path"), F.col("content"))["members"].alias("members"),
+    )
+    return P.preview_corpus(files)
+
+
+@query
+def preview_archives(spark, sf):
+    return P.preview_archives(V.zipped_docs(_docs(spark, sf), "zip"))
+
+
+@query
+def preview_comics(spark, sf):
+    return P.preview_comics(V.zipped_docs(_docs(spark, sf), "cbz"))
+
+
 @query
 def first_success(spark, sf):
     raw = F.when(F.col("event_id") % 4 == 3, F.concat(F.lit("{"), "props")).otherwise(F.col("props"))

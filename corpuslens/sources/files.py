@@ -39,6 +39,8 @@ def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
     estimates it below one default split per core, its rows are spread by ``keys``; a larger table
     has enough splits and is left as it is, without a shuffle.
     """
+    if not hasattr(df, "_jdf"):  # a remote session has no estimate
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if estimated_bytes(df) >= cores * SPLIT_BYTES:
         return df
@@ -109,29 +111,36 @@ def plain_path(path: str) -> str:
 
 
 def read_delimited(
-    spark: SparkSession, path: str | Sequence[str], sep: str = ",", header: bool = True
+    spark: SparkSession,
+    path: str | Sequence[str],
+    sep: str = ",",
+    header: bool = True,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """``(path, row_id, cells)``: records as text cells, ragged rows kept with all their cells.
+    """``(path, start, row_id, cells)``: records as text cells, ragged rows kept with all cells.
 
     Files are streamed record by record, so they may be larger than one value. The reader is given
     one column; a record with any other number of cells comes with its raw text, from which the
-    cells are cut. ``row_id`` grows in file order. With ``header`` the first record of every file
-    is left out; see :func:`delimited_headers`.
+    cells are cut. File order is ``(start, row_id)``. With ``header`` the first record of every
+    file is left out; see :func:`delimited_headers`. Quoted line breaks need ``multi_line``, which
+    reads a file in one task; without it large files are split.
     """
-    return _records(spark, path, sep, header).select("path", "row_id", "cells")
+    return _records(spark, path, sep, header, multi_line)
 
 
 def delimited_headers(
-    spark: SparkSession, path: str | Sequence[str], sep: str = ","
+    spark: SparkSession, path: str | Sequence[str], sep: str = ",", multi_line: bool = True
 ) -> DataFrame:
     """``(path, headers)``: first record of every file; an aggregate that shuffles one row per
     file and task."""
-    rows = _records(spark, path, sep, header=False)
-    return rows.groupBy("path").agg(F.min_by("cells", "row_id").alias("headers"))
+    rows = _records(spark, path, sep, False, multi_line)
+    return rows.groupBy("path").agg(
+        F.min_by("cells", F.struct("start", "row_id")).alias("headers")
+    )
 
 
 def _records(
-    spark: SparkSession, path: str | Sequence[str], sep: str, header: bool
+    spark: SparkSession, path: str | Sequence[str], sep: str, header: bool, multi_line: bool
 ) -> DataFrame:
     schema = ST.StructType(
         [ST.StructField("first", ST.StringType()), ST.StructField("record", ST.StringType())]
@@ -140,7 +149,7 @@ def _records(
         spark.read.schema(schema)
         .option("columnNameOfCorruptRecord", "record")
         .option("mode", "PERMISSIVE")
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("header", header)
         .option("enforceSchema", True)
         .option("escape", '"')
@@ -153,27 +162,36 @@ def _records(
     )
     return rows.select(
         F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("row_id"),
         cells.alias("cells"),
     )
 
 
 def read_json_docs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """``(path, value variant, error)``: one JSON value per file; a bad file gives an error row."""
+    """``(path, value variant, error, raw)``: one JSON value per file; a bad file gives an error
+    row with its raw text, a file too large for one value an error row that is never read."""
     paths = path if isinstance(path, str) else list(path)
     docs = spark.read.text(paths, wholetext=True, recursiveFileLookup=True)
-    parsed = docs.select(
+    parsed = docs.filter(F.col("_metadata.file_size") <= MAX_CONTENT).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("value").alias("raw"),
         json_value(F.col("value")).alias("value"),
     )
     bad = F.col("value").isNull()
-    return parsed.select(
+    read = parsed.select(
         "path",
         "value",
         F.when(bad, "invalid json").alias("error"),
         F.when(bad, F.col("raw")).alias("raw"),
     )
+    skipped = oversize_files(scan_files(spark, paths)).select(
+        "path",
+        F.lit(None).cast("variant").alias("value"),
+        F.lit("file too large").alias("error"),
+        F.lit(None).cast("string").alias("raw"),
+    )
+    return read.unionByName(skipped)
 
 
 def read_parquet_preview(
@@ -217,19 +235,27 @@ def image_catalog(spark: SparkSession, path: str | Sequence[str], pixels: bool =
     return images.select(*columns)
 
 
-def write_previews(previews: DataFrame, path: str, mode: str = "error") -> None:
+def write_previews(
+    previews: DataFrame, path: str, mode: str = "error", compact: bool = False
+) -> None:
     """Write preview rows as parquet, one directory per kind.
 
-    The rebalance hint brings the rows of a kind together for files of a good size; partitions of a
-    hot kind are split, small ones are merged.
+    Rows are not moved: every task writes one file per kind it holds. With ``compact`` the rows of
+    a kind are brought together for fewer files; a hot kind is split over many tasks.
     """
-    previews.hint("rebalance", "kind").write.mode(mode).partitionBy("kind").parquet(path)
+    _by_kind(previews, compact).write.mode(mode).partitionBy("kind").parquet(path)
 
 
-def write_preview_text(previews: DataFrame, path: str, mode: str = "error") -> None:
+def write_preview_text(
+    previews: DataFrame, path: str, mode: str = "error", compact: bool = False
+) -> None:
     """Write only the preview text, one directory per kind."""
-    lines = previews.select("kind", F.col("text").alias("value")).hint("rebalance", "kind")
-    lines.write.mode(mode).partitionBy("kind").text(path)
+    lines = previews.select("kind", F.col("text").alias("value"))
+    _by_kind(lines, compact).write.mode(mode).partitionBy("kind").text(path)
+
+
+def _by_kind(rows: DataFrame, compact: bool) -> DataFrame:
+    return rows.hint("rebalance", "kind") if compact else rows
 
 
 def content_text(content: Column) -> Column:

@@ -137,9 +137,13 @@ def test_line_numbers_across_splits(spark, tmp_path):
 
 def test_ragged_delimited(spark, corpus):
     path = str(corpus / "a.csv")
-    body = S.read_delimited(spark, path).orderBy("row_id").collect()
-    assert [r["cells"] for r in body] == [["alpha"], ["beta", "2", "extra"], ["q,1", "3"]]
+    for multi_line in (True, False):
+        body = S.read_delimited(spark, path, multi_line=multi_line).orderBy("start", "row_id")
+        cells = [r["cells"] for r in body.collect()]
+        assert cells == [["alpha"], ["beta", "2", "extra"], ["q,1", "3"]]
     assert S.delimited_headers(spark, path).collect()[0]["headers"] == ["name", "score"]
+    split = S.delimited_headers(spark, path, multi_line=False).collect()
+    assert split[0]["headers"] == ["name", "score"]
     with_header = S.read_delimited(spark, path, header=False).orderBy("row_id").collect()
     assert with_header[0]["cells"] == ["name", "score"]
 
@@ -305,6 +309,9 @@ def test_write_previews(spark, corpus, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == rows.count()
     assert (tmp_path / "out" / "kind=markdown").is_dir()
+    S.write_previews(rows, str(tmp_path / "compact"), compact=True)
+    assert spark.read.parquet(str(tmp_path / "compact")).count() == rows.count()
+    assert len(list((tmp_path / "compact" / "kind=data").glob("*.parquet"))) == 1
     S.write_preview_text(rows, str(tmp_path / "text"))
     assert "Hello." in [r[0] for r in spark.read.text(str(tmp_path / "text/kind=markdown")).collect()]
 
