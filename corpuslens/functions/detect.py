@@ -69,10 +69,10 @@ def file_name(path: Column) -> Column:
 
 def ext_of(path: Column) -> Column:
     """Lower-cased last extension, null when the name has none."""
-    return F.nullif(F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)/*\z", 1)), F.lit(""))
+    return F.lower(F.get(F.regexp_extract_all(path, F.lit(r"[^/]\.([^./]+)/*\z"), F.lit(1)), F.lit(0)))
 
 
-def _constant(value: object, type_: str) -> Column:
+def constant(value: object, type_: str) -> Column:
     """A nested constant as one expression; the planner folds it into a literal."""
     return F.from_json(F.lit(json.dumps(value)), type_)
 
@@ -80,7 +80,7 @@ def _constant(value: object, type_: str) -> Column:
 def kind_of_ext(ext: Column) -> Column:
     """Kind that owns an extension, null when nobody claims it."""
     owners = {e: kind for kind, extensions in winning_extensions().items() for e in extensions}
-    return F.try_element_at(_constant(owners, "map<string,string>"), ext)
+    return F.try_element_at(constant(owners, "map<string,string>"), ext)
 
 
 def _by_leading_bytes(content: Column, value_of: Callable[[str], str | None]) -> Column:
@@ -94,7 +94,7 @@ def _by_leading_bytes(content: Column, value_of: Callable[[str], str | None]) ->
         return {"at": 2 * offset + 1, "bytes": digits, "value": value_of(mime)}
 
     def table(*entries: dict) -> Column:
-        return _constant(entries, "array<struct<at:int,bytes:string,value:string>>")
+        return constant(entries, "array<struct<at:int,bytes:string,value:string>>")
 
     def first(digits: Column, entries: Column) -> Column:
         def matches(m: Column) -> Column:

@@ -19,7 +19,6 @@ from corpuslens.sources.archives import (
     TREE_EXTENSIONS,
     archive_manifest,
     container_members,
-    manifest_entries,
 )
 from corpuslens.sources.files import (
     content_text,
@@ -32,6 +31,7 @@ from corpuslens.sources.files import (
 
 Extractor = Callable[[Column, Column], Column]
 
+_ERROR_NAME = "\0"
 _PIECE = "struct<shape:string,title:string,text:string,error:string>"
 
 # What an unsupported preview says.
@@ -303,20 +303,44 @@ def _tree_previews(nodes: DataFrame, kind: str, label: str, limits: Limits) -> D
 
 
 def preview_archives(files: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
-    """Archive files as drawn trees, comic archives as lists; unreadable ones as error rows."""
+    """Archive files as drawn trees; unreadable ones as error rows.
+
+    An error goes through the tree as an entry with a name no archive can hold, so archives are
+    opened once for both.
+    """
     manifest = archive_manifest(files, limits.archive_entries)
-    nodes = trees.build_nodes(manifest_entries(manifest), limits.archive_entries)
-    bad = manifest.filter(F.col("error").isNotNull()).select(
-        F.col("archive").alias("id"),
+    bad = F.col("error").isNotNull()
+    entries = manifest.select(
+        F.col("archive").alias("tree_id"),
+        F.coalesce("seq", F.lit(0)).alias("seq"),
+        F.when(bad, _ERROR_NAME).otherwise(F.col("path")).alias("path"),
+        F.coalesce("is_dir", F.lit(False)).alias("is_dir"),
+        "size",
+        F.when(bad, F.col("error")).otherwise(F.col("mode")).alias("mode"),
+    )
+    lines = trees.render_tree(trees.build_nodes(entries, limits.archive_entries))
+    failed = F.col("path") == _ERROR_NAME
+    drawn = lines.groupBy("tree_id").agg(
+        F.array_sort(
+            F.collect_list(
+                F.when(~failed, F.struct("pos", F.concat("line", F.lit("\n")).alias("line")))
+            )
+        ).alias("lines"),
+        F.max(F.when(failed, F.regexp_extract("line", r"\x00 (?s:(.*))\z", 1))).alias("error"),
+    )
+    good = F.col("error").isNull()
+    text = F.when(good, F.array_join(F.transform("lines", lambda r: r["line"]), ""))
+    name = D.file_name(F.col("tree_id"))
+    return drawn.withColumn("full", F.coalesce(text, F.col("error"))).select(
+        F.col("tree_id").alias("id"),
         F.lit("archive").alias("kind"),
-        F.lit("unsupported").alias("shape"),
-        D.file_name(F.col("archive")).alias("title"),
-        F.col("error").alias("text"),
-        F.length("error").cast("bigint").alias("n_chars"),
-        F.lit(False).alias("truncated"),
+        F.when(good, "tree").otherwise("unsupported").alias("shape"),
+        F.when(good, F.concat(F.lit("Archive: "), F.col("tree_id"))).otherwise(name).alias("title"),
+        T.truncate_chars(F.col("full"), limits.text_chars).alias("text"),
+        F.length("full").cast("bigint").alias("n_chars"),
+        (F.length("full") > (limits.text_chars or 2**31 - 1)).alias("truncated"),
         "error",
     )
-    return _tree_previews(nodes, "archive", "Archive: ", limits).unionByName(bad)
 
 
 def preview_comics(files: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:

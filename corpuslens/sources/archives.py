@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.functions.detect import ext_of, file_name
+from corpuslens.functions.detect import constant, ext_of, file_name
 from corpuslens.functions.text import mode_string
 from corpuslens.limits import DEFAULTS
 from corpuslens.operators.trees import cap_entries, is_noise
@@ -44,33 +44,35 @@ def _archive_lister() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
     """Function that lists archives batch by batch. Nested, so that it is shipped by value and
     executors need no copy of this package."""
     batch_rows = 10_000
-    columns = ["archive", "seq", "path", "is_dir", "size", "bits", "error"]
+    columns = ["archive", "form", "seq", "path", "is_dir", "size", "bits", "error"]
     types = {"seq": "Int64", "size": "Int64", "bits": "Int64", "is_dir": "boolean"}
 
-    def entries(content: bytes, form: str) -> Iterator[tuple]:
+    def entries(form: str, name: str, length: int, content: bytes) -> Iterator[tuple]:
         if form == "zip":
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            with zipfile.ZipFile(io.BytesIO(bytes(content))) as archive:
                 for info in archive.infolist():
                     yield info.filename, info.is_dir(), info.file_size, None
-        else:
-            with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as archive:
+        elif form == "tar":
+            with tarfile.open(fileobj=io.BytesIO(bytes(content)), mode="r|*") as archive:
                 for info in archive:
-                    name = info.name + "/" if info.isdir() else info.name
-                    yield name, info.isdir(), info.size, info.mode
+                    path = info.name + "/" if info.isdir() else info.name
+                    yield path, info.isdir(), info.size, info.mode
+        else:
+            yield name, False, length, None
 
     def list_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
         for batch in batches:
-            for archive, form, content in zip(batch["archive"], batch["form"], batch["content"]):
+            for archive, form, name, length, content in batch.itertuples(index=False):
                 try:
-                    for seq, entry in enumerate(entries(bytes(content), form), start=1):
-                        rows.append((archive, seq, *entry, None))
-                        if len(rows) >= batch_rows:
-                            yield pd.DataFrame(rows, columns=columns).astype(types)
-                            rows = []
+                    found = list(entries(form, name, length, content))
+                    rows += [(archive, form, i, *e, None) for i, e in enumerate(found, start=1)]
                 except Exception as reason:  # noqa: BLE001 - a bad archive must not fail the job
                     note = f"unreadable archive: {reason}"
-                    rows.append((archive, None, None, None, None, None, note))
+                    rows.append((archive, form, None, None, None, None, None, note))
+                if len(rows) >= batch_rows:
+                    yield pd.DataFrame(rows, columns=columns).astype(types)
+                    rows = []
         if rows:
             yield pd.DataFrame(rows, columns=columns).astype(types)
 
@@ -87,45 +89,38 @@ def archive_manifest(
     row. Noise goes first, then every archive is cut to ``max_entries``. With ``comic`` only comic
     zip archives are listed, noise included.
     """
-    ext = ext_of(F.col("path"))
-    form = (
-        F.when(ext == "zip", "zip")
-        .when(
-            (ext == "tgz") | (ext == "tar") | F.endswith(F.lower("path"), F.lit(".tar.gz")), "tar"
-        )
-        .when(ext.isin("gz", "bz2", "xz"), "single")
-    )
+    named = files.select("path", "length", "content", ext_of(F.col("path")).alias("ext"))
+    ext = F.col("ext")
     if comic:
         form = F.when(ext == "cbz", "zip")
-    archives = files.withColumn("form", form).filter(F.col("form").isNotNull())
-    schema = (
-        "archive string, seq bigint, path string, is_dir boolean, size bigint, bits bigint, "
-        "error string"
-    )
-    opened = (
-        archives.filter(F.col("form") != "single")
-        .select(F.col("path").alias("archive"), "form", "content")
-        .mapInPandas(_archive_lister(), schema)
-    )
-    constant = F.when(F.col("is_dir"), "drwxr-xr-x").otherwise("-rw-r--r--")
-    mode = F.when(F.col("bits").isNotNull(), mode_string(F.col("bits"))).when(
-        F.col("error").isNull(), constant
+    else:
+        tar = ext.isin("tgz", "tar") | F.endswith(F.lower("path"), F.lit(".tar.gz"))
+        form = (
+            F.when(ext == "zip", "zip")
+            .when(tar, "tar")
+            .when(ext == "gz", "gz")
+            .when(ext.isin("bz2", "xz"), "single")
+        )
+    archives = named.withColumn("form", form).filter(F.col("form").isNotNull())
+    # A lone compressed file is known by its name; only a gz shows just the last part of it.
+    opened = archives.select(
+        F.col("path").alias("archive"),
+        "form",
+        F.when(F.col("form") == "gz", file_name(F.col("path"))).otherwise(F.col("path")).alias("name"),
+        F.col("length").cast("bigint").alias("length"),
+        F.when(F.col("form").isin("zip", "tar"), F.col("content")).alias("content"),
+    ).mapInPandas(
+        _archive_lister(),
+        "archive string, form string, seq bigint, path string, is_dir boolean, size bigint, "
+        "bits bigint, error string",
     )
-    opened = opened.select(
-        "archive", "seq", "path", "is_dir", "size", mode.alias("mode"), "error"
+    constant_mode = F.when(F.col("is_dir"), "drwxr-xr-x").otherwise("-rw-r--r--")
+    mode = F.when(F.col("form") == "tar", mode_string(F.col("bits"))).when(
+        F.col("form").isin("zip", "gz") & F.col("error").isNull(), constant_mode
     )
+    entries = opened.select("archive", "seq", "path", "is_dir", "size", mode.alias("mode"), "error")
     if not comic:
-        opened = opened.filter(F.col("error").isNotNull() | ~is_noise(F.col("path")))
-    singles = archives.filter(F.col("form") == "single").select(
-        F.col("path").alias("archive"),
-        F.lit(1).cast("bigint").alias("seq"),
-        F.when(ext == "gz", file_name(F.col("path"))).otherwise(F.col("path")).alias("path"),
-        F.lit(False).alias("is_dir"),
-        F.col("length").cast("bigint").alias("size"),
-        F.when(ext == "gz", "-rw-r--r--").alias("mode"),
-        F.lit(None).cast("string").alias("error"),
-    )
-    entries = opened.unionByName(singles)
+        entries = entries.filter(F.col("error").isNotNull() | ~is_noise(F.col("path")))
     if max_entries is None:
         return entries
     capped = cap_entries(entries.withColumnRenamed("archive", "tree_id"), max_entries)
@@ -184,10 +179,10 @@ def container_members(
         chosen, once = F.lit(pattern), F.lit(first_only)
     else:
         ext = ext_of(path)
-        chosen, once = F.lit(None).cast("string"), F.lit(False)
-        for name, (first, expr) in MEMBER_PATTERNS.items():
-            chosen = F.when(ext == name, expr).otherwise(chosen)
-            once = F.when(ext == name, first).otherwise(once)
+        patterns = {name: expr for name, (_, expr) in MEMBER_PATTERNS.items()}
+        chosen = F.try_element_at(constant(patterns, "map<string,string>"), ext)
+        single = [name for name, (first, _) in MEMBER_PATTERNS.items() if first]
+        once = F.coalesce(ext.isin(*single), F.lit(False))
     is_zip = F.startswith(content, F.lit(b"PK"))
     if pattern is None:
         # An fb2 file may be plain text; other containers are always zip files.

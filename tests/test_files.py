@@ -67,6 +67,7 @@ def corpus(tmp_path_factory):
         "t.zip": zip_bytes({"a/b/c.txt": "hello", "a/d.txt": "x", "__MACOSX/a": "n", "._q": "n"}),
         "t.tar": tar_bytes("w"),
         "t.tar.gz": tar_bytes("w:gz"),
+        "cut.tar": tar_bytes("w")[:1600],
         "lone.gz": gzip.compress(b"text"),
         "d.docx": zip_bytes({"word/document.xml": W}),
         "o.odt": zip_bytes({"content.xml": "<o><p>odt text</p></o>"}),
@@ -106,7 +107,7 @@ def names(df, column="path"):
 
 def test_scan(spark, corpus):
     files = S.scan_files(spark, str(corpus))
-    assert files.count() == 29  # Spark's file listing leaves out hidden files
+    assert files.count() == 30  # Spark's file listing leaves out hidden files
     assert names(S.scan_files(spark, str(corpus), "*.md")) == {"p.md"}
     listed = {r["path"].rsplit("/", 1)[-1]: r["length"] for r in files.select("path", "length").collect()}
     assert listed["plain.txt"] == 11
@@ -187,7 +188,9 @@ def test_manifest(spark, corpus):
             ("run.sh", False, 5, "-rwxr-xr-x"),
         ]
     assert [(r["path"], r["mode"]) for r in by_name["lone.gz"]] == [("lone.gz", "-rw-r--r--")]
-    assert by_name["bad.zip"][0]["error"].startswith("unreadable archive")
+    for name in ("bad.zip", "cut.tar"):
+        (row,) = by_name[name]
+        assert row["error"].startswith("unreadable archive") and row["path"] is None
     assert len(A.archive_manifest(files, max_entries=1).filter("error IS NULL").collect()) == 4
 
 
@@ -264,7 +267,7 @@ def test_titles_and_trees(previews, corpus):
     assert tree["title"] == f"Directory: {corpus}"
     assert "    ├── sub drwxr-xr-x\n    │   └── deep drwxr-xr-x\n" in tree["text"]
     assert ".hidden" not in tree["text"]
-    assert len(previews) == 29 + 1  # every listed file, and the directory
+    assert len(previews) == 30 + 1  # every listed file, and the directory
 
 
 def test_limits_apply(spark):
