@@ -47,13 +47,24 @@ def _archive_lister() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
     columns = ["archive", "form", "seq", "path", "is_dir", "size", "bits", "error"]
     types = {"seq": "Int64", "size": "Int64", "bits": "Int64", "is_dir": "boolean"}
 
+    class StrictHeader(tarfile.TarInfo):
+        """A damaged header is an error; by default it ends the archive in silence."""
+
+        @classmethod
+        def fromtarfile(cls, archive):
+            try:
+                return super().fromtarfile(archive)
+            except (tarfile.InvalidHeaderError, tarfile.TruncatedHeaderError) as reason:
+                raise tarfile.ReadError(str(reason)) from reason
+
     def entries(form: str, name: str, length: int, content: bytes) -> Iterator[tuple]:
         if form == "zip":
             with zipfile.ZipFile(io.BytesIO(bytes(content))) as archive:
                 for info in archive.infolist():
                     yield info.filename, info.is_dir(), info.file_size, None
         elif form == "tar":
-            with tarfile.open(fileobj=io.BytesIO(bytes(content)), mode="r|*") as archive:
+            data = io.BytesIO(bytes(content))
+            with tarfile.open(fileobj=data, mode="r|*", tarinfo=StrictHeader) as archive:
                 for info in archive:
                     path = info.name + "/" if info.isdir() else info.name
                     yield path, info.isdir(), info.size, info.mode
