@@ -117,8 +117,8 @@ def _by_leading_bytes(content: Column, value_of: Callable[[str], str | None]) ->
     # First directory sector (little endian at byte 48) leads to the root class id at byte 80.
     sector = F.conv(
         F.concat(*[F.hex(F.substring(content, p, 1)) for p in (52, 51, 50, 49)]), 16, 10
-    ).cast("bigint")
-    class_id = F.hex(F.substring(content, ((sector + 1) * 512 + 81).cast("int"), F.lit(16)))
+    ).try_cast("bigint")
+    class_id = F.hex(F.substring(content, ((sector + 1) * 512 + 81).try_cast("int"), F.lit(16)))
     classes = [entry(0, digits, mime) for digits, mime in OLE_CLASSES]
     ole = first(class_id, table(*classes, entry(0, "", "application/x-ole-storage")))
     is_ole = F.startswith(content, F.lit(bytes.fromhex(OLE_MAGIC)))

@@ -105,6 +105,57 @@ def odt_text(xml: Column, limit: int = 5000) -> Column:
     )
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    return F.regexp_extract(tag, rf"""(?s)\s{name}\s*=\s*["']([^"']*)["']""", 1)
+
+
+def epub_text(members: Column) -> Column:
+    """Text of an epub from its ``members`` (``array<struct<seq, member, text>>``): the chapters in
+    the reading order of the package file, each followed by a blank line.
+
+    Without a package file, or when its order names no member, the chapters come in entry order.
+    """
+
+    def is_package(m: Column) -> Column:
+        return F.endswith(F.lower(m["member"]), F.lit(".opf"))
+
+    def chapters(all_members: Column) -> Column:
+        package = F.get(F.filter(all_members, is_package), F.lit(0))
+        folder = F.regexp_replace(package["member"], r"[^/]*\z", "")
+        tags = r"(?s)<(?:\w+:)?{0}\s[^>]*>"
+        items = F.transform(
+            F.regexp_extract_all(package["text"], F.lit(tags.format("item")), F.lit(0)),
+            lambda tag: F.struct(
+                _attribute(tag, "id").alias("id"), _attribute(tag, "href").alias("href")
+            ),
+        )
+        spine = F.transform(
+            F.regexp_extract_all(package["text"], F.lit(tags.format("itemref")), F.lit(0)),
+            lambda tag: _attribute(tag, "idref"),
+        )
+
+        def in_order(known: Column) -> Column:
+            def chapter(idref: Column) -> Column:
+                href = F.get(F.filter(known, lambda i: i["id"] == idref), F.lit(0))["href"]
+                name = F.concat(folder, F.coalesce(F.try_url_decode(href), href))
+                return F.get(F.filter(all_members, lambda m: m["member"] == name), F.lit(0))["text"]
+
+            return F.filter(F.transform(spine, chapter), lambda t: t.isNotNull())
+
+        def or_entries(ordered: Column) -> Column:
+            entries = F.transform(
+                F.filter(all_members, lambda m: ~is_package(m)), lambda m: m["text"]
+            )
+            return F.when(F.size(ordered) > 0, ordered).otherwise(entries)
+
+        return let(let(items, in_order), or_entries)
+
+    texts = F.transform(
+        let(members, chapters), lambda html: F.concat(html_to_text(html), F.lit("\n\n"))
+    )
+    return F.array_join(texts, "")
+
+
 def page_array(text: Column, sep: str = "\f") -> Column:
     """Pages between separators, each trimmed."""
     return F.transform(F.split(text, sep, -1), trim_unicode)

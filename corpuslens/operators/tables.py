@@ -22,6 +22,7 @@ __all__ = [
     "head_rows",
     "pad_cells",
     "schema_report",
+    "sheet_preview",
     "stringify",
     "tsv_lines",
 ]
@@ -37,6 +38,14 @@ def cap_columns(df: DataFrame, n: int = DEFAULTS.sheet_cols) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns[:n]])
 
 
+def sheet_preview(
+    df: DataFrame, order: Sequence[str | Column], limits: Limits = DEFAULTS
+) -> DataFrame:
+    """Preview of a sheet: the header counts as one of its rows, cells are text, nulls empty."""
+    head = head_rows(df, order, min(limits.sheet_rows, limits.data_rows) - 1)
+    return stringify(cap_columns(head, limits.sheet_cols))
+
+
 def _number_text(value: Column) -> Column:
     """A double without exponent and without a trailing ``.0``."""
     shortest = value.cast("string")

@@ -342,6 +342,11 @@ SELECT o_orderkey::VARCHAR AS o_orderkey, {_number('o_totalprice')} AS o_totalpr
   CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus ELSE 'NULL' END AS status,
   '<blob ' || strlen(o_orderpriority) || ' bytes>' AS blob FROM orders"""
 
+ORACLE_SQL["sheet_preview"] = f"""
+SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus,
+  {_number('o_totalprice')} AS o_totalprice, o_orderdate::VARCHAR AS o_orderdate, o_orderpriority
+FROM orders ORDER BY orders.o_orderkey LIMIT 499"""
+
 _TABLES = (
     "benchmark conversations customer documents embeddings events labels lineitem nation orders "
     "pages part region supplier"

@@ -22,7 +22,7 @@ from corpuslens.sources.archives import (
 )
 from corpuslens.sources.files import (
     content_text,
-    file_path,
+    local_path,
     oversize_files,
     plain_path,
     readable_files,
@@ -168,10 +168,9 @@ def _by_kind(limits: Limits) -> Column:
         ),
     )
     slide_texts = F.transform(members, lambda m: T.xml_text_nodes(m["text"], limits.paragraphs))
-    parts = F.transform(members, lambda m: F.concat(T.html_to_text(m["text"]), F.lit("\n\n")))
     is_zip = F.startswith(content, F.lit(b"PK"))
     ebook = (
-        F.when((ext == "epub") & present, plain(F.array_join(parts, "")))
+        F.when((ext == "epub") & present, plain(T.epub_text(members)))
         .when(ext.isin("fb2", "fbz") & present, plain(T.xml_text_nodes(member_text, limits.paragraphs)))
         .when((ext == "fb2") & ~is_zip, plain(T.xml_text_nodes(text, limits.paragraphs)))
         .when(
@@ -259,7 +258,7 @@ def preview_corpus(
         "id",
         "path",
         "is_dir",
-        F.col("size").cast("bigint").alias("size"),
+        F.coalesce(F.col("size").cast("bigint"), F.length(content)).alias("size"),
         content.alias("content"),
         text.alias("text"),
         members.alias("members"),
@@ -383,7 +382,7 @@ def preview_comics(files: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
 def directory_entries(files: DataFrame, root: str) -> DataFrame:
     """Files below ``root`` as entries of one tree."""
     base = plain_path(root).rstrip("/") + "/"
-    path = file_path(F.col("path"))
+    path = local_path(F.col("path"))
     return files.filter(F.startswith(path, F.lit(base))).select(
         F.lit(plain_path(root)).alias("tree_id"),
         F.lit(0).cast("bigint").alias("seq"),

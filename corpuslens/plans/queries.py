@@ -315,6 +315,11 @@ def head_rows(spark, sf):
     return TB.head_rows(lineitem, order, Limits().delimited_rows)
 
 
+@query
+def sheet_preview(spark, sf):
+    return TB.sheet_preview(V.table(spark, sf, "orders"), ["o_orderkey"])
+
+
 @query
 def cap_columns(spark, sf):
     return TB.cap_columns(V.table(spark, sf, "lineitem"), 5)

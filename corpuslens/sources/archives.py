@@ -25,7 +25,7 @@ MEMBER_PATTERNS: dict[str, tuple[bool, str]] = {
     "pptx": (False, r"ppt/slides/slide.*\.xml"),
     "fbz": (True, r"(?i).*\.fb2|fb2\.xml"),
     "fb2": (True, r"(?i).*\.fb2|fb2\.xml"),
-    "epub": (False, r".*\.xhtml"),
+    "epub": (False, r"(?i).*\.(?:opf|xhtml|html|htm)"),
 }
 
 

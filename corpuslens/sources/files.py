@@ -70,9 +70,9 @@ def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     split plus the lines of the splits before, which are counted first; only these counts meet the
     lines again.
     """
-    source = spark.read.option("lineSep", "\n").text(list(paths))
+    source = spark.read.option("lineSep", "\n").text(list(dict.fromkeys(paths)))
     lines = source.select(
-        file_path(F.col("_metadata.file_path")).alias("path"),
+        uri_path(F.col("_metadata.file_path")).alias("path"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("row_id"),
         F.col("value").alias("line"),
@@ -98,11 +98,15 @@ def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
 
 
-def file_path(uri: Column) -> Column:
-    """Path of a local file URI in the form :func:`plain_path` gives; other schemes stay."""
-    return F.regexp_replace(
-        F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), r"\Afile:(?://(?=/))?", ""
-    )
+def uri_path(uri: Column) -> Column:
+    """Path of an encoded file URI (as in ``_metadata.file_path``); see :func:`local_path`."""
+    decoded = F.try_url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    return local_path(F.coalesce(decoded, uri))
+
+
+def local_path(path: Column) -> Column:
+    """Path without a leading ``file:`` scheme, as :func:`plain_path` gives; others stay."""
+    return F.regexp_replace(path, r"\Afile:(?://(?=/))?", "")
 
 
 def plain_path(path: str) -> str:

@@ -77,6 +77,13 @@ def corpus(tmp_path_factory):
             "ppt/other.xml": "<x>no</x>",
         }),
         "b.epub": zip_bytes({"c1.xhtml": "<p>Chapter <b>one</b></p>", "c2.xhtml": "<p>Two</p>", "x.css": "p{}"}),
+        "spine.epub": zip_bytes({
+            "OPS/b.html": "<h1>Second</h1><p>x</p>", "OPS/a 1.xhtml": "<p>First</p>", "OPS/nav.xhtml": "nav",
+            "OPS/p.opf": '<package><manifest><item id="i1" href="a%201.xhtml"/><item href="b.html" id="i2"/>'
+            '<item id="i1" href="dup.xhtml"/><item id="n" href="nav.xhtml"/></manifest><spine>'
+            '<itemref idref="i1"/><itemref idref="i2"/><itemref idref="gone"/></spine></package>',
+        }),
+        "100%.txt": "per cent",
         "f.fb2": "<FictionBook><body><p>Hello FB2</p></body></FictionBook>",
         "z.fbz": zip_bytes({"book.FB2": "<b><p>packed</p></b>"}),
         "c.cbz": zip_bytes({"p1.jpg": "xx", "._p": "n", "dir/": ""}),
@@ -107,7 +114,7 @@ def names(df, column="path"):
 
 def test_scan(spark, corpus):
     files = S.scan_files(spark, str(corpus))
-    assert files.count() == 30  # Spark's file listing leaves out hidden files
+    assert files.count() == 32  # Spark's file listing leaves out hidden files
     assert names(S.scan_files(spark, str(corpus), "*.md")) == {"p.md"}
     listed = {r["path"].rsplit("/", 1)[-1]: r["length"] for r in files.select("path", "length").collect()}
     assert listed["plain.txt"] == 11
@@ -116,14 +123,20 @@ def test_scan(spark, corpus):
 
 
 def test_lines_in_the_order_given(spark, corpus, tmp_path):
-    (tmp_path / "one two+3.txt").write_text("b\r\na\n\nz")
-    paths = [str(corpus / "plain.txt"), str(tmp_path / "one two+3.txt")]
+    (tmp_path / "one two+3%.txt").write_text("b\r\na\n\nz")
+    paths = [str(corpus / "plain.txt"), str(tmp_path / "one two+3%.txt")]
     rows = S.read_lines(spark, paths[::-1]).orderBy("file_no", "line_no").collect()
     assert [(r["file_no"], r["line_no"], r["line"]) for r in rows] == [
         (1, 1, "b\r"), (1, 2, "a"), (1, 3, ""), (1, 4, "z"), (2, 1, "hello plain")
     ]
 
 
+def test_a_file_given_twice_comes_twice(spark, corpus):
+    path = str(corpus / "plain.txt")
+    rows = S.read_lines(spark, [path, path]).orderBy("file_no").collect()
+    assert [(r["file_no"], r["line"]) for r in rows] == [(1, "hello plain"), (2, "hello plain")]
+
+
 def test_line_numbers_across_splits(spark, tmp_path):
     path = tmp_path / "big.txt"
     path.write_text("".join(f"line {i}\n" for i in range(1, 20001)))
@@ -222,6 +235,8 @@ def previews(spark, corpus):
         ("o.odt", "document", "text", "odt text\n"),
         ("s.pptx", "presentation", "slides", "Two\n\n\n---\n\nOne\n"),
         ("b.epub", "ebook", "text", "Chapter one\n\nTwo\n\n"),
+        ("spine.epub", "ebook", "text", "First\n\nSecond\nx\n\n"),
+        ("100%.txt", "fallback", "text", "per cent"),
         ("f.fb2", "ebook", "text", "Hello FB2\n"),
         ("z.fbz", "ebook", "text", "packed\n"),
         ("c.cbz", "ebook", "text", "Comic book archive — 3 file(s)\n\np1.jpg (2 bytes)\ndir/\n"),
@@ -267,7 +282,7 @@ def test_titles_and_trees(previews, corpus):
     assert tree["title"] == f"Directory: {corpus}"
     assert "    ├── sub drwxr-xr-x\n    │   └── deep drwxr-xr-x\n" in tree["text"]
     assert ".hidden" not in tree["text"]
-    assert len(previews) == 30 + 1  # every listed file, and the directory
+    assert len(previews) == 32 + 1  # every listed file, and the directory
 
 
 def test_limits_apply(spark):
