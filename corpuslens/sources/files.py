@@ -15,6 +15,8 @@ from corpuslens.limits import DEFAULTS, Limits
 from corpuslens.operators.tables import table_preview
 
 SPLIT_BYTES = 128 * 2**20  # size of a default input split
+SPREAD_BYTES = 4 * 2**30  # tables below this may be spread over the cores
+SPREAD_ROWS_BYTES = 2**17  # least size of a spread partition, as stored
 MAX_BROADCAST_SPLITS = 100_000
 MAX_CONTENT = 2**31 - 1 - 2**20  # a file is one binary value, which cannot be larger
 
@@ -36,15 +38,16 @@ def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
     """Give a small table enough partitions for row-by-row work.
 
     A table of few row groups is read by few tasks, however many cores there are. If the planner
-    estimates it below one default split per core, its rows are spread by ``keys``; a larger table
-    has enough splits and is left as it is, without a shuffle.
+    estimates it below ``SPREAD_BYTES``, and below one default split per core, its rows are spread
+    by ``keys``; a larger table has enough splits and is left as it is, without a shuffle.
     """
     if not hasattr(df, "_jdf"):  # a remote session has no estimate
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if estimated_bytes(df) >= cores * SPLIT_BYTES:
+    size = estimated_bytes(df)
+    if size >= min(cores * SPLIT_BYTES, SPREAD_BYTES):
         return df
-    return df.repartition(cores, *keys)
+    return df.repartition(max(1, min(cores, size // SPREAD_ROWS_BYTES)), *keys)
 
 
 def estimated_bytes(df: DataFrame) -> int:
