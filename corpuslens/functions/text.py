@@ -415,28 +415,35 @@ def ini_text(text: Column) -> Column:
     return let(ini_entries(text), render_all)
 
 
-def delimited_records(text: Column) -> Column:
-    """Records of a delimited text; line feeds inside quotes do not end one, blank lines go."""
-    records = F.regexp_extract_all(
-        text, F.lit(r'((?:"(?:[^"]|"")*+"|[^"\r\n]|"|\r(?!\n))++)(?:\r?\n|\z)'), F.lit(1)
-    )
-    return records
+def _field(mark: str, stops: str) -> str:
+    """Pattern of one field: quotes count only at its start; an open quote runs to the end."""
+    return rf'(?:"(?:[^"]|"")*+(?:"[^{mark}{stops}]*+|\z)|(?!")[^{mark}{stops}]*+)'
+
+
+def _mark(sep: str) -> str:
+    return "\\t" if sep == "\t" else "\\" + sep
+
+
+def delimited_records(text: Column, sep: str = ",") -> Column:
+    """Records of a delimited text; line breaks inside quotes do not end one, blank lines go."""
+    field = _field(_mark(sep), r"\r\n")
+    record = rf"(?![\r\n]|\z)({field}(?:{_mark(sep)}{field})*+)(?:\r\n|\r|\n|\z)"
+    return F.regexp_extract_all(text, F.lit(record), F.lit(1))
 
 
 def delimited_cells(record: Column, sep: str) -> Column:
     """Cells of one record: as many as it has, quotes removed."""
-    mark = "\\t" if sep == "\t" else "\\" + sep
     cells = F.regexp_extract_all(
-        F.concat(F.lit(sep), record),
-        F.lit(rf'{mark}("(?:[^"]|"")*+"[^{mark}]*|[^{mark}]*)'),
-        F.lit(1),
+        F.concat(F.lit(sep), record), F.lit(rf"{_mark(sep)}({_field(_mark(sep), '')})"), F.lit(1)
     )
+    quoted = r'(?s)\A"((?:[^"]|"")*+)"?(.*)\z'
     return F.transform(
         cells,
         lambda cell: F.when(
             F.startswith(cell, F.lit('"')),
-            F.replace(
-                F.regexp_replace(cell, r'(?s)\A"((?:[^"]|"")*+)"?', "$1"), F.lit('""'), F.lit('"')
+            F.concat(
+                F.replace(F.regexp_extract(cell, quoted, 1), F.lit('""'), F.lit('"')),
+                F.regexp_extract(cell, quoted, 2),
             ),
         ).otherwise(cell),
     )
@@ -446,7 +453,7 @@ def delimited_text(text: Column, sep: str, rows: int = 500) -> Column:
     """Header and first ``rows`` records as tab-joined lines."""
     return F.array_join(
         F.transform(
-            F.slice(delimited_records(text), 1, rows + 1),
+            F.slice(delimited_records(text, sep), 1, rows + 1),
             lambda record: F.concat(F.array_join(delimited_cells(record, sep), "\t"), F.lit("\n")),
         ),
         "",

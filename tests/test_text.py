@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import csv
+import io
 import json
 import random
 
@@ -307,6 +309,17 @@ def test_delimited_text(apply):
     assert apply(lambda c: T.delimited_text(c, "\t"), "k\tv\n1\t\n") == ["k\tv\n1\t\n"]
 
 
+def test_delimited_like_the_csv_module(apply):
+    alphabet = ["a", "b c", ",", ",", '"', '""', '"x"', "\n", "\r\n", "\r", "é", "|"]
+    texts = random_texts(alphabet, 800, 6, 14)
+    got = apply(
+        lambda c: F.transform(T.delimited_records(c), lambda r: T.delimited_cells(r, ",")), *texts
+    )
+    for text, rows in zip(texts, got):
+        want = [row for row in csv.reader(io.StringIO(text, newline="")) if row]
+        assert rows == want, repr(text)
+
+
 def test_modes(apply):
     values = [0o040755, 0o100644, 0o120777, 0o000, 0o755]
     want = ["drwxr-xr-x", "-rw-r--r--", "lrwxrwxrwx", "----------", "-rwxr-xr-x"]
