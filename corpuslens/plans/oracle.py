@@ -156,7 +156,7 @@ def _nodes(xml: str, limit: int) -> str:
     return f"array_to_string(list_transform(({kept})[1:{limit}], lambda x: x || {LF}), '')"
 
 
-ORACLE_SQL["xml_text_nodes"] = f"SELECT page_id AS id, {_nodes('html', 40)} AS text FROM pages"
+ORACLE_SQL["xml_text_nodes"] = f"SELECT page_id AS id, {_nodes('html', 5000)} AS text FROM pages"
 
 ORACLE_SQL["notebook_cells"] = f"""
 WITH t AS (SELECT conv_id || '-' || turn AS id, conv_id + turn AS n, role, text,
@@ -457,7 +457,7 @@ keyed AS (SELECT *, list_transform(p, lambda x, i: CASE WHEN i < len(p) OR is_di
   FROM kept),
 placed AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY k) AS seq FROM keyed)
 SELECT tree_id, seq, array_to_string(p, '/') AS path, is_dir, CASE WHEN NOT is_dir THEN size END AS size,
-  CASE WHEN is_dir THEN 'drwxr-xr-x' ELSE '-rw-r--r--' END AS mode FROM placed WHERE seq <= 40"""
+  CASE WHEN is_dir THEN 'drwxr-xr-x' ELSE '-rw-r--r--' END AS mode FROM placed WHERE seq <= 500"""
 ORACLE_SQL["mode_string"] = """
 SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'd' WHEN 1 THEN 'l' ELSE '-' END
   || array_to_string(list_transform(range(0, 9), lambda i:
@@ -588,7 +588,7 @@ entries AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS r FROM entries)
 SELECT 'doc' || doc_id || '.zip' AS archive, seq, path, is_dir, size,
   CASE WHEN is_dir THEN 'drwxr-xr-x' ELSE '-rw-r--r--' END AS mode, NULL::VARCHAR AS error
-FROM ranked WHERE r <= 100"""
+FROM ranked WHERE r <= 500"""
 ORACLE_SQL["archive_tree"] = f"""
 WITH {_XML} SELECT 'doc' || doc_id || '.zip' AS tree_id, 4 + least(len(l), 498) AS n_nodes FROM packed"""
 _PREVIEW = f"""{_cut('t')} AS text, length(t) AS n_chars, length(t) > 5000 AS truncated,
@@ -623,4 +623,4 @@ WITH {_XML} SELECT 'doc' || doc_id || '.docx' AS path,
   array_to_string(list_transform(l, lambda x: trim(x) || ' ')[1:5000], {LF} || {LF}) AS text FROM packed"""
 ORACLE_SQL["odt_text"] = f"""
 WITH {_XML} SELECT 'doc' || doc_id || '.odt' AS path,
-  array_to_string(list_transform(l, lambda x: x || {LF})[1:30], '') AS text FROM packed"""
+  array_to_string(list_transform(l, lambda x: x || {LF})[1:5000], '') AS text FROM packed"""

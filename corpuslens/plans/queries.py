@@ -156,7 +156,7 @@ def join_pages(spark, sf):
 
 @query
 def xml_text_nodes(spark, sf):
-    return _pages(spark, sf).select("id", T.xml_text_nodes(F.col("html"), 40).alias("text"))
+    return _pages(spark, sf).select("id", T.xml_text_nodes(F.col("html")).alias("text"))
 
 
 @query
@@ -402,7 +402,7 @@ def build_nodes_urls(spark, sf):
 
 @query
 def list_limit(spark, sf):
-    return TR.list_limit(_entries(spark, sf), max_depth=3, max_entries=40)
+    return TR.list_limit(_entries(spark, sf))
 
 
 @query
@@ -581,7 +581,7 @@ def read_parquet_preview(spark, sf):
 @query
 def archive_manifest(spark, sf):
     files = V.zipped_docs(_docs(spark, sf), "zip")
-    return A.archive_manifest(files, max_entries=100)
+    return A.archive_manifest(files)
 
 
 @query
@@ -605,7 +605,7 @@ def docx_paragraphs(spark, sf):
 @query
 def odt_text(spark, sf):
     members = A.zip_member_text(V.zipped_docs(_docs(spark, sf), "odt"), r"word/document\.xml", True)
-    return members.select("path", T.odt_text(F.col("text"), 30).alias("text"))
+    return members.select("path", T.odt_text(F.col("text")).alias("text"))
 
 
 @query
