@@ -146,21 +146,31 @@ def outer_number(block: Column) -> Column:
 
 _ITEM_PARTS = r"\A( *)(?:([-*+])|(\d{1,9})([.)]))(?: +|\z)"
 _OPEN = "array<struct<col:int,sort:string,next:bigint>>"
-_ITEMS = "array<struct<line_no:bigint,depth:int,ordered:boolean,number:bigint,text:string>>"
-
-
-def _parse_item_line(line: Column) -> Column:
-    text = F.replace(line["text"], F.lit("\t"), F.lit("    "))
-    marker = F.trim(F.regexp_extract(text, _ITEM_PARTS, 0))
-    return F.struct(
-        line["line_no"].alias("line_no"),
-        (marker != "").alias("opens"),
-        F.length(F.regexp_extract(text, _ITEM_PARTS, 1)).alias("indent"),
-        F.length(marker).alias("width"),
-        F.regexp_extract(marker, r"\d*", 0).alias("digits"),
-        F.regexp_replace(marker, r"\d", "").alias("sort"),
-        F.trim(F.regexp_replace(text, _ITEM_PARTS, "")).alias("text"),
-    )
+
+
+def _parse_item(segment: Column) -> Column:
+    """An item line and the lines that continue it, up to the next item line."""
+
+    def parse(lines: Column) -> Column:
+        def parts(first: Column) -> Column:
+            marker = F.trim(F.regexp_extract(first, _ITEM_PARTS, 0))
+            more = F.filter(
+                F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda l: F.trim(l["text"])),
+                lambda l: l != "",
+            )
+            own = F.trim(F.regexp_replace(first, _ITEM_PARTS, ""))
+            return F.struct(
+                F.get(lines, F.lit(0))["line_no"].alias("line_no"),
+                F.length(F.regexp_extract(first, _ITEM_PARTS, 1)).alias("indent"),
+                F.length(marker).alias("width"),
+                F.regexp_extract(marker, r"\d*", 0).alias("digits"),
+                F.regexp_replace(marker, r"\d", "").alias("sort"),
+                F.array_join(F.concat(F.array(own), more), " ").alias("text"),
+            )
+
+        return let(F.replace(F.get(lines, F.lit(0))["text"], F.lit("\t"), F.lit("    ")), parts)
+
+    return let(block_lines(segment), parse)
 
 
 def item_tree(chunk: Column) -> Column:
@@ -169,70 +179,61 @@ def item_tree(chunk: Column) -> Column:
 
     The walk keeps the open items: the column where their content starts, their marker and the
     next number. An item closes every open item whose content starts right of its indentation;
-    with the same marker as the outermost one it closes, it is that item's next sibling.
+    with the same marker as the outermost one it closes, it is that item's next sibling. Depth and
+    number are written to a text and joined to the items afterwards, so the walk carries no rows.
     """
+    segments = F.split(
+        F.regexp_replace(chunk, r"\n\z", ""),
+        rf"\n(?={_N}[ \t]*(?:[-*+]|\d{{1,9}}[.)])(?:[ \t]|\n|\z))",
+        -1,
+    )
 
-    def step(acc: Column, line: Column) -> Column:
-        kept = F.filter(acc["open"], lambda o: o["col"] <= line["indent"])
-        depth = F.size(kept)
-        sibling = F.get(acc["open"], depth)
-        stated = F.when(line["digits"] != "", line["digits"].cast("bigint")).otherwise(
-            F.lit(1).cast("bigint")
-        )
-        number = F.when(F.coalesce(sibling["sort"] == line["sort"], F.lit(False)), sibling["next"])
-        number = number.otherwise(stated)
-        opened = F.struct(
-            F.concat(
-                kept,
-                F.array(
-                    F.struct(
-                        (line["indent"] + line["width"] + 1).cast("int").alias("col"),
-                        line["sort"].alias("sort"),
-                        (number + 1).alias("next"),
-                    )
-                ),
-            ).alias("open"),
-            F.concat(
-                acc["items"],
-                F.array(
-                    F.struct(
-                        line["line_no"].alias("line_no"),
-                        depth.cast("int").alias("depth"),
-                        (line["digits"] != "").alias("ordered"),
-                        number.alias("number"),
-                        line["text"].alias("text"),
-                    )
-                ),
-            ).alias("items"),
-        )
-        last = F.element_at(acc["items"], -1)
-        continued = F.struct(
-            acc["open"].alias("open"),
-            F.concat(
-                F.slice(acc["items"], F.lit(1), F.size(acc["items"]) - 1),
-                F.array(
-                    F.struct(
-                        last["line_no"].alias("line_no"),
-                        last["depth"].alias("depth"),
-                        last["ordered"].alias("ordered"),
-                        last["number"].alias("number"),
-                        F.concat_ws(" ", last["text"], line["text"]).alias("text"),
-                    )
+    def step(acc: Column, item: Column) -> Column:
+        def entered(kept: Column) -> Column:
+            sibling = F.get(acc["open"], F.size(kept))
+            follows = F.coalesce(sibling["sort"] == item["sort"], F.lit(False))
+            stated = F.when(item["digits"] != "", item["digits"]).otherwise("1").cast("bigint")
+            return let(
+                F.when(follows, sibling["next"]).otherwise(stated),
+                lambda number: F.struct(
+                    F.concat(
+                        kept,
+                        F.array(
+                            F.struct(
+                                (item["indent"] + item["width"] + 1).alias("col"),
+                                item["sort"].alias("sort"),
+                                (number + 1).alias("next"),
+                            )
+                        ),
+                    ).alias("open"),
+                    F.concat(
+                        acc["walked"],
+                        F.size(kept).cast("string"),
+                        F.lit(":"),
+                        number.cast("string"),
+                        F.lit(" "),
+                    ).alias("walked"),
                 ),
-            ).alias("items"),
-        )
-        state = f"struct<open:{_OPEN},items:{_ITEMS}>"
-        return (
-            F.when(line["opens"], opened.cast(state))
-            .when(line["text"] == "", acc)
-            .otherwise(continued.cast(state))
+            )
+
+        return let(F.filter(acc["open"], lambda o: o["col"] <= item["indent"]), entered)
+
+    def joined(items: Column) -> Column:
+        start = F.struct(F.array().cast(_OPEN).alias("open"), F.lit("").alias("walked"))
+        walked = F.aggregate(items, start, step, lambda acc: acc["walked"])
+        return F.zip_with(
+            items,
+            F.split(F.trim(walked), " ", -1),
+            lambda item, place: F.struct(
+                item["line_no"].alias("line_no"),
+                F.substring_index(place, ":", 1).cast("int").alias("depth"),
+                (item["digits"] != "").alias("ordered"),
+                F.substring_index(place, ":", -1).cast("bigint").alias("number"),
+                item["text"].alias("text"),
+            ),
         )
 
-    start = F.struct(
-        F.array().cast(_OPEN).alias("open"), F.array().cast(_ITEMS).alias("items")
-    ).cast(f"struct<open:{_OPEN},items:{_ITEMS}>")
-    lines = F.transform(block_lines(chunk), _parse_item_line)
-    return F.aggregate(lines, start, step, lambda acc: acc["items"])
+    return let(F.transform(segments, _parse_item), joined)
 
 
 _CODE = r"(?<!`)(`+)(?!`)(?:[^`]|(?!(?<!`)\1(?!`))`)*+\1(?!`)"

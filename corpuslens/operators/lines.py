@@ -95,19 +95,31 @@ def ini_rows(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataF
 def notebook_cells(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """``(id, cell_no, cell_type, text, error)``; without cells one row with the raw text."""
     raw = F.col(text_col)
-    cells = df.select(
-        id_col,
-        raw.alias("_raw"),
-        T.json_value(raw).isNull().alias("_bad"),
-        F.posexplode_outer(T.notebook_cells(raw)).alias("pos", "cell"),
-    )
-    return cells.select(
-        id_col,
-        (F.col("pos") + 1).cast("bigint").alias("cell_no"),
-        F.col("cell.cell_type").alias("cell_type"),
-        F.coalesce(F.col("cell.text"), F.col("_raw")).alias("text"),
-        F.when(F.col("_bad"), "invalid json").alias("error"),
-    )
+
+    # The row without cells is made inside the array; beside the generator, the text would be
+    # parsed again for every cell.
+    def without_cells(error: Column) -> Column:
+        return F.struct(
+            F.lit(None).cast("bigint").alias("cell_no"),
+            F.lit(None).cast("string").alias("cell_type"),
+            raw.alias("text"),
+            error.alias("error"),
+        )
+
+    def rows(cells: Column) -> Column:
+        numbered = F.transform(
+            cells,
+            lambda cell, i: F.struct(
+                (i + 1).cast("bigint").alias("cell_no"),
+                cell["cell_type"].alias("cell_type"),
+                cell["text"].alias("text"),
+                F.lit(None).cast("string").alias("error"),
+            ),
+        )
+        error = F.when(T.json_value(raw).isNull(), "invalid json")
+        return F.coalesce(numbered, F.array(without_cells(error)))
+
+    return df.select(id_col, F.inline(T.let(T.notebook_cells(raw), rows)))
 
 
 def join_slides(

@@ -28,40 +28,46 @@ def _blocks_of(df: DataFrame, kind: str, id_col: str, text_col: str) -> DataFram
 
 
 def _numbered_fences(blocks: Column) -> Column:
-    """``array<struct<block, fence_no>>``; ``fence_no`` is null outside fences."""
+    """``array<struct<block, fence_no>>``: the fences, and all other lines as one block without a
+    number."""
 
-    def number(typed: Column) -> Column:
-        places = F.filter(
-            F.transform(typed, lambda b, i: F.when(b["type"] == "fence", i)), F.isnotnull
-        )
-
-        def with_places(idx: Column) -> Column:
-            return F.transform(
-                typed,
-                lambda b, i: F.struct(
-                    b["block"].alias("block"),
-                    F.when(b["type"] == "fence", F.array_position(idx, i)).alias("fence_no"),
-                ),
-            )
+    def is_fence(block: Column) -> Column:
+        return M.block_type(block) == "fence"
 
-        return let(places, with_places)
+    def numbered(every: Column) -> Column:
+        fences = F.transform(
+            F.filter(every, is_fence),
+            lambda b, i: F.struct(b.alias("block"), (i + 1).cast("bigint").alias("fence_no")),
+        )
+        outside = F.array_join(F.filter(every, lambda b: ~is_fence(b)), "")
+        others = F.array(
+            F.struct(outside.alias("block"), F.lit(None).cast("bigint").alias("fence_no"))
+        )
+        return F.concat(fences, F.filter(others, lambda o: o["block"] != ""))
 
-    typed = F.transform(
-        blocks, lambda b: F.struct(b.alias("block"), M.block_type(b).alias("type"))
-    )
-    return let(typed, number)
+    return let(blocks, numbered)
 
 
 def md_lines(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """``(id, line_no, text, in_fence, fence_no, lang)``; the marker lines belong to the fence."""
     blocks = df.select(id_col, F.inline(_numbered_fences(M.blocks(F.col(text_col)))))
     in_fence = F.col("fence_no").isNotNull()
-    return blocks.select(
-        id_col,
-        "fence_no",
-        F.when(in_fence, M.fence_lang(F.col("block"))).alias("lang"),
-        F.inline(M.block_lines(F.col("block"))),
-    ).select(id_col, "line_no", "text", in_fence.alias("in_fence"), "fence_no", "lang")
+
+    # As in md_lists, the language is put into the lines, not computed beside the generator.
+    def lines(block: Column) -> Column:
+        return let(
+            F.when(in_fence, M.fence_lang(block)),
+            lambda lang: F.transform(
+                M.block_lines(block),
+                lambda l: F.struct(
+                    l["line_no"].alias("line_no"), l["text"].alias("text"), lang.alias("lang")
+                ),
+            ),
+        )
+
+    return blocks.select(id_col, "fence_no", F.inline(lines(F.col("block")))).select(
+        id_col, "line_no", "text", in_fence.alias("in_fence"), "fence_no", "lang"
+    )
 
 
 def md_headings(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -147,15 +153,19 @@ def md_lists(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataF
     Bullets become ``•``; ordered items count on from the first number of their list; two spaces
     per depth.
     """
-    chunks = (
-        _blocks_of(df, "list", id_col, text_col)
-        .withColumnRenamed("no", "list_no")
-        .select(
-            id_col,
-            "list_no",
-            M.outer_number(F.col("block")).alias("first"),
-            F.posexplode(M.list_items(F.col("block"))).alias("pos", "chunk"),
+    # The first number goes into every chunk inside the array: taken from the block beside the
+    # generator, it would be cut out of the whole block again for every item.
+    def numbered_chunks(block: Column) -> Column:
+        return let(
+            M.outer_number(block),
+            lambda first: F.transform(
+                M.list_items(block),
+                lambda chunk, i: F.struct(first.alias("first"), i.alias("pos"), chunk.alias("chunk")),
+            ),
         )
+
+    chunks = _blocks_of(df, "list", id_col, text_col).select(
+        id_col, F.col("no").alias("list_no"), F.inline(numbered_chunks(F.col("block")))
     )
     items = chunks.select(
         id_col, "list_no", "first", "pos", F.inline(M.item_tree(F.col("chunk")))

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 from pyspark.sql import Window as W
 
-# Largest rank limit for which the planner cuts every group before the shuffle
-# (default of spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
 SALTS = 64
 
 _NOT_HASHED = (ST.MapType, ST.VariantType)
@@ -22,11 +19,12 @@ def first_per_group(
 ) -> DataFrame:
     """Rows ranked 1 to ``n`` in their group, with the rank as a column.
 
-    Up to ``GROUP_LIMIT`` the planner keeps at most ``n`` rows per group and task before it
-    shuffles. Beyond, groups are first cut by salt: the first ``n`` of a group are among the
-    first ``n`` of its salts, so the result is the same.
+    Up to the group limit of the session (1000 by default) the planner keeps at most ``n`` rows
+    per group and task before it shuffles. Beyond, groups are first cut by salt: the first ``n``
+    of a group are among the first ``n`` of its salts, so the result is the same.
     """
-    if n > GROUP_LIMIT:
+    limit = df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
+    if n > int(limit):
         plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, _NOT_HASHED)]
         salt = F.pmod(F.xxhash64(*[f"`{c}`" for c in plain]), F.lit(SALTS))
         salted = df.withColumn("_salt", salt)
