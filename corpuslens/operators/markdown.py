@@ -170,10 +170,10 @@ def md_lists(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataF
     items = chunks.select(
         id_col, "list_no", "first", "pos", F.inline(M.item_tree(F.col("chunk")))
     )
+    items = items.withColumn("text", M.inline_text(F.col("text")))
     number = F.when(
         (F.col("depth") == 0) & (F.col("pos") > 0), F.col("first") + F.col("pos")
     ).otherwise(F.col("number"))
-    text = M.inline_text(F.col("text"))
     mark = F.when(F.col("ordered"), F.concat(number.cast("string"), F.lit(". "))).otherwise("• ")
     return items.select(
         id_col,
@@ -182,6 +182,6 @@ def md_lists(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataF
         "depth",
         "ordered",
         F.when(F.col("ordered"), number).alias("number"),
-        text.alias("text"),
-        F.concat(F.repeat(F.lit("  "), F.col("depth")), mark, text).alias("rendered"),
+        "text",
+        F.concat(F.repeat(F.lit("  "), F.col("depth")), mark, F.col("text")).alias("rendered"),
     )
