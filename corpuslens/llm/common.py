@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,27 +76,34 @@ def sums_before(values: Column) -> Column:
     return F.flatten(placed)
 
 
-def pieces(text: Column, pattern: str) -> Column:
-    """Matches of a pattern as ``array<struct<start, end, piece>>`` in code points, end exclusive.
+def pieces(
+    text: Column, pattern: str | Column, measure: Callable[[Column], Column] = F.length
+) -> Column:
+    """Matches of a pattern as ``array<struct<start, end, piece, before, after>>``, end exclusive.
 
-    The gaps between matches and the matches themselves alternate, so starts are running sums of
-    their lengths. ``pattern`` never matches an empty text.
+    Places are in code points, or in what ``measure`` counts. The gaps between matches and the
+    matches themselves alternate, so starts are running sums over both; ``before`` and ``after``
+    are the gaps on either side. ``pattern`` never matches an empty text.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    gap_sums = sums_before(F.transform(gaps, F.length))
-    hit_sums = sums_before(F.transform(found, F.length))
+    regex = pattern if isinstance(pattern, Column) else F.lit(pattern)
+    found = F.regexp_extract_all(text, regex, F.lit(0))
+    gaps = F.split(text, regex, -1)
+    count = F.size(found)
+    zipped = F.arrays_zip(
+        found.alias("hit"),
+        F.slice(sums_before(F.transform(gaps, measure)), F.lit(1), count).alias("g"),
+        sums_before(F.transform(found, measure)).alias("h"),
+        F.slice(gaps, F.lit(1), count).alias("before"),
+        F.slice(gaps, F.lit(2), count).alias("after"),
+    )
     return F.transform(
-        F.arrays_zip(
-            found.alias("hit"),
-            F.slice(gap_sums, F.lit(1), F.size(found)).alias("g"),
-            hit_sums.alias("h"),
-            F.slice(gaps, F.lit(1), F.size(found)).alias("gap"),
-        ),
+        zipped,
         lambda z: F.struct(
-            (z["g"] + z["h"] + F.length(z["gap"])).alias("start"),
-            (z["g"] + z["h"] + F.length(z["gap"]) + F.length(z["hit"])).alias("end"),
+            (z["g"] + z["h"] + measure(z["before"])).alias("start"),
+            (z["g"] + z["h"] + measure(z["before"]) + measure(z["hit"])).alias("end"),
             z["hit"].alias("piece"),
+            z["before"].alias("before"),
+            z["after"].alias("after"),
         ),
     )
 

@@ -9,17 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpuslens.llm.common import table
 from corpuslens.llm.exact_dedup import dedup_exact
+from corpuslens.llm.license_scan import scan_licenses
 from corpuslens.llm.mixing import mix_documents
 from corpuslens.llm.packing import pack_documents
+from corpuslens.llm.pii import find_pii
+from corpuslens.llm.quality import classify_quality
 from corpuslens.llm.sharding import shard_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
@@ -35,5 +50,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op3_exact_dedup, op7_best_fit_packing, op9_mixing, op10_sharding)
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op3_exact_dedup,
+        op4_quality,
+        op6_pii,
+        op7_best_fit_packing,
+        op9_mixing,
+        op10_sharding,
+    )
 }
