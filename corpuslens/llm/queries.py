@@ -7,9 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from corpuslens.llm.ann import nearest
 from corpuslens.llm.common import table
 from corpuslens.llm.exact_dedup import dedup_exact
 from corpuslens.llm.license_scan import scan_licenses
+from corpuslens.llm.lm_score import score_documents
 from corpuslens.llm.mixing import mix_documents
 from corpuslens.llm.packing import pack_documents
 from corpuslens.llm.pii import find_pii
@@ -23,6 +25,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact(table(spark, sf_dir, "documents"))
 
@@ -41,6 +47,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
@@ -53,10 +63,12 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_license_scan,
+        op2_ann,
         op3_exact_dedup,
         op4_quality,
         op6_pii,
         op7_best_fit_packing,
+        op8_lm_score,
         op9_mixing,
         op10_sharding,
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import regex
-from tokenizers import Tokenizer
+import tokenizers
 
 #: How the vocabulary file cuts words (fixed value of that file).
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -18,7 +18,7 @@ class WordIds:
     """Ids as little-endian unsigned 32-bit bytes; remembered words are only a matter of speed."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizers.Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         names = (self.tokenizer.id_to_token(i) or "" for i in range(size))
         self.ends = np.fromiter((n.endswith("</w>") for n in names), bool, size)
@@ -67,11 +67,10 @@ class WordIds:
         ]
 
 
-_loaded: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    """The worker's own instance for a vocabulary file."""
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
+    """The worker's own instance for a vocabulary file. Code shipped by value has new globals in
+    every task, so it is kept on the library's module."""
+    loaded = vars(tokenizers).setdefault("_corpuslens_word_ids", {})
+    if path not in loaded:
+        loaded[path] = WordIds(path)
+    return loaded[path]
