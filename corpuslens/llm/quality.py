@@ -198,5 +198,5 @@ def keep_quality(
     plain = df.select(F.col(key), F.col(text).alias("_text"))
     stats = staged(statistics(plain, "_text").drop("_text"), "quality-stats")
     model = train_quality(stats, labels, key, label)
-    scored = statistics(df.withColumn("_text", F.col(text)), "_text")
-    return scored.filter(model.score() >= PASSING).select(*[f"`{c}`" for c in df.columns])
+    whole = df.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
+    return statistics(whole, "_text").filter(model.score() >= PASSING).select("_row.*")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpuslens.llm.ann import nearest
 from corpuslens.llm.common import table
 from corpuslens.llm.exact_dedup import dedup_exact
+from corpuslens.llm.jaccard_join import link_documents
 from corpuslens.llm.license_scan import scan_licenses
 from corpuslens.llm.lm_score import score_documents
 from corpuslens.llm.mixing import mix_documents
@@ -37,6 +38,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents")).drop("found")
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Query] = {
         op2_ann,
         op3_exact_dedup,
         op4_quality,
+        op5_jaccard_join,
         op6_pii,
         op7_best_fit_packing,
         op8_lm_score,
