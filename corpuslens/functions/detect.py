@@ -218,9 +218,14 @@ def detect_kind(
     )
 
 
+def first_bytes(content: Column, limit: int) -> Column:
+    """First ``limit`` bytes of a binary column; 0 means all."""
+    return F.substring(content, 1, limit) if limit else content
+
+
 def is_plain_ascii(content: Column, max_bytes: int = 65536) -> Column:
-    """True when the first ``max_bytes`` bytes are all printable ASCII or ASCII white space."""
-    head = F.decode(F.substring(content, 1, max_bytes), "iso-8859-1")
+    """True when the first ``max_bytes`` bytes (0: all) are printable ASCII or ASCII white space."""
+    head = F.decode(first_bytes(content, max_bytes), "iso-8859-1")
     return F.rlike(head, F.lit(r"\A[\x21-\x7E \t\n\f\r]*+\z"))
 
 

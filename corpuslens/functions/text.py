@@ -68,41 +68,53 @@ def truncate_chars(text: Column, limit: int = 5000) -> Column:
     )
 
 
-def xml_nodes(xml: Column, limit: int = 5000) -> Column:
-    """Trimmed, non-empty text nodes in document order, at most ``limit``.
+def first_of(values: Column, limit: int) -> Column:
+    """First ``limit`` elements of an array; 0 means all."""
+    return F.slice(values, 1, limit) if limit else values
+
+
+def xml_nodes(xml: Column, limit: int = 0) -> Column:
+    """Trimmed, non-empty text nodes in document order, at most ``limit`` (0: all).
 
     Comments, CDATA, processing instructions and doctype are not text, but they do end a node.
     """
     bare = F.regexp_replace(xml, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>", "<>")
     nodes = F.transform(F.split(bare, r"<[^>]*+(?:>|\z)", -1), trim_unicode)
-    return F.slice(F.filter(nodes, lambda node: node != ""), 1, limit)
+    return first_of(F.filter(nodes, lambda node: node != ""), limit)
 
 
-def xml_text_nodes(xml: Column, limit: int = 5000) -> Column:
+def xml_text_nodes(xml: Column, limit: int = 0) -> Column:
     """Text nodes, each on its own line."""
     return F.array_join(F.transform(xml_nodes(xml, limit), lambda n: F.concat(n, F.lit("\n"))), "")
 
 
-def docx_paragraphs(xml: Column, limit: int = 5000) -> Column:
+def docx_paragraph_array(xml: Column) -> Column:
     """Text nodes per ``<w:p>``, each followed by a space; empty paragraphs dropped."""
     chunks = F.split(xml, r"<w:p(?:\s(?:[^>]*[^/>])?)?>", -1)
     paragraphs = F.transform(
         chunks,
         lambda chunk: F.array_join(
-            F.transform(xml_nodes(chunk, 2**31 - 1), lambda n: F.concat(n, F.lit(" "))), ""
+            F.transform(xml_nodes(chunk), lambda n: F.concat(n, F.lit(" "))), ""
         ),
     )
-    kept = F.slice(F.filter(paragraphs, lambda p: p != ""), 1, limit)
-    return F.array_join(kept, "\n\n")
+    return F.filter(paragraphs, lambda p: p != "")
 
 
-def odt_text(xml: Column, limit: int = 5000) -> Column:
-    """Every non-empty text node untrimmed, each followed by a line feed."""
+def docx_paragraphs(xml: Column, limit: int = 0) -> Column:
+    """Paragraphs of a text document, an empty line between them."""
+    return F.array_join(first_of(docx_paragraph_array(xml), limit), "\n\n")
+
+
+def odt_node_array(xml: Column) -> Column:
+    """Every non-empty text node, untrimmed."""
     bare = F.regexp_replace(xml, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>", "<>")
-    nodes = F.filter(F.split(bare, r"<[^>]*+(?:>|\z)", -1), lambda node: node != "")
-    return F.array_join(
-        F.transform(F.slice(nodes, 1, limit), lambda n: F.concat(n, F.lit("\n"))), ""
-    )
+    return F.filter(F.split(bare, r"<[^>]*+(?:>|\z)", -1), lambda node: node != "")
+
+
+def odt_text(xml: Column, limit: int = 0) -> Column:
+    """Every non-empty text node untrimmed, each followed by a line feed."""
+    nodes = first_of(odt_node_array(xml), limit)
+    return F.array_join(F.transform(nodes, lambda n: F.concat(n, F.lit("\n"))), "")
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -196,9 +208,11 @@ def printable_runs(content: Column) -> Column:
     return F.trim(F.regexp_replace(runs, r"[ \n\t]+", " "))
 
 
-def legacy_text(content: Column, max_chars: int = 8000, min_bytes: int = 20) -> Column:
-    """Recovered text of one stream with its closing line feed; null when there is too little."""
-    text = F.substring(F.concat(printable_runs(content), F.lit("\n")), 1, max_chars)
+def legacy_text(content: Column, max_chars: int = 0, min_bytes: int = 20) -> Column:
+    """Recovered text of one stream with its closing line feed, at most ``max_chars`` of it (0: all);
+    null when there is too little."""
+    text = F.concat(printable_runs(content), F.lit("\n"))
+    text = F.substring(text, 1, max_chars) if max_chars else text
     return F.when(F.length(text) > min_bytes, text)
 
 
@@ -217,19 +231,33 @@ def line_array(text: Column) -> Column:
 
 
 def _fill_tabs(line: Column) -> Column:
-    parts = F.split(line, "\t", -1)
-
-    def to_next_stop(acc: Column, part: Column) -> Column:
-        joined = F.concat(acc, part)
-        width = (F.floor(F.length(joined) / 8) + 1) * 8
-        return F.rpad(joined, width.cast("int"), F.lit(" "))
+    # Every stop is a multiple of eight, so a part's fill depends on its own length alone.
+    def filled(parts: Column) -> Column:
+        last = F.size(parts) - 1
+        return F.transform(
+            parts,
+            lambda part, i: F.when(i == last, part).otherwise(
+                F.rpad(part, ((F.floor(F.length(part) / 8) + 1) * 8).cast("int"), F.lit(" "))
+            ),
+        )
 
-    filled = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), F.lit(""), to_next_stop)
     return F.when(
-        F.contains(line, F.lit("\t")), F.concat(filled, F.element_at(parts, -1))
+        F.contains(line, F.lit("\t")), F.array_join(filled(F.split(line, "\t", -1)), "")
     ).otherwise(line)
 
 
+def visual_line_count(text: Column, width: int = 80) -> Column:
+    """Number of pieces :func:`visual_line_array` cuts a text into, without cutting it."""
+
+    def pieces(line: Column) -> Column:
+        length = F.length(_fill_tabs(sanitize(line)))
+        return F.greatest(F.lit(1), F.ceil(length / F.lit(width)).cast("int"))
+
+    counts = F.transform(F.split(text, "\n", -1), pieces)
+    total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
+    return F.when(text == "", F.lit(0).cast("bigint")).otherwise(total)
+
+
 def visual_line_array(text: Column, width: int = 80) -> Column:
     """Array of ``(line_no, piece_no, text)``: each line cut into pieces of ``width`` characters.
 
@@ -449,11 +477,11 @@ def delimited_cells(record: Column, sep: str) -> Column:
     )
 
 
-def delimited_text(text: Column, sep: str, rows: int = 500) -> Column:
-    """Header and first ``rows`` records as tab-joined lines."""
+def delimited_text(text: Column, sep: str, rows: int = 0) -> Column:
+    """Header and first ``rows`` records (0: all) as tab-joined lines."""
     return F.array_join(
         F.transform(
-            F.slice(delimited_records(text, sep), 1, rows + 1),
+            first_of(delimited_records(text, sep), rows + 1 if rows else 0),
             lambda record: F.concat(F.array_join(delimited_cells(record, sep), "\t"), F.lit("\n")),
         ),
         "",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
+from corpuslens.functions.detect import first_bytes
 from corpuslens.operators.ranking import first_per_group
 
 
@@ -67,8 +68,8 @@ def page_counts(
     text_col: str = "text",
 ) -> DataFrame:
     """``(id, n_lines, n_pages)``, computed per row without exploding."""
-    lines = F.size(T.visual_line_array(F.col(text_col), width))
-    return df.select(id_col, lines.cast("bigint").alias("n_lines")).withColumn(
+    lines = T.visual_line_count(F.col(text_col), width)
+    return df.select(id_col, lines.alias("n_lines")).withColumn(
         "n_pages", F.ceil(F.col("n_lines") / page_lines).cast("bigint")
     )
 
@@ -81,7 +82,7 @@ def hex_dump(
     content_col: str = "content",
 ) -> DataFrame:
     """``(id, offset, line)``: offset, hex pairs and printable form of every ``cols`` bytes."""
-    lines = T.hex_line_array(F.substring(F.col(content_col), 1, max_bytes), cols)
+    lines = T.hex_line_array(first_bytes(F.col(content_col), max_bytes), cols)
     return df.select(id_col, F.posexplode(lines).alias("pos", "line")).select(
         id_col, (F.col("pos").cast("bigint") * cols).alias("offset"), "line"
     )
@@ -128,11 +129,12 @@ def join_slides(
     id_col: str = "id",
     text_col: str = "text",
     titled: bool = False,
-    max_chars: int = 5000,
+    max_chars: int = 0,
 ) -> DataFrame:
-    """``(id, text)``: slides of an id in order, joined and cut to ``max_chars`` characters.
+    """``(id, text)``: slides of an id in order, joined, and cut to ``max_chars`` characters if
+    given.
 
-    Every joint adds at least as many characters as its separator, so slides beyond
+    The whole text of an id is one value, as long as its slides. With a limit, every joint adds at least as many characters as its separator, so slides beyond
     ``max_chars / separator + 1`` cannot reach the result. Only that many are kept per id, already
     before the shuffle, which bounds every group exactly.
     """

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 from pyspark.sql import Window as W
 
-SALTS = 64
-
 _NOT_HASHED = (ST.MapType, ST.VariantType)
 
 
@@ -21,12 +19,14 @@ def first_per_group(
 
     Up to the group limit of the session (1000 by default) the planner keeps at most ``n`` rows
     per group and task before it shuffles. Beyond, groups are first cut by salt: the first ``n``
-    of a group are among the first ``n`` of its salts, so the result is the same.
+    of a group are among the first ``n`` of its salts, so the result is the same. There are as many
+    salts as shuffle partitions.
     """
     limit = df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
     if n > int(limit):
+        salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, _NOT_HASHED)]
-        salt = F.pmod(F.xxhash64(*[f"`{c}`" for c in plain]), F.lit(SALTS))
+        salt = F.pmod(F.xxhash64(*[f"`{c}`" for c in plain]), F.lit(salts))
         salted = df.withColumn("_salt", salt)
         window = W.partitionBy(*group, "_salt").orderBy(*order)
         df = (

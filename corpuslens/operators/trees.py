@@ -1,10 +1,10 @@
 """Path trees as flat node tables.
 
 Entries are ``(tree_id, seq, path, is_dir, size, mode)``; nodes are
-``(tree_id, path, parent, name, depth, is_dir, size, mode, seq)``. A tree never holds more than
-``max_entries`` entries: the cap is applied by rank before the shuffle, so one hot tree sends only
-that many rows per task, and all later steps work on bounded trees that are already together by
-``tree_id``.
+``(tree_id, path, parent, name, depth, is_dir, size, mode, seq)``. A tree may hold most of all rows,
+so no step brings a tree together: a node's place follows from the sizes of the subtrees before it
+among its siblings and among the siblings of its ancestors, and siblings are ordered by parts of
+their names first. Caps are for previews, which ask for them.
 """
 
 from __future__ import annotations
@@ -48,13 +48,14 @@ def cap_entries(entries: DataFrame, max_entries: int = DEFAULTS.archive_entries)
     return first_per_group(entries, ["tree_id"], ["seq"], max_entries, "_rank").drop("_rank")
 
 
-def build_nodes(entries: DataFrame, max_entries: int = DEFAULTS.archive_entries) -> DataFrame:
-    """Nodes of every tree, implied directories included.
+def build_nodes(entries: DataFrame, max_entries: int | None = None) -> DataFrame:
+    """Nodes of every tree, implied directories included; of its first ``max_entries`` if given.
 
     Per node the last touch decides ``is_dir`` (an entry below it makes it a directory); size and
     mode are the last ones stated for the path itself.
     """
-    parts = cap_entries(entries, max_entries).select(
+    kept = cap_entries(entries, max_entries) if max_entries else entries
+    parts = kept.select(
         "tree_id", "seq", "is_dir", "size", "mode", path_parts(F.col("path")).alias("parts")
     )
     touched = parts.filter(F.size("parts") > 0).select(
@@ -148,60 +149,77 @@ def list_limit(
 
 
 def _with_ancestors(nodes: DataFrame) -> DataFrame:
-    """One row per node with ``chain``: ``(depth, key, last)`` of its ancestors and itself.
+    """One row per node with ``chain``: ``(level, link)`` of its ancestors and itself, a link being
+    ``(last, before)``: whether it is the last of its siblings, and the nodes in the subtrees of the
+    siblings before it.
 
-    An ancestor's key reaches its descendants by a window over the ancestor path, not by a join;
-    with nodes together by ``tree_id`` none of these steps moves rows.
+    Siblings are ordered in two steps, by the start of the name and then inside, so that a directory
+    of very many entries is not one task.
     """
-    key = F.struct(
-        F.when(F.col("is_dir"), 0).otherwise(1).alias("f"),
-        F.lower("name").alias("n"),
-        F.col("seq").alias("s"),
-    )
-    siblings = W.partitionBy("tree_id", "parent")
-    keyed = nodes.withColumn("key", key).withColumn(
-        "last", F.col("key") == F.max("key").over(siblings)
-    )
-    parts = F.split("path", "/", -1)
-    # Parallel to the parts: every path above the node, and the node itself.
-    above = keyed.select(
-        "*", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("level")
-    ).withColumn("above", F.array_join(F.slice(parts, F.lit(1), F.col("level")), "/"))
-    own = F.col("level") == F.col("depth")
-    shared = W.partitionBy("tree_id", "above")
-    links = above.select(
+    lineage = nodes.select(
+        "tree_id", "path", "depth", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("level")
+    ).withColumn("above", F.array_join(F.slice(F.split("path", "/", -1), F.lit(1), F.col("level")), "/"))
+    sizes = lineage.groupBy("tree_id", "above").agg(F.count(F.lit(1)).alias("below"))
+    folded = F.lower("name")
+    keyed = nodes.join(sizes.withColumnRenamed("above", "path"), ["tree_id", "path"]).select(
         "tree_id",
         "path",
-        "level",
-        own.alias("own"),
-        F.max(F.when(own, F.struct("key", "last"))).over(shared).alias("link"),
-        F.when(own, F.struct("parent", "name", "depth", "is_dir", "size", "mode", "seq")).alias("node"),
+        "parent",
+        "below",
+        F.struct(F.when(F.col("is_dir"), 0).otherwise(1).alias("f"), folded.alias("n"), "seq").alias("key"),
+        F.struct(
+            F.when(F.col("is_dir"), 0).otherwise(1).alias("f"), F.substring(folded, 1, 2).alias("n")
+        ).alias("start"),
     )
-    return links.groupBy("tree_id", "path").agg(
-        F.array_sort(F.collect_list(F.struct("level", "link"))).alias("chain"),
-        F.max("node").alias("node"),
+    siblings = ["tree_id", "parent"]
+    groups = keyed.groupBy(*siblings, "start").agg(F.sum("below").alias("n"))
+    whole = W.partitionBy(*siblings)
+    offsets = groups.select(
+        *siblings,
+        "start",
+        F.coalesce(F.sum("n").over(whole.orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(
+            "offset"
+        ),
+        F.sum("n").over(whole).alias("total"),
+    )
+    inside = W.partitionBy(*siblings, "start").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("below").over(inside), F.lit(0))
+    links = (
+        keyed.withColumn("before", before)
+        .join(offsets, [*siblings, "start"])
+        .withColumn("before", F.col("before") + F.col("offset"))
+        .select(
+            "tree_id",
+            F.col("path").alias("above"),
+            F.struct(
+                (F.col("before") + F.col("below") == F.col("total")).alias("last"), "before"
+            ).alias("link"),
+        )
     )
+    chains = (
+        lineage.join(links, ["tree_id", "above"])
+        .groupBy("tree_id", "path")
+        .agg(F.array_sort(F.collect_list(F.struct("level", "link"))).alias("chain"))
+    )
+    return nodes.join(chains, ["tree_id", "path"])
+
+
+def _place(chain: Column) -> Column:
+    """Place of a node in preorder, from 1."""
+    steps = F.transform(chain, lambda c: c["link"]["before"] + 1)
+    return F.aggregate(steps, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
 
 
 def preorder(nodes: DataFrame) -> DataFrame:
     """Nodes with ``pos``: directories first, then lower-cased name, ties by first ``seq``."""
-    chained = _with_ancestors(nodes).select(
-        "tree_id", "path", "node.*", F.transform("chain", lambda c: c["link"]["key"]).alias("order_key")
-    )
-    pos = F.row_number().over(W.partitionBy("tree_id").orderBy("order_key"))
-    return chained.withColumn("pos", pos.cast("bigint")).drop("order_key")
+    return _with_ancestors(nodes).withColumn("pos", _place(F.col("chain"))).drop("chain")
 
 
 def render_tree(nodes: DataFrame, icons: bool = False) -> DataFrame:
     """``(tree_id, pos, path, line)``: one drawn line per node."""
-    chained = _with_ancestors(nodes).select(
-        "tree_id",
-        "path",
-        "node.*",
-        F.transform("chain", lambda c: c["link"]["key"]).alias("order_key"),
-        F.transform("chain", lambda c: c["link"]["last"]).alias("lasts"),
+    chained = _with_ancestors(nodes).withColumn(
+        "lasts", F.transform("chain", lambda c: c["link"]["last"])
     )
-    pos = F.row_number().over(W.partitionBy("tree_id").orderBy("order_key"))
     bars = F.array_join(
         F.transform(
             F.slice("lasts", F.lit(1), F.size("lasts") - 1),
@@ -220,11 +238,12 @@ def render_tree(nodes: DataFrame, icons: bool = False) -> DataFrame:
         F.coalesce(size, F.lit("")),
         F.coalesce(F.concat(F.lit(" "), F.col("mode")), F.lit("")),
     )
-    return chained.select("tree_id", pos.cast("bigint").alias("pos"), "path", line.alias("line"))
+    return chained.select("tree_id", _place(F.col("chain")).alias("pos"), "path", line.alias("line"))
 
 
 def tree_text(nodes: DataFrame, icons: bool = False) -> DataFrame:
-    """``(tree_id, text)``: the drawn tree as one text; bounded by the entry cap."""
+    """``(tree_id, text)``: the drawn tree as one text, a value as long as the tree; previews cap
+    their entries."""
     lines = F.array_sort(F.collect_list(F.struct("pos", "line")))
     return (
         render_tree(nodes, icons)

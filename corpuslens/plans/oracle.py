@@ -102,7 +102,7 @@ counts AS (SELECT coalesce(kind, {_RULED}, 'fallback') AS kind, count(*) AS n FR
 SELECT kind, priority, extensions, n_patterns, n_rules, coalesce(n, 0) AS n_files,
   n IS NOT NULL AS in_use FROM registry LEFT JOIN counts USING (kind)"""
 
-_ASCII = r"regexp_full_match(substr({0}, 1, 65536), '[\x21-\x7E \t\n\f\r]*')"
+_ASCII = r"regexp_full_match({0}, '[\x21-\x7E \t\n\f\r]*')"
 ORACLE_SQL["text_or_hex"] = (
     f"SELECT doc_id AS id, CASE WHEN {_ASCII.format('text')} THEN 'text' ELSE 'hex' END AS form "
     "FROM documents"
@@ -150,13 +150,13 @@ SELECT id, string_agg(CASE WHEN page_no > 1 THEN
 _BARE = r"regexp_replace({0}, '(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>', '<>', 'g')"
 
 
-def _nodes(xml: str, limit: int) -> str:
+def _nodes(xml: str) -> str:
     found = f"regexp_extract_all({_BARE.format(xml)}, '(?:^|>)([^<]+)', 1)"
     kept = f"list_filter(list_transform({found}, lambda x: {_trim('x')}), lambda x: x <> '')"
-    return f"array_to_string(list_transform(({kept})[1:{limit}], lambda x: x || {LF}), '')"
+    return f"array_to_string(list_transform({kept}, lambda x: x || {LF}), '')"
 
 
-ORACLE_SQL["xml_text_nodes"] = f"SELECT page_id AS id, {_nodes('html', 5000)} AS text FROM pages"
+ORACLE_SQL["xml_text_nodes"] = f"SELECT page_id AS id, {_nodes('html')} AS text FROM pages"
 
 ORACLE_SQL["notebook_cells"] = f"""
 WITH t AS (SELECT conv_id || '-' || turn AS id, conv_id + turn AS n, role, text,
@@ -172,12 +172,12 @@ UNION ALL SELECT id, 2, 'cell', '## Cell 2 (cell)' || {LF} || {LF} || 'end', NUL
 ORACLE_SQL["join_slides"] = f"""
 WITH j AS (SELECT conv_id, string_agg(text, {LF} || {LF} || '---' || {LF} || {LF} ORDER BY turn) AS t
   FROM conversations GROUP BY 1)
-SELECT conv_id, {_cut('t')} AS text FROM j"""
+SELECT conv_id, t AS text FROM j"""
 ORACLE_SQL["join_slides_titled"] = f"""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
 j AS (SELECT conv_id, string_agg(CASE WHEN k > 1 THEN {LF} || '--- slide ' || k || ' ---' || {LF}
   || {LF} ELSE '' END || text, '' ORDER BY turn) || {LF} AS t FROM r GROUP BY 1)
-SELECT conv_id, {_cut('t')} AS text FROM j"""
+SELECT conv_id, t AS text FROM j"""
 
 _RUNS = (
     r"trim(regexp_replace(array_to_string(regexp_extract_all(text, '[\x20-\x7e\n\t]{4,}'), ' '), "
@@ -185,7 +185,7 @@ _RUNS = (
 )
 ORACLE_SQL["printable_runs"] = f"""
 WITH r AS (SELECT doc_id AS id, {_RUNS} AS runs FROM documents)
-SELECT id, runs, CASE WHEN length(runs) >= 20 THEN substr(runs || {LF}, 1, 8000) END AS legacy FROM r"""
+SELECT id, runs, CASE WHEN length(runs) >= 20 THEN runs || {LF} END AS legacy FROM r"""
 
 _MAIL = """
 mail AS (SELECT conv_id || '-' || turn AS id, role || '@example.org' AS sender,
@@ -398,8 +398,7 @@ clean AS (SELECT * FROM listing WHERE NOT (
 def _nodes_sql(source: str) -> str:
     return f"""
 capped AS (SELECT *, list_filter(string_split(path, '/'), lambda p: p <> '') AS parts FROM (
-  SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY seq) AS rank FROM {source})
-  WHERE rank <= 500),
+  SELECT * FROM {source})),
 touch AS (SELECT tree_id, seq, size, mode, is_dir, parts, unnest(range(1, len(parts) + 1)) AS depth FROM capped),
 nodes AS (SELECT tree_id, array_to_string(parts[1:depth], '/') AS path,
   array_to_string(parts[1:depth - 1], '/') AS parent, parts[depth] AS name, depth::INTEGER AS depth,
@@ -476,7 +475,7 @@ hex_src AS (SELECT id, content FROM files WHERE NOT is_dir AND NOT {_ASCII.forma
 {_hex_lines('hex_src')},
 dump AS (SELECT id, string_agg(line || {LF}, '' ORDER BY offset_no) AS t FROM hexed GROUP BY id),
 raw AS (SELECT f.id, CASE WHEN d.id IS NULL THEN 'text' ELSE 'hex' END AS raw_shape,
-  CASE WHEN d.id IS NULL THEN substr(content, 1, 65536) ELSE 'file: ' || path || {LF} || 'size: '
+  CASE WHEN d.id IS NULL THEN content ELSE 'file: ' || path || {LF} || 'size: '
     || size || ' bytes' || {LF} || 'mime: ' || CASE WHEN kind = 'image' AND low IS NULL
     THEN 'image/gif' WHEN starts_with(content, '%PDF') THEN 'application/pdf' ELSE 'unknown' END
     || {LF} || t END AS raw_text
@@ -485,7 +484,7 @@ raw AS (SELECT f.id, CASE WHEN d.id IS NULL THEN 'text' ELSE 'hex' END AS raw_sh
 _PIECES = f"""
 WITH {_LISTING}, {_KINDS}, {_RAW}, {_LINES}, {_PAGES},
 fb2 AS (SELECT id, string_agg(line || {LF}, '' ORDER BY line_no) AS fb2_text FROM
-  (SELECT id, line_no, {_trim('line')} AS line FROM lines) WHERE line <> '' AND line_no <= 5000 GROUP BY id),
+  (SELECT id, line_no, {_trim('line')} AS line FROM lines) WHERE line <> '' GROUP BY id),
 pdf AS (SELECT id, string_agg(CASE WHEN line_no > 1 THEN {LF} || '--- page ' || line_no || ' ---'
   || {LF} || {LF} ELSE '' END || line, '' ORDER BY line_no) || {LF} AS pdf_text FROM lines GROUP BY id),
 legacy AS (SELECT doc_id AS id, {_RUNS} AS runs FROM documents),
@@ -517,7 +516,7 @@ pieces AS (
     WHEN kind = 'notebook' THEN '## Cell 1 (markdown)' || {LF} || {LF} || '# doc' || {LF} || {LF} || '---'
       || {LF} || {LF} || '## Cell 2 (cell)' || {LF} || {LF} || text
     WHEN kind = 'pdf' AND NOT starts_with(content, '%PDF') THEN pdf_text
-    WHEN kind = 'legacy_office' AND length(runs) >= 20 THEN substr(runs || {LF}, 1, 8000)
+    WHEN kind = 'legacy_office' AND length(runs) >= 20 THEN runs || {LF}
     WHEN kind = 'legacy_office' THEN 'Legacy Office file: ' || path || ' (' || size || ' bytes)' || {LF}
       || 'Best-effort OLE text extraction failed. Open in LibreOffice/Microsoft Office or convert to '
       || 'OpenXML (docx/xlsx/pptx).'
@@ -530,7 +529,7 @@ pieces AS (
     LEFT JOIN legacy USING (id)),
 previews AS (SELECT id, kind, shape,
   CASE WHEN kind = 'directory' THEN 'Directory: ' || path ELSE name END AS title,
-  {_cut('t')} AS text, length(t) AS n_chars, length(t) > 5000 AS truncated,
+  t AS text, length(t) AS n_chars, false AS truncated,
   coalesce(bad, CASE WHEN shape = 'unsupported' THEN split_part(t, {LF}, 1) END) AS error FROM pieces)"""
 ORACLE_SQL["preview_corpus"] = f"{_PIECES} SELECT * FROM previews"
 ORACLE_SQL["write_previews"] = (
@@ -538,11 +537,13 @@ ORACLE_SQL["write_previews"] = (
 )
 ORACLE_SQL["register_extractor"] = f"""
 {_PIECES}, k AS (SELECT p.*, f.low, f.text AS src FROM previews p JOIN files f USING (id))
-SELECT id, CASE WHEN low = 'nb9' AND kind = 'fallback' THEN 'notes9' ELSE kind END AS kind, 'text' AS shape,
+SELECT id, CASE WHEN low = 'nb9' AND kind = 'fallback' THEN 'notes9' ELSE kind END AS kind,
+  CASE WHEN kind IN ('markdown', 'code') OR (low = 'nb9' AND kind = 'fallback') THEN 'text' ELSE shape END AS shape,
   CASE WHEN kind = 'markdown' THEN 'md: ' || substr(src, 1, 20)
-       WHEN kind = 'fallback' THEN 'notes: ' || substr(src, 1, 9)
-       WHEN contains(src, '|') THEN 'piped' WHEN contains(src, '#') THEN 'hashed' ELSE text END AS text
-FROM k WHERE kind IN ('markdown', 'code') OR (low = 'nb9' AND kind = 'fallback')"""
+       WHEN low = 'nb9' AND kind = 'fallback' THEN 'notes: ' || substr(src, 1, 9)
+       WHEN kind = 'code' AND contains(src, '|') THEN 'piped' WHEN kind = 'code' AND contains(src, '#')
+       THEN 'hashed' ELSE text END AS text
+FROM k"""
 
 # -- sources ---------------------------------------------------------------------------------
 
@@ -588,14 +589,13 @@ entries AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS r FROM entries)
 SELECT 'doc' || doc_id || '.zip' AS archive, seq, path, is_dir, size,
   CASE WHEN is_dir THEN 'drwxr-xr-x' ELSE '-rw-r--r--' END AS mode, NULL::VARCHAR AS error
-FROM ranked WHERE r <= 500"""
+FROM ranked"""
 ORACLE_SQL["archive_tree"] = f"""
-WITH {_XML} SELECT 'doc' || doc_id || '.zip' AS tree_id, 4 + least(len(l), 498) AS n_nodes FROM packed"""
-_PREVIEW = f"""{_cut('t')} AS text, length(t) AS n_chars, length(t) > 5000 AS truncated,
-  NULL::VARCHAR AS error"""
+WITH {_XML} SELECT 'doc' || doc_id || '.zip' AS tree_id, 4 + len(l) AS n_nodes FROM packed"""
+_PREVIEW = "t AS text, length(t) AS n_chars, false AS truncated, NULL::VARCHAR AS error"
 ORACLE_SQL["preview_containers"] = f"""
 WITH {_XML}, texts AS (SELECT 'doc' || doc_id || '.docx' AS id, array_to_string(
-  list_transform(l, lambda x: trim(x) || ' ')[1:5000], {LF} || {LF}) AS t FROM packed)
+  list_transform(l, lambda x: trim(x) || ' '), {LF} || {LF}) AS t FROM packed)
 SELECT id, 'document' AS kind, 'text' AS shape, id AS title, {_PREVIEW} FROM texts"""
 ORACLE_SQL["preview_archives"] = f"""
 WITH {_XML},
@@ -620,7 +620,7 @@ WITH {_XML} SELECT 'doc' || doc_id || '.docx' AS path, 'word/document.xml' AS me
   xml AS text, NULL::VARCHAR AS error FROM packed"""
 ORACLE_SQL["docx_paragraphs"] = f"""
 WITH {_XML} SELECT 'doc' || doc_id || '.docx' AS path,
-  array_to_string(list_transform(l, lambda x: trim(x) || ' ')[1:5000], {LF} || {LF}) AS text FROM packed"""
+  array_to_string(list_transform(l, lambda x: trim(x) || ' '), {LF} || {LF}) AS text FROM packed"""
 ORACLE_SQL["odt_text"] = f"""
 WITH {_XML} SELECT 'doc' || doc_id || '.odt' AS path,
-  array_to_string(list_transform(l, lambda x: x || {LF})[1:5000], '') AS text FROM packed"""
+  array_to_string(list_transform(l, lambda x: x || {LF}), '') AS text FROM packed"""

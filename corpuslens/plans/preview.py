@@ -15,6 +15,7 @@ from corpuslens.limits import DEFAULTS, Limits
 from corpuslens.operators import trees
 from corpuslens.registry import KIND_NAMES, Rule
 from corpuslens.sources.archives import (
+    MEMBERS,
     PACKED_GLOB,
     TREE_EXTENSIONS,
     archive_manifest,
@@ -32,7 +33,7 @@ from corpuslens.sources.files import (
 Extractor = Callable[[Column, Column], Column]
 
 _ERROR_NAME = "\0"
-_PIECE = "struct<shape:string,title:string,text:string,error:string>"
+_PIECE = "struct<shape:string,title:string,text:string,error:string,cut:boolean>"
 
 # What an unsupported preview says.
 LEGACY_HINT = (
@@ -77,18 +78,31 @@ def register_extractor(
     return extractors
 
 
-def _piece(shape: Column | str, text: Column, title: Column | None = None, error: Column | None = None) -> Column:
+def _piece(
+    shape: Column | str,
+    text: Column,
+    title: Column | None = None,
+    error: Column | None = None,
+    cut: Column | None = None,
+) -> Column:
+    """A preview; ``cut`` says whether content was left out before the text was made."""
     return F.struct(
         (F.lit(shape) if isinstance(shape, str) else shape).alias("shape"),
         (F.lit(None).cast("string") if title is None else title).alias("title"),
         text.alias("text"),
         (F.lit(None).cast("string") if error is None else error).alias("error"),
+        (F.lit(False) if cut is None else F.coalesce(cut, F.lit(False))).alias("cut"),
     ).cast(_PIECE)
 
 
+def _more(size: Column, limit: int) -> Column:
+    """Whether there is more than a limit lets through; 0 lets all through."""
+    return size > limit if limit else F.lit(False)
+
+
 def hex_text(content: Column, path: Column, size: Column, mime: Column, limits: Limits) -> Column:
     """Head lines and hex dump of the first bytes."""
-    rows = T.hex_line_array(F.substring(content, 1, limits.fallback_bytes), limits.hex_cols)
+    rows = T.hex_line_array(D.first_bytes(content, limits.fallback_bytes), limits.hex_cols)
     return F.concat(
         F.lit("file: "),
         path,
@@ -121,14 +135,33 @@ def _by_kind(limits: Limits) -> Column:
     def only(condition: Column, value: Column) -> Column:
         return F.when(condition, value)
 
-    def plain(value: Column, shape: str = "text", title: Column | None = None) -> Column:
-        return T.let(value, lambda v: F.when(v.isNotNull(), _piece(shape, v, title)))
+    def plain(
+        value: Column, shape: str = "text", title: Column | None = None, cut: Column | None = None
+    ) -> Column:
+        return T.let(value, lambda v: F.when(v.isNotNull(), _piece(shape, v, title, None, cut)))
+
+    def nodes(xml: Column) -> Column:
+        """Text nodes of a document, and whether there were more."""
+        return plain(
+            T.xml_text_nodes(xml, limits.paragraphs),
+            cut=_more(F.size(T.xml_nodes(xml)), limits.paragraphs) if limits.paragraphs else None,
+        )
 
-    ascii_text = F.decode(F.substring(content, 1, limits.fallback_bytes), "iso-8859-1")
+    def records(sep: str) -> Column:
+        rows = limits.delimited_rows
+        more = _more(F.size(T.delimited_records(text, sep)), rows + 1) if rows else None
+        return plain(T.delimited_text(text, sep, rows), "table", cut=more)
+
+    ascii_text = F.decode(D.first_bytes(content, limits.fallback_bytes), "iso-8859-1")
     is_text = D.is_plain_ascii(content, limits.fallback_bytes)
-    raw = F.when(is_text, _piece("text", ascii_text)).when(
+    past_head = _more(F.length(content), limits.fallback_bytes)
+    raw = F.when(is_text, _piece("text", ascii_text, cut=past_head)).when(
         content.isNotNull(),
-        _piece("hex", hex_text(content, path, F.col("size"), D.sniff_mime(content), limits)),
+        _piece(
+            "hex",
+            hex_text(content, path, F.col("size"), D.sniff_mime(content), limits),
+            cut=past_head,
+        ),
     )
 
     def unsupported(reason: Column, hint: Column | str) -> Column:
@@ -136,7 +169,7 @@ def _by_kind(limits: Limits) -> Column:
         return _piece("unsupported", message, None, reason)
 
     size_note = F.concat(F.lit(" ("), F.col("size").cast("string"), F.lit(" bytes)"))
-    no_codec = F.when(is_text, _piece("text", ascii_text)).otherwise(
+    no_codec = F.when(is_text, _piece("text", ascii_text, cut=past_head)).otherwise(
         unsupported(
             F.concat(F.col("kind"), F.lit(" file: "), path, size_note),
             "No text extractor for this kind; register one.",
@@ -147,11 +180,11 @@ def _by_kind(limits: Limits) -> Column:
         lambda cells: T.join_slide_array(F.transform(cells, lambda c: c["text"])),
     )
     mail = T.email_fields(text)
-    printable = T.legacy_text(content, limits.legacy_chars, limits.legacy_min)
+    printable = T.legacy_text(content, 0, limits.legacy_min)
 
     data = (
-        F.when(ext == "csv", plain(T.delimited_text(text, ",", limits.delimited_rows), "table"))
-        .when(ext == "tsv", plain(T.delimited_text(text, "\t", limits.delimited_rows), "table"))
+        F.when(ext == "csv", records(","))
+        .when(ext == "tsv", records("\t"))
         .when(
             (ext == "json") & text.isNotNull(),
             T.let(
@@ -163,20 +196,30 @@ def _by_kind(limits: Limits) -> Column:
     )
     document = F.when(ext == "rtf", plain(text)).when(
         present,
-        F.when(ext == "docx", plain(T.docx_paragraphs(member_text, limits.paragraphs))).otherwise(
-            plain(T.odt_text(member_text, limits.paragraphs))
+        F.when(
+            ext == "docx",
+            plain(
+                T.docx_paragraphs(member_text, limits.paragraphs),
+                cut=_more(F.size(T.docx_paragraph_array(member_text)), limits.paragraphs),
+            ),
+        ).otherwise(
+            plain(
+                T.odt_text(member_text, limits.paragraphs),
+                cut=_more(F.size(T.odt_node_array(member_text)), limits.paragraphs),
+            )
         ),
     )
-    slide_texts = F.transform(members, lambda m: T.xml_text_nodes(m["text"], limits.paragraphs))
+    slide_texts = F.transform(members, lambda m: T.xml_text_nodes(m["text"]))
     is_zip = F.startswith(content, F.lit(b"PK"))
     ebook = (
         F.when((ext == "epub") & present, plain(T.epub_text(members)))
-        .when(ext.isin("fb2", "fbz") & present, plain(T.xml_text_nodes(member_text, limits.paragraphs)))
-        .when((ext == "fb2") & ~is_zip, plain(T.xml_text_nodes(text, limits.paragraphs)))
+        .when(ext.isin("fb2", "fbz") & present, nodes(member_text))
+        .when((ext == "fb2") & ~is_zip, nodes(text))
         .when(
             ext == "opf",
             plain(
-                F.concat(F.lit("EPUB package (OPF)\n\n"), T.xml_text_nodes(text, limits.paragraphs))
+                F.concat(F.lit("EPUB package (OPF)\n\n"), T.xml_text_nodes(text, limits.paragraphs)),
+                cut=_more(F.size(T.xml_nodes(text)), limits.paragraphs),
             ),
         )
         .otherwise(no_codec)
@@ -213,7 +256,14 @@ def _by_kind(limits: Limits) -> Column:
             F.col("kind") == "legacy_office",
             T.let(
                 printable,
-                lambda p: F.when(p.isNotNull(), _piece("text", p)).otherwise(
+                lambda p: F.when(
+                    p.isNotNull(),
+                    _piece(
+                        "text",
+                        F.substring(p, 1, limits.legacy_chars) if limits.legacy_chars else p,
+                        cut=_more(F.length(p), limits.legacy_chars),
+                    ),
+                ).otherwise(
                     unsupported(F.concat(F.lit("Legacy Office file: "), path, size_note), LEGACY_HINT)
                 ),
             ),
@@ -240,6 +290,9 @@ def preview_corpus(
 ) -> DataFrame:
     """``(id, kind, shape, title, text, n_chars, truncated, error)``, one row per input row.
 
+    ``truncated`` is true when any limit left something out; ``n_chars`` counts the text before the
+    limits on characters.
+
     ``df`` has ``id``, ``path``, ``is_dir``, ``size`` and ``content`` (text or bytes), and may have
     ``members`` (see :func:`corpuslens.sources.archives.container_members`). Everything is one narrow
     projection over a single scan, so it works on streams too. User extractors of a kind come
@@ -252,7 +305,7 @@ def preview_corpus(
     if "members" in df.columns:
         members = F.col("members")
     else:
-        members = F.lit(None).cast("array<struct<seq:bigint,member:string,text:string>>")
+        members = F.lit(None).cast(MEMBERS)
     rules = extractors.rules if extractors else ()
     base = df.select(
         "id",
@@ -273,15 +326,21 @@ def preview_corpus(
             )
     pieces = kinds.select("id", "path", "kind", piece.alias("p"))
     full = F.col("p.text")
-    too_long = (F.length(full) > limits.text_chars) if limits.text_chars else F.lit(False)
+    too_long = _more(F.length(full), limits.text_chars)
+    shown = T.truncate_chars(full, limits.text_chars)
+    if limits.ebook_chars:
+        ebook = F.col("kind") == "ebook"
+        most = min(filter(None, (limits.ebook_chars, limits.text_chars)))
+        too_long = F.when(ebook, F.length(full) > most).otherwise(too_long)
+        shown = F.when(ebook, T.truncate_chars(full, most)).otherwise(shown)
     return pieces.select(
         "id",
         "kind",
         F.col("p.shape").alias("shape"),
         F.coalesce(F.col("p.title"), D.file_name(F.col("path"))).alias("title"),
-        T.truncate_chars(full, limits.text_chars).alias("text"),
+        shown.alias("text"),
         F.length(full).cast("bigint").alias("n_chars"),
-        too_long.alias("truncated"),
+        (too_long | F.col("p.cut")).alias("truncated"),
         F.col("p.error").alias("error"),
     )
 
@@ -307,7 +366,8 @@ def preview_archives(files: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
     An error goes through the tree as an entry with a name no archive can hold, so archives are
     opened once for both.
     """
-    manifest = archive_manifest(files, limits.archive_entries)
+    most = limits.archive_entries
+    manifest = archive_manifest(files, most + 1 if most else None)
     bad = F.col("error").isNotNull()
     entries = manifest.select(
         F.col("archive").alias("tree_id"),
@@ -317,7 +377,8 @@ def preview_archives(files: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
         "size",
         F.when(bad, F.col("error")).otherwise(F.col("mode")).alias("mode"),
     )
-    lines = trees.render_tree(trees.build_nodes(entries, limits.archive_entries))
+    lines = trees.render_tree(trees.build_nodes(entries, most or None))
+    counts = manifest.groupBy(F.col("archive").alias("tree_id")).agg(F.count("seq").alias("_n"))
     failed = F.col("path") == _ERROR_NAME
     drawn = lines.groupBy("tree_id").agg(
         F.array_sort(
@@ -330,6 +391,7 @@ def preview_archives(files: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
     good = F.col("error").isNull()
     text = F.when(good, F.array_join(F.transform("lines", lambda r: r["line"]), ""))
     name = D.file_name(F.col("tree_id"))
+    drawn = drawn.join(counts, "tree_id")
     return drawn.withColumn("full", F.coalesce(text, F.col("error"))).select(
         F.col("tree_id").alias("id"),
         F.lit("archive").alias("kind"),
@@ -337,7 +399,7 @@ def preview_archives(files: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
         F.when(good, F.concat(F.lit("Archive: "), F.col("tree_id"))).otherwise(name).alias("title"),
         T.truncate_chars(F.col("full"), limits.text_chars).alias("text"),
         F.length("full").cast("bigint").alias("n_chars"),
-        (F.length("full") > (limits.text_chars or 2**31 - 1)).alias("truncated"),
+        (_more(F.length("full"), limits.text_chars) | _more(F.col("_n"), most)).alias("truncated"),
         "error",
     )
 
@@ -345,7 +407,8 @@ def preview_archives(files: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
 def preview_comics(files: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
     """Comic zip archives (``cbz``) as a list of their files."""
     manifest = archive_manifest(files, max_entries=None, comic=True)
-    most = limits.text_chars or 2**31 - 1
+    chars = min(filter(None, (limits.text_chars, limits.ebook_chars)), default=0)
+    most = chars or 2**31 - 1
     shown = ~trees.is_noise(F.col("path"), comic=True) & (F.col("seq") <= most)
     note = F.concat(F.lit(" ("), F.col("size").cast("string"), F.lit(" bytes)"))
     line = F.concat(F.col("path"), F.when(F.col("is_dir"), "").otherwise(note), F.lit("\n"))
@@ -372,7 +435,7 @@ def preview_comics(files: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
         F.lit("ebook").alias("kind"),
         F.when(F.col("error").isNull(), "text").otherwise("unsupported").alias("shape"),
         D.file_name(F.col("archive")).alias("title"),
-        T.truncate_chars(text, limits.text_chars).alias("text"),
+        T.truncate_chars(text, chars).alias("text"),
         F.length(text).cast("bigint").alias("n_chars"),
         (F.length(text) > most).alias("truncated"),
         "error",
@@ -395,9 +458,26 @@ def directory_entries(files: DataFrame, root: str) -> DataFrame:
 
 def preview_directory(files: DataFrame, root: str, limits: Limits = DEFAULTS) -> DataFrame:
     """One row with the drawn tree of a directory; only the file listing is used."""
-    listing = trees.list_limit(directory_entries(files, root), limits.dir_depth, limits.dir_entries)
-    return _tree_previews(
-        trees.build_nodes(listing, limits.dir_entries), "directory", "Directory: ", limits
+    most = limits.dir_entries or 2**31 - 2
+    listing = trees.list_limit(directory_entries(files, root), limits.dir_depth, most + 1)
+    nodes = trees.build_nodes(listing.filter(F.col("seq") <= most))
+    shown = _tree_previews(nodes, "directory", "Directory: ", limits)
+    more = listing.agg((F.count(F.lit(1)) > most).alias("more"))
+    return shown.withColumn("truncated", F.col("truncated") | more.scalar())
+
+
+def oversize_previews(files: DataFrame, extractors: Extractors | None = None) -> DataFrame:
+    """Error rows of files too large for one value; they are not read."""
+    none, rules = F.lit(None).cast("binary"), extractors.rules if extractors else ()
+    return oversize_files(files).select(
+        F.col("path").alias("id"),
+        D.detect_kind(F.col("path"), F.lit(False), none, rules).alias("kind"),
+        F.lit("unsupported").alias("shape"),
+        D.file_name(F.col("path")).alias("title"),
+        F.lit("file too large").alias("text"),
+        F.lit(14).cast("bigint").alias("n_chars"),
+        F.lit(True).alias("truncated"),
+        F.lit("file too large").alias("error"),
     )
 
 
@@ -422,23 +502,11 @@ def preview_files(
         container_members(F.col("path"), F.col("content"))["members"].alias("members"),
     )
     packed = readable_files(scan_files(spark, roots, PACKED_GLOB))
-    too_large = oversize_files(files).select(
-        F.col("path").alias("id"),
-        D.detect_kind(
-            F.col("path"), F.lit(False), F.lit(None).cast("binary"), extractors.rules if extractors else ()
-        ).alias("kind"),
-        F.lit("unsupported").alias("shape"),
-        D.file_name(F.col("path")).alias("title"),
-        F.lit("file too large").alias("text"),
-        F.lit(14).cast("bigint").alias("n_chars"),
-        F.lit(False).alias("truncated"),
-        F.lit("file too large").alias("error"),
-    )
     out = preview_corpus(others, limits, extractors)
     out = out.unionByName(preview_archives(packed, limits)).unionByName(
         preview_comics(packed, limits)
     )
-    out = out.unionByName(too_large)
+    out = out.unionByName(oversize_previews(files, extractors))
     for root in roots:
         out = out.unionByName(preview_directory(files, root, limits))
     return out

@@ -18,6 +18,7 @@ from corpuslens.operators import tables as TB
 from corpuslens.operators import trees as TR
 from corpuslens.plans import preview as P
 from corpuslens.plans import views as V
+from corpuslens.limits import UNCUT
 from corpuslens.plans.storage import work_dir
 from corpuslens.registry import Rule
 from corpuslens.sources import archives as A
@@ -46,7 +47,7 @@ def query(fn: Query) -> Query:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return S.spread_rows(V.table(spark, sf, "documents"), "doc_id")
+    return V.table(spark, sf, "documents")
 
 
 def _doc_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,11 +56,11 @@ def _doc_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return S.spread_rows(V.table(spark, sf, "pages"), "page_id").withColumnRenamed("page_id", "id")
+    return V.table(spark, sf, "pages").withColumnRenamed("page_id", "id")
 
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
-    return S.spread_rows(V.table(spark, sf, "conversations"), "conv_id", "turn")
+    return V.table(spark, sf, "conversations")
 
 
 def _id_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,7 +124,7 @@ def registry_report(spark, sf):
 
 @query
 def text_or_hex(spark, sf):
-    return _bytes(spark, sf).select("id", D.text_or_hex(F.col("content")).alias("form"))
+    return _bytes(spark, sf).select("id", D.text_or_hex(F.col("content"), 0).alias("form"))
 
 
 # -- text ------------------------------------------------------------------------------------
@@ -223,7 +224,7 @@ def page_counts(spark, sf):
 
 @query
 def hex_dump(spark, sf):
-    return L.hex_dump(_bytes(spark, sf))
+    return L.hex_dump(_bytes(spark, sf), max_bytes=0)
 
 
 @query
@@ -439,7 +440,7 @@ def count_nodes(spark, sf):
 @query
 def preview_corpus(spark, sf):
     """Flagship: every document as a file of some kind, detected, extracted and cut."""
-    return P.preview_corpus(V.document_files(_docs(spark, sf)))
+    return P.preview_corpus(V.document_files(_docs(spark, sf)), UNCUT)
 
 
 @query
@@ -453,17 +454,17 @@ def preview_containers(spark, sf):
         "content",
         A.container_members(F.col("path"), F.col("content"))["members"].alias("members"),
     )
-    return P.preview_corpus(files)
+    return P.preview_corpus(files, UNCUT)
 
 
 @query
 def preview_archives(spark, sf):
-    return P.preview_archives(V.zipped_docs(_docs(spark, sf), "zip"))
+    return P.preview_archives(V.zipped_docs(_docs(spark, sf), "zip"), UNCUT)
 
 
 @query
 def preview_comics(spark, sf):
-    return P.preview_comics(V.zipped_docs(_docs(spark, sf), "cbz"))
+    return P.preview_comics(V.zipped_docs(_docs(spark, sf), "cbz"), UNCUT)
 
 
 @query
@@ -482,10 +483,8 @@ def register_extractor(spark, sf):
     own.register("notes9", lambda text, content: F.concat(F.lit("notes: "), F.substring(text, 1, 9)), ["nb9"])
     own.register("code", lambda text, content: F.when(F.contains(text, F.lit("|")), "piped"))
     own.register("code", lambda text, content: F.when(F.contains(text, F.lit("#")), "hashed"))
-    previews = P.preview_corpus(V.document_files(_docs(spark, sf)), extractors=own)
-    return previews.filter(F.col("kind").isin("markdown", "notes9", "code")).select(
-        "id", "kind", "shape", "text"
-    )
+    previews = P.preview_corpus(V.document_files(_docs(spark, sf)), UNCUT, own)
+    return previews.select("id", "kind", "shape", "text")
 
 
 # -- sources and sinks: Spark writes files from the tables, the source reads them back ---------
@@ -581,13 +580,13 @@ def read_parquet_preview(spark, sf):
 @query
 def archive_manifest(spark, sf):
     files = V.zipped_docs(_docs(spark, sf), "zip")
-    return A.archive_manifest(files)
+    return A.archive_manifest(files, None)
 
 
 @query
 def archive_tree(spark, sf):
     files = V.zipped_docs(_docs(spark, sf), "zip")
-    manifest = A.archive_manifest(files)
+    manifest = A.archive_manifest(files, None)
     return TR.count_nodes(TR.build_nodes(A.manifest_entries(manifest)))
 
 
@@ -611,7 +610,7 @@ def odt_text(spark, sf):
 @query
 def write_previews(spark, sf):
     path = work_dir(spark, "previews")
-    S.write_previews(P.preview_corpus(V.document_files(_docs(spark, sf))), path)
+    S.write_previews(P.preview_corpus(V.document_files(_docs(spark, sf)), UNCUT), path)
     back = spark.read.parquet(path)
     return back.groupBy("kind").agg(
         F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars")

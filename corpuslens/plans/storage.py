@@ -9,8 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder the cluster names; a local one only where none is set."""
+    """A new path in the shared folder the cluster names; a temporary one only in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="corpuslens-")
     return f"{shared.rstrip('/')}/corpuslens/{name}-{uuid.uuid4().hex}"

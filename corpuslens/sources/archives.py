@@ -33,6 +33,10 @@ MEMBER_PATTERNS: dict[str, tuple[bool, str]] = {
 TREE_EXTENSIONS: tuple[str, ...] = ("zip", "tar", "tgz", "gz", "bz2", "xz")
 
 
+MEMBERS = "array<struct<seq:bigint,member:string,text:string,error:string>>"
+MAX_MEMBER = 2**28  # bytes of an inflated member: what one value of a row may sensibly hold
+
+
 def _any_case(name: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in name)
 
@@ -147,6 +151,18 @@ def manifest_entries(manifest: DataFrame) -> DataFrame:
 
 def _member_reader() -> Callable[[Column, Column, Column], Column]:
     """Pandas UDF that reads the text members of containers; nested to be shipped by value."""
+    most = MAX_MEMBER
+
+    def member_text(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> tuple[str | None, str | None]:
+        """Text of a member, or why there is none; the others of the container stay."""
+        try:
+            with archive.open(info) as stream:
+                raw = stream.read(most + 1)
+            if len(raw) > most:
+                return None, f"member larger than {most} bytes"
+            return raw.decode("utf-8"), None
+        except Exception as reason:  # noqa: BLE001 - one bad member must not lose the container
+            return None, f"unreadable member: {reason}"
 
     def read(blob: bytes, expr: str, once: bool) -> tuple[list[dict] | None, str | None]:
         members: list[dict] = []
@@ -154,8 +170,10 @@ def _member_reader() -> Callable[[Column, Column, Column], Column]:
             with zipfile.ZipFile(io.BytesIO(bytes(blob))) as archive:
                 for seq, info in enumerate(archive.infolist(), start=1):
                     if re.fullmatch(expr, info.filename):
-                        text = archive.read(info).decode("utf-8")
-                        members.append({"seq": seq, "member": info.filename, "text": text})
+                        text, error = member_text(archive, info)
+                        members.append(
+                            {"seq": seq, "member": info.filename, "text": text, "error": error}
+                        )
                         if once:
                             break
         except Exception as reason:  # noqa: BLE001 - one bad container must not fail the job
@@ -173,14 +191,14 @@ def _member_reader() -> Callable[[Column, Column, Column], Column]:
 
     # Marked as nondeterministic so that the planner never runs it twice for one row.
     return F.pandas_udf(
-        read_members, "members array<struct<seq:bigint,member:string,text:string>>, error string"
+        read_members, f"members {MEMBERS}, error string"
     ).asNondeterministic()
 
 
 def container_members(
     path: Column, content: Column, pattern: str | None = None, first_only: bool = False
 ) -> Column:
-    """``struct<members array<struct<seq, member, text>>, error>`` of a zip-based document.
+    """``struct<members array<struct<seq, member, text, error>>, error>`` of a zip-based document.
 
     Members are in entry order. Without ``pattern`` the extension decides which members are read.
     Only the bytes of containers go to Python; for other rows a null does, and the members of a
@@ -205,13 +223,13 @@ def container_members(
 def zip_member_text(
     files: DataFrame, pattern: str | None = None, first_only: bool = False
 ) -> DataFrame:
-    """``(path, member, seq, text, error)`` of the matching members; an unreadable container, or
-    one without such a member, is one error row."""
+    """``(path, member, seq, text, error)`` of the matching members; a bad member has an error and no
+    text, and an unreadable container, or one without such a member, is one error row."""
     found = files.select(
         "path",
         container_members(F.col("path"), F.col("content"), pattern, first_only).alias("found"),
     )
     rows = found.select(
-        "path", F.col("found.error").alias("error"), F.inline_outer("found.members")
-    ).select("path", "member", "seq", "text", "error")
+        "path", F.col("found.error").alias("whole"), F.inline_outer("found.members")
+    ).select("path", "member", "seq", "text", F.coalesce("whole", "error").alias("error"))
     return rows.filter(F.col("member").isNotNull() | F.col("error").isNotNull())

@@ -14,10 +14,7 @@ from corpuslens.functions.text import delimited_cells, json_value
 from corpuslens.limits import DEFAULTS, Limits
 from corpuslens.operators.tables import table_preview
 
-SPLIT_BYTES = 128 * 2**20  # size of a default input split
-SPREAD_BYTES = 4 * 2**30  # tables below this may be spread over the cores
-SPREAD_ROWS_BYTES = 2**17  # least size of a spread partition, as stored
-MAX_BROADCAST_SPLITS = 100_000
+MAX_CELLS = 2**22  # of a delimited record; a reader holds one reference for each
 MAX_CONTENT = 2**31 - 1 - 2**20  # a file is one binary value, which cannot be larger
 
 
@@ -34,27 +31,6 @@ def scan_files(
     return reader.load(list(paths) if not isinstance(paths, str) else paths)
 
 
-def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a small table enough partitions for row-by-row work.
-
-    A table of few row groups is read by few tasks, however many cores there are. If the planner
-    estimates it below ``SPREAD_BYTES``, and below one default split per core, its rows are spread
-    by ``keys``; a larger table has enough splits and is left as it is, without a shuffle.
-    """
-    if not hasattr(df, "_jdf"):  # a remote session has no estimate
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = estimated_bytes(df)
-    if size >= min(cores * SPLIT_BYTES, SPREAD_BYTES):
-        return df
-    return df.repartition(max(1, min(cores, size // SPREAD_ROWS_BYTES)), *keys)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Size of a frame as the planner estimates it; for plain scans the size of the files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def readable_files(files: DataFrame) -> DataFrame:
     """Files whose content fits one value; the size filter is pushed into the scan, so an oversize
     file is skipped before it is read."""
@@ -91,8 +67,6 @@ def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         [(i, plain_path(p)) for i, p in enumerate(paths, start=1)], "file_no bigint, path string"
     )
     placed = offsets.join(order, "path")
-    if estimated_bytes(source) // SPLIT_BYTES + len(paths) <= MAX_BROADCAST_SPLITS:
-        placed = F.broadcast(placed)  # one row per split
     return lines.join(placed, ["path", "start"]).select(
         "file_no",
         "path",
@@ -161,6 +135,7 @@ def _records(
         .option("enforceSchema", True)
         .option("escape", '"')
         .option("recursiveFileLookup", True)
+        .option("maxColumns", MAX_CELLS)
         .csv(path if isinstance(path, str) else list(path), sep=sep)
     )
     # A record of one cell fits the schema and has no raw text.

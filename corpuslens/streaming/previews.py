@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpuslens.limits import DEFAULTS, Limits
-from corpuslens.plans.preview import Extractors, preview_corpus
+from corpuslens.plans.preview import Extractors, oversize_previews, preview_corpus
 from corpuslens.sources.archives import container_members
 from corpuslens.sources.files import readable_files
 
@@ -27,7 +27,8 @@ def stream_files(spark: SparkSession, path: str, files_per_batch: int | None = N
 def preview_stream(
     files: DataFrame, limits: Limits = DEFAULTS, extractors: Extractors | None = None
 ) -> DataFrame:
-    """Preview rows of a stream of files; archives are not opened here."""
+    """Preview rows of a stream of files, error rows for files too large for one value included;
+    archives are not opened here."""
     rows = readable_files(files).select(
         F.col("path").alias("id"),
         "path",
@@ -36,7 +37,7 @@ def preview_stream(
         "content",
         container_members(F.col("path"), F.col("content"))["members"].alias("members"),
     )
-    return preview_corpus(rows, limits, extractors)
+    return preview_corpus(rows, limits, extractors).unionByName(oversize_previews(files, extractors))
 
 
 def write_preview_stream(

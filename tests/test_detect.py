@@ -121,7 +121,7 @@ def test_cascade(spark):
 
 
 def test_text_or_hex(apply):
-    values = [b"plain\ttext\r\n\x0c", b"", b"\x0b", "é".encode(), b"\x00\x01SENTINEL", None]
+    values = [b"plain\ttext\r\n\x0c", b"", b"\x0b", "é".encode(), b"\x00\x02RAWBYTES", None]
     assert apply(D.text_or_hex, *values, type_="binary") == ["text", "text", "hex", "hex", "hex", None]
     late = b"a" * 65536 + b"\xff"
     assert apply(D.text_or_hex, late, type_="binary") == ["text"]

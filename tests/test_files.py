@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
-from corpuslens.limits import Limits
+from corpuslens.limits import UNCUT, Limits
 from corpuslens.operators import trees as TR
 from corpuslens.plans import preview as P
 from corpuslens.sources import archives as A
@@ -64,7 +64,7 @@ def corpus(tmp_path_factory):
         "good.json": '{"b": 1, "a": [true]}',
         "s.ini": "[b]\nk=v\n[a]\nx=1\n",
         "bad.zip": b"PK\x03\x04 broken",
-        "t.zip": zip_bytes({"a/b/c.txt": "hello", "a/d.txt": "x", "__MACOSX/a": "n", "._q": "n"}),
+        "t.zip": zip_bytes({"k/m/deep.txt": "hello", "k/side.txt": "x", "__MACOSX/a": "n", "._q": "n"}),
         "t.tar": tar_bytes("w"),
         "t.tar.gz": tar_bytes("w:gz"),
         "cut.tar": tar_bytes("w")[:1600],
@@ -84,7 +84,7 @@ def corpus(tmp_path_factory):
             '<itemref idref="i1"/><itemref idref="i2"/><itemref idref="gone"/></spine></package>',
         }),
         "100%.txt": "per cent",
-        "f.fb2": "<FictionBook><body><p>Hello FB2</p></body></FictionBook>",
+        "f.fb2": "<FictionBook><body><p>a short tale</p></body></FictionBook>",
         "z.fbz": zip_bytes({"book.FB2": "<b><p>packed</p></b>"}),
         "c.cbz": zip_bytes({"p1.jpg": "xx", "._p": "n", "dir/": ""}),
         "n.ipynb": json.dumps(CELLS),
@@ -92,7 +92,7 @@ def corpus(tmp_path_factory):
         "i.png": png(3, 2),
         "r.rtf": "{\\rtf1 raw}",
         "p.md": "# Title\n\nHello.\n",
-        "x.bin": b"\x00\x01SENTINEL",
+        "x.bin": b"\x00\x02RAWBYTES",
         "plain.txt": "hello plain",
         "latin.py": b"caf\xe9",
         "old.doc": b"\xd0\xcf\x11\xe0" + b"\x00" * 8 + b"Recovered words of a letter" + b"\x00",
@@ -192,7 +192,7 @@ def test_manifest(spark, corpus):
     for r in sorted(rows, key=lambda r: (r["archive"], r["seq"] or 0)):
         by_name.setdefault(r["archive"].rsplit("/", 1)[-1], []).append(r)
     assert [(r["path"], r["size"], r["mode"]) for r in by_name["t.zip"]] == [
-        ("a/b/c.txt", 5, "-rw-r--r--"), ("a/d.txt", 1, "-rw-r--r--")
+        ("k/m/deep.txt", 5, "-rw-r--r--"), ("k/side.txt", 1, "-rw-r--r--")
     ]
     for name in ("t.tar", "t.tar.gz"):
         assert [(r["path"], r["is_dir"], r["size"], r["mode"]) for r in by_name[name]] == [
@@ -237,7 +237,7 @@ def previews(spark, corpus):
         ("b.epub", "ebook", "text", "Chapter one\n\nTwo\n\n"),
         ("spine.epub", "ebook", "text", "First\n\nSecond\nx\n\n"),
         ("100%.txt", "fallback", "text", "per cent"),
-        ("f.fb2", "ebook", "text", "Hello FB2\n"),
+        ("f.fb2", "ebook", "text", "a short tale\n"),
         ("z.fbz", "ebook", "text", "packed\n"),
         ("c.cbz", "ebook", "text", "Comic book archive — 3 file(s)\n\np1.jpg (2 bytes)\ndir/\n"),
         ("n.ipynb", "notebook", "slides", "## Cell 1 (code)\n\nab\n\n---\n\n## Cell 2 (cell)\n\nc"),
@@ -247,7 +247,7 @@ def previews(spark, corpus):
         ("plain.txt", "fallback", "text", "hello plain"),
         ("old.doc", "legacy_office", "text", "Recovered words of a letter\n"),
         ("t.zip", "archive", "tree",
-         "    └── a\n        ├── b\n        │   └── c.txt (5 B) -rw-r--r--\n        └── d.txt (1 B) -rw-r--r--\n"),
+         "    └── k\n        ├── m\n        │   └── deep.txt (5 B) -rw-r--r--\n        └── side.txt (1 B) -rw-r--r--\n"),
     ],
 )
 def test_preview_texts(previews, name, kind, shape, text):
@@ -259,7 +259,7 @@ def test_preview_texts(previews, name, kind, shape, text):
 def test_preview_of_bytes(previews):
     row = previews["x.bin"]
     assert (row["kind"], row["shape"]) == ("fallback", "hex")
-    assert "size: 10 bytes\nmime: unknown\n00000000  00 01 53" in row["text"]
+    assert "size: 10 bytes\nmime: unknown\n00000000  00 02 52" in row["text"]
     assert previews["latin.py"]["shape"] == "hex" and previews["latin.py"]["kind"] == "code"
     assert (previews["noext"]["kind"], previews["noext"]["shape"]) == ("pdf", "hex")
     assert "mime: application/pdf" in previews["noext"]["text"]
@@ -295,6 +295,33 @@ def test_limits_apply(spark):
     assert whole[1]["text"] == "x" * 50
 
 
+def test_cuts_are_told(spark):
+    csv = "a,b\n" + "1,2\n" * 900
+    xml = "<b>" + "<p>x</p>" * 6000 + "</b>"
+    rows = [("t.csv", csv), ("t.fb2", xml), ("t.xyz", "y" * 100_000), ("t.bin", "é" * 50_000), ("t.md", "z" * 9000)]
+    df = spark.createDataFrame(
+        [(p, p, False, len(t), t) for p, t in rows], "id string, path string, is_dir boolean, size long, content string"
+    )
+    cut = {r["id"]: r for r in P.preview_corpus(df).collect()}
+    assert {k: r["truncated"] for k, r in cut.items()} == {
+        "t.csv": True, "t.fb2": True, "t.xyz": True, "t.bin": True, "t.md": False}
+    whole = {r["id"]: r for r in P.preview_corpus(df, UNCUT).collect()}
+    assert not any(r["truncated"] for r in whole.values())
+    assert whole["t.csv"]["text"].count("\n") == 901 and whole["t.fb2"]["text"] == "x\n" * 6000
+    assert whole["t.xyz"]["n_chars"] == 100_000 and whole["t.bin"]["text"].count("|\n") == 6250
+
+
+def test_one_bad_record_or_member_is_one_row(spark, tmp_path):
+    (tmp_path / "wide.csv").write_text("a,b\n" + ",".join("1" * 30_000) + "\nx,y\n")
+    rows = S.read_delimited(spark, str(tmp_path / "wide.csv")).collect()
+    assert sorted(len(r["cells"]) for r in rows) == [2, 30_000]
+    deck = {"ppt/slides/slide1.xml": b"<t>\xff</t>", "ppt/slides/slide2.xml": b"<t>good</t>"}
+    (tmp_path / "s.pptx").write_bytes(zip_bytes(deck))
+    got = A.zip_member_text(S.scan_files(spark, str(tmp_path), "*.pptx")).orderBy("seq").collect()
+    assert got[0]["text"] is None and got[0]["error"].startswith("unreadable member")
+    assert got[1]["text"] == "<t>good</t>" and got[1]["error"] is None
+
+
 def test_extractors_come_first(spark):
     own = P.Extractors()
     P.register_extractor(own, "markdown", lambda text, content: F.when(F.length(text) > 3, F.upper(text)))

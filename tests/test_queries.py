@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import importlib.util
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from corpuslens.plans.oracle import ORACLE_SQL
+from corpuslens.plans.queries import QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
 ROOT = Path(__file__).resolve().parent.parent
@@ -33,10 +38,10 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL) and set(QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_matches_sql(spark, duck, rows_of, name):
     df = entry.queries()[name](spark, str(DATA))
     found = duck.execute(entry.oracle_sql()[name])
@@ -49,10 +54,17 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 200
 
 
-def test_small_tables_are_spread_and_large_ones_left(spark, monkeypatch):
-    from corpuslens.sources import files
 
-    df = spark.read.parquet(str(DATA / "documents.parquet"))
-    assert "REPARTITION" in files.spread_rows(df, "doc_id")._jdf.queryExecution().toString()
-    monkeypatch.setattr(files, "SPREAD_BYTES", 1000)
-    assert "REPARTITION" not in files.spread_rows(df, "doc_id")._jdf.queryExecution().toString()
+def test_row_by_row_queries_move_no_rows(spark):
+    for name in ("strip_tags", "html_to_text", "xml_text_nodes", "preview_corpus", "wrap_lines", "hex_dump", "md_tables"):
+        assert "Exchange" not in QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_entry_without_the_training_data_operators(tmp_path):
+    for name in ("corpuslens", "__spark_entry__.py"):
+        source = ROOT / name
+        copy = shutil.copytree if source.is_dir() else shutil.copy
+        copy(source, tmp_path / name, **({"ignore": shutil.ignore_patterns("llm")} if source.is_dir() else {}))
+    code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.QUERIES))"
+    done = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert done.stdout.strip() == "True"

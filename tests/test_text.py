@@ -62,7 +62,7 @@ def test_strip_tags_like_a_state_machine(apply):
 
 
 def test_html_to_text_like_a_state_machine(apply):
-    texts = random_texts(MARKUP, 600, 2) + ["<p>Hello <b>world</b></p>"]
+    texts = random_texts(MARKUP, 600, 2) + ["<div>rain <i>and</i> snow</div>"]
     assert apply(T.html_to_text, *texts) == [model_html(t) for t in texts]
 
 
@@ -74,11 +74,11 @@ def test_truncate_counts_characters(apply):
 
 def test_xml_text_nodes(apply):
     xml = (
-        '<?xml version="1.0"?><!DOCTYPE x><FictionBook><!-- no > no --><body><p> Hello FB2 </p>'
+        '<?xml version="1.0"?><!DOCTYPE x><FictionBook><!-- no > no --><body><p> one line </p>'
         "<![CDATA[skip]]><p>a &amp; b</p>\n<p></p>tail"
     )
-    assert apply(T.xml_text_nodes, xml) == ["Hello FB2\na &amp; b\ntail\n"]
-    assert apply(lambda c: T.xml_text_nodes(c, 1), xml) == ["Hello FB2\n"]
+    assert apply(T.xml_text_nodes, xml) == ["one line\na &amp; b\ntail\n"]
+    assert apply(lambda c: T.xml_text_nodes(c, 1), xml) == ["one line\n"]
     assert apply(T.xml_text_nodes, "a<!--x-->b", "<only>", "") == ["a\nb\n", "", ""]
 
 
@@ -124,8 +124,9 @@ def test_printable_runs_like_a_scan(apply):
 
 def test_legacy_text_bounds(apply):
     long = b"x" * 9000
-    got = apply(T.legacy_text, b"a" * 19, b"a" * 20, long, type_="binary")
+    got = apply(lambda c: T.legacy_text(c, 8000), b"a" * 19, b"a" * 20, long, type_="binary")
     assert got == [None, "a" * 20 + "\n", "x" * 8000]
+    assert apply(T.legacy_text, long, type_="binary") == ["x" * 9000 + "\n"]
 
 
 def test_sanitize(apply):
@@ -266,7 +267,7 @@ def test_slide_limit_is_exact(spark):
 
 def test_email(spark):
     raws = {
-        1: "From: sender@example.com\r\nTo: r@example.com\r\nSubject: Test\r\n  folded\r\n\r\nHello body\r\n",
+        1: "From: ann@mail.test\r\nTo: bo@mail.test\r\nSubject: Plan\r\n  folded\r\n\r\nSee you there\r\n",
         2: "From: a\nContent-Type: text/html\n\n<p>Hi <b>x</b></p>",
         3: "subject: q\nContent-Type: multipart/mixed; boundary=b\n\n--b",
         4: "From: a\nContent-Transfer-Encoding: base64\n\nAAAA",
@@ -275,8 +276,8 @@ def test_email(spark):
     }
     df = spark.createDataFrame(list(raws.items()), "id int, raw string")
     rows = {r["id"]: r for r in L.email_rows(df).collect()}
-    assert (rows[1]["sender"], rows[1]["subject"]) == ("sender@example.com", "Test folded")
-    assert rows[1]["body"] == "Hello body\r\n" and rows[1]["error"] is None
+    assert (rows[1]["sender"], rows[1]["subject"]) == ("ann@mail.test", "Plan folded")
+    assert rows[1]["body"] == "See you there\r\n" and rows[1]["error"] is None
     assert rows[2]["body"] == "Hi x" and rows[2]["recipient"] is None
     assert rows[3]["body"] is None and rows[3]["error"] == "multipart message"
     assert rows[3]["subject"] == "q"
@@ -341,3 +342,11 @@ def test_long_inputs_do_not_overflow(apply):
     assert len(apply(T.html_to_text, "a " * n)[0]) == 2 * n - 1
     assert apply(lambda c: F.size(T.delimited_records(c)), '"' + 'q""' * n + '"\n1\n') == [2]
     assert apply(lambda c: F.size(T.xml_nodes(c, n)), "<a>x</a>" * 50_000) == [50_000]
+
+
+def test_many_tabs_in_one_line(spark):
+    df = spark.createDataFrame([(1, "a\t" * 100_000 + "b"), (2, "a\tb\n\n" + "x" * 17), (3, "")], "id int, text string")
+    counts = {r["id"]: r["n_lines"] for r in L.page_counts(df).collect()}
+    assert counts == {1: 10_001, 2: 3, 3: 0}
+    lines = L.wrap_lines(df.filter("id = 2"), 8).orderBy("row_no").collect()
+    assert [r["text"] for r in lines] == ["a       ", "b", "", "x" * 8, "x" * 8, "x"]
