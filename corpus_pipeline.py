@@ -1,7 +1,8 @@
 """A training-data pipeline over ``documents``: filter, deduplicate, mix and pack.
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept; all but the
-last return the columns of ``docs`` as they came, also where extra ones share internal names. Rows
+last return the columns of ``docs`` as they came, also where extra ones share internal names. Lists of
+documents grow with the corpus, so they are joined by sorting at every size and never broadcast. Rows
 without a key are never dropped as duplicates; repeated rows share their fate. Empty tables pass
 through.
 """
@@ -36,14 +37,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     same = (docs["doc_id"] == F.col("_id")) & (
         F.sha2(ascii_lower(docs["text"]).cast("binary"), 256) == F.col("_sha")
     )
-    return docs.join(staged(dropped, "pipeline-copies"), same, "left_anti")
+    return docs.join(staged(dropped, "pipeline-copies").hint("merge"), same, "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by near-equal shingles the one with the smallest id."""
     linked = link_documents(docs).filter("doc_id != component_id")
     dropped = staged(linked.select(F.col("doc_id").alias("_id")).distinct(), "pipeline-near")
-    return docs.join(dropped, docs["doc_id"] == F.col("_id"), "left_anti")
+    return docs.join(dropped.hint("merge"), docs["doc_id"] == F.col("_id"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
     plan = plan.groupBy(F.col("doc_id").alias("_id")).agg(F.max(copies).alias("_copies"))
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_key"))
-    taken = rows.join(staged(plan, "pipeline-mix"), F.col("_key").eqNullSafe(F.col("_id")))
+    taken = rows.join(staged(plan, "pipeline-mix").hint("merge"), F.col("_key").eqNullSafe(F.col("_id")))
     return taken.select("_row", F.explode(F.sequence(F.lit(1), "_copies"))).select("_row.*")
 
 
