@@ -16,6 +16,7 @@ over parts by the word before; their counts are taken in a pass of their own. Wo
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from math import log10
 
@@ -54,7 +55,7 @@ class Words(dict):
         return n
 
     def keys64(self) -> np.ndarray:
-        hashes = (max(xxhash.xxh64_intdigest(w), 2) for w in self.names)
+        hashes = map(word_key, self.names)
         return np.concatenate([np.array([START, END], "u8"), np.fromiter(hashes, "u8", len(self.names))])
 
 
@@ -103,26 +104,57 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+END_WORD = b"\n"  # stands for the end where words are named
+
+
+def word_key(word: bytes) -> int:
+    return END if word == END_WORD else max(xxhash.xxh64_intdigest(word), 2)
+
+
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block its tokens (key -1), and words that are frequent in its training tokens."""
-    for block in blocks(batches):
-        now, _, doc = block.tokens()
-        counts = np.bincount(now[block.train()[doc]], minlength=2)
-        often = np.flatnonzero(counts * HOT_SHARE >= max(1, counts.sum()))
-        keys = block.words.keys64()[often].view("i8")
-        yield pa.record_batch(
-            {"key": pa.array(np.r_[np.int64(-1), keys]), "n": pa.array(np.r_[len(now), counts[often]])}
+    """Per block its tokens (no word), and words that are frequent in its training tokens."""
+    counts: Counter[bytes] = Counter()
+    tokens = trained = 0
+
+    def often() -> pa.RecordBatch:
+        words = [w for w, n in counts.items() if n * HOT_SHARE >= trained]
+        return pa.record_batch(
+            {
+                "word": pa.array([None, *words], pa.binary()),
+                "n": pa.array([tokens, *map(counts.__getitem__, words)], pa.int64()),
+            }
         )
 
+    for batch in batches:
+        for train, raw in zip(batch.column("train").to_pylist(), batch.column("raw").to_pylist(), strict=True):
+            words = (raw or b"").lower().split()
+            tokens += len(words) + 1
+            if train:
+                counts.update(words)
+                counts[END_WORD] += 1
+                trained += len(words) + 1
+            if tokens >= BLOCK_TOKENS:
+                yield often()
+                counts.clear()
+                tokens = trained = 0
+    if tokens:
+        yield often()
+
+
+def _counter(hot: list[bytes]):
+    wanted = frozenset(hot)
 
-def _counter(hot: np.ndarray):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            now, _, doc = block.tokens()
-            keys = block.words.keys64()
-            counts = np.bincount(now[block.train()[doc]], minlength=len(keys))
-            mine = np.flatnonzero(np.isin(keys, hot))
-            yield pa.record_batch({"key": pa.array(keys[mine].view("i8")), "n": pa.array(counts[mine])})
+        counts: Counter[bytes] = Counter()
+        for batch in batches:
+            for train, raw in zip(batch.column("train").to_pylist(), batch.column("raw").to_pylist(), strict=True):
+                if train:
+                    counts.update(filter(wanted.__contains__, (raw or b"").lower().split()))
+                    counts[END_WORD] += 1
+        words = [w for w in counts if w in wanted]
+        yield pa.record_batch(
+            {"word": pa.array(words, pa.binary()), "n": pa.array([counts[w] for w in words], pa.int64())}
+        )
 
     return count
 
@@ -363,14 +395,15 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     rows = df.select(
         F.col(key).cast("bigint").alias("id"), (~held).alias("train"), F.col(text).cast("binary").alias("raw")
     )
-    often = rows.mapInArrow(_frequent, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    found = {r["key"]: r["n"] for r in staged(often, "lm-often").collect()}
-    tokens = found.pop(-1, 0)
+    often = rows.mapInArrow(_frequent, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    found = {r["word"]: r["n"] for r in staged(often, "lm-often").collect()}
+    tokens = found.pop(None, 0)
     parts = min(1 << 20, max(LEAST_PARTS, -(-tokens // PART_TOKENS)))
-    hot = np.array([k for k, n in found.items() if n * 2 * HOT_SHARE >= tokens], "i8").view("u8")
-    exact = rows.mapInArrow(_counter(hot), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    hot_of = {r["key"]: r["n"] for r in exact.collect()} if len(hot) else {}
-    hot_counts = np.array([hot_of[k] for k in hot.view("i8").tolist()], "i8")
+    names = [bytes(w) for w, n in found.items() if n * 2 * HOT_SHARE >= tokens]
+    hot = np.array([word_key(w) for w in names], "u8")
+    exact = rows.mapInArrow(_counter(names), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    hot_of = {bytes(r["word"]): r["n"] for r in exact.collect()} if names else {}
+    hot_counts = np.array([hot_of[w] for w in names], "i8")
     pairs = rows.mapInArrow(_sorter(parts, hot), PAIRS).repartitionById(parts, F.col("part"))
     tables = staged(pairs.mapInArrow(_part(parts, hot, hot_counts), OUT), "lm-tables", by=["kind"])
 
