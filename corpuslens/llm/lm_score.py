@@ -31,8 +31,8 @@ from corpuslens.llm.common import crc32_fold, staged
 
 FOLDS, HELD_OUT = 7, 2
 CUT = 5  # counts above it are not discounted (Katz)
-BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 32_000  # of a block a task sorts at once
-PART_TOKENS = 1_200_000  # of a part on average
+BLOCK_TOKENS, BLOCK_DOCS = 1_500_000, 32_000  # of a block a task sorts at once
+PART_TOKENS = 1_700_000  # of a part on average
 LEAST_PARTS = 12
 HOT_SHARE = 256  # a word with 1/256 of a block's tokens may be hot
 START, END = 0, 1  # keys of the place before a text and of its end
