@@ -24,6 +24,8 @@ from corpuslens.llm.quality import keep_quality
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+WORDS, PERCENT = 5, 80  # of a shingle; least similarity of near copies
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on their own labels, does not reject."""
@@ -42,7 +44,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by near-equal shingles the one with the smallest id."""
-    linked = link_documents(docs).filter("doc_id != component_id")
+    linked = link_documents(docs, words=WORDS, percent=PERCENT).filter("doc_id != component_id")
     dropped = staged(linked.select(F.col("doc_id").alias("_id")).distinct(), "pipeline-near")
     return docs.join(dropped.hint("merge"), docs["doc_id"] == F.col("_id"), "left_anti")
 

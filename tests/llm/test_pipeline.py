@@ -46,3 +46,15 @@ def test_stages_on_odd_rows(spark, odd, none):
         assert set(pairs(found)) <= set(pairs(odd))
     for _, stage in pipeline.STAGES:
         assert stage(spark, none, str(DATA)).collect() == []
+
+
+def test_near_copies_share_four_fifths_of_five_word_shingles(spark, documents):
+    base = [f"w{i}" for i in range(200)]
+    texts = [base, base + [f"x{i}" for i in range(40)], base + [f"y{i}" for i in range(60)]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    for df in (spark.createDataFrame(rows, "doc_id bigint, text string"), documents):
+        before = pairs(df)
+        found = linked(before, 80, 5)
+        after = pairs(pipeline.near_dedup(spark, df, str(DATA)))
+        assert Counter(after) == Counter(p for p in before if found[p[0]][1] == p[0])
+    assert {i for i, (_, c) in linked(rows, 80, 5).items() if c == i} == {0, 2}
