@@ -2,7 +2,7 @@
 
 One rule per line: label; level; keyword; pattern. Patterns run over the words of a text in lower
 case, joined by single spaces, and match whole words only. A rule is tried only in texts that hold
-its keyword. Levels rank detections: 0 a license tag or notice, 1 a full title, 2 a short name,
+its keyword, which every match of its pattern does. Levels rank detections: 0 a license tag or notice, 1 a full title, 2 a short name,
 3 a mention that points to a license without naming it.
 """
 
@@ -46,8 +46,8 @@ mit;1;expat;(?:the )?expat licen[cs]e
 mit-0;1;mit;mit no attribution(?: licen[cs]e)?
 mit-0;2;mit;mit 0 licen[cs]e
 x11;1;x11;(?:the )?x11 licen[cs]e
-x11;2;x11;x consortium licen[cs]e
-isc;0;isc;permission to use copy modify and or distribute this software for any purpose
+x11;2;consortium;x consortium licen[cs]e
+isc;0;permission;permission to use copy modify and or distribute this software for any purpose
 isc;1;isc;(?:the )?isc licen[cs]e
 isc;2;isc;licen[cs]ed under (?:the )?isc
 apache-2;0;apache;licen[cs]ed under the apache licen[cs]e version 2 0(?: the licen[cs]e)?
@@ -56,7 +56,7 @@ apache-2;1;apache;apache licen[cs]e 2(?: 0)?
 apache-2;1;apache;apache licen[cs]e v2(?: 0)?
 apache-2;2;apache;apache 2(?: 0)? licen[cs]e
 apache-2;2;apache;apache v2(?: 0)?
-apache-2;2;apache;asl 2 0
+apache-2;2;asl;asl 2 0
 apache-2;0;apache;apache org licenses licen[cs]e 2 0
 apache-1.1;1;apache;apache (?:software )?licen[cs]e (?:version )?1 1
 apache-1;1;apache;apache (?:software )?licen[cs]e (?:version )?1 0
@@ -240,7 +240,7 @@ proprietary;0;reserved;(?:proprietary and )?confidential all rights reserved
 proprietary;1;reserved;all rights reserved
 proprietary;1;proprietary;proprietary licen[cs]e
 proprietary;2;commercial;commercial licen[cs]e
-proprietary;1;permission;no part of this (?:publication|book|work|document) may be reproduced
+proprietary;1;reproduced;no part of this (?:publication|book|work|document) may be reproduced
 proprietary;2;permission;may not be (?:copied|reproduced|redistributed) without (?:prior )?(?:written )?permission
 eula;1;end user;end user licen[cs]e agreement
 eula;2;eula;eula
@@ -252,8 +252,8 @@ open-source;3;open source;open source licen[cs]e
 free-software;3;free software;free software licen[cs]e
 noncommercial;2;commercial;for non ?commercial (?:use|purposes) only
 research-only;2;research;for (?:academic and )?research (?:use|purposes) only
-licensed;3;licensed;licen[cs]ed under (?:the )?(?:terms of )?(?:the )?[^ ]+(?: [^ ]+)? licen[cs]e
-see-license;3;license;see (?:the )?(?:accompanying )?licen[cs]e(?: txt| md| file)?
+licensed;3;licen;licen[cs]ed under (?:the )?(?:terms of )?(?:the )?[^ ]+(?: [^ ]+)? licen[cs]e
+see-license;3;licen;see (?:the )?(?:accompanying )?licen[cs]e(?: txt| md| file)?
 """
 
 
