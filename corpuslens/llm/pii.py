@@ -69,6 +69,42 @@ def is_iban(hit: Column) -> Column:
     return F.when(F.length(code).between(15, 34), mod97(code)).otherwise(False)
 
 
+#: Characters of an IBAN by country, as registered or in use.
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GF GP GQ GR IT KM MC MG MQ MR NC PF PM RE SM TD TF WF YT",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+
+
+def iban_pattern() -> str:
+    """Groups of four, with or without blanks, to the length of the country; a code that is not
+    listed may have any. Letters and digits on either side rule a span out before it is taken."""
+    known = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+    forms = []
+    for size, codes in IBAN_LENGTHS.items():
+        fours, rest = divmod(size - 4, 4)
+        short = rf"\x20?[A-Z0-9]{{{rest}}}" if rest else ""
+        forms.append(rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{fours}}}{short}")
+    forms.append(rf"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?")
+    return rf"(?<!{ALNUM})(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(forms)})(?!{ALNUM})"
+
+
 def is_ssn(hit: Column) -> Column:
     return ~F.rlike(hit, F.lit(r"\A(?:000|666|9)|-00-|-0000\z"))
 
@@ -135,7 +171,7 @@ KINDS = (
     Kind(
         "iban",
         matching(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
-        r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
+        iban_pattern(),
         is_iban,
         "iban|account|bank|transfer",
         0.6,

@@ -148,3 +148,25 @@ def test_checked_spans_and_context(spark):
     rows = {r["doc_id"]: r for r in find_pii(df).collect()}
     assert [rows[i]["spans"] for i in range(4)] == ["iban:5:32", "", "ssn:4:15", ""]
     assert rows[4]["found"][0]["score"] > rows[5]["found"][0]["score"]
+
+
+def iban(country, bban):
+    number = "".join(str(int(c, 36)) for c in bban + country)
+    return f"{country}{98 - int(number + '00') % 97:02}{bban}"
+
+
+def test_ibans_end_where_their_country_says(spark):
+    codes = ["BE68539007547034", "AT611904300234573201", "DE89370400440532013000", "NO9386011117947",
+             "GB82WEST12345698765432", "FR1420041010050500013M02606", iban("ES", "21000418450200051332"),
+             iban("MT", "MALT011000012345MTLCAST001S"), iban("SE", "50000000058398257466")]
+    texts, want = [], []
+    for code in codes:
+        for form in (code, " ".join(code[i : i + 4] for i in range(0, len(code), 4))):
+            for after in ("", ".", " BIC GEBABEBB", " Please", " A", " AB", " ABC", " ABCD EFGH", " 12", "\nPay"):
+                texts.append(f"to {form}{after}")
+                want.append(f"iban:3:{3 + len(form)}")
+    texts += ["BE68539007547034X", "XBE68539007547034", "BE69 5390 0754 7034 BIC", "BE68 5390 0754 7034 AT61 1904 3002 3457 3201"]
+    want += ["", "", "", "iban:0:19,iban:20:44"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r["doc_id"]: r["spans"] for r in find_pii(df).collect()}
+    assert [rows[i] for i in range(len(texts))] == want
