@@ -165,6 +165,13 @@ PAIRS = (
 )
 
 
+def pair_order(part: np.ndarray, now: np.ndarray, before: np.ndarray, parts: int, words: int) -> np.ndarray:
+    """Order of tokens by part, word and the word before; one key where the three fit in one."""
+    if parts * words * words < 1 << 63:
+        return np.argsort((part * words + now) * words + before, kind="stable")
+    return np.lexsort((before, now, part))
+
+
 def _sorter(parts: int, hot: np.ndarray):
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -175,22 +182,21 @@ def _sorter(parts: int, hot: np.ndarray):
             part = home[now]
             split = np.isin(keys, hot)[now]
             part[split] = mixed(keys[now[split]] ^ mixed(keys[before[split]])) % np.uint64(parts)
-            code = (part.astype("i8") << 42) | (now << 21) | before
-            order = np.argsort(code, kind="stable")
+            order = pair_order(part.astype("i8"), now, before, parts, len(keys))
             sizes, train = np.bincount(doc, minlength=len(block.docs)), block.train()
             marked = (2 * np.arange(len(train)) + train).astype("u2")  # of a document, with its fold
-            code, doc = code[order], marked[doc[order]]
-            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-            pair = code[first]
-            stop = np.r_[first, len(code)]
-            where = np.searchsorted(pair >> 42, np.arange(parts + 1))
+            part, now, before, doc = part[order], now[order], before[order], marked[doc[order]]
+            first = np.flatnonzero(np.r_[True, (now[1:] != now[:-1]) | (before[1:] != before[:-1])])
+            stop = np.r_[first, len(now)]
+            part, now, before = part[first], now[first], before[first]
+            where = np.searchsorted(part, np.arange(parts + 1))
             me = (task << 20) | number
             for p in range(parts):
                 lo, hi = where[p], where[p + 1]
                 tells = p == me % parts
                 if lo == hi and not tells:
                     continue
-                words = (pair[lo:hi] >> 21) & ((1 << 21) - 1)
+                words = now[lo:hi]
                 head = np.flatnonzero(np.r_[True, words[1:] != words[:-1]]) if hi > lo else np.empty(0, int)
                 yield pa.record_batch(
                     {
@@ -198,7 +204,7 @@ def _sorter(parts: int, hot: np.ndarray):
                         "block": pa.array([me], pa.int64()),
                         "word": pa.array([keys[words[head]].tobytes()]),
                         "fan": pa.array([np.diff(np.r_[head, hi - lo]).astype("u4").tobytes()]),
-                        "before": pa.array([keys[pair[lo:hi] & ((1 << 21) - 1)].tobytes()]),
+                        "before": pa.array([keys[before[lo:hi]].tobytes()]),
                         "times": pa.array([np.diff(stop[lo : hi + 1]).astype("u4").tobytes()]),
                         "docs": pa.array([doc[stop[lo] : stop[hi]].tobytes()]),
                         "ids": pa.array([[d for d, _, _ in block.docs] if tells else None], pa.list_(pa.int64())),
@@ -413,6 +419,8 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     width = 2 * (CUT + 1) + 2
     sums = [F.coalesce(F.sum(F.col("counts")[i]), F.lit(0)) for i in range(width)]
     counts = list(kind("cc", "counts").agg(*sums).first())
+    for k in range(1, CUT + 2):  # on small tables words seen this seldom may be frequent
+        counts[k - 1] += int((hot_counts == k).sum())
     types = counts[CUT + 1] + len(hot)
     total = counts[CUT + 2] + int(hot_counts.sum())
     e, d = discounts(counts[: CUT + 1]), discounts(counts[CUT + 3 :])

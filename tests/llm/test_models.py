@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter
 from math import isclose, log10
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpuslens.llm import lm_score
@@ -129,6 +133,29 @@ def test_katz_in_many_blocks_and_parts(documents, monkeypatch):
     check_katz(documents)
 
 
+def test_katz_of_a_small_table(spark):
+    pick = random.Random(6)
+    rows = [(i, " ".join(f"w{int(pick.expovariate(0.05))}" for _ in range(9))) for i in range(30)]
+    check_katz(spark.createDataFrame(rows, "doc_id bigint, text string"))
+
+
+def test_block_of_a_text_of_many_words(monkeypatch):
+    n = 2_200_000
+    monkeypatch.setattr(lm_score, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.record_batch({"id": [1], "train": [True], "raw": [" ".join(map(str, range(n))).encode()]})
+    found = [[], []]
+    for out in lm_score._sorter(12, np.empty(0, "u8"))(iter([batch])):
+        row = out.to_pylist()[0]
+        found[0].append(np.repeat(np.frombuffer(row["word"], "u8"), np.frombuffer(row["fan"], "u4")))
+        found[1].append(np.frombuffer(row["before"], "u8"))
+    word, before = map(np.concatenate, found)
+    keys = [lm_score.START, *(lm_score.word_key(str(i).encode()) for i in range(n)), lm_score.END]
+    assert len(word) == n + 1 and dict(zip(word.tolist(), before.tolist())) == dict(zip(keys[1:], keys))
+    for parts in (12, 1 << 18):
+        order = lm_score.pair_order(*(np.array(x) for x in ([1, 0, 0], [n, 2, n], [5, 9, 7])), parts, n + 2)
+        assert order.tolist() == [1, 2, 0]
+
+
 def test_katz_without_training_rows(spark):
     held = next(i for i in range(100) if fold(i, 7) == 2)
     row = lm_score.score_documents(spark.createDataFrame([(held, "a b")], "doc_id bigint, text string")).first()
