@@ -1,17 +1,18 @@
 """Katz backoff scores of texts: Good-Turing discounted bigrams over discounted words.
 
-The work is laid out so that counts meet tokens once. Tasks sort the tokens of a block of documents
-into pairs (word, the word before) and send them, with the documents they stand in, to the part of
-the word. A part holds all occurrences of its words, so it knows their counts, builds its piece of
-the n-gram table and adds up, per document, the logarithms that depend on these counts; what a
-discount multiplies is added up as a number of tokens per count. Only backing off needs the word
-before: each part reports what it has seen after a history, these reports add up to the exactly
-normalised backoff weight of the history, and only tokens in unseen pairs are joined with it. The
-counts of counts come last, and the sums turn into scores.
-
-Frequent words (at most ``2 * HOT_SHARE`` of them, as each has that share of all tokens) are split
-over parts by the word before; their counts are taken in a pass of their own. Words are known by
-64 bits of their hash.
+The work is laid out so that tokens stay with their block. Tasks sort the tokens of a block of
+documents into pairs (word, the word before); of each pair only its training count goes to the part
+of the word, once per block however often the pair occurs. A part adds up the counts of its pairs
+and words, builds its piece of the n-gram table and sends the counts back to the blocks, which add
+up, per document, the logarithms that depend on them; what a discount multiplies is added up as a
+number of tokens per count. Only backing off needs the word before: each part reports what it has
+seen after a history, these reports add up to the exactly normalised backoff weight of the history,
+and only tokens in unseen pairs are joined with it. The counts of counts come last, and the sums
+turn into scores.
+
+Frequent words (training counts of ``1 / HOT_SHARE`` of all tokens or a quarter of a part) are split
+over parts by the word before; they are found by counting all words first. Words are known by 64
+bits of their hash.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,7 +36,7 @@ CUT = 5  # counts above it are not discounted (Katz)
 BLOCK_TOKENS, BLOCK_DOCS = 1_500_000, 32_000  # of a block a task sorts at once
 PART_TOKENS = 1_700_000  # of a part on average
 LEAST_PARTS = 12
-HOT_SHARE = 256  # a word with 1/256 of a block's tokens may be hot
+HOT_SHARE = 512  # a word with 1/512 of all tokens is hot
 START, END = 0, 1  # keys of the place before a text and of its end
 R = [f"r{k}" for k in range(1, CUT + 1)]  # tokens in pairs seen k times
 U = [f"u{k}" for k in range(CUT + 1)]  # tokens in unseen pairs whose word was seen k times
@@ -111,17 +113,16 @@ def word_key(word: bytes) -> int:
     return END if word == END_WORD else max(xxhash.xxh64_intdigest(word), 2)
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block its tokens (no word), and words that are frequent in its training tokens."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block its tokens (no word), and the words of its training tokens."""
     counts: Counter[bytes] = Counter()
-    tokens = trained = 0
+    tokens = 0
 
-    def often() -> pa.RecordBatch:
-        words = [w for w, n in counts.items() if n * HOT_SHARE >= trained]
+    def found() -> pa.RecordBatch:
         return pa.record_batch(
             {
-                "word": pa.array([None, *words], pa.binary()),
-                "n": pa.array([tokens, *map(counts.__getitem__, words)], pa.int64()),
+                "word": pa.array([None, *counts], pa.binary()),
+                "n": pa.array([tokens, *counts.values()], pa.int64()),
             }
         )
 
@@ -132,39 +133,36 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if train:
                 counts.update(words)
                 counts[END_WORD] += 1
-                trained += len(words) + 1
             if tokens >= BLOCK_TOKENS:
-                yield often()
+                yield found()
                 counts.clear()
-                tokens = trained = 0
+                tokens = 0
     if tokens:
-        yield often()
+        yield found()
 
 
-def _counter(hot: list[bytes]):
-    wanted = frozenset(hot)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        for batch in batches:
-            for train, raw in zip(batch.column("train").to_pylist(), batch.column("raw").to_pylist(), strict=True):
-                if train:
-                    counts.update(filter(wanted.__contains__, (raw or b"").lower().split()))
-                    counts[END_WORD] += 1
-        words = [w for w in counts if w in wanted]
-        yield pa.record_batch(
-            {"word": pa.array(words, pa.binary()), "n": pa.array([counts[w] for w in words], pa.int64())}
-        )
-
-    return count
+def frequent_words(rows: DataFrame) -> tuple[int, dict[bytes, int]]:
+    """All tokens, and the training counts of words too frequent for one part."""
+    words = rows.mapInArrow(_counted, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    words = staged(words, "lm-words")
+    tokens = words.filter("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = min(-(-tokens // HOT_SHARE), PART_TOKENS // 4)
+    hot = words.filter(F.col("word").isNotNull() & (F.col("n") >= least)).collect()
+    return tokens, {bytes(r["word"]): r["n"] for r in hot}
 
 
+#: Of a block and part: words, how many pairs each has, the words before, training tokens of the
+#: pairs; tokens of the pairs, and the documents of these tokens. Only ``COUNTED`` goes to parts.
 PAIRS = (
-    "part int, block bigint, word binary, fan binary, before binary, times binary, docs binary, "
+    "part int, block bigint, word binary, fan binary, before binary, trained binary, times binary, docs binary, "
     "ids array<bigint>, sizes binary"
 )
 
 
+COUNTED = ["part", "block", "word", "fan", "before", "trained"]
+KEPT = ["block", "part", "times", "docs", "ids", "sizes"]
+
+
 def pair_order(part: np.ndarray, now: np.ndarray, before: np.ndarray, parts: int, words: int) -> np.ndarray:
     """Order of tokens by part, word and the word before; one key where the three fit in one."""
     if parts * words * words < 1 << 63:
@@ -189,6 +187,7 @@ def _sorter(parts: int, hot: np.ndarray):
             first = np.flatnonzero(np.r_[True, (now[1:] != now[:-1]) | (before[1:] != before[:-1])])
             stop = np.r_[first, len(now)]
             part, now, before = part[first], now[first], before[first]
+            trained = np.add.reduceat(doc % 2, first, dtype="u4")
             where = np.searchsorted(part, np.arange(parts + 1))
             me = (task << 20) | number
             for p in range(parts):
@@ -205,6 +204,7 @@ def _sorter(parts: int, hot: np.ndarray):
                         "word": pa.array([keys[words[head]].tobytes()]),
                         "fan": pa.array([np.diff(np.r_[head, hi - lo]).astype("u4").tobytes()]),
                         "before": pa.array([keys[before[lo:hi]].tobytes()]),
+                        "trained": pa.array([trained[lo:hi].tobytes()]),
                         "times": pa.array([np.diff(stop[lo : hi + 1]).astype("u4").tobytes()]),
                         "docs": pa.array([doc[stop[lo] : stop[hi]].tobytes()]),
                         "ids": pa.array([[d for d, _, _ in block.docs] if tells else None], pa.list_(pa.int64())),
@@ -218,19 +218,24 @@ def _sorter(parts: int, hot: np.ndarray):
 
 
 OUT = (
+    "kind string, block bigint, part int, seen binary, count binary, lost binary, "
+    "hpart int, keys binary, history binary, counts array<bigint>"
+)
+KIND = {"block": pa.int64(), "part": pa.int32(), "seen": pa.binary(), "count": pa.binary(), "lost": pa.binary()}
+KIND |= {"hpart": pa.int32(), "keys": pa.binary(), "history": pa.binary(), "counts": pa.list_(pa.int64())}
+SUMMED = (
     "kind string, rid bigint, id bigint, n_tokens bigint, held boolean, "
     + ", ".join(f"{c} double" for c in SUMS)
-    + ", hpart int, keys binary, history binary, key bigint, n double, counts array<bigint>"
+    + ", key bigint, n double"
 )
-KIND = {"rid": pa.int64(), "id": pa.int64(), "n_tokens": pa.int64(), "held": pa.bool_()}
-KIND |= dict.fromkeys(SUMS, pa.float64())
-KIND |= {"hpart": pa.int32(), "keys": pa.binary(), "history": pa.binary(), "key": pa.int64()}
-KIND |= {"n": pa.float64(), "counts": pa.list_(pa.int64())}
+DOC = {"rid": pa.int64(), "id": pa.int64(), "n_tokens": pa.int64(), "held": pa.bool_()}
+DOC |= dict.fromkeys(SUMS, pa.float64())
+DOC |= {"key": pa.int64(), "n": pa.float64()}
 
 
-def _row(kind: str, rows: int, /, **given) -> pa.RecordBatch:
+def _row(kind: str, rows: int, types: dict[str, pa.DataType], /, **given) -> pa.RecordBatch:
     out = {"kind": pa.array([kind] * rows, pa.string())}
-    for name, type_ in KIND.items():
+    for name, type_ in types.items():
         out[name] = pa.array(given[name], type_) if name in given else pa.nulls(rows, type_)
     return pa.record_batch(out)
 
@@ -246,35 +251,26 @@ def _part(parts: int, hot: np.ndarray, hot_counts: np.ndarray):
     hot, hot_counts = hot[order], hot_counts[order]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, before, times, docs, train = [], [], [], [], []
+        word, before, trained, places = [], [], [], []
         for batch in batches:
-            for row in batch.to_pylist():
-                first = row["block"] << 16
-                if row["ids"] is not None:
-                    n, sizes = len(row["ids"]), np.frombuffer(row["sizes"], "i8")
-                    yield _row("info", n, rid=np.arange(n) + first, id=row["ids"], held=sizes % 2 == 0,
-                               n_tokens=sizes // 2)
-                fan, marked = np.frombuffer(row["fan"], "u4"), np.frombuffer(row["docs"], "u2")
-                word.append(np.repeat(np.frombuffer(row["word"], "u8"), fan))
+            for row in batch.select(COUNTED).to_pylist():
+                places.append((row["block"], row["part"]))
+                word.append(np.repeat(np.frombuffer(row["word"], "u8"), np.frombuffer(row["fan"], "u4")))
                 before.append(np.frombuffer(row["before"], "u8"))
-                times.append(np.frombuffer(row["times"], "u4"))
-                docs.append((marked >> 1).astype("i8") + first)
-                train.append(marked % 2 == 1)
-        if not sum(map(len, docs)):
+                trained.append(np.frombuffer(row["trained"], "u4"))
+        if not places:
             return
-        word, before, times = map(np.concatenate, (word, before, times))
-        rids, docs = np.unique(np.concatenate(docs), return_inverse=True)
-        train = np.concatenate(train)
-        # pairs of all blocks in order, and the pair of every token
+        ends = np.cumsum([0, *map(len, before)])
+        word, before, trained = map(np.concatenate, (word, before, trained))
+        # pairs of all blocks in order, and the pair of every entry
         order = np.lexsort((before, word))
         rank = np.empty(len(order), "i8")
         w, v = word[order], before[order]
         new = np.r_[True, (w[1:] != w[:-1]) | (v[1:] != v[:-1])] if len(w) else np.empty(0, bool)
         rank[order] = np.cumsum(new) - 1
         w, v = w[new], v[new]
-        pair = np.repeat(rank, times)
-        del word, before, order, rank
-        seen = np.bincount(pair[train], minlength=len(w))
+        seen = np.bincount(rank, trained, len(w)).astype("i8")
+        del word, before, trained, order
         head, number = _grouped(w)
         count = np.add.reduceat(seen, head) if len(head) else np.empty(0, "i8")
         name = w[head]
@@ -287,36 +283,14 @@ def _part(parts: int, hot: np.ndarray, hot_counts: np.ndarray):
         own = count[~is_hot]
         few = np.bincount(np.minimum(own, CUT + 2), minlength=CUT + 3)
         pairs = np.bincount(np.minimum(seen, CUT + 2), minlength=CUT + 3)
-        yield _row("cc", 1, counts=[[*few[1:-1], (own > 0).sum(), own.sum(), *pairs[1:-1]]])
-        # sums per document
-        r, c = seen[pair], count[number[pair]]
-        n = len(rids)
-
-        def add(mask: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
-            return np.bincount(docs[mask], None if weight is None else weight[mask], n).astype("f8")
-
-        logs = np.log10(np.maximum(r, 1))
-        logc = np.log10(np.maximum(c, 1))
-        sums = {
-            "s0": add(c >= 0, np.log10(c + 1.0)),
-            "known": add(c > 0),
-            "unseen": add(r == 0),
-            "a": add(r > CUT, logs),
-            "b": add((r == 0) & (c > CUT), logc),
-        }
-        sums |= {f"r{k}": add(r == k) for k in range(1, CUT + 1)}
-        sums |= {f"u{k}": add((r == 0) & (c == k)) for k in range(CUT + 1)}
-        for i in range(0, n, 20_000):
-            some = slice(i, i + 20_000)
-            yield _row("doc", len(rids[some]), rid=rids[some], **{k: x[some] for k, x in sums.items()})
-        # tokens in unseen pairs wait for the weight of their history
-        mask = r == 0
-        lost = np.unique((docs[mask].astype("u8") << np.uint64(32)) | pair[mask].astype("u8"), return_counts=True)
-        for i in range(0, len(lost[0]), 50_000):
-            key, m = lost[0][i : i + 50_000], lost[1][i : i + 50_000]
-            yield _row("lost", len(key), rid=rids[(key >> np.uint64(32)).astype("i8")], n=m,
-                       key=v[(key & np.uint64(0xFFFFFFFF)).astype("i8")].view("i8"))
-        del r, c, logs, logc, mask, pair, lost
+        yield _row("cc", 1, KIND, counts=[[*few[1:-1], (own > 0).sum(), own.sum(), *pairs[1:-1]]])
+        # back to the blocks
+        for (block, part), lo, hi in zip(places, ends[:-1], ends[1:], strict=True):
+            mine = rank[lo:hi]
+            r = seen[mine]
+            yield _row("back", 1, KIND, block=[block], part=[part], seen=[r.tobytes()],
+                       count=[count[number[mine]].tobytes()], lost=[v[mine[r == 0]].tobytes()])
+        del rank
         # what was seen after each history
         known = np.flatnonzero(seen)
         known = known[np.argsort(v[known], kind="stable")]
@@ -336,12 +310,53 @@ def _part(parts: int, hot: np.ndarray, hot_counts: np.ndarray):
         for p in range(parts):
             some = order[where[p] : where[p + 1]]
             if len(some):
-                yield _row("hist", 1, hpart=[p], keys=[keys[some].tobytes()],
+                yield _row("hist", 1, KIND, hpart=[p], keys=[keys[some].tobytes()],
                            history=[table[some].T.astype("f8").tobytes()])
 
     return work
 
 
+def _sums(kept: pa.Table, back: pa.Table) -> pa.Table:
+    """Sums of the documents of a block, and their tokens in unseen pairs by history."""
+    kept, back = kept.sort_by("part"), back.sort_by("part")
+
+    def joined(table: pa.Table, name: str, type_: str) -> np.ndarray:
+        return np.concatenate([np.frombuffer(x, type_) for x in table.column(name).to_pylist()])
+
+    times, marked = joined(kept, "times", "u4"), joined(kept, "docs", "u2")
+    docs = (marked >> 1).astype("i8")
+    own = kept.filter(pc.is_valid(kept.column("ids"))).to_pylist()[0]
+    n, sizes = len(own["ids"]), np.frombuffer(own["sizes"], "i8")
+    rids = np.arange(n) + (own["block"] << 16)
+    seen = joined(back, "seen", "i8")
+    r, c = np.repeat(seen, times), np.repeat(joined(back, "count", "i8"), times)
+
+    def add(mask: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(docs[mask], None if weight is None else weight[mask], n).astype("f8")
+
+    logc = np.log10(np.maximum(c, 1))
+    sums = {
+        "s0": add(c >= 0, np.log10(c + 1.0)),
+        "known": add(c > 0),
+        "unseen": add(r == 0),
+        "a": add(r > CUT, np.log10(np.maximum(r, 1))),
+        "b": add((r == 0) & (c > CUT), logc),
+    }
+    sums |= {f"r{k}": add(r == k) for k in range(1, CUT + 1)}
+    sums |= {f"u{k}": add((r == 0) & (c == k)) for k in range(CUT + 1)}
+    out = [_row("doc", n, DOC, rid=rids, id=own["ids"], held=sizes % 2 == 0, n_tokens=sizes // 2, **sums)]
+    # tokens in unseen pairs wait for the weight of their history
+    history, at = np.unique(joined(back, "lost", "u8"), return_inverse=True)
+    place = np.zeros(len(seen), "i8")
+    place[seen == 0] = at
+    mask = r == 0
+    lost, m = np.unique(docs[mask] * max(len(history), 1) + np.repeat(place, times)[mask], return_counts=True)
+    if len(lost):
+        doc, at = np.divmod(lost, len(history))
+        out.append(_row("lost", len(lost), DOC, rid=rids[doc], n=m, key=history[at].view("i8")))
+    return pa.Table.from_batches(out)
+
+
 def _weights(d: list[float], e: list[float], tokens: int):
     """Backoff weight and total of every history of a part, as one logarithm."""
 
@@ -401,20 +416,16 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     rows = df.select(
         F.col(key).cast("bigint").alias("id"), (~held).alias("train"), F.col(text).cast("binary").alias("raw")
     )
-    often = rows.mapInArrow(_frequent, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    found = {r["word"]: r["n"] for r in staged(often, "lm-often").collect()}
-    tokens = found.pop(None, 0)
+    tokens, frequent = frequent_words(rows)
     parts = min(1 << 20, max(LEAST_PARTS, -(-tokens // PART_TOKENS)))
-    names = [bytes(w) for w, n in found.items() if n * 2 * HOT_SHARE >= tokens]
-    hot = np.array([word_key(w) for w in names], "u8")
-    exact = rows.mapInArrow(_counter(names), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    hot_of = {bytes(r["word"]): r["n"] for r in exact.collect()} if names else {}
-    hot_counts = np.array([hot_of[w] for w in names], "i8")
-    pairs = rows.mapInArrow(_sorter(parts, hot), PAIRS).repartitionById(parts, F.col("part"))
-    tables = staged(pairs.mapInArrow(_part(parts, hot, hot_counts), OUT), "lm-tables", by=["kind"])
+    hot = np.array([word_key(w) for w in frequent], "u8")
+    hot_counts = np.array(list(frequent.values()), "i8")
+    pairs = staged(rows.mapInArrow(_sorter(parts, hot), PAIRS), "lm-pairs")
+    counted = pairs.select(*COUNTED).repartitionById(parts, F.col("part"))
+    tables = staged(counted.mapInArrow(_part(parts, hot, hot_counts), OUT), "lm-tables", by=["kind"])
 
-    def kind(name: str, *columns: str) -> DataFrame:
-        return tables.filter(F.col("kind") == name).select(*columns)
+    def kind(name: str, *columns: str, of: DataFrame = tables) -> DataFrame:
+        return of.filter(F.col("kind") == name).select(*columns)
 
     width = 2 * (CUT + 1) + 2
     sums = [F.coalesce(F.sum(F.col("counts")[i]), F.lit(0)) for i in range(width)]
@@ -432,19 +443,14 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         .mapInArrow(_weights(d, e, total), "key bigint, term double")
     )
     weights = staged(weights, "lm-weights")
-    lost = kind("lost", "rid", "key", "n").join(weights, "key", "left")
+    back = kind("back", "block", "part", "seen", "count", "lost").groupBy("block")
+    summed = pairs.select(*KEPT).groupBy("block").cogroup(back).applyInArrow(_sums, SUMMED)
+    summed = staged(summed, "lm-sums", by=["kind"])
+    lost = kind("lost", "rid", "key", "n", of=summed).join(weights, "key", "left")
     backed = lost.select("rid", (F.col("n") * F.coalesce("term", F.lit(0.0))).alias("backoff"))
-    nothing = [F.lit(0.0).alias(c) for c in SUMS]
-    blank = [F.lit(None).cast(t).alias(c) for c, t in (("id", "bigint"), ("n_tokens", "bigint"), ("held", "boolean"))]
-    union = (
-        kind("doc", "rid", *SUMS).select("*", F.lit(0.0).alias("backoff"), *blank)
-        .unionByName(backed.select("rid", *nothing, "backoff", *blank))
-        .unionByName(kind("info", "rid", "id", "n_tokens", "held").select("*", *nothing, F.lit(0.0).alias("backoff")))
-    )
-    added = union.groupBy("rid").agg(
-        *[F.sum(c).alias(c) for c in [*SUMS, "backoff"]],
-        *[F.max(c).alias(c) for c in ("id", "n_tokens", "held")],
-    )
+    told = ["rid", "id", "n_tokens", "held", *SUMS]
+    backed = backed.groupBy("rid").agg(F.sum("backoff").alias("backoff")).hint("merge")
+    added = kind("doc", *told, of=summed).join(backed, "rid", "left")
     seen = F.col("a")
     for k in range(1, CUT + 1):
         seen = seen + F.col(f"r{k}") * log10(d[k - 1] * k)
@@ -459,5 +465,5 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         F.col("known").cast("bigint").alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("s0") - F.col("n_tokens") * log10(total + types + 1)).alias("base_score"),
-        (seen - F.col("s0") + lower + F.col("backoff")).alias("score"),
+        (seen - F.col("s0") + lower + F.coalesce("backoff", F.lit(0.0))).alias("score"),
     )

@@ -156,6 +156,27 @@ def test_block_of_a_text_of_many_words(monkeypatch):
         assert order.tolist() == [1, 2, 0]
 
 
+def test_parts_get_counts_and_no_tokens(monkeypatch):
+    monkeypatch.setattr(lm_score, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+
+    def to_parts(copies):
+        text = " ".join(f"w{i}" for i in range(20)).encode()
+        batch = pa.record_batch({"id": range(copies), "train": [True] * copies, "raw": [text] * copies})
+        out = [r for b in lm_score._sorter(12, np.empty(0, "u8"))(iter([batch])) for r in b.to_pylist()]
+        return sum(len(r[c]) for r in out for c in ("word", "fan", "before", "trained"))
+
+    assert to_parts(5000) == to_parts(50)
+
+
+def test_words_frequent_in_no_block_are_split(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "PART_TOKENS", 40)
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 1500)
+    rows = [(i, " ".join(["often", *(f"w{i}x{k}" for k in range(1000))])) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    tokens, hot = lm_score.frequent_words(df.selectExpr("doc_id id", "true train", "cast(text as binary) raw"))
+    assert tokens == 30 * 1002 and hot == {b"often": 30, lm_score.END_WORD: 30}
+
+
 def test_katz_without_training_rows(spark):
     held = next(i for i in range(100) if fold(i, 7) == 2)
     row = lm_score.score_documents(spark.createDataFrame([(held, "a b")], "doc_id bigint, text string")).first()
