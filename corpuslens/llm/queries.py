@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpuslens.llm.ann import nearest
 from corpuslens.llm.common import table
+from corpuslens.llm.compression_rules import judge_texts
 from corpuslens.llm.exact_dedup import dedup_exact
 from corpuslens.llm.jaccard_join import link_documents
 from corpuslens.llm.license_scan import scan_licenses
@@ -64,6 +65,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -77,5 +82,6 @@ QUERIES: dict[str, Query] = {
         op8_lm_score,
         op9_mixing,
         op10_sharding,
+        op13_compression_rules,
     )
 }
