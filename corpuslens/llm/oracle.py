@@ -39,4 +39,26 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3, "op9_mixing": OP9}
+OP11 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms, row_number() OVER () AS row FROM documents),
+b AS (SELECT item_id, row_number() OVER () AS q, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+c AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d),
+p AS (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+t AS (SELECT row, doc_id, n, term, count(*) AS tf FROM p
+  WHERE term IN (SELECT term FROM b) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * CAST(n_docs AS DOUBLE) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM t, c GROUP BY term, n_docs),
+i AS (SELECT row, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)) AS impact
+  FROM t, c),
+s AS (SELECT q, item_id, row, doc_id, CAST(sum(w * impact) AS BIGINT) AS score
+  FROM b JOIN w USING (term) JOIN i USING (term) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3, "op9_mixing": OP9, "op11_ranked_search": OP11}

@@ -18,6 +18,7 @@ from corpuslens.llm.mixing import mix_documents
 from corpuslens.llm.packing import pack_documents
 from corpuslens.llm.pii import find_pii
 from corpuslens.llm.quality import classify_quality
+from corpuslens.llm.ranked_search import search_ranked
 from corpuslens.llm.sharding import shard_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +66,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_texts(table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Query] = {
         op8_lm_score,
         op9_mixing,
         op10_sharding,
+        op11_ranked_search,
         op13_compression_rules,
     )
 }
