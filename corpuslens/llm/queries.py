@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpuslens.llm.ann import nearest
-from corpuslens.llm.common import table
+from corpuslens.llm.common import staged, table
 from corpuslens.llm.compression_rules import judge_texts
+from corpuslens.llm.conversation_repair import digests, repair_conversations, repaired_rows
 from corpuslens.llm.exact_dedup import dedup_exact
 from corpuslens.llm.jaccard_join import link_documents
 from corpuslens.llm.license_scan import scan_licenses
@@ -70,6 +72,41 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with faults put in by a fold of ``conv_id:turn``; nulls become one space."""
+    one = F.lit(" ")
+    conv, turn = (F.coalesce(F.col(c).cast("string"), one) for c in ("conv_id", "turn"))
+    fold = F.crc32(F.concat(conv, F.lit(":"), turn).cast("binary")) % 20
+    role, text = F.coalesce("role", one), F.coalesce("text", one)
+    rows = conversations.select("conv_id", "turn", fold.alias("fold"), role.alias("role"), text.alias("text"))
+    fold = F.col("fold")
+    text = F.when(fold == 1, "").when(fold == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    return rows.filter(fold != 0).select(
+        "conv_id",
+        "turn",
+        F.when(fold == 4, "user").otherwise(F.col("role")).alias("role"),
+        text.alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(fold == 3, 2).otherwise(1))).alias("copy"),
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = table(spark, sf_dir, "conversations")
+    rows = damaged(source)
+    report = staged(repair_conversations(rows), "repair-report")
+    hashed = digests(repaired_rows(rows, report))
+    named = source.select(F.col("conv_id").alias("_id")).distinct()
+    found = named.join(report, F.col("_id").eqNullSafe(report["conv_id"]), "left").drop("conv_id")
+    found = found.join(hashed, F.col("_id").eqNullSafe(hashed["conv_id"]), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return found.select(
+        F.col("_id").alias("conv_id"),
+        *(F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 def op13_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_texts(table(spark, sf_dir, "documents"))
 
@@ -88,6 +125,7 @@ QUERIES: dict[str, Query] = {
         op9_mixing,
         op10_sharding,
         op11_ranked_search,
+        op12_conversation_repair,
         op13_compression_rules,
     )
 }
