@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpuslens.functions.widths import classes
+
 # Unicode white space as one property test, which is much faster than a list of characters.
 BLANKS = r"(?U)[^\S\n]++"  # all but the line feed
 AT_ENDS = r"(?U)\A\s++|\s++\z"
@@ -230,60 +232,128 @@ def line_array(text: Column) -> Column:
     )
 
 
-def _fill_tabs(line: Column) -> Column:
-    # Every stop is a multiple of eight, so a part's fill depends on its own length alone.
+BLOCK = 256  # elements of an array that one pass appends to
+FILL = "\0"  # stands behind a wide character, so that a text has one character per column
+GONE = "\x02"  # a line of which nothing shows
+
+
+def _columns(text: Column) -> Column:
+    """Text with one character per column: no control characters but tabs and line feeds, none
+    without a width, and a ``FILL`` behind every wide one."""
+    zero, two = classes()
+    clean = F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F\x7F-\x9F]", "")
+    shown = F.regexp_replace(clean, rf"(?md)^[{zero}]++$", GONE)
+    shown = F.regexp_replace(F.regexp_replace(shown, f"[{zero}]", ""), f"([{two}])", rf"$1{FILL}")
+    return F.when(F.rlike(clean, F.lit(r"[\xAD\x{300}-\x{10FFFF}]")), shown).otherwise(clean)
+
+
+def _piece_pattern(width: int) -> str:
+    """Longest run of ``width`` columns that does not end inside a wide character."""
+    return rf"(?s).{{1,{width}}}(?!{FILL})" if width > 1 else f"(?s).{FILL}?"
+
+
+def _fill_by_part(line: Column) -> Column:
+    """Tabs filled where rows are whole and stops too: by the length of the part before alone."""
+
     def filled(parts: Column) -> Column:
-        last = F.size(parts) - 1
-        return F.transform(
-            parts,
-            lambda part, i: F.when(i == last, part).otherwise(
-                F.rpad(part, ((F.floor(F.length(part) / 8) + 1) * 8).cast("int"), F.lit(" "))
+        stops = F.transform(
+            F.slice(parts, F.lit(1), F.size(parts) - 1),
+            lambda part: F.rpad(part, ((F.floor(F.length(part) / 8) + 1) * 8).cast("int"), F.lit(" ")),
+        )
+        return F.concat(F.array_join(stops, ""), F.element_at(parts, -1))
+
+    return let(F.split(line, "\t", -1), filled)
+
+
+def _fill_in_order(line: Column, width: int) -> Column:
+    """Tabs filled one after the other: a wide character that did not fit has moved all that follows."""
+    none = F.array().cast("array<string>")
+
+    def column_after(col: Column, part: Column) -> Column:
+        rows = F.regexp_extract_all(
+            F.concat(F.repeat(F.lit("-"), col), part), F.lit(_piece_pattern(width)), F.lit(0)
+        )
+        return F.when(part == "", col).otherwise(F.length(F.element_at(rows, -1)))
+
+    def step(state: Column, part: Column) -> Column:
+        def with_end(end: Column) -> Column:
+            fill = 8 - F.pmod(end, F.lit(8))
+            return F.struct(
+                (F.pmod(end + fill - 1, F.lit(width)) + 1).alias("col"),
+                F.concat(state["out"], F.array(F.concat(part, F.repeat(F.lit(" "), fill)))).alias("out"),
+            )
+
+        return let(column_after(state["col"], part), with_end)
+
+    def block(state: Column, parts: Column) -> Column:
+        start = F.struct(state["col"].alias("col"), none.alias("out"))
+        return let(
+            F.aggregate(parts, start, step),
+            lambda done: F.struct(
+                done["col"].alias("col"),
+                F.concat(state["out"], F.array(F.array_join(done["out"], ""))).alias("out"),
             ),
         )
 
-    return F.when(
-        F.contains(line, F.lit("\t")), F.array_join(filled(F.split(line, "\t", -1)), "")
-    ).otherwise(line)
+    def filled(parts: Column) -> Column:
+        before = F.slice(parts, F.lit(1), F.size(parts) - 1)
+        starts = F.sequence(F.lit(0), F.floor(F.size(parts) / F.lit(BLOCK)).cast("int"))
+        blocks = let(before, lambda p: F.transform(starts, lambda b: F.slice(p, b * BLOCK + 1, BLOCK)))
+        done = F.aggregate(blocks, F.struct(F.lit(0).alias("col"), none.alias("out")), block)
+        return F.concat(F.array_join(done["out"], ""), F.element_at(parts, -1))
+
+    return let(F.split(line, "\t", -1), filled)
+
+
+def _fill_tabs(line: Column, width: int) -> Column:
+    """Tabs as spaces up to the next multiple of eight columns of the row they are in."""
+    in_order = _fill_in_order(line, width)
+    if width % 8 == 0:
+        in_order = F.when(F.contains(line, F.lit(FILL)), in_order).otherwise(_fill_by_part(line))
+    return F.when(F.contains(line, F.lit("\t")), in_order).otherwise(line)
 
 
 def visual_line_count(text: Column, width: int = 80) -> Column:
     """Number of pieces :func:`visual_line_array` cuts a text into, without cutting it."""
 
     def pieces(line: Column) -> Column:
-        length = F.length(_fill_tabs(sanitize(line)))
-        return F.greatest(F.lit(1), F.ceil(length / F.lit(width)).cast("int"))
+        by_length = F.greatest(F.lit(1), F.ceil(F.length(line) / F.lit(width)).cast("int"))
+        by_piece = F.regexp_count(line, F.lit(_piece_pattern(width)))
+        return (
+            F.when(line == GONE, 0).when(F.contains(line, F.lit(FILL)), by_piece).otherwise(by_length)
+        )
 
-    counts = F.transform(F.split(text, "\n", -1), pieces)
+    lines = F.split(_columns(text), "\n", -1)
+    counts = F.transform(F.transform(lines, lambda line: _fill_tabs(line, width)), pieces)
     total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
     return F.when(text == "", F.lit(0).cast("bigint")).otherwise(total)
 
 
 def visual_line_array(text: Column, width: int = 80) -> Column:
-    """Array of ``(line_no, piece_no, text)``: each line cut into pieces of ``width`` characters.
+    """Array of ``(line_no, piece_no, text)``: each line cut into pieces of ``width`` columns.
 
-    A final line feed opens one more, empty line. Tabs fill to the next multiple of eight, so
-    ``width`` must be a multiple of eight for lines with tabs.
+    A final line feed opens one more, empty line. Wide characters take two columns and are never
+    cut; marks and other characters without a width go, and a line of nothing else has no piece.
+    Tabs fill to the next multiple of eight columns.
     """
     if width < 1:
         raise ValueError("width must be positive")
 
     def pieces(line: Column, i: Column) -> Column:
-        filled = _fill_tabs(sanitize(line))
-        cut = F.regexp_extract_all(filled, F.lit(rf"(?s).{{1,{width}}}"), F.lit(0))
-        cut = F.when(filled == "", F.array(F.lit(""))).otherwise(cut)
+        cut = F.regexp_extract_all(line, F.lit(_piece_pattern(width)), F.lit(0))
+        cut = F.when(line == "", F.array(F.lit(""))).when(line == GONE, F.array().cast("array<string>")).otherwise(cut)
         return F.transform(
             cut,
             lambda piece, k: F.struct(
                 (i + 1).cast("bigint").alias("line_no"),
                 (k + 1).cast("bigint").alias("piece_no"),
-                piece.alias("text"),
+                F.replace(piece, F.lit(FILL), F.lit("")).alias("text"),
             ),
         )
 
     empty = F.array().cast("array<struct<line_no:bigint,piece_no:bigint,text:string>>")
-    return F.when(text == "", empty).otherwise(
-        F.flatten(F.transform(F.split(text, "\n", -1), pieces))
-    )
+    filled = F.transform(F.split(_columns(text), "\n", -1), lambda line: _fill_tabs(line, width))
+    return F.when(text == "", empty).otherwise(F.flatten(F.transform(filled, pieces)))
 
 
 def hex_line_array(content: Column, cols: int = 16) -> Column:

@@ -33,7 +33,7 @@ def split_pages(
 def wrap_lines(
     df: DataFrame, width: int = 80, id_col: str = "id", text_col: str = "text"
 ) -> DataFrame:
-    """``(id, row_no, line_no, piece_no, text)``: visual lines of ``width`` characters.
+    """``(id, row_no, line_no, piece_no, text)``: visual lines of ``width`` columns.
 
     ``row_no`` counts visual lines from 1 within an id.
     """

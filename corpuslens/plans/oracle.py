@@ -229,6 +229,26 @@ ORACLE_SQL["page_counts"] = f"""
 WITH {_LINES}, {_wrapped('lines', 80)}
 SELECT id, count(*) AS n_lines, max((row_no - 1) // 23 + 1) AS n_pages FROM visual GROUP BY id"""
 
+# A cursor that goes through the characters; chr(1) stands for a wide one's second column.
+_LAST = "string_split(a, chr(10))[-1]"
+_WIDE = f"""
+wide AS (SELECT doc_id AS id, n AS line_no, list_transform(regexp_extract_all(replace(v, chr(769), ''), '(?s).'),
+    lambda c: CASE WHEN c IN ('漢', 'Ａ', '🙂') THEN c || chr(1) ELSE c END) AS chars,
+    v <> '' AND replace(v, chr(769), '') = '' AS gone
+  FROM documents, unnest(string_split(replace(translate(text, 'wvkc', '漢Ａ' || chr(769) || '🙂'),
+    ', ', ',' || chr(9)), {LF})) WITH ORDINALITY u(v, n)),
+walked AS (SELECT id, line_no, list_reduce(list_prepend('', chars), lambda a, c: CASE
+    WHEN c <> chr(9) AND {_LAST} <> '' AND length({_LAST}) + length(c) > 30 THEN a || {LF} || c
+    WHEN c <> chr(9) THEN a || c
+    WHEN length({_LAST}) + 8 - length({_LAST}) % 8 <= 30 THEN a || repeat(' ', 8 - length({_LAST}) % 8)
+    ELSE a || repeat(' ', 30 - length({_LAST})) || {LF}
+      || repeat(' ', 8 - length({_LAST}) % 8 - 30 + length({_LAST})) END) AS t FROM wide WHERE NOT gone),
+visual AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY line_no, k) AS row_no, line_no, k AS piece_no,
+  replace(p, chr(1), '') AS text FROM walked, unnest(string_split(t, {LF})) WITH ORDINALITY u(p, k))"""
+ORACLE_SQL["wrap_lines_wide"] = f"WITH {_WIDE} SELECT * FROM visual"
+ORACLE_SQL["page_counts_wide"] = f"""
+WITH {_WIDE} SELECT id, count(*) AS n_lines, max((row_no - 1) // 20 + 1) AS n_pages FROM visual GROUP BY id"""
+
 
 def _hex_lines(source: str) -> str:
     """Rows of the hex dump of ``content`` (text) of ``source (id, content)``."""

@@ -212,6 +212,17 @@ def wrap_lines(spark, sf):
     return L.wrap_lines(tabbed.withColumn("text", F.concat("text", F.lit("\n"))), 40)
 
 
+@query
+def wrap_lines_wide(spark, sf):
+    """Wide characters, marks and tabs, in rows whose width is no multiple of a tab stop."""
+    return L.wrap_lines(V.wide_docs(_docs(spark, sf)), 30)
+
+
+@query
+def page_counts_wide(spark, sf):
+    return L.page_counts(V.wide_docs(_docs(spark, sf)), 20, 30)
+
+
 @query
 def paginate(spark, sf):
     return L.paginate(_id_text(spark, sf)).drop("line_no", "piece_no")

@@ -246,6 +246,14 @@ def paged_docs(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("id"), F.array_join(lines, "").alias("text"))
 
 
+def wide_docs(documents: DataFrame) -> DataFrame:
+    """``(id, text)``: some letters as wide characters, one as a mark, a tab behind every comma."""
+    text = F.translate("text", "wvkc", "漢Ａ\u0301🙂")
+    return documents.select(
+        F.col("doc_id").alias("id"), F.replace(text, F.lit(", "), F.lit(",\t")).alias("text")
+    )
+
+
 def magic_docs(documents: DataFrame) -> DataFrame:
     """``(id, content)``: every document behind the leading bytes of some format."""
     from corpuslens.functions.detect import MAGIC

@@ -4,6 +4,7 @@ import csv
 import io
 import json
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +134,12 @@ def test_sanitize(apply):
     assert apply(T.sanitize, "a\tb\r\x07\x1bc\x7f\x85d") == ["a\tbcd"]
 
 
+def columns(c: str) -> int:
+    if unicodedata.category(c) in ("Mn", "Me", "Cf"):
+        return 0
+    return 2 if unicodedata.east_asian_width(c) in "WF" else 1
+
+
 def model_wrap(text: str, width: int) -> list[tuple[int, int, str]]:
     if not text:
         return []
@@ -144,20 +151,33 @@ def model_wrap(text: str, width: int) -> list[tuple[int, int, str]]:
             continue
         current, col, k = "", 0, 1
         for c in line:
-            for piece in [" "] * (8 - col % 8) if c == "\t" else [c]:
-                if col + 1 > width and current:
+            for piece in [" "] * (8 - col % 8) if c == "\t" else [c] * (columns(c) > 0):
+                if col + columns(piece) > width and current:
                     rows.append((no, k, current))
                     current, col, k = "", 0, k + 1
                 current += piece
-                col += 1
-        rows.append((no, k, current))
+                col += columns(piece)
+        if current:
+            rows.append((no, k, current))
     return rows
 
 
-def test_wrap_like_a_cursor(apply):
-    texts = random_texts(["a", "bc", " ", "\t", "\n", "\r", "äö", "\x07", "long-word-of-20-chars"], 300, 4, 40)
-    got = apply(lambda c: T.visual_line_array(c, 16), *texts)
-    assert [[tuple(r) for r in rows] for rows in got] == [model_wrap(t, 16) for t in texts]
+@pytest.mark.parametrize("width", [16, 1, 2, 7, 13, 80])
+def test_wrap_like_a_cursor(apply, width):
+    parts = ["a", "bc", " ", "\t", "\n", "\r", "äö", "\x07", "long-word-of-20-chars", "漢", "한글字", "Ａ", "🙂",
+             "e\u0301", "\u200b", "\n\u0301\n", "\xad", "ｱ"]
+    texts = random_texts(parts, 300, 4, 40)
+    got = apply(lambda c: T.visual_line_array(c, width), *texts)
+    want = [model_wrap(t, width) for t in texts]
+    assert [[tuple(r) for r in rows] for rows in got] == want
+    assert apply(lambda c: T.visual_line_count(c, width), *texts) == [len(w) for w in want]
+
+
+def test_wide_characters_and_tabs_in_one_long_line(spark):
+    text = "漢a\t" * 30_000 + "🙂"
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    rows = L.wrap_lines(df, 21).orderBy("row_no").collect()
+    assert [r["text"] for r in rows] == [r[2] for r in model_wrap(text, 21)]
 
 
 def test_lines_and_pages(spark):
