@@ -1,41 +1,28 @@
 """Path trees as flat node tables.
 
 Entries are ``(tree_id, seq, path, is_dir, size, mode)``; nodes are
-``(tree_id, path, parent, name, depth, is_dir, size, mode, seq)``. A tree may hold most of all rows,
-so no step brings a tree together: a node's place follows from the sizes of the subtrees before it
-among its siblings and among the siblings of its ancestors, and siblings are ordered by parts of
-their names first. Caps are for previews, which ask for them.
+``(tree_id, path, parent, name, depth, is_dir, size, mode, seq)``. A tree, and a directory of it, may
+hold most of all rows, so no step brings one together: nodes are sorted by range of their keys, and
+what partitions must know of each other is one row per tree and partition. Caps are for previews,
+which ask for them. A tree that is one value of a row is drawn inside the row, see
+:mod:`corpuslens.functions.trees`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 from pyspark.sql import Window as W
 
+from corpuslens.functions.trees import drawn_line, is_noise, path_parts
 from corpuslens.limits import DEFAULTS
 from corpuslens.operators.ranking import first_per_group
-
-
-def path_parts(path: Column) -> Column:
-    """Components of a path, empty ones dropped."""
-    return F.filter(F.split(path, "/", -1), lambda p: p != "")
-
-
-def is_noise(path: Column, comic: bool = False) -> Column:
-    """Files that archivers add: resource forks, folder settings, pax headers.
-
-    Comic archives have no rule for pax headers.
-    """
-    base = F.regexp_extract(path, r"([^/]*)\z", 1)
-    noise = (
-        F.startswith(base, F.lit("._"))
-        | (base == ".DS_Store")
-        | F.rlike(path, F.lit(r"(?:\A|/)__MACOSX/"))
-    )
-    if not comic:
-        noise = noise | (base == "PaxHeader") | F.rlike(path, F.lit(r"(?:\A|/)PaxHeader/"))
-    return noise
+from corpuslens.plans.storage import work_dir
 
 
 def drop_noise(entries: DataFrame, comic: bool = False) -> DataFrame:
@@ -148,97 +135,142 @@ def list_limit(
     )
 
 
-def _with_ancestors(nodes: DataFrame) -> DataFrame:
-    """One row per node with ``chain``: ``(level, link)`` of its ancestors and itself, a link being
-    ``(last, before)``: whether it is the last of its siblings, and the nodes in the subtrees of the
-    siblings before it.
+def _sort_keys(nodes: DataFrame) -> DataFrame:
+    """Nodes with ``_key``: per level whether it is a file, the lower-cased name, and the place among
+    siblings that differ from it in case alone. In order of keys, nodes stand in preorder.
 
-    Siblings are ordered in two steps, by the start of the name and then inside, so that a directory
-    of very many entries is not one task.
+    Only siblings of one name meet in a window. What is no plain directory and has nodes below (a second
+    place, or a file in whose place a directory stood) is rare; it reaches the nodes below by a join,
+    which adaptive execution leaves out when there is none.
     """
-    lineage = nodes.select(
-        "tree_id", "path", "depth", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("level")
-    ).withColumn("above", F.array_join(F.slice(F.split("path", "/", -1), F.lit(1), F.col("level")), "/"))
-    sizes = lineage.groupBy("tree_id", "above").agg(F.count(F.lit(1)).alias("below"))
-    folded = F.lower("name")
-    keyed = nodes.join(sizes.withColumnRenamed("above", "path"), ["tree_id", "path"]).select(
-        "tree_id",
-        "path",
-        "parent",
-        "below",
-        F.struct(F.when(F.col("is_dir"), 0).otherwise(1).alias("f"), folded.alias("n"), "seq").alias("key"),
-        F.struct(
-            F.when(F.col("is_dir"), 0).otherwise(1).alias("f"), F.substring(folded, 1, 2).alias("n")
-        ).alias("start"),
+    is_file = F.when(F.col("is_dir"), 0).otherwise(1)
+    alike = W.partitionBy("tree_id", "parent", "_f", F.lower("name")).orderBy("seq", "name")
+    named = nodes.withColumn("_f", is_file).withColumn("_t", F.row_number().over(alike))
+    above = nodes.select("tree_id", F.col("parent").alias("path")).distinct()
+    odd = named.filter("_t > 1 OR _f = 1").join(above, ["tree_id", "path"], "left_semi")
+    odd = odd.select("tree_id", F.col("path").alias("_above"), F.struct("_f", "_t").alias("_place"))
+    parts = F.split("path", "/", -1)
+    lineage = nodes.filter("depth > 1").select(
+        "tree_id", "path", F.explode(F.sequence(F.lit(1), F.col("depth") - 1)).alias("_n")
     )
-    siblings = ["tree_id", "parent"]
-    groups = keyed.groupBy(*siblings, "start").agg(F.sum("below").alias("n"))
-    whole = W.partitionBy(*siblings)
-    offsets = groups.select(
-        *siblings,
-        "start",
-        F.coalesce(F.sum("n").over(whole.orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(
-            "offset"
-        ),
-        F.sum("n").over(whole).alias("total"),
+    lineage = lineage.withColumn("_above", F.array_join(F.slice(parts, F.lit(1), F.col("_n")), "/"))
+    places = (
+        lineage.join(odd, ["tree_id", "_above"])
+        .groupBy("tree_id", "path")
+        .agg(F.map_from_entries(F.collect_list(F.struct("_n", "_place"))).alias("_places"))
     )
-    inside = W.partitionBy(*siblings, "start").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("below").over(inside), F.lit(0))
-    links = (
-        keyed.withColumn("before", before)
-        .join(offsets, [*siblings, "start"])
-        .withColumn("before", F.col("before") + F.col("offset"))
-        .select(
-            "tree_id",
-            F.col("path").alias("above"),
-            F.struct(
-                (F.col("before") + F.col("below") == F.col("total")).alias("last"), "before"
-            ).alias("link"),
-        )
+    plain = F.struct(F.lit(0).alias("_f"), F.lit(1).alias("_t"))
+    own = F.struct("_f", "_t")
+
+    def level(name: Column, i: Column) -> Column:
+        place = F.coalesce(F.try_element_at("_places", (i + 1).cast("int")), plain)
+        place = F.when(i + 1 == F.col("depth"), own).otherwise(place)
+        return F.struct(place["_f"].alias("f"), name.alias("n"), place["_t"].alias("t"))
+
+    keyed = named.join(places, ["tree_id", "path"], "left")
+    key = F.transform(F.split(F.lower("path"), "/", -1), level)
+    return keyed.withColumn("_key", key).drop("_places", "_f", "_t")
+
+
+def _scan_backward() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds to rows in descending preorder their partition, their number from the end in tree and
+    partition, and per level whether the ancestor there is the last of its siblings: ``1``, ``0``, or
+    ``?`` where rows of later partitions decide. Nested, so that it is shipped by value."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        tree, begun, number, levels, beyond = None, False, 0, "", "?"
+        for batch in batches:
+            numbers, lasts = [], []
+            trees = batch.column("tree_id").to_pylist()
+            for next_tree, depth in zip(trees, batch.column("depth").to_pylist(), strict=True):
+                if not begun or next_tree != tree:
+                    tree, begun, number, levels, beyond = next_tree, True, 0, "", "?"
+                last = levels[:depth].ljust(depth, beyond)
+                numbers.append(number)
+                lasts.append(last)
+                number, levels, beyond = number + 1, last[:-1] + "0", "1"
+            added = [pa.array([part] * len(numbers), pa.int32()), pa.array(numbers, pa.int64()), pa.array(lasts)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *added], [*batch.schema.names, "_part", "_number", "_lasts"]
+            )
+
+    return scan
+
+
+def _decided(lasts: Column, later: Column) -> Column:
+    """``lasts`` with what later partitions say in place of its leading question marks."""
+    open_levels = F.length(lasts) - F.length(F.replace(lasts, F.lit("?"), F.lit("")))
+    return F.concat(
+        F.rpad(F.substr(later, F.lit(1), open_levels), open_levels, F.lit("1")),
+        F.substr(lasts, open_levels + 1),
     )
-    chains = (
-        lineage.join(links, ["tree_id", "above"])
-        .groupBy("tree_id", "path")
-        .agg(F.array_sort(F.collect_list(F.struct("level", "link"))).alias("chain"))
+
+
+def _placed(nodes: DataFrame) -> DataFrame:
+    """Nodes with ``pos``, their place in preorder from 1, and ``lasts``, a ``1`` or ``0`` per level.
+
+    Nodes are sorted by range of tree and key, so that a tree, or a directory, lies in as many tasks
+    as it needs; every task scans its nodes backwards. A row per tree and partition then says how
+    many nodes come later and which levels go on there.
+    """
+    spark = nodes.sparkSession
+    keyed = _sort_keys(nodes)
+    ordered = keyed.repartitionByRange("tree_id", "_key").sortWithinPartitions(
+        F.desc("tree_id"), F.desc("_key")
+    )
+    ordered = ordered.drop("_key")
+    schema = ST.StructType([*ordered.schema.fields, *ST.StructType.fromDDL(
+        "_part int, _number bigint, _lasts string"
+    ).fields])
+    path = work_dir(spark, "preorder")
+    ordered.mapInArrow(_scan_backward(), schema).write.parquet(path)
+    scanned = spark.read.schema(schema).parquet(path)
+
+    levels = F.concat(F.expr("substr(_lasts, 1, depth - 1)"), F.lit("0"))
+    parts = scanned.groupBy("tree_id", "_part").agg(
+        F.count(F.lit(1)).alias("n"), F.max_by(levels, F.col("_number")).alias("levels")
+    )
+    start = F.struct(
+        F.lit("").alias("later"),
+        F.lit(0).cast("bigint").alias("after"),
+        F.array().cast("array<struct<_part:int,_later:string,_after:bigint>>").alias("out"),
     )
-    return nodes.join(chains, ["tree_id", "path"])
 
+    def carry(state: Column, part: Column) -> Column:
+        here = F.struct(
+            part["_part"].alias("_part"), state["later"].alias("_later"), state["after"].alias("_after")
+        )
+        return F.struct(
+            _decided(part["levels"], state["later"]).alias("later"),
+            (state["after"] + part["n"]).alias("after"),
+            F.concat(state["out"], F.array(here)).alias("out"),
+        )
 
-def _place(chain: Column) -> Column:
-    """Place of a node in preorder, from 1."""
-    steps = F.transform(chain, lambda c: c["link"]["before"] + 1)
-    return F.aggregate(steps, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
+    from_the_end = F.sort_array(F.collect_list(F.struct("_part", "n", "levels")), asc=False)
+    carried = parts.groupBy("tree_id").agg(F.aggregate(from_the_end, start, carry).alias("c"))
+    carried = carried.select(
+        F.col("tree_id").alias("_tree"), F.col("c.after").alias("_total"), F.inline("c.out")
+    ).withColumnRenamed("_part", "_of")
+    same = scanned["tree_id"].eqNullSafe(carried["_tree"]) & (scanned["_part"] == carried["_of"])
+    return scanned.join(carried, same).select(
+        *nodes.columns,
+        (F.col("_total") - F.col("_after") - F.col("_number")).alias("pos"),
+        _decided(F.col("_lasts"), F.col("_later")).alias("lasts"),
+    )
 
 
 def preorder(nodes: DataFrame) -> DataFrame:
     """Nodes with ``pos``: directories first, then lower-cased name, ties by first ``seq``."""
-    return _with_ancestors(nodes).withColumn("pos", _place(F.col("chain"))).drop("chain")
+    return _placed(nodes).drop("lasts")
 
 
 def render_tree(nodes: DataFrame, icons: bool = False) -> DataFrame:
     """``(tree_id, pos, path, line)``: one drawn line per node."""
-    chained = _with_ancestors(nodes).withColumn(
-        "lasts", F.transform("chain", lambda c: c["link"]["last"])
-    )
-    bars = F.array_join(
-        F.transform(
-            F.slice("lasts", F.lit(1), F.size("lasts") - 1),
-            lambda last: F.when(last, "    ").otherwise("│   "),
-        ),
-        "",
-    )
-    icon = F.when(F.col("is_dir"), "📁 ").otherwise("📄 ") if icons else F.lit("")
-    size = F.concat(F.lit(" ("), F.col("size").cast("string"), F.lit(" B)"))
-    line = F.concat(
-        F.lit("    "),
-        bars,
-        F.when(F.element_at("lasts", -1), "└── ").otherwise("├── "),
-        icon,
-        F.col("name"),
-        F.coalesce(size, F.lit("")),
-        F.coalesce(F.concat(F.lit(" "), F.col("mode")), F.lit("")),
+    node = F.struct("name", "is_dir", "size", "mode")
+    return _placed(nodes).select(
+        "tree_id", "pos", "path", drawn_line(F.col("lasts"), node, icons).alias("line")
     )
-    return chained.select("tree_id", _place(F.col("chain")).alias("pos"), "path", line.alias("line"))
 
 
 def tree_text(nodes: DataFrame, icons: bool = False) -> DataFrame:
