@@ -44,6 +44,12 @@ def crc32_fold(key: Column, parts: int) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(parts)).cast("int")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a lambda variable that holds ``value``. A lambda computes an expression from outside
+    again for every element, so arrays that its body reads are bound first."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sums_before(values: Column) -> Column:
     """For each element of an integer array the sum of those before it, in linear time.
 
@@ -65,15 +71,20 @@ def sums_before(values: Column) -> Column:
     def total(xs: Column) -> Column:
         return F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
-    wide = F.transform(values, lambda x: x.cast("bigint"))
-    count = F.ceil(F.size(values) / F.lit(BLOCK)).cast("int")
-    blocks = F.when(
-        F.size(values) > 0,
-        F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(wide, b * BLOCK + 1, BLOCK)),
-    ).otherwise(F.array().cast("array<array<bigint>>"))
-    starts = run(F.transform(blocks, total))
-    placed = F.zip_with(blocks, starts, lambda xs, s: F.transform(run(xs), lambda x: x + s))
-    return F.flatten(placed)
+    def by_block(wide: Column) -> Column:
+        count = F.ceil(F.size(wide) / F.lit(BLOCK)).cast("int")
+        blocks = F.when(
+            F.size(wide) > 0,
+            F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(wide, b * BLOCK + 1, BLOCK)),
+        ).otherwise(F.array().cast("array<array<bigint>>"))
+
+        def place(cut: Column) -> Column:
+            starts = run(F.transform(cut, total))
+            return F.flatten(F.zip_with(cut, starts, lambda xs, s: F.transform(run(xs), lambda x: x + s)))
+
+        return bound(blocks, place)
+
+    return bound(F.transform(values, lambda x: x.cast("bigint")), by_block)
 
 
 def pieces(
@@ -86,26 +97,30 @@ def pieces(
     are the gaps on either side. ``pattern`` never matches an empty text.
     """
     regex = pattern if isinstance(pattern, Column) else F.lit(pattern)
-    found = F.regexp_extract_all(text, regex, F.lit(0))
-    gaps = F.split(text, regex, -1)
-    count = F.size(found)
-    zipped = F.arrays_zip(
-        found.alias("hit"),
-        F.slice(sums_before(F.transform(gaps, measure)), F.lit(1), count).alias("g"),
-        sums_before(F.transform(found, measure)).alias("h"),
-        F.slice(gaps, F.lit(1), count).alias("before"),
-        F.slice(gaps, F.lit(2), count).alias("after"),
-    )
-    return F.transform(
-        zipped,
-        lambda z: F.struct(
-            (z["g"] + z["h"] + measure(z["before"])).alias("start"),
-            (z["g"] + z["h"] + measure(z["before"]) + measure(z["hit"])).alias("end"),
-            z["hit"].alias("piece"),
-            z["before"].alias("before"),
-            z["after"].alias("after"),
-        ),
-    )
+
+    def zipped(found: Column, gaps: Column) -> Column:
+        count = F.size(found)
+        return F.arrays_zip(
+            found.alias("hit"),
+            F.slice(sums_before(F.transform(gaps, measure)), F.lit(1), count).alias("g"),
+            sums_before(F.transform(found, measure)).alias("h"),
+            F.slice(gaps, F.lit(1), count).alias("before"),
+            F.slice(gaps, F.lit(2), count).alias("after"),
+        )
+
+    def located(found: Column) -> Column:
+        return F.transform(
+            bound(F.split(text, regex, -1), lambda gaps: zipped(found, gaps)),
+            lambda z: F.struct(
+                (z["g"] + z["h"] + measure(z["before"])).alias("start"),
+                (z["g"] + z["h"] + measure(z["before"]) + measure(z["hit"])).alias("end"),
+                z["hit"].alias("piece"),
+                z["before"].alias("before"),
+                z["after"].alias("after"),
+            ),
+        )
+
+    return bound(F.regexp_extract_all(text, regex, F.lit(0)), located)
 
 
 def placed(

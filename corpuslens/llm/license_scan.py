@@ -14,12 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import BLOCK, LOWER, UPPER, pieces
+from corpuslens.llm.common import BLOCK, LOWER, UPPER, bound, pieces
 from corpuslens.llm.license_rules import BASE_RULES, RULES, Rule
 
 OUTSIDE = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # what is no part of a word, before lower-casing
 CONFIDENCE = (1.0, 0.95, 0.8, 0.5)  # of a detection by level
 LEVELS = len(CONFIDENCE)
+FOUND = "array<struct<start:bigint,stop:bigint,level:int,no:int,label:string,end:bigint>>"
 
 
 def spaces(text: Column) -> Column:
@@ -90,31 +91,49 @@ def unsuppressed(found: Column) -> Column:
     """Detections that lie in no other of the same or a stronger level, in order.
 
     In order of start, the longer first, a detection lies in an earlier one when that one's end is
-    not before its own; the furthest end so far is kept per level.
+    not before its own; the furthest end so far is kept per level, first up to every block of
+    ``BLOCK`` detections and then inside, so that no growing array is copied per block.
     """
-    kind = "array<struct<start:bigint,stop:bigint,level:int,no:int,label:string,end:bigint>>"
-    none = F.array().cast(kind)
-    state = F.struct(
-        F.array(*[F.lit(-1).cast("bigint")] * LEVELS).alias("far"), none.alias("out")
-    )
+    none = F.array().cast(FOUND)
 
-    def step(a: Column, d: Column) -> Column:
-        reach = F.array_max(F.slice(a["far"], F.lit(1), d["level"] + 1))
-        far = F.transform(
-            a["far"], lambda e, i: F.when(i == d["level"], F.greatest(e, d["end"])).otherwise(e)
+    def further(far: Column, d: Column) -> Column:
+        return F.transform(
+            far, lambda e, i: F.when(i == d["level"], F.greatest(e, d["end"])).otherwise(e)
         )
+
+    def step(a: Column, d: Column) -> Column:
+        inside = F.array_max(F.slice(a["far"], F.lit(1), d["level"] + 1)) >= d["end"]
         return F.struct(
-            far.alias("far"),
-            F.when(reach >= d["end"], a["out"]).otherwise(F.concat(a["out"], F.array(d))).alias("out"),
+            further(a["far"], d).alias("far"),
+            F.when(inside, a["out"]).otherwise(F.concat(a["out"], F.array(d))).alias("out"),
+        )
+
+    def by_block(blocks: Column) -> Column:
+        nowhere = F.array(*[F.lit(-1).cast("bigint")] * LEVELS)
+        start = F.struct(nowhere.alias("far"), F.array().cast("array<array<bigint>>").alias("before"))
+        reached = F.aggregate(
+            blocks,
+            start,
+            lambda a, xs: F.struct(
+                F.aggregate(xs, a["far"], further).alias("far"),
+                F.concat(a["before"], F.array(a["far"])).alias("before"),
+            ),
+            lambda a: a["before"],
+        )
+        kept = F.zip_with(
+            blocks,
+            reached,
+            lambda xs, far: F.aggregate(
+                xs, F.struct(far.alias("far"), none.alias("out")), step, lambda a: a["out"]
+            ),
         )
+        return F.flatten(kept)
 
-    def block(a: Column, b: Column) -> Column:
-        start = F.struct(a["far"].alias("far"), none.alias("out"))
-        done = F.aggregate(F.slice(found, b * BLOCK + 1, BLOCK), start, step)
-        return F.struct(done["far"].alias("far"), F.concat(a["out"], done["out"]).alias("out"))
+    def cut(ordered: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor(F.size(ordered) / F.lit(BLOCK)).cast("int"))
+        return F.transform(starts, lambda b: F.slice(ordered, b * BLOCK + 1, BLOCK))
 
-    blocks = F.sequence(F.lit(0), F.floor(F.size(found) / F.lit(BLOCK)).cast("int"))
-    return F.aggregate(blocks, state, block, lambda a: a["out"])
+    return bound(bound(found, cut), by_block)
 
 
 def scan_licenses(
@@ -135,11 +154,10 @@ def scan_licenses(
     frame = df.select(F.col(key), n_words.alias("n_words"), gated.alias("_gated"))
     frame = frame.select(key, "n_words", words_of(F.col("_gated")).alias("_words"))
     some = F.col("_words") != ""
-    kind = "array<struct<start:bigint,stop:bigint,level:int,no:int,label:string,end:bigint>>"
     frame = frame.select(
         key,
         "n_words",
-        F.when(some, detections(F.col("_words"), rules)).otherwise(F.array()).cast(kind).alias("_all"),
+        F.when(some, detections(F.col("_words"), rules)).otherwise(F.array()).cast(FOUND).alias("_all"),
     )
     base = F.filter("_all", lambda d: d["no"] < BASE_RULES)
     frame = frame.select(

@@ -141,6 +141,16 @@ def test_long_runs_end_soon(spark):
     assert rows[2]["n_ip"] == 12_500 and rows[3]["n_email"] == 1
 
 
+def test_many_matches_in_one_text(spark):
+    many = 300_000
+    df = spark.createDataFrame([(1, "ann@b.co, " * many)], "doc_id bigint, text string")
+    row = find_pii(df).collect()[0]
+    assert row["n_email"] == many and len(row["found"]) == many and row["found"][-1]["start"] == 10 * (many - 1)
+    df = spark.createDataFrame([(1, "under the mit license. " * many)], "doc_id bigint, text string")
+    row = scan_licenses(df).collect()[0]
+    assert row["n_base"] == many and row["last_word"] == 4 * (many - 1)
+
+
 def test_checked_spans_and_context(spark):
     texts = ["IBAN DE89 3704 0044 0532 0130 00.", "DE88 3704 0044 0532 0130 00", "SSN 123-45-6789", "123-45-6789",
              "mail a@b.co", "zz a@b.co"]
