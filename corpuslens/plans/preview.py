@@ -12,15 +12,10 @@ from pyspark.sql import types as ST
 from corpuslens.functions import detect as D
 from corpuslens.functions import text as T
 from corpuslens.limits import DEFAULTS, Limits
+from corpuslens.functions import trees as FT
 from corpuslens.operators import trees
 from corpuslens.registry import KIND_NAMES, Rule
-from corpuslens.sources.archives import (
-    MEMBERS,
-    PACKED_GLOB,
-    TREE_EXTENSIONS,
-    archive_manifest,
-    container_members,
-)
+from corpuslens.sources.archives import MEMBERS, TREE_EXTENSIONS, container_parts, listing_entries
 from corpuslens.sources.files import (
     content_text,
     local_path,
@@ -32,7 +27,6 @@ from corpuslens.sources.files import (
 
 Extractor = Callable[[Column, Column], Column]
 
-_ERROR_NAME = "\0"
 _PIECE = "struct<shape:string,title:string,text:string,error:string,cut:boolean>"
 
 # What an unsupported preview says.
@@ -131,6 +125,7 @@ def _by_kind(limits: Limits) -> Column:
     members = F.col("members")
     member_text = F.get(members, F.lit(0))["text"]
     present = F.size(members) > 0
+    entries, broken = F.col("entries"), F.col("broken")
 
     def only(condition: Column, value: Column) -> Column:
         return F.when(condition, value)
@@ -224,8 +219,33 @@ def _by_kind(limits: Limits) -> Column:
         )
         .otherwise(no_codec)
     )
+    bad_container = _piece("unsupported", broken, None, broken)
+
+    def drawn(label: str, shown: Column, most: int) -> Column:
+        return T.let(
+            shown,
+            lambda e: _piece(
+                "tree",
+                FT.tree_text(T.first_of(e, most)),
+                F.concat(F.lit(label), path),
+                cut=_more(F.size(e), most),
+            ),
+        )
+
+    archive = F.when(
+        entries.isNotNull(),
+        drawn("Archive: ", F.filter(entries, lambda e: ~FT.is_noise(e["path"])), limits.archive_entries),
+    ).when(broken.isNotNull(), bad_container)
+    comic = F.when(entries.isNotNull(), comic_piece(entries, limits)).when(broken.isNotNull(), bad_container)
+    most = limits.dir_entries
+    directory = F.when(
+        F.size(entries) > 0,
+        drawn("Directory: ", FT.listed(entries, limits.dir_depth, most and most + 1), most),
+    ).otherwise(_piece("tree", F.lit(""), F.concat(F.lit("Directory: "), path)))
     routed = (
-        F.when(F.col("kind") == "markdown", plain(text, "markdown"))
+        F.when(F.col("kind") == "archive", archive)
+        .when((F.col("kind") == "ebook") & (ext == "cbz"), F.coalesce(comic, no_codec))
+        .when(F.col("kind") == "markdown", plain(text, "markdown"))
         .when(F.col("kind") == "code", plain(text))
         .when(F.col("kind") == "data", data)
         .when(
@@ -268,10 +288,7 @@ def _by_kind(limits: Limits) -> Column:
                 ),
             ),
         )
-        .when(
-            F.col("kind") == "directory",
-            _piece("tree", F.lit(""), F.concat(F.lit("Directory: "), path)),
-        )
+        .when(F.col("kind") == "directory", directory)
         .when(
             F.col("kind").isin("image", "media", "font", "spreadsheet", "database", "plist"),
             no_codec,
@@ -294,27 +311,49 @@ def preview_corpus(
     limits on characters.
 
     ``df`` has ``id``, ``path``, ``is_dir``, ``size`` and ``content`` (text or bytes), and may have
-    ``members`` (see :func:`corpuslens.sources.archives.container_members`). Everything is one narrow
-    projection over a single scan, so it works on streams too. User extractors of a kind come
-    first, then the built-in one, then text or hex.
+    ``entries`` (see :mod:`corpuslens.functions.trees`): the listing of a directory, drawn as a tree.
+    Containers are opened once, in the row: documents for their text, archives and comics for
+    their entries; nothing of them is shuffled. Everything is one narrow projection over a single
+    scan, so it works on streams too. User extractors of a kind come first, then the built-in one,
+    then text or hex.
     """
     if isinstance(df.schema["content"].dataType, ST.BinaryType):
         text, content = content_text(F.col("content")), F.col("content")
     else:
         text, content = F.col("content"), F.encode(F.col("content"), "utf-8")
+    path = F.col("path")
+    size = F.coalesce(F.col("size").cast("bigint"), F.length(content))
+    listing = F.col("entries") if "entries" in df.columns else F.lit(None).cast(FT.ENTRIES)
     if "members" in df.columns:
-        members = F.col("members")
+        opened = F.struct(
+            F.col("members").alias("members"), F.lit(None).alias("entries"), F.lit(None).alias("error")
+        ).cast(f"struct<members:{MEMBERS},entries:array<struct<seq:bigint,path:string,is_dir:boolean,"
+               "size:bigint,bits:bigint>>,error:string>")
     else:
-        members = F.lit(None).cast(MEMBERS)
+        opened = container_parts(path, F.when(F.col("is_dir"), None).otherwise(content))
     rules = extractors.rules if extractors else ()
     base = df.select(
         "id",
         "path",
         "is_dir",
-        F.coalesce(F.col("size").cast("bigint"), F.length(content)).alias("size"),
+        size.alias("size"),
         content.alias("content"),
         text.alias("text"),
-        members.alias("members"),
+        listing.cast(FT.ENTRIES).alias("listing"),
+        opened.alias("opened"),
+    )
+    base = base.select(
+        "id",
+        "path",
+        "is_dir",
+        "size",
+        "content",
+        "text",
+        F.col("opened.members").alias("members"),
+        F.when(F.col("is_dir"), F.col("listing"))
+        .otherwise(listing_entries(path, F.col("size"), F.col("opened.entries")))
+        .alias("entries"),
+        F.col("opened.error").alias("broken"),
     )
     kinds = with_kind(base, rules, unknown)
     piece = _by_kind(limits)
@@ -345,103 +384,51 @@ def preview_corpus(
     )
 
 
-def _tree_previews(nodes: DataFrame, kind: str, label: str, limits: Limits) -> DataFrame:
-    texts = trees.tree_text(nodes)
-    text = F.coalesce("text", F.lit(""))
-    return texts.select(
-        F.col("tree_id").alias("id"),
-        F.lit(kind).alias("kind"),
-        F.lit("tree").alias("shape"),
-        F.concat(F.lit(label), F.col("tree_id")).alias("title"),
-        T.truncate_chars(text, limits.text_chars).alias("text"),
-        F.length(text).cast("bigint").alias("n_chars"),
-        (F.length(text) > (limits.text_chars or 2**31 - 1)).alias("truncated"),
-        F.lit(None).cast("string").alias("error"),
-    )
-
-
-def preview_archives(files: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
-    """Archive files as drawn trees; unreadable ones as error rows.
-
-    An error goes through the tree as an entry with a name no archive can hold, so archives are
-    opened once for both.
-    """
-    most = limits.archive_entries
-    manifest = archive_manifest(files, most + 1 if most else None)
-    bad = F.col("error").isNotNull()
-    entries = manifest.select(
-        F.col("archive").alias("tree_id"),
-        F.coalesce("seq", F.lit(0)).alias("seq"),
-        F.when(bad, _ERROR_NAME).otherwise(F.col("path")).alias("path"),
-        F.coalesce("is_dir", F.lit(False)).alias("is_dir"),
-        "size",
-        F.when(bad, F.col("error")).otherwise(F.col("mode")).alias("mode"),
-    )
-    lines = trees.render_tree(trees.build_nodes(entries, most or None))
-    counts = manifest.groupBy(F.col("archive").alias("tree_id")).agg(F.count("seq").alias("_n"))
-    failed = F.col("path") == _ERROR_NAME
-    drawn = lines.groupBy("tree_id").agg(
-        F.array_sort(
-            F.collect_list(
-                F.when(~failed, F.struct("pos", F.concat("line", F.lit("\n")).alias("line")))
-            )
-        ).alias("lines"),
-        F.max(F.when(failed, F.regexp_extract("line", r"\x00 (?s:(.*))\z", 1))).alias("error"),
-    )
-    good = F.col("error").isNull()
-    text = F.when(good, F.array_join(F.transform("lines", lambda r: r["line"]), ""))
-    name = D.file_name(F.col("tree_id"))
-    drawn = drawn.join(counts, "tree_id")
-    return drawn.withColumn("full", F.coalesce(text, F.col("error"))).select(
-        F.col("tree_id").alias("id"),
-        F.lit("archive").alias("kind"),
-        F.when(good, "tree").otherwise("unsupported").alias("shape"),
-        F.when(good, F.concat(F.lit("Archive: "), F.col("tree_id"))).otherwise(name).alias("title"),
-        T.truncate_chars(F.col("full"), limits.text_chars).alias("text"),
-        F.length("full").cast("bigint").alias("n_chars"),
-        (_more(F.length("full"), limits.text_chars) | _more(F.col("_n"), most)).alias("truncated"),
-        "error",
+def comic_piece(entries: Column, limits: Limits) -> Column:
+    """A comic archive as a list of its files. Every line has at least one character, so entries
+    beyond the limit on characters cannot reach the text."""
+    most = min(filter(None, (limits.text_chars, limits.ebook_chars)), default=2**31 - 1)
+    shown = F.filter(entries, lambda e: ~FT.is_noise(e["path"], comic=True) & (e["seq"] <= most))
+    note = lambda e: F.concat(F.lit(" ("), e["size"].cast("string"), F.lit(" bytes)"))
+    lines = F.transform(
+        shown, lambda e: F.concat(e["path"], F.when(e["is_dir"], "").otherwise(note(e)), F.lit("\n"))
     )
-
-
-def preview_comics(files: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
-    """Comic zip archives (``cbz``) as a list of their files."""
-    manifest = archive_manifest(files, max_entries=None, comic=True)
-    chars = min(filter(None, (limits.text_chars, limits.ebook_chars)), default=0)
-    most = chars or 2**31 - 1
-    shown = ~trees.is_noise(F.col("path"), comic=True) & (F.col("seq") <= most)
-    note = F.concat(F.lit(" ("), F.col("size").cast("string"), F.lit(" bytes)"))
-    line = F.concat(F.col("path"), F.when(F.col("is_dir"), "").otherwise(note), F.lit("\n"))
-    # Every line has at least one character, so entries beyond the limit cannot reach the text.
-    listed = manifest.groupBy("archive").agg(
-        F.count("seq").alias("n"),
-        F.max("error").alias("error"),
-        F.array_sort(F.collect_list(F.when(shown, F.struct("seq", line.alias("line"))))).alias("lines"),
-    )
-    total = F.col("n").cast("string")
-    text = F.when(
-        F.col("error").isNull(),
+    total = F.size(entries).cast("string")
+    return _piece(
+        "text",
         F.concat(
             F.lit("Comic book archive — "),
             total,
             F.lit(" file(s)\n\n"),
-            F.array_join(F.transform("lines", lambda r: r["line"]), ""),
-            F.when(F.col("n") > most, F.concat(F.lit("\n… "), total, F.lit(" entries total\n")))
+            F.array_join(lines, ""),
+            F.when(F.size(entries) > most, F.concat(F.lit("\n… "), total, F.lit(" entries total\n")))
             .otherwise(""),
         ),
-    ).otherwise(F.col("error"))
-    return listed.select(
-        F.col("archive").alias("id"),
-        F.lit("ebook").alias("kind"),
-        F.when(F.col("error").isNull(), "text").otherwise("unsupported").alias("shape"),
-        D.file_name(F.col("archive")).alias("title"),
-        T.truncate_chars(text, chars).alias("text"),
-        F.length(text).cast("bigint").alias("n_chars"),
-        (F.length(text) > most).alias("truncated"),
-        "error",
     )
 
 
+def _as_corpus(files: DataFrame) -> DataFrame:
+    """Files of a listing in the form :func:`preview_corpus` takes."""
+    return files.select(
+        F.col("path").alias("id"),
+        "path",
+        F.lit(False).alias("is_dir"),
+        F.col("length").alias("size"),
+        "content",
+    )
+
+
+def preview_archives(files: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
+    """Archive files as drawn trees; unreadable ones as error rows."""
+    packed = files.filter(D.ext_of(F.col("path")).isin(*TREE_EXTENSIONS))
+    return preview_corpus(_as_corpus(packed), limits)
+
+
+def preview_comics(files: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
+    """Comic zip archives (``cbz``) as a list of their files."""
+    return preview_corpus(_as_corpus(files.filter(D.ext_of(F.col("path")) == "cbz")), limits)
+
+
 def directory_entries(files: DataFrame, root: str) -> DataFrame:
     """Files below ``root`` as entries of one tree."""
     base = plain_path(root).rstrip("/") + "/"
@@ -460,10 +447,22 @@ def preview_directory(files: DataFrame, root: str, limits: Limits = DEFAULTS) ->
     """One row with the drawn tree of a directory; only the file listing is used."""
     most = limits.dir_entries or 2**31 - 2
     listing = trees.list_limit(directory_entries(files, root), limits.dir_depth, most + 1)
-    nodes = trees.build_nodes(listing.filter(F.col("seq") <= most))
-    shown = _tree_previews(nodes, "directory", "Directory: ", limits)
-    more = listing.agg((F.count(F.lit(1)) > most).alias("more"))
-    return shown.withColumn("truncated", F.col("truncated") | more.scalar())
+    entry = F.struct("seq", "path", "is_dir", "size", "mode")
+    whole = listing.groupBy("tree_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("seq") <= most, entry))).alias("entries"),
+        (F.count(F.lit(1)) > most).alias("more"),
+    )
+    text = FT.tree_text(F.col("entries"))
+    return whole.withColumn("full", text).select(
+        F.col("tree_id").alias("id"),
+        F.lit("directory").alias("kind"),
+        F.lit("tree").alias("shape"),
+        F.concat(F.lit("Directory: "), F.col("tree_id")).alias("title"),
+        T.truncate_chars(F.col("full"), limits.text_chars).alias("text"),
+        F.length("full").cast("bigint").alias("n_chars"),
+        (_more(F.length("full"), limits.text_chars) | F.col("more")).alias("truncated"),
+        F.lit(None).cast("string").alias("error"),
+    )
 
 
 def oversize_previews(files: DataFrame, extractors: Extractors | None = None) -> DataFrame:
@@ -490,22 +489,7 @@ def preview_files(
     """Previews of files on storage, and one drawn tree per given directory."""
     roots = [paths] if isinstance(paths, str) else list(paths)
     files = scan_files(spark, roots)
-    readable = readable_files(files)
-    ext = D.ext_of(F.col("path"))
-    apart = ext.isin(*TREE_EXTENSIONS) | (ext == "cbz")
-    others = readable.filter(F.coalesce(~apart, F.lit(True))).select(
-        F.col("path").alias("id"),
-        "path",
-        F.lit(False).alias("is_dir"),
-        F.col("length").alias("size"),
-        "content",
-        container_members(F.col("path"), F.col("content"))["members"].alias("members"),
-    )
-    packed = readable_files(scan_files(spark, roots, PACKED_GLOB))
-    out = preview_corpus(others, limits, extractors)
-    out = out.unionByName(preview_archives(packed, limits)).unionByName(
-        preview_comics(packed, limits)
-    )
+    out = preview_corpus(_as_corpus(readable_files(files)), limits, extractors)
     out = out.unionByName(oversize_previews(files, extractors))
     for root in roots:
         out = out.unionByName(preview_directory(files, root, limits))

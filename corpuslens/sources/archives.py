@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.detect import constant, ext_of, file_name
 from corpuslens.functions.text import mode_string
+from corpuslens.functions.trees import ENTRIES, is_noise
 from corpuslens.limits import DEFAULTS
-from corpuslens.operators.trees import cap_entries, is_noise
+from corpuslens.operators.trees import cap_entries
 
 # Text members per extension; the first column says whether only the first one counts.
 MEMBER_PATTERNS: dict[str, tuple[bool, str]] = {
@@ -34,22 +35,13 @@ TREE_EXTENSIONS: tuple[str, ...] = ("zip", "tar", "tgz", "gz", "bz2", "xz")
 
 
 MEMBERS = "array<struct<seq:bigint,member:string,text:string,error:string>>"
+_LISTED = "array<struct<seq:bigint,path:string,is_dir:boolean,size:bigint,bits:bigint>>"
 MAX_MEMBER = 2**28  # bytes of an inflated member: what one value of a row may sensibly hold
 
 
-def _any_case(name: str) -> str:
-    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in name)
-
-
-PACKED_GLOB = "*.{" + ",".join(_any_case(e) for e in (*TREE_EXTENSIONS, "cbz")) + "}"
-
-
-def _archive_lister() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Function that lists archives batch by batch. Nested, so that it is shipped by value and
-    executors need no copy of this package."""
-    batch_rows = 10_000
-    columns = ["archive", "form", "seq", "path", "is_dir", "size", "bits", "error"]
-    types = {"seq": "Int64", "size": "Int64", "bits": "Int64", "is_dir": "boolean"}
+def _entry_reader() -> Callable[[str, bytes], Iterator[tuple]]:
+    """Function that yields ``(path, is_dir, size, mode bits)`` of a zip or tar file. Nested, so that
+    it is shipped by value and executors need no copy of this package."""
 
     class StrictHeader(tarfile.TarInfo):
         """A damaged header is an error; by default it ends the archive in silence."""
@@ -61,26 +53,35 @@ def _archive_lister() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
             except (tarfile.InvalidHeaderError, tarfile.TruncatedHeaderError) as reason:
                 raise tarfile.ReadError(str(reason)) from reason
 
-    def entries(form: str, name: str, length: int, content: bytes) -> Iterator[tuple]:
+    def entries(form: str, content: bytes) -> Iterator[tuple]:
         if form == "zip":
             with zipfile.ZipFile(io.BytesIO(bytes(content))) as archive:
                 for info in archive.infolist():
                     yield info.filename, info.is_dir(), info.file_size, None
-        elif form == "tar":
+        else:
             data = io.BytesIO(bytes(content))
             with tarfile.open(fileobj=data, mode="r|*", tarinfo=StrictHeader) as archive:
                 for info in archive:
                     path = info.name + "/" if info.isdir() else info.name
                     yield path, info.isdir(), info.size, info.mode
-        else:
-            yield name, False, length, None
+
+    return entries
+
+
+def _archive_lister() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Function that lists archives batch by batch, shipped by value."""
+    batch_rows = 10_000
+    columns = ["archive", "form", "seq", "path", "is_dir", "size", "bits", "error"]
+    types = {"seq": "Int64", "size": "Int64", "bits": "Int64", "is_dir": "boolean"}
+    entries = _entry_reader()
 
     def list_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
         for batch in batches:
             for archive, form, name, length, content in batch.itertuples(index=False):
                 try:
-                    found = list(entries(form, name, length, content))
+                    opened = form in ("zip", "tar")
+                    found = list(entries(form, content)) if opened else [(name, False, length, None)]
                     rows += [(archive, form, i, *e, None) for i, e in enumerate(found, start=1)]
                 except Exception as reason:  # noqa: BLE001 - a bad archive must not fail the job
                     note = f"unreadable archive: {reason}"
@@ -94,6 +95,25 @@ def _archive_lister() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
     return list_batches
 
 
+def _archive_form(path: Column, comic: bool = False) -> Column:
+    """How an archive is listed, by its name; null for files that are none."""
+    ext = ext_of(path)
+    if comic:
+        return F.when(ext == "cbz", "zip")
+    tar = ext.isin("tgz", "tar") | F.endswith(F.lower(path), F.lit(".tar.gz"))
+    return (
+        F.when(ext == "zip", "zip")
+        .when(tar, "tar")
+        .when(ext == "gz", "gz")
+        .when(ext.isin("bz2", "xz"), "single")
+    )
+
+
+def _entry_mode(form: Column, is_dir: Column, bits: Column) -> Column:
+    constant_mode = F.when(is_dir, "drwxr-xr-x").otherwise("-rw-r--r--")
+    return F.when(form == "tar", mode_string(bits)).when(form.isin("zip", "gz"), constant_mode)
+
+
 def archive_manifest(
     files: DataFrame, max_entries: int | None = DEFAULTS.archive_entries, comic: bool = False
 ) -> DataFrame:
@@ -104,19 +124,8 @@ def archive_manifest(
     row. Noise goes first, then every archive is cut to ``max_entries``. With ``comic`` only comic
     zip archives are listed, noise included.
     """
-    named = files.select("path", "length", "content", ext_of(F.col("path")).alias("ext"))
-    ext = F.col("ext")
-    if comic:
-        form = F.when(ext == "cbz", "zip")
-    else:
-        tar = ext.isin("tgz", "tar") | F.endswith(F.lower("path"), F.lit(".tar.gz"))
-        form = (
-            F.when(ext == "zip", "zip")
-            .when(tar, "tar")
-            .when(ext == "gz", "gz")
-            .when(ext.isin("bz2", "xz"), "single")
-        )
-    archives = named.withColumn("form", form).filter(F.col("form").isNotNull())
+    named = files.select("path", "length", "content", _archive_form(F.col("path"), comic).alias("form"))
+    archives = named.filter(F.col("form").isNotNull())
     # A lone compressed file is known by its name; only a gz shows just the last part of it.
     opened = archives.select(
         F.col("path").alias("archive"),
@@ -129,10 +138,7 @@ def archive_manifest(
         "archive string, form string, seq bigint, path string, is_dir boolean, size bigint, "
         "bits bigint, error string",
     )
-    constant_mode = F.when(F.col("is_dir"), "drwxr-xr-x").otherwise("-rw-r--r--")
-    mode = F.when(F.col("form") == "tar", mode_string(F.col("bits"))).when(
-        F.col("form").isin("zip", "gz") & F.col("error").isNull(), constant_mode
-    )
+    mode = F.when(F.col("error").isNull(), _entry_mode(F.col("form"), F.col("is_dir"), F.col("bits")))
     entries = opened.select("archive", "seq", "path", "is_dir", "size", mode.alias("mode"), "error")
     if not comic:
         entries = entries.filter(F.col("error").isNotNull() | ~is_noise(F.col("path")))
@@ -149,9 +155,10 @@ def manifest_entries(manifest: DataFrame) -> DataFrame:
     )
 
 
-def _member_reader() -> Callable[[Column, Column, Column], Column]:
-    """Pandas UDF that reads the text members of containers; nested to be shipped by value."""
-    most = MAX_MEMBER
+def _container_reader() -> Callable[..., Column]:
+    """Pandas UDF that opens each container once, for its text members or its entries; nested to be
+    shipped by value."""
+    most, entries = MAX_MEMBER, _entry_reader()
 
     def member_text(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> tuple[str | None, str | None]:
         """Text of a member, or why there is none; the others of the container stay."""
@@ -180,30 +187,33 @@ def _member_reader() -> Callable[[Column, Column, Column], Column]:
             return None, f"unreadable container: {reason}"
         return (members, None) if members else (None, "no matching member")
 
-    def read_members(
-        content: pd.Series, pattern: pd.Series, first_only: pd.Series
+    def list_entries(blob: bytes, form: str) -> tuple[list[dict] | None, str | None]:
+        names = ("seq", "path", "is_dir", "size", "bits")
+        try:
+            return [dict(zip(names, (i, *e))) for i, e in enumerate(entries(form, blob), start=1)], None
+        except Exception as reason:  # noqa: BLE001 - a bad archive must not fail the job
+            return None, f"unreadable archive: {reason}"
+
+    def open_all(
+        content: pd.Series, pattern: pd.Series, first_only: pd.Series, form: pd.Series
     ) -> pd.DataFrame:
-        rows = [
-            (None, None) if blob is None or expr is None else read(blob, expr, bool(once))
-            for blob, expr, once in zip(content, pattern, first_only)
-        ]
-        return pd.DataFrame(rows, columns=["members", "error"], dtype=object)
+        rows = []
+        for blob, expr, once, kind in zip(content, pattern, first_only, form):
+            members = found = error = None
+            if blob is not None and kind is not None:
+                found, error = list_entries(blob, kind)
+            elif blob is not None and expr is not None:
+                members, error = read(blob, expr, bool(once))
+            rows.append((members, found, error))
+        return pd.DataFrame(rows, columns=["members", "entries", "error"], dtype=object)
 
     # Marked as nondeterministic so that the planner never runs it twice for one row.
     return F.pandas_udf(
-        read_members, f"members {MEMBERS}, error string"
+        open_all, f"members {MEMBERS}, entries {_LISTED}, error string"
     ).asNondeterministic()
 
 
-def container_members(
-    path: Column, content: Column, pattern: str | None = None, first_only: bool = False
-) -> Column:
-    """``struct<members array<struct<seq, member, text, error>>, error>`` of a zip-based document.
-
-    Members are in entry order. Without ``pattern`` the extension decides which members are read.
-    Only the bytes of containers go to Python; for other rows a null does, and the members of a
-    file stay in its row, without a shuffle.
-    """
+def _opened(path: Column, content: Column, pattern: str | None, first_only: bool, form: Column) -> Column:
     if pattern is not None:
         chosen, once = F.lit(pattern), F.lit(first_only)
     else:
@@ -216,8 +226,54 @@ def container_members(
     if pattern is None:
         # An fb2 file may be plain text; other containers are always zip files.
         is_zip = is_zip | (ext != "fb2")
-    blob = F.when(chosen.isNotNull() & is_zip, content)
-    return _member_reader()(blob, chosen, once)
+    blob = F.when((chosen.isNotNull() & is_zip) | form.isNotNull(), content)
+    return _container_reader()(blob, chosen, once, form)
+
+
+def container_members(
+    path: Column, content: Column, pattern: str | None = None, first_only: bool = False
+) -> Column:
+    """``struct<members array<struct<seq, member, text, error>>, entries, error>`` of a zip-based
+    document; its ``entries`` are null.
+
+    Members are in entry order. Without ``pattern`` the extension decides which members are read.
+    Only the bytes of containers go to Python; for other rows a null does, and the members of a
+    file stay in its row, without a shuffle.
+    """
+    return _opened(path, content, pattern, first_only, F.lit(None).cast("string"))
+
+
+def container_parts(path: Column, content: Column) -> Column:
+    """``struct<members, entries, error>`` of a file that is a container, opened once: text members of
+    a zip-based document, or the entries of an archive or comic, in the form
+    :func:`listing_entries` completes. Archives of one file are listed without their bytes."""
+    form = F.coalesce(_archive_form(path), _archive_form(path, comic=True))
+    return _opened(path, content, None, False, F.when(form.isin("zip", "tar"), form))
+
+
+def listing_entries(path: Column, size: Column, entries: Column) -> Column:
+    """Entries of an archive with their modes; a lone compressed file is its own one entry. Null for
+    files that are no archive or could not be read."""
+    form = F.coalesce(_archive_form(path), _archive_form(path, comic=True))
+    name = F.when(form == "gz", file_name(path)).otherwise(path)
+    alone = F.struct(
+        F.lit(1).cast("bigint").alias("seq"),
+        name.alias("path"),
+        F.lit(False).alias("is_dir"),
+        size.cast("bigint").alias("size"),
+        _entry_mode(form, F.lit(False), F.lit(0)).alias("mode"),
+    )
+    listed = F.transform(
+        entries,
+        lambda e: F.struct(
+            e["seq"].alias("seq"),
+            e["path"].alias("path"),
+            e["is_dir"].alias("is_dir"),
+            e["size"].alias("size"),
+            _entry_mode(form, e["is_dir"], e["bits"]).alias("mode"),
+        ),
+    )
+    return F.when(form.isin("gz", "single"), F.array(alone)).when(form.isNotNull(), listed).cast(ENTRIES)
 
 
 def zip_member_text(

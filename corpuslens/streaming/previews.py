@@ -8,7 +8,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpuslens.limits import DEFAULTS, Limits
 from corpuslens.plans.preview import Extractors, oversize_previews, preview_corpus
-from corpuslens.sources.archives import container_members
 from corpuslens.sources.files import readable_files
 
 _SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -27,15 +26,14 @@ def stream_files(spark: SparkSession, path: str, files_per_batch: int | None = N
 def preview_stream(
     files: DataFrame, limits: Limits = DEFAULTS, extractors: Extractors | None = None
 ) -> DataFrame:
-    """Preview rows of a stream of files, error rows for files too large for one value included;
-    archives are not opened here."""
+    """Preview rows of a stream of files, error rows for files too large for one value included.
+    Archives and comics are drawn like any other file, in their row."""
     rows = readable_files(files).select(
         F.col("path").alias("id"),
         "path",
         F.lit(False).alias("is_dir"),
         F.col("length").alias("size"),
         "content",
-        container_members(F.col("path"), F.col("content"))["members"].alias("members"),
     )
     return preview_corpus(rows, limits, extractors).unionByName(oversize_previews(files, extractors))
 
