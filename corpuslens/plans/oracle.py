@@ -6,7 +6,6 @@ expressions; where a view is built by rule, the expected rows follow from the ru
 
 from __future__ import annotations
 
-from corpuslens.functions.detect import MAGIC
 from corpuslens.plans.views import EXTENSIONS
 from corpuslens.registry import KINDS
 
@@ -78,9 +77,19 @@ ORACLE_SQL["detect_kind"] = (
 ORACLE_SQL["detect_kind_strict"] = f"WITH {_LISTING}, {_KINDS} SELECT id, kind FROM known"
 ORACLE_SQL["kind_by_rules"] = f"WITH {_LISTING} SELECT id, {_RULED} AS kind FROM listing"
 
+# The formats whose leading bytes the view puts before the texts, in its order.
+_FORMATS = """
+  image/png image/jpeg image/gif image/webp image/bmp image/tiff image/tiff image/vnd.microsoft.icon
+  image/heif image/heif image/vnd.djvu application/pdf application/x-mobipocket-ebook
+  application/epub+zip application/zip application/zip application/gzip application/x-bzip2
+  application/x-xz application/x-7z-compressed application/x-tar application/vnd.sqlite3 audio/mpeg
+  audio/mpeg audio/x-wav audio/x-flac audio/ogg audio/x-aiff audio/m4a video/quicktime video/mp4
+  video/x-matroska video/x-msvideo application/font-woff application/font-woff application/font-sfnt
+  application/font-sfnt
+""".split()
 _MIMES = (
-    f"mimes AS (SELECT doc_id AS id, {_list(m for _, _, m in MAGIC)}"
-    f"[1 + doc_id % {len(MAGIC) + 1}] AS mime FROM documents)"
+    f"mimes AS (SELECT doc_id AS id, {_list(_FORMATS)}"
+    f"[1 + doc_id % {len(_FORMATS) + 1}] AS mime FROM documents)"
 )
 _PATTERNS = ", ".join(f"('{k.name}', '{m}')" for k in KINDS for m in k.mime)
 ORACLE_SQL["sniff_mime"] = f"WITH {_MIMES} SELECT id, mime FROM mimes"
@@ -501,8 +510,48 @@ raw AS (SELECT f.id, CASE WHEN d.id IS NULL THEN 'text' ELSE 'hex' END AS raw_sh
     || {LF} || t END AS raw_text
   FROM files f LEFT JOIN dump d USING (id) WHERE NOT is_dir)"""
 
+_XML = """
+zipped AS (SELECT doc_id, string_split(translate(text, '&<>', '+++'), chr(10)) AS l FROM documents),
+packed AS (SELECT doc_id, l, '<w:document><w:body>' || array_to_string(list_transform(l, lambda x:
+  '<w:p><w:r><w:t>' || x || '</w:t></w:r></w:p>'), '') || '</w:body></w:document>' AS xml FROM zipped)"""
+_ZIP_ENTRIES = """unnest(list_concat(
+  [{'seq': 1, 'path': 'word/', 'size': 0}, {'seq': 2, 'path': 'word/document.xml', 'size': strlen(xml)}],
+  list_transform(l, lambda x, i: {'seq': 3 + i, 'path': 'lines/l' || (i - 1) || '.txt', 'size': strlen(x)})),
+  recursive := true)"""
+
+
+_COMIC = f"""'Comic book archive — ' || (3 + len(l))
+  || ' file(s)' || {LF} || {LF} || 'word/' || {LF} || 'word/document.xml (' || strlen(xml) || ' bytes)' || {LF}
+  || array_to_string(list_transform(l, lambda x, i: 'lines/l' || (i - 1) || '.txt (' || strlen(x) || ' bytes)'
+  || {LF}), '')"""
+_DOCX = f"array_to_string(list_transform(l, lambda x: trim(x) || ' '), {LF} || {LF})"
+# Trees of the corpus: zip and tar files by their members, directories by their listing.
+_DRAWN = f"""{_XML}, {_INI.removeprefix(',')},
+ini AS (SELECT id, string_agg(t, '' ORDER BY section) AS ini_text FROM (
+  SELECT id, section, CASE WHEN section <> '' THEN '[' || section || ']' || {LF} ELSE '' END
+    || string_agg(key || ' = ' || value || {LF}, '' ORDER BY key) || {LF} AS t
+  FROM entries GROUP BY id, section) GROUP BY id),
+rows_of AS (SELECT id, string_agg((i + 1) || chr(9) || line || {LF}, '' ORDER BY i) AS tsv_text,
+  string_agg(line || {LF}, '' ORDER BY i) AS opf_text FROM each GROUP BY id),
+csv AS (SELECT id, string_agg(line_no || chr(9) || line || chr(9) || 'x' || {LF}, '' ORDER BY line_no) AS csv_text
+  FROM lines GROUP BY id),
+shelves AS (SELECT f.id AS tree_id, 'd' || (i % 3) AS shelf, line || '.txt' AS leaf, max(length(line)) AS size
+  FROM files f JOIN each ON f.id = each.id WHERE is_dir GROUP BY ALL),
+members AS (
+  SELECT tree_id, seq, path, suffix(path, '/') AS is_dir, size,
+    CASE WHEN suffix(path, '/') THEN 'drwxr-xr-x' ELSE '-rw-r--r--' END AS mode
+  FROM (SELECT f.id AS tree_id, {_ZIP_ENTRIES} FROM files f JOIN packed p ON f.id = p.doc_id WHERE low = 'zip')
+  UNION ALL SELECT f.id, i, 'part' || ((i - 1) % 2) || '/l' || (i - 1) || '.txt', false, strlen(line), '-rw-r-----'
+  FROM files f JOIN (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM packed) m
+    ON f.id = m.doc_id WHERE f.low = 'gz'
+  UNION ALL SELECT tree_id, row_number() OVER (PARTITION BY tree_id ORDER BY shelf, leaf), shelf || '/' || leaf,
+    false, size, '-rw-r--r--' FROM shelves
+  UNION ALL SELECT DISTINCT tree_id, 0, shelf, true, NULL::BIGINT, 'drwxr-xr-x' FROM shelves),
+{_nodes_sql('members')}, {_ORDERED}, drawn AS ({_rendered(False)}),
+trees AS (SELECT tree_id AS id, string_agg(line || {LF}, '' ORDER BY pos) AS tree FROM drawn GROUP BY 1),
+lists AS (SELECT doc_id AS id, {_COMIC} AS comic, {_DOCX} AS docx FROM packed)"""
 _PIECES = f"""
-WITH {_LISTING}, {_KINDS}, {_RAW}, {_LINES}, {_PAGES},
+WITH {_LISTING}, {_KINDS}, {_RAW}, {_LINES}, {_PAGES}, {_DRAWN},
 fb2 AS (SELECT id, string_agg(line || {LF}, '' ORDER BY line_no) AS fb2_text FROM
   (SELECT id, line_no, {_trim('line')} AS line FROM lines) WHERE line <> '' GROUP BY id),
 pdf AS (SELECT id, string_agg(CASE WHEN line_no > 1 THEN {LF} || '--- page ' || line_no || ' ---'
@@ -510,29 +559,29 @@ pdf AS (SELECT id, string_agg(CASE WHEN line_no > 1 THEN {LF} || '--- page ' ||
 legacy AS (SELECT doc_id AS id, {_RUNS} AS runs FROM documents),
 pieces AS (
   SELECT id, kind, name, path, size, CASE
-    WHEN kind = 'directory' THEN 'tree' WHEN kind = 'markdown' THEN 'markdown'
+    WHEN kind = 'directory' OR low IN ('zip', 'gz') THEN 'tree' WHEN kind = 'markdown' THEN 'markdown'
     WHEN kind = 'code' THEN 'text' WHEN low IN ('csv', 'tsv') THEN 'table'
-    WHEN low IN ('json', 'ini', 'eml', 'rtf', 'fb2', 'opf') THEN 'text'
+    WHEN low IN ('json', 'ini', 'eml', 'rtf', 'fb2', 'opf', 'cbz', 'docx') THEN 'text'
     WHEN kind = 'notebook' THEN 'slides'
     WHEN kind = 'pdf' AND NOT starts_with(content, '%PDF') THEN 'text'
     WHEN kind = 'legacy_office' THEN CASE WHEN length(runs) >= 20 THEN 'text' ELSE 'unsupported' END
-    WHEN (kind IN ('image', 'media', 'font', 'spreadsheet', 'database', 'plist') OR low = 'cbz')
+    WHEN kind IN ('image', 'media', 'font', 'spreadsheet', 'database', 'plist')
       AND raw_shape = 'hex' THEN 'unsupported'
     ELSE raw_shape END AS shape,
   CASE
-    WHEN kind = 'directory' THEN ''
+    WHEN kind = 'directory' OR low IN ('zip', 'gz') THEN coalesce(tree, '')
+    WHEN low = 'cbz' THEN comic
+    WHEN low = 'docx' THEN docx
     WHEN kind IN ('markdown', 'code') OR low = 'rtf' THEN text
-    WHEN low = 'csv' THEN 'doc' || chr(9) || 'lang' || {LF} || id || chr(9) || lang || {LF} || 'q,"1'
-      || chr(9) || source || chr(9) || 'extra' || {LF} || 'last' || {LF}
-    WHEN low = 'tsv' THEN 'doc' || chr(9) || 'lang' || {LF} || id || chr(9) || lang || {LF}
-    WHEN low = 'json' AND id % 3 = 0 THEN '{{"id": ' || id
-    WHEN low = 'json' THEN '{{"id":' || id || ',"lang":"' || lang || '"}}'
-    WHEN low = 'ini' THEN 'root = 1' || {LF} || {LF} || '[a]' || {LF} || 'flag = ' || {LF} || 'id = ' || id
-      || {LF} || {LF} || '[z]' || {LF} || 'lang = ' || lang || {LF} || {LF}
+    WHEN low = 'csv' THEN 'doc' || chr(9) || 'lang' || {LF} || csv_text
+    WHEN low = 'tsv' THEN 'doc' || chr(9) || 'lang' || {LF} || coalesce(tsv_text, '')
+    WHEN low = 'json' AND id % 3 = 0 THEN '{{"id": ' || id || ', "text": ' || to_json(text)::VARCHAR
+    WHEN low = 'json' THEN '{{"id":' || id || ',"lang":"' || lang || '","text":' || to_json(text)::VARCHAR || '}}'
+    WHEN low = 'ini' THEN ini_text
     WHEN low = 'eml' THEN 'From: ' || source || '@example.org' || {LF} || 'To: list' || {LF}
       || 'Subject: doc ' || id || {LF} || {LF} || text
     WHEN low = 'fb2' THEN fb2_text
-    WHEN low = 'opf' THEN 'EPUB package (OPF)' || {LF} || {LF} || id || {LF} || source || {LF}
+    WHEN low = 'opf' THEN 'EPUB package (OPF)' || {LF} || {LF} || id || {LF} || coalesce(opf_text, '')
     WHEN kind = 'notebook' THEN '## Cell 1 (markdown)' || {LF} || {LF} || '# doc' || {LF} || {LF} || '---'
       || {LF} || {LF} || '## Cell 2 (cell)' || {LF} || {LF} || text
     WHEN kind = 'pdf' AND NOT starts_with(content, '%PDF') THEN pdf_text
@@ -540,21 +589,21 @@ pieces AS (
     WHEN kind = 'legacy_office' THEN 'Legacy Office file: ' || path || ' (' || size || ' bytes)' || {LF}
       || 'Best-effort OLE text extraction failed. Open in LibreOffice/Microsoft Office or convert to '
       || 'OpenXML (docx/xlsx/pptx).'
-    WHEN (kind IN ('image', 'media', 'font', 'spreadsheet', 'database', 'plist') OR low = 'cbz')
+    WHEN kind IN ('image', 'media', 'font', 'spreadsheet', 'database', 'plist')
       AND raw_shape = 'hex' THEN kind || ' file: ' || path || ' (' || size || ' bytes)' || {LF}
       || 'No text extractor for this kind; register one.'
     ELSE raw_text END AS t,
   CASE WHEN low = 'json' AND id % 3 = 0 THEN 'invalid json' END AS bad
   FROM files LEFT JOIN raw USING (id) LEFT JOIN fb2 USING (id) LEFT JOIN pdf USING (id)
-    LEFT JOIN legacy USING (id)),
+    LEFT JOIN legacy USING (id) LEFT JOIN trees USING (id) LEFT JOIN lists USING (id) LEFT JOIN ini USING (id)
+    LEFT JOIN rows_of USING (id) LEFT JOIN csv USING (id)),
 previews AS (SELECT id, kind, shape,
-  CASE WHEN kind = 'directory' THEN 'Directory: ' || path ELSE name END AS title,
+  CASE WHEN kind = 'directory' THEN 'Directory: ' || path WHEN shape = 'tree' THEN 'Archive: ' || path
+    ELSE name END AS title,
   t AS text, length(t) AS n_chars, false AS truncated,
   coalesce(bad, CASE WHEN shape = 'unsupported' THEN split_part(t, {LF}, 1) END) AS error FROM pieces)"""
 ORACLE_SQL["preview_corpus"] = f"{_PIECES} SELECT * FROM previews"
-ORACLE_SQL["write_previews"] = (
-    f"{_PIECES} SELECT kind, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM previews GROUP BY 1"
-)
+ORACLE_SQL["write_previews"] = ORACLE_SQL["preview_corpus"]
 ORACLE_SQL["register_extractor"] = f"""
 {_PIECES}, k AS (SELECT p.*, f.low, f.text AS src FROM previews p JOIN files f USING (id))
 SELECT id, CASE WHEN low = 'nb9' AND kind = 'fallback' THEN 'notes9' ELSE kind END AS kind,
@@ -567,12 +616,10 @@ FROM k"""
 
 # -- sources ---------------------------------------------------------------------------------
 
-ORACLE_SQL["scan_files"] = """
-SELECT lang, sum(strlen(text) + 1)::BIGINT AS n_bytes, sum(strlen(text) + 1)::BIGINT AS n_read
-FROM documents GROUP BY 1"""
+ORACLE_SQL["scan_files"] = f"""
+SELECT lang, true AS whole, unnest(string_split(text, {LF})) AS line FROM documents"""
 ORACLE_SQL["read_lines"] = f"""
-WITH {_LINES} SELECT count(*) AS last_numbers, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars
-FROM lines"""
+WITH {_LINES} SELECT id AS doc_id, line_no - 1 AS place, line_no - 1 AS after_first, line FROM lines"""
 ORACLE_SQL["read_delimited"] = f"""
 WITH c AS (SELECT o_orderkey, list_concat([o_orderkey::VARCHAR],
   CASE WHEN o_orderkey % 3 <> 0 THEN [o_orderstatus] ELSE [] END,
@@ -595,10 +642,6 @@ SELECT 'o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice
   || o_orderdate || '|' || o_orderpriority AS cells
 FROM orders ORDER BY o_orderkey LIMIT 20"""
 
-_XML = """
-zipped AS (SELECT doc_id, string_split(translate(text, '&<>', '+++'), chr(10)) AS l FROM documents),
-packed AS (SELECT doc_id, l, '<w:document><w:body>' || array_to_string(list_transform(l, lambda x:
-  '<w:p><w:r><w:t>' || x || '</w:t></w:r></w:p>'), '') || '</w:body></w:document>' AS xml FROM zipped)"""
 ORACLE_SQL["archive_manifest"] = f"""
 WITH {_XML},
 entries AS (
@@ -619,10 +662,7 @@ WITH {_XML}, texts AS (SELECT 'doc' || doc_id || '.docx' AS id, array_to_string(
 SELECT id, 'document' AS kind, 'text' AS shape, id AS title, {_PREVIEW} FROM texts"""
 ORACLE_SQL["preview_archives"] = f"""
 WITH {_XML},
-files AS (SELECT 'doc' || doc_id || '.zip' AS tree_id, unnest(list_concat(
-  [{{'seq': 1, 'path': 'word/', 'size': 0}}, {{'seq': 2, 'path': 'word/document.xml', 'size': strlen(xml)}}],
-  list_transform(l, lambda x, i: {{'seq': 3 + i, 'path': 'lines/l' || (i - 1) || '.txt', 'size': strlen(x)}})),
-  recursive := true) FROM packed),
+files AS (SELECT 'doc' || doc_id || '.zip' AS tree_id, {_ZIP_ENTRIES} FROM packed),
 entries AS (SELECT tree_id, seq, path, suffix(path, '/') AS is_dir, size,
   CASE WHEN suffix(path, '/') THEN 'drwxr-xr-x' ELSE '-rw-r--r--' END AS mode FROM files),
 {_nodes_sql('entries')}, {_ORDERED}, drawn AS ({_rendered(False)}),
@@ -630,10 +670,7 @@ texts AS (SELECT tree_id, string_agg(line || {LF}, '' ORDER BY pos) AS t FROM dr
 SELECT tree_id AS id, 'archive' AS kind, 'tree' AS shape, 'Archive: ' || tree_id AS title, {_PREVIEW}
 FROM texts"""
 ORACLE_SQL["preview_comics"] = f"""
-WITH {_XML}, texts AS (SELECT 'doc' || doc_id || '.cbz' AS id, 'Comic book archive — ' || (3 + len(l))
-  || ' file(s)' || {LF} || {LF} || 'word/' || {LF} || 'word/document.xml (' || strlen(xml) || ' bytes)' || {LF}
-  || array_to_string(list_transform(l, lambda x, i: 'lines/l' || (i - 1) || '.txt (' || strlen(x) || ' bytes)'
-  || {LF}), '') AS t FROM packed)
+WITH {_XML}, texts AS (SELECT 'doc' || doc_id || '.cbz' AS id, {_COMIC} AS t FROM packed)
 SELECT id, 'ebook' AS kind, 'text' AS shape, id AS title, {_PREVIEW} FROM texts"""
 ORACLE_SQL["zip_member_text"] = f"""
 WITH {_XML} SELECT 'doc' || doc_id || '.docx' AS path, 'word/document.xml' AS member, 2 AS seq,

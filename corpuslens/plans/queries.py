@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from corpuslens.functions import detect as D
 from corpuslens.functions import markdown as M
@@ -97,7 +98,7 @@ def mime_matches(spark, sf):
 
 
 def _file_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return V.document_files(_docs(spark, sf)).withColumn("content", F.encode("content", "utf-8"))
+    return V.document_files(_docs(spark, sf), containers=False)
 
 
 @query
@@ -450,7 +451,7 @@ def count_nodes(spark, sf):
 
 @query
 def preview_corpus(spark, sf):
-    """Flagship: every document as a file of some kind, detected, extracted and cut."""
+    """Flagship: every document as a file of some kind, detected, extracted and drawn."""
     return P.preview_corpus(V.document_files(_docs(spark, sf)), UNCUT)
 
 
@@ -463,7 +464,6 @@ def preview_containers(spark, sf):
         F.lit(False).alias("is_dir"),
         F.col("length").alias("size"),
         "content",
-        A.container_members(F.col("path"), F.col("content"))["members"].alias("members"),
     )
     return P.preview_corpus(files, UNCUT)
 
@@ -506,24 +506,33 @@ def scan_files(spark, sf):
     path = work_dir(spark, "scan")
     _docs(spark, sf).select("lang", "text").write.partitionBy("lang").text(path)
     files = S.scan_files(spark, path, "*.txt")
-    lang = F.regexp_extract("path", "/lang=([^/]*)/", 1)
-    return files.groupBy(lang.alias("lang")).agg(
-        F.sum("length").alias("n_bytes"), F.sum(F.length("content")).alias("n_read")
+    lines = F.split(F.regexp_replace(F.col("content").cast("string"), r"\n\z", ""), "\n", -1)
+    return files.select(
+        F.regexp_extract("path", "/lang=([^/]*)/", 1).alias("lang"),
+        (F.col("length") == F.octet_length("content")).alias("whole"),
+        F.explode(lines).alias("line"),
     )
 
 
 @query
 def read_lines(spark, sf):
+    """Every line with its number; a document's lines follow each other in their file."""
     path = work_dir(spark, "lines")
-    _docs(spark, sf).select("text").write.text(path)
-    files = sorted(spark.read.format("binaryFile").load(path).inputFiles())
-    lines = S.read_lines(spark, files)
-    per_file = lines.groupBy("file_no").agg(
-        F.max("line_no").alias("last"), F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars")
+    numbered = F.transform(
+        F.split("text", "\n", -1),
+        lambda line, i: F.concat_ws("\t", F.col("doc_id").cast("string"), i.cast("string"), line),
     )
-    return per_file.agg(
-        F.sum("last").alias("last_numbers"), F.sum("n").alias("n_lines"), F.sum("chars").alias("n_chars")
+    _docs(spark, sf).select(F.array_join(numbered, "\n")).write.text(path)
+    files = sorted(spark.read.format("binaryFile").load(path).inputFiles())
+    part = F.split("line", "\t", 3)
+    lines = S.read_lines(spark, files).select(
+        "line_no",
+        F.get(part, F.lit(0)).cast("bigint").alias("doc_id"),
+        F.get(part, F.lit(1)).cast("bigint").alias("place"),
+        F.get(part, F.lit(2)).alias("line"),
     )
+    first = F.min("line_no").over(W.partitionBy("doc_id"))
+    return lines.select("doc_id", "place", (F.col("line_no") - first).alias("after_first"), "line")
 
 
 @query
@@ -614,7 +623,7 @@ def docx_paragraphs(spark, sf):
 
 @query
 def odt_text(spark, sf):
-    members = A.zip_member_text(V.zipped_docs(_docs(spark, sf), "odt"), r"word/document\.xml", True)
+    members = A.zip_member_text(V.zipped_docs(_docs(spark, sf), "odt"))
     return members.select("path", T.odt_text(F.col("text")).alias("text"))
 
 
@@ -622,7 +631,4 @@ def odt_text(spark, sf):
 def write_previews(spark, sf):
     path = work_dir(spark, "previews")
     S.write_previews(P.preview_corpus(V.document_files(_docs(spark, sf)), UNCUT), path)
-    back = spark.read.parquet(path)
-    return back.groupBy("kind").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars")
-    )
+    return spark.read.parquet(path)

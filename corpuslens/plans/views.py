@@ -7,6 +7,7 @@ Every view is one narrow projection of a table, so it grows with it. The matchin
 from __future__ import annotations
 
 import io
+import tarfile
 import zipfile
 
 import pandas as pd
@@ -68,14 +69,29 @@ def document_listing(documents: DataFrame) -> DataFrame:
     )
 
 
-def document_files(documents: DataFrame) -> DataFrame:
-    """Documents as files ``(id, path, is_dir, size, content)`` with content that fits the kind."""
+def _put(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _json_text(text: Column) -> Column:
+    """A text as a JSON string."""
+    quoted = F.to_json(F.struct(text.alias("v")))
+    return F.substr(quoted, F.lit(6), F.length(quoted) - 6)
+
+
+def _each_line(lines: Column, render) -> Column:
+    return F.array_join(F.transform(lines, render), "")
+
+
+def document_files(documents: DataFrame, containers: bool = True) -> DataFrame:
+    """Documents as files ``(id, path, is_dir, size, content, entries)``; the content holds the whole
+    text in a form that fits the kind, directories list a file per line. Without ``containers`` the
+    content of zip and tar files is the plain text."""
     n, text = F.col("doc_id"), F.col("text")
     word = n.cast("string")
     ext = document_ext()
-
-    def put(*parts: Column | str) -> Column:
-        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    lines, plain = F.split(text, "\n", -1), plain_lines(text)
+    number = lambda i: (i + 1).cast("string")
 
     notebook = F.to_json(
         F.struct(
@@ -85,37 +101,35 @@ def document_files(documents: DataFrame) -> DataFrame:
             ).alias("cells")
         )
     )
+    quoted = lambda line: F.concat(F.lit('"'), F.replace(line, F.lit('"'), F.lit('""')), F.lit('"'))
     content = (
         F.when(
             ext == "json",
-            F.when(n % 3 == 0, put('{"id": ', word)).otherwise(
-                put('{"lang":"', F.col("lang"), '", "id":', word, "}")
+            F.when(n % 3 == 0, _put('{"id": ', word, ', "text": ', _json_text(text))).otherwise(
+                _put('{"text": ', _json_text(text), ', "lang":"', F.col("lang"), '", "id":', word, "}")
             ),
         )
         .when(
             ext == "csv",
-            put("doc,lang\n", word, ",", F.col("lang"), '\n"q,""1",', F.col("source"), ",extra\n\nlast\n"),
-        )
-        .when(ext == "tsv", put("doc\tlang\n", word, "\t", F.col("lang"), "\n"))
-        .when(
-            ext == "ini",
-            put("; note\nroot=1\n[z]\nlang=x\nlang = ", F.col("lang"), "\n[a]\nid: ", word, "\nflag\n"),
+            _put("doc,lang\n", _each_line(lines, lambda l, i: _put(number(i), ",", quoted(l), ",x\n"))),
         )
+        .when(ext == "tsv", _put("doc\tlang\n", _each_line(plain, lambda l, i: _put(number(i), "\t", l, "\n"))))
+        .when(ext == "ini", ini_text(plain))
         .when(
             ext == "eml",
-            put("From: ", F.col("source"), "@example.org\r\nTo: list\r\nSubject: doc\r\n  ", word, "\r\n\r\n", text),
+            _put("From: ", F.col("source"), "@example.org\r\nTo: list\r\nSubject: doc\r\n  ", word, "\r\n\r\n", text),
         )
         .when(ext == "ipynb", notebook)
         .when(
             ext == "pdf",
-            F.when(n % 64 == 9, put("%PDF-1.4\n", text)).otherwise(
+            F.when(n % 64 == 9, _put("%PDF-1.4\n", text)).otherwise(
                 F.replace(text, F.lit("\n"), F.lit("\f"))
             ),
         )
-        .when(ext == "", F.when(n % 64 == 11, put("GIF89a", text)).otherwise(put("%PDF-", text)))
+        .when(ext == "", F.when(n % 64 == 11, _put("GIF89a", text)).otherwise(_put("%PDF-", text)))
         .when(
             ext == "fb2",
-            put(
+            _put(
                 '<?xml version="1.0"?><FictionBook><body><p>',
                 F.replace(text, F.lit("\n"), F.lit("</p>\n<p>")),
                 "</p></body></FictionBook>",
@@ -123,17 +137,36 @@ def document_files(documents: DataFrame) -> DataFrame:
         )
         .when(
             ext == "opf",
-            put("<package><title>", word, "</title><!-- ", F.col("lang"), " --><d>", F.col("source"), "</d></package>"),
+            _put(
+                "<package><title>", word, "</title><!-- ", F.col("lang"), " -->",
+                _each_line(plain, lambda l, i: _put("<d>", l, "</d>")), "</package>",
+            ),
         )
         .otherwise(text)
-    )
+    )
+    content = F.encode(content, "utf-8")
+    if containers:
+        form = F.when(ext.isin("zip", "cbz", "docx"), "zip").when(ext == "tar.gz", "tar")
+        packed = _packer()(F.when(form.isNotNull(), F.translate(text, "&<>", "+++")), form)
+        content = F.when(form.isNotNull(), packed).otherwise(content)
     is_dir = F.col("doc_id") % 29 == 3
+    listing = F.transform(
+        plain,
+        lambda l, i: F.struct(
+            i.cast("bigint").alias("seq"),
+            _put("d", (i % 3).cast("string"), "/", l, ".txt").alias("path"),
+            F.lit(False).alias("is_dir"),
+            F.length(l).cast("bigint").alias("size"),
+            F.lit(None).cast("string").alias("mode"),
+        ),
+    )
     return documents.select(
         F.col("doc_id").alias("id"),
         document_path().alias("path"),
         is_dir.alias("is_dir"),
         F.when(~is_dir, F.col("n_chars")).alias("size"),
         F.when(~is_dir, content).alias("content"),
+        F.when(is_dir, listing).alias("entries"),
     )
 
 
@@ -222,18 +255,23 @@ def notebooks(conversations: DataFrame) -> DataFrame:
     )
 
 
-def ini_files(documents: DataFrame) -> DataFrame:
-    """``(id, text)``: an ini text per document; every line of it gives one key."""
-    lines = F.transform(
-        plain_lines(F.col("text")),
+def ini_text(lines: Column) -> Column:
+    """An ini text; every line of a text gives one key."""
+    keys = _each_line(
+        lines,
         lambda l, i: F.concat(
             F.when(i % 4 == 0, F.concat(F.lit("[s"), (i % 3).cast("string"), F.lit("]\n; note\n"))).otherwise(""),
             F.lit("k"), (i % 5).cast("string"), F.when(i % 6 == 5, "").otherwise(F.concat(F.lit(" = "), l)),
             F.lit("\n"),
         ),
     )
+    return F.concat(F.lit("top=1\n"), keys)
+
+
+def ini_files(documents: DataFrame) -> DataFrame:
+    """``(id, text)``: an ini text per document."""
     return documents.select(
-        F.col("doc_id").alias("id"), F.concat(F.lit("top=1\n"), F.array_join(lines, "")).alias("text")
+        F.col("doc_id").alias("id"), ini_text(plain_lines(F.col("text"))).alias("text")
     )
 
 
@@ -266,23 +304,43 @@ def magic_docs(documents: DataFrame) -> DataFrame:
     )
 
 
-def _zip_packer():
-    """Pandas UDF: a text becomes a zip file with one member per line."""
+def _packer():
+    """Pandas UDF: a text becomes a zip or tar file with one member per line."""
 
-    def pack(value: str) -> bytes:
+    def pack_zip(value: str, odt: bool) -> bytes:
         out = io.BytesIO()
         lines = value.split("\n")
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-            archive.writestr("word/", "")
-            body = "".join(f"<w:p><w:r><w:t>{line}</w:t></w:r></w:p>" for line in lines)
-            archive.writestr("word/document.xml", f"<w:document><w:body>{body}</w:body></w:document>")
-            archive.writestr("__MACOSX/word/x", "noise")
-            for i, line in enumerate(lines):
-                archive.writestr(f"lines/l{i}.txt", line)
+            if odt:
+                body = "".join(f"<text:p>{line}</text:p>" for line in lines)
+                archive.writestr("mimetype", "application/vnd.oasis.opendocument.text")
+                archive.writestr("content.xml", f"<?xml version='1.0'?><office:text>{body}</office:text>")
+            else:
+                body = "".join(f"<w:p><w:r><w:t>{line}</w:t></w:r></w:p>" for line in lines)
+                archive.writestr("word/", "")
+                archive.writestr("word/document.xml", f"<w:document><w:body>{body}</w:body></w:document>")
+                archive.writestr("__MACOSX/word/x", "noise")
+                for i, line in enumerate(lines):
+                    archive.writestr(f"lines/l{i}.txt", line)
         return out.getvalue()
 
-    def pack_all(text: pd.Series) -> pd.Series:
-        return text.map(pack)
+    def pack_tar(value: str) -> bytes:
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w:gz") as archive:
+            for i, line in enumerate(value.split("\n")):
+                data = line.encode()
+                info = tarfile.TarInfo(f"part{i % 2}/l{i}.txt")
+                info.size, info.mode = len(data), 0o640
+                archive.addfile(info, io.BytesIO(data))
+        return out.getvalue()
+
+    def pack(value: str | None, form: str | None) -> bytes | None:
+        if value is None or form is None:
+            return None
+        return pack_tar(value) if form == "tar" else pack_zip(value, form == "odt")
+
+    def pack_all(text: pd.Series, form: pd.Series) -> pd.Series:
+        return pd.Series([pack(*pair) for pair in zip(text, form)], dtype=object)
 
     return F.pandas_udf(pack_all, "binary").asNondeterministic()
 
@@ -291,6 +349,6 @@ def zipped_docs(documents: DataFrame, ext: str) -> DataFrame:
     """``(path, length, content)``: a real zip file per document, one member per line of text."""
     packed = documents.select(
         F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("." + ext)).alias("path"),
-        _zip_packer()(F.translate("text", "&<>", "+++")).alias("content"),
+        _packer()(F.translate("text", "&<>", "+++"), F.lit("odt" if ext == "odt" else "zip")).alias("content"),
     )
     return packed.select("path", F.length("content").cast("bigint").alias("length"), "content")
