@@ -7,9 +7,9 @@ plan has no join and no shuffle, which streams need.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import BLOCK, first_of, let
@@ -81,9 +81,8 @@ def _last_of_path(states: Column) -> Column:
     )
 
 
-def _nodes(entries: Column) -> Column:
-    """One struct per path, implied directories included, by path: the last touch decides ``is_dir``,
-    ``size`` and ``mode`` are the last ones stated for the path itself, ``seq`` is the first."""
+def _touches(entries: Column) -> Column:
+    """Every entry once for its path and each path above, by path."""
 
     def touches(e: Column) -> Column:
         def each(parts: Column) -> Column:
@@ -103,6 +102,13 @@ def _nodes(entries: Column) -> Column:
 
         return let(path_parts(e["path"]), each)
 
+    return F.array_sort(F.flatten(F.transform(entries, touches)))
+
+
+def _merged(touches: Column) -> Column:
+    """One struct per path, implied directories included, by path: the last touch decides ``is_dir``,
+    ``size`` and ``mode`` are the last ones stated for the path itself, ``seq`` is the first."""
+
     def merge(s: Column, t: Column) -> Column:
         same = F.coalesce(s["parts"] == t["parts"], F.lit(False))
         return F.struct(
@@ -113,8 +119,7 @@ def _nodes(entries: Column) -> Column:
             F.coalesce(t["mode"], F.when(same, s["mode"])).alias("mode"),
         )
 
-    ordered = F.array_sort(F.flatten(F.transform(entries, touches)))
-    return _last_of_path(scan(ordered, _TOUCH, F.lit(None), merge))
+    return _last_of_path(scan(touches, _TOUCH, F.lit(None), merge))
 
 
 def _in_preorder(nodes: Column, name: Callable[[Column], Column], ties: bool) -> Column:
@@ -163,13 +168,24 @@ def drawn_line(lasts: Column, node: Column, icons: bool = False) -> Column:
     )
 
 
-def tree_text(entries: Column, icons: bool = False) -> Column:
-    """The drawn tree of an array of entries, a line per node."""
+def _steps(df: DataFrame, value: Column, steps: Sequence[Callable[[Column], Column]], out: str) -> DataFrame:
+    """``value`` through some functions, one projection each: nested in one expression they would be
+    analysed once per level of nesting. Null stays null."""
+    name = f"__{out}"
+    df = df.withColumn(name, value)
+    for step in steps:
+        df = df.withColumn(name, F.when(F.col(name).isNotNull(), step(F.col(name))))
+    return df.withColumn(out, F.col(name)).drop(name)
 
-    def draw(nodes: Column) -> Column:
-        lines = F.zip_with(
-            nodes,
-            _lasts(nodes),
+
+def with_tree_text(df: DataFrame, entries: Column, out: str, icons: bool = False) -> DataFrame:
+    """``df`` with the drawn tree of an array of entries, a line per node; null for null. Rows stay
+    where they are."""
+
+    def lines(placed: Column) -> Column:
+        drawn = F.zip_with(
+            placed["nodes"],
+            placed["lasts"],
             lambda node, lasts: F.concat(
                 drawn_line(
                     lasts,
@@ -184,14 +200,22 @@ def tree_text(entries: Column, icons: bool = False) -> Column:
                 F.lit("\n"),
             ),
         )
-        return F.array_join(lines, "")
-
-    return let(_in_preorder(let(entries, _nodes), F.lower, True), draw)
+        return F.array_join(drawn, "")
+
+    steps = (
+        _touches,
+        _merged,
+        lambda nodes: _in_preorder(nodes, F.lower, True),
+        lambda nodes: F.struct(nodes.alias("nodes"), _lasts(nodes).alias("lasts")),
+        lines,
+    )
+    return _steps(df, entries, steps, out)
 
 
-def listed(entries: Column, max_depth: int, max_entries: int = 0) -> Column:
-    """Entries of a directory as they are listed: nothing hidden, down to ``max_depth`` (counted from
-    0), directories first and then by name, in preorder, the first ``max_entries`` (0: all)."""
+def with_listing(df: DataFrame, entries: Column, out: str, max_depth: int, max_entries: int = 0) -> DataFrame:
+    """``df`` with the entries of a directory as they are listed: nothing hidden, down to ``max_depth``
+    (counted from 0), directories first and then by name, in preorder, the first ``max_entries``
+    (0: all)."""
 
     def shown(e: Column) -> Column:
         def cut(parts: Column) -> Column:
@@ -209,15 +233,23 @@ def listed(entries: Column, max_depth: int, max_entries: int = 0) -> Column:
 
         return let(path_parts(e["path"]), cut)
 
-    nodes = let(F.transform(entries, shown), _nodes)
-    ordered = first_of(_in_preorder(nodes, lambda name: name, False), max_entries)
-    return F.transform(
-        ordered,
-        lambda node, i: F.struct(
-            (i + 1).cast("bigint").alias("seq"),
-            F.array_join(node["parts"], "/").alias("path"),
-            node["is_dir"].alias("is_dir"),
-            F.when(~node["is_dir"], node["size"]).alias("size"),
-            F.when(node["is_dir"], "drwxr-xr-x").otherwise("-rw-r--r--").alias("mode"),
-        ),
+    def numbered(nodes: Column) -> Column:
+        return F.transform(
+            nodes,
+            lambda node, i: F.struct(
+                (i + 1).cast("bigint").alias("seq"),
+                F.array_join(node["parts"], "/").alias("path"),
+                node["is_dir"].alias("is_dir"),
+                F.when(~node["is_dir"], node["size"]).alias("size"),
+                F.when(node["is_dir"], "drwxr-xr-x").otherwise("-rw-r--r--").alias("mode"),
+            ),
+        )
+
+    steps = (
+        lambda all_entries: F.transform(all_entries, shown),
+        _touches,
+        _merged,
+        lambda nodes: first_of(_in_preorder(nodes, lambda name: name, False), max_entries),
+        numbered,
     )
+    return _steps(df, entries, steps, out)

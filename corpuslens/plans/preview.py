@@ -221,27 +221,14 @@ def _by_kind(limits: Limits) -> Column:
     )
     bad_container = _piece("unsupported", broken, None, broken)
 
-    def drawn(label: str, shown: Column, most: int) -> Column:
-        return T.let(
-            shown,
-            lambda e: _piece(
-                "tree",
-                FT.tree_text(T.first_of(e, most)),
-                F.concat(F.lit(label), path),
-                cut=_more(F.size(e), most),
-            ),
-        )
-
+    tree, bare_tree = F.col("tree"), F.lit("")
     archive = F.when(
-        entries.isNotNull(),
-        drawn("Archive: ", F.filter(entries, lambda e: ~FT.is_noise(e["path"])), limits.archive_entries),
+        tree.isNotNull(), _piece("tree", tree, F.concat(F.lit("Archive: "), path), cut=F.col("more"))
     ).when(broken.isNotNull(), bad_container)
     comic = F.when(entries.isNotNull(), comic_piece(entries, limits)).when(broken.isNotNull(), bad_container)
-    most = limits.dir_entries
-    directory = F.when(
-        F.size(entries) > 0,
-        drawn("Directory: ", FT.listed(entries, limits.dir_depth, most and most + 1), most),
-    ).otherwise(_piece("tree", F.lit(""), F.concat(F.lit("Directory: "), path)))
+    directory = _piece(
+        "tree", F.coalesce(tree, bare_tree), F.concat(F.lit("Directory: "), path), cut=F.col("more")
+    )
     routed = (
         F.when(F.col("kind") == "archive", archive)
         .when((F.col("kind") == "ebook") & (ext == "cbz"), F.coalesce(comic, no_codec))
@@ -299,6 +286,26 @@ def _by_kind(limits: Limits) -> Column:
     )
 
 
+def with_trees(df: DataFrame, limits: Limits) -> DataFrame:
+    """Add ``tree``, the drawn entries of archives and directories, and ``more``: whether some were left
+    out. Rows of other kinds have neither."""
+    most = limits.dir_entries
+    listed = FT.with_listing(
+        df,
+        F.when(F.col("kind") == "directory", F.col("entries")),
+        "listed",
+        limits.dir_depth,
+        most and most + 1,
+    )
+    packed = F.filter("entries", lambda e: ~FT.is_noise(e["path"]))
+    of_archive = F.col("kind") == "archive"
+    shown = listed.withColumn("shown", F.when(of_archive, packed).otherwise(F.col("listed")))
+    limit = F.when(of_archive, limits.archive_entries or 2**31 - 1).otherwise(most or 2**31 - 1)
+    shown = shown.withColumn("more", F.size("shown") > limit)
+    drawn = FT.with_tree_text(shown, F.slice("shown", F.lit(1), limit), "tree")
+    return drawn.drop("listed", "shown")
+
+
 def preview_corpus(
     df: DataFrame,
     limits: Limits = DEFAULTS,
@@ -355,7 +362,7 @@ def preview_corpus(
         .alias("entries"),
         F.col("opened.error").alias("broken"),
     )
-    kinds = with_kind(base, rules, unknown)
+    kinds = with_trees(with_kind(base, rules, unknown), limits)
     piece = _by_kind(limits)
     for kind, functions in (extractors.functions if extractors else {}).items():
         for fn in reversed(functions):
@@ -452,8 +459,7 @@ def preview_directory(files: DataFrame, root: str, limits: Limits = DEFAULTS) ->
         F.array_sort(F.collect_list(F.when(F.col("seq") <= most, entry))).alias("entries"),
         (F.count(F.lit(1)) > most).alias("more"),
     )
-    text = FT.tree_text(F.col("entries"))
-    return whole.withColumn("full", text).select(
+    return FT.with_tree_text(whole, F.col("entries"), "full").select(
         F.col("tree_id").alias("id"),
         F.lit("directory").alias("kind"),
         F.lit("tree").alias("shape"),
