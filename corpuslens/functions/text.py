@@ -398,61 +398,6 @@ def json_canonical(text: Column) -> Column:
     return F.to_json(json_value(text))
 
 
-def _header(head: Column, name: str) -> Column:
-    pattern = rf"(?im)^{name}:[ \t]*([^\r\n]*)"
-    return F.when(F.rlike(head, F.lit(pattern)), F.regexp_extract(head, pattern, 1))
-
-
-def email_fields(raw: Column) -> Column:
-    """``struct<sender, recipient, subject, body, error>`` of a single-part message.
-
-    Multipart messages, encoded bodies and encoded subjects give a null field and an error.
-    """
-
-    def fields(head: Column, body: Column) -> Column:
-        ctype = F.lower(F.coalesce(_header(head, "Content-Type"), F.lit("text/plain")))
-        encoding = F.lower(F.coalesce(_header(head, "Content-Transfer-Encoding"), F.lit("7bit")))
-        subject = _header(head, "Subject")
-        multipart = F.startswith(ctype, F.lit("multipart/"))
-        encoded = ~F.trim(encoding).isin("7bit", "8bit", "binary")
-        encoded_word = F.coalesce(F.contains(subject, F.lit("=?")), F.lit(False))
-        return F.struct(
-            _header(head, "From").alias("sender"),
-            _header(head, "To").alias("recipient"),
-            F.when(~encoded_word, subject).alias("subject"),
-            F.when(multipart | encoded, F.lit(None).cast("string"))
-            .when(F.startswith(ctype, F.lit("text/html")), strip_tags(body))
-            .otherwise(body)
-            .alias("body"),
-            F.when(multipart, "multipart message")
-            .when(encoded, "encoded body")
-            .when(encoded_word, "encoded header")
-            .alias("error"),
-        )
-
-    def with_parts(parts: Column) -> Column:
-        body = F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
-        head = F.regexp_replace(F.get(parts, F.lit(0)), r"\r?\n[ \t]+", " ")
-        return let(head, lambda h: fields(h, body))
-
-    return let(F.split(raw, r"\r?\n\r?\n", 2), with_parts)
-
-
-def email_text(fields: Column) -> Column:
-    """Message as text: the present header lines, a blank line, the body."""
-
-    def line(label: str, value: Column) -> Column:
-        return F.coalesce(F.concat(F.lit(label), value, F.lit("\n")), F.lit(""))
-
-    return F.concat(
-        line("From: ", fields["sender"]),
-        line("To: ", fields["recipient"]),
-        line("Subject: ", fields["subject"]),
-        F.lit("\n"),
-        F.coalesce(fields["body"], F.lit("")),
-    )
-
-
 def ini_entries(text: Column) -> Column:
     """Sorted ``array<struct<section, key, value>>``; the last of equal keys wins."""
     sections = F.split(F.concat(F.lit("\n"), text), r"\r?\n[ \t]*(?=\[[^\]\n]*\])", -1)

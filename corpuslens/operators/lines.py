@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.functions import mail as ML
 from corpuslens.functions import text as T
 from corpuslens.functions.detect import first_bytes
 from corpuslens.operators.ranking import first_per_group
@@ -152,4 +153,4 @@ def join_slides(
 
 def email_rows(df: DataFrame, id_col: str = "id", raw_col: str = "raw") -> DataFrame:
     """``(id, sender, recipient, subject, body, error)`` of raw messages."""
-    return df.select(id_col, T.email_fields(F.col(raw_col)).alias("m")).select(id_col, "m.*")
+    return df.select(id_col, ML.email_fields(F.col(raw_col)).alias("m")).select(id_col, "m.*")

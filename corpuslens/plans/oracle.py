@@ -196,11 +196,14 @@ ORACLE_SQL["printable_runs"] = f"""
 WITH r AS (SELECT doc_id AS id, {_RUNS} AS runs FROM documents)
 SELECT id, runs, CASE WHEN length(runs) >= 20 THEN runs || {LF} END AS legacy FROM r"""
 
-_MAIL = """
+_MAIL = r"""
 mail AS (SELECT conv_id || '-' || turn AS id, role || '@example.org' AS sender,
-  'conv' || conv_id AS recipient, 'turn ' || turn AS subject,
-  CASE WHEN (conv_id + turn) % 5 <> 4 THEN text END AS body,
-  CASE WHEN (conv_id + turn) % 5 = 4 THEN 'multipart message' END AS error FROM conversations)"""
+  'conv' || conv_id AS recipient,
+  CASE WHEN (conv_id + turn) % 2 = 0 THEN 'tür à n° ' || turn ELSE 'turn ' || turn END AS subject,
+  CASE (conv_id + turn) % 9 WHEN 6 THEN '€ café ' || regexp_replace(replace(text, chr(10), chr(13) || chr(10)),
+      '[^\x00-\x7F]|=', '?', 'g')
+    WHEN 7 THEN 'über ' WHEN 8 THEN NULL ELSE text END AS body,
+  CASE WHEN (conv_id + turn) % 9 = 8 THEN 'no text part' END AS error FROM conversations)"""
 ORACLE_SQL["email_fields"] = f"WITH {_MAIL} SELECT * FROM mail"
 ORACLE_SQL["email_text"] = f"""
 WITH {_MAIL} SELECT id, 'From: ' || sender || {LF} || 'To: ' || recipient || {LF} || 'Subject: '

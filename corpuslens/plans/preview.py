@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from corpuslens.functions import detect as D
+from corpuslens.functions import mail as ML
 from corpuslens.functions import text as T
 from corpuslens.limits import DEFAULTS, Limits
 from corpuslens.functions import trees as FT
@@ -174,7 +175,7 @@ def _by_kind(limits: Limits) -> Column:
         T.notebook_cells(text),
         lambda cells: T.join_slide_array(F.transform(cells, lambda c: c["text"])),
     )
-    mail = T.email_fields(text)
+    mail = ML.email_fields(text)
     printable = T.legacy_text(content, 0, limits.legacy_min)
 
     data = (
@@ -256,7 +257,7 @@ def _by_kind(limits: Limits) -> Column:
         )
         .when(
             (F.col("kind") == "email") & text.isNotNull(),
-            T.let(mail, lambda m: _piece("text", T.email_text(m), None, m["error"])),
+            T.let(mail, lambda m: _piece("text", ML.email_text(m), None, m["error"])),
         )
         .when(F.col("kind") == "ebook", ebook)
         .when(

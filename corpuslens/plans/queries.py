@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from corpuslens.functions import detect as D
 from corpuslens.functions import markdown as M
+from corpuslens.functions import mail as ML
 from corpuslens.functions import text as T
 from corpuslens.limits import Limits
 from corpuslens.operators import lines as L
@@ -192,7 +193,7 @@ def email_fields(spark, sf):
 
 @query
 def email_text(spark, sf):
-    text = T.email_text(T.email_fields(F.col("raw")))
+    text = ML.email_text(ML.email_fields(F.col("raw")))
     return V.mail_messages(_turns(spark, sf)).select("id", text.alias("text"))
 
 

@@ -216,21 +216,57 @@ def markdown_docs(documents: DataFrame) -> DataFrame:
 
 
 def mail_messages(conversations: DataFrame) -> DataFrame:
-    """``(id, raw)``: a message per turn, every third one as HTML, every fifth one multipart."""
+    """``(id, raw)``: a message per turn in one of nine forms: plain, HTML, base64, quoted-printable,
+    multipart with an attachment first, nested multipart with HTML first, HTML alone in a part in a
+    western charset, a western body, and an image without text."""
     n = F.col("conv_id") + F.col("turn")
-    kind = (
-        F.when(n % 5 == 4, "Content-Type: multipart/mixed; boundary=x\n")
-        .when(n % 3 == 0, "Content-Type: text/html; charset=utf-8\n")
-        .otherwise("")
-    )
-    body = F.when(n % 3 == 0, F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>"))).otherwise(
-        F.col("text")
-    )
+    text = F.col("text")
+    crlf = F.replace(text, F.lit("\n"), F.lit("\r\n"))
+    encoded = F.base64(F.encode(text, "utf-8"))
+    folded = F.regexp_replace(encoded, "(.{76})", "$1\n")
+    escaped = F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit(" ")), F.lit("%"), F.lit("="))
+    soft = F.regexp_replace(escaped, "((?:=..|[^=]){40})", "$1=\n")
+    form = (
+        F.when(n % 9 == 0, _put("\n", text))
+        .when(n % 9 == 1, _put("Content-Type: text/html; charset=utf-8\n\n<p>", text, "</p>"))
+        .when(n % 9 == 2, _put("Content-Type: text/plain; charset=UTF-8\nContent-Transfer-Encoding: base64\n\n", folded, "\n"))
+        .when(n % 9 == 3, _put("content-type: text/plain;\n charset=\"utf-8\"\ncontent-transfer-encoding: Quoted-Printable\n\n", soft))
+        .when(
+            n % 9 == 4,
+            _put(
+                "Content-Type: multipart/mixed; boundary=x+1\n\nfor old readers\n--x+1\nContent-Type: text/plain\n"
+                "Content-Disposition: attachment; filename=a.txt\n\nnot me\n--x+1\n\n", text, "\n--x+1--\nepilogue\n",
+            ),
+        )
+        .when(
+            n % 9 == 5,
+            _put(
+                "Content-Type: multipart/mixed;\r\n\tboundary=\"out (er)\"\r\n\r\n--out (er)\r\n"
+                "Content-Type: multipart/alternative; boundary=in\r\n\r\n--in\r\nContent-Type: text/html\r\n\r\n<b>no</b>\r\n"
+                "--in  \r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n",
+                F.replace(folded, F.lit("\n"), F.lit("\r\n")),
+                "\r\n--in--\r\n--out (er)\r\nContent-Type: image/png\r\n\r\nPNG\r\n--out (er)--\r\n",
+            ),
+        )
+        .when(
+            n % 9 == 6,
+            _put(
+                "Content-Type: multipart/related; boundary=r\r\n\r\n--r\r\nContent-Type: text/html; charset=windows-1252\r\n"
+                "Content-Transfer-Encoding: quoted-printable\r\n\r\n<p>=80 caf=E9=\r\n ", F.regexp_replace(crlf, r"[^\x00-\x7F]|=", "?"), "</p>\r\n--r--\r\n",
+            ),
+        )
+        .when(n % 9 == 7, "Content-Type: text/plain; charset=ISO-8859-1\nContent-Transfer-Encoding: quoted-printable\n\n=FCber=20=\n")
+        .otherwise("Content-Type: image/png\nContent-Transfer-Encoding: base64\n\nAAAA\n")
+    )
+    subject = F.when(
+        n % 2 == 0,
+        _put("=?UTF-8?B?", F.base64(F.encode(F.lit("tür "), "utf-8")), "?= =?iso-8859-1?q?=E0_n=B0?=\n\t", F.col("turn").cast("string")),
+    ).otherwise(_put("turn\n\t", F.col("turn").cast("string")))
     return conversations.select(
         F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"),
-        F.concat(
-            F.lit("From: "), F.col("role"), F.lit("@example.org\nTO: conv"), F.col("conv_id").cast("string"),
-            F.lit("\nSubject: turn\n\t"), F.col("turn").cast("string"), F.lit("\n"), kind, F.lit("\n"), body,
+        _put(
+            "From: ", F.col("role"), "@example.org\nTO: conv", F.col("conv_id").cast("string"), "\nSubject: ",
+            subject, "\n", form,
         ).alias("raw"),
     )
 

@@ -3,12 +3,20 @@ from __future__ import annotations
 import csv
 import io
 import json
+import quopri
 import random
 import unicodedata
+from email import message_from_string
+from email.header import Header, decode_header, make_header
+from email.mime.application import MIMEApplication
+from email.mime.base import MIMEBase
+from email.mime.multipart import MIMEMultipart
+from email.mime.text import MIMEText
 
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslens.functions import mail as ML
 from corpuslens.functions import text as T
 from corpuslens.operators import lines as L
 
@@ -299,15 +307,67 @@ def test_email(spark):
     assert (rows[1]["sender"], rows[1]["subject"]) == ("ann@mail.test", "Plan folded")
     assert rows[1]["body"] == "See you there\r\n" and rows[1]["error"] is None
     assert rows[2]["body"] == "Hi x" and rows[2]["recipient"] is None
-    assert rows[3]["body"] is None and rows[3]["error"] == "multipart message"
+    assert rows[3]["body"] == "" and rows[3]["error"] is None
     assert rows[3]["subject"] == "q"
-    assert rows[4]["error"] == "encoded body" and rows[4]["body"] is None
-    assert rows[5]["subject"] is None and rows[5]["error"] == "encoded header"
+    assert rows[4]["error"] is None and rows[4]["body"] == "\0\0\0"
+    assert rows[5]["subject"] == "é" and rows[5]["error"] is None
     assert rows[6]["body"] == ""
-    texts = df.select("id", T.email_text(T.email_fields(F.col("raw"))).alias("t")).collect()
+    texts = df.select("id", ML.email_text(ML.email_fields(F.col("raw"))).alias("t")).collect()
     assert dict(map(tuple, texts))[2] == "From: a\n\nHi x"
 
 
+def random_mail(rng: random.Random, depth: int = 0) -> MIMEBase:
+    if depth < 4 and rng.random() < 0.5:
+        part = MIMEMultipart(rng.choice(["mixed", "alternative", "related"]))
+        for _ in range(rng.randrange(1, 4)):
+            part.attach(random_mail(rng, depth + 1))
+        return part
+    if rng.random() < 0.2:
+        return MIMEApplication(bytes(rng.randrange(256) for _ in range(90)))
+    text = "".join(rng.choice(["word ", "é", "=", "漢字", "\n", "--x\n", "a" * 90, "<b>"]) for _ in range(rng.randrange(30)))
+    part = MIMEText(text, rng.choice(["plain", "plain", "html"]), "utf-8")
+    if rng.random() < 0.5:
+        del part["Content-Transfer-Encoding"]
+        part["Content-Transfer-Encoding"] = "quoted-printable"
+        part.set_payload(quopri.encodestring(text.encode()).decode())
+    if rng.random() < 0.2:
+        part["Content-Disposition"] = "attachment; filename=x.txt"
+    return part
+
+
+def test_mail_like_the_standard_parser(spark):
+    rng = random.Random(10)
+    raws, want = [], []
+    for i in range(120):
+        mail = random_mail(rng)
+        if not mail.is_multipart() and mail.get_content_maintype() == "text":
+            del mail["Content-Disposition"]
+        mail["Subject"] = Header(rng.choice(["plain", "ünï cödé", "漢字 " * 30]), "utf-8")
+        raw = mail.as_string()
+        raws.append((i, raw.replace("\n", "\r\n") if i % 2 else raw))
+        read = message_from_string(raw)
+        parts = [p for p in read.walk() if p.get_content_maintype() == "text" and "attachment" not in p.get("Content-Disposition", "")]
+        best = next((p for p in parts if p.get_content_subtype() == "plain"), next(iter(parts), None))
+        body = best and best.get_payload(decode=True).decode()
+        if best and best.get_content_subtype() == "html":
+            body = model_strip(body)
+        want.append((str(make_header(decode_header(read["Subject"]))), body, None if best else "no text part"))
+    df = spark.createDataFrame(raws, "id int, raw string")
+    got = [(r["subject"], r["body"], r["error"]) for r in L.email_rows(df).orderBy("id").collect()]
+    same = lambda t: t and t.replace("\r\n", "\n")
+    assert [(s, same(b), e) for s, b, e in got] == [(s, same(b), e) for s, b, e in want]
+
+
+def test_unreadable_mail_is_an_error(spark):
+    raws = ["Content-Type: text/plain; charset=koi8-r\nContent-Transfer-Encoding: base64\n\nAAAA",
+            "Content-Transfer-Encoding: base64\n\nA!", "Content-Type: multipart/mixed\n\nno boundary",
+            "Subject: =?x-none?q?=E4?= b\n\n" + "--" + "\n--" * 50_000]
+    df = spark.createDataFrame(list(enumerate(raws)), "id int, raw string")
+    rows = L.email_rows(df).orderBy("id").collect()
+    assert [r["error"] for r in rows] == ["unreadable body", "unreadable body", "no text part", None]
+    assert rows[3]["subject"] == "=?x-none?q?=E4?= b"
+
+
 def test_ini(apply):
     raw = "; demo\n[app]\nname=x\nmode = a=b\n\n[terminal]\ntheme: dark\nflag\n# c\n[app]\nname = y\n"
     entries = apply(T.ini_entries, raw)[0]
