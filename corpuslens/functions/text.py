@@ -463,21 +463,22 @@ def _field(mark: str, stops: str) -> str:
     return rf'(?:"(?:[^"]|"")*+(?:"[^{mark}{stops}]*+|\z)|(?!")[^{mark}{stops}]*+)'
 
 
-def _mark(sep: str) -> str:
+def delimiter_mark(sep: str) -> str:
+    """A separator as it is written in a pattern."""
     return "\\t" if sep == "\t" else "\\" + sep
 
 
 def delimited_records(text: Column, sep: str = ",") -> Column:
     """Records of a delimited text; line breaks inside quotes do not end one, blank lines go."""
-    field = _field(_mark(sep), r"\r\n")
-    record = rf"(?![\r\n]|\z)({field}(?:{_mark(sep)}{field})*+)(?:\r\n|\r|\n|\z)"
+    field = _field(delimiter_mark(sep), r"\r\n")
+    record = rf"(?![\r\n]|\z)({field}(?:{delimiter_mark(sep)}{field})*+)(?:\r\n|\r|\n|\z)"
     return F.regexp_extract_all(text, F.lit(record), F.lit(1))
 
 
 def delimited_cells(record: Column, sep: str) -> Column:
     """Cells of one record: as many as it has, quotes removed."""
     cells = F.regexp_extract_all(
-        F.concat(F.lit(sep), record), F.lit(rf"{_mark(sep)}({_field(_mark(sep), '')})"), F.lit(1)
+        F.concat(F.lit(sep), record), F.lit(rf"{delimiter_mark(sep)}({_field(delimiter_mark(sep), '')})"), F.lit(1)
     )
     quoted = r'(?s)\A"((?:[^"]|"")*+)"?(.*)\z'
     return F.transform(

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 from pyspark.sql import Window as W
 
-from corpuslens.functions.text import delimited_cells, json_value
+from corpuslens.functions.text import delimited_cells, delimiter_mark, json_value
 from corpuslens.limits import DEFAULTS, Limits
 from corpuslens.operators.tables import table_preview
 
-MAX_CELLS = 2**22  # of a delimited record; a reader holds one reference for each
 MAX_CONTENT = 2**31 - 1 - 2**20  # a file is one binary value, which cannot be larger
 
 
@@ -100,54 +101,179 @@ def read_delimited(
 ) -> DataFrame:
     """``(path, start, row_id, cells)``: records as text cells, ragged rows kept with all cells.
 
-    Files are streamed record by record, so they may be larger than one value. The reader is given
-    one column; a record with any other number of cells comes with its raw text, from which the
-    cells are cut. File order is ``(start, row_id)``. With ``header`` the first record of every
-    file is left out; see :func:`delimited_headers`. Quoted line breaks need ``multi_line``, which
-    reads a file in one task; without it large files are split.
+    Files are read in splits, so they may be of any size, also with line breaks inside quotes: see
+    :func:`_placed_lines`. Blank lines between records are left out. File order is ``(start,
+    row_id)``. With ``header`` the first record of every file is left out; see
+    :func:`delimited_headers`. A field is quoted when it starts with a quote; an open quote runs to
+    the end of the file, or, without ``multi_line``, of the line.
     """
-    return _records(spark, path, sep, header, multi_line)
+    lines, firsts = _placed_lines(spark, path, sep, multi_line)
+    records = _joined_records(lines)
+    if header:
+        records = records.join(firsts, ["path", "row_id"], "left_anti")
+    cells = delimited_cells(F.regexp_replace("record", r"\r\z", ""), sep)
+    return records.select("path", "start", "row_id", cells.alias("cells"))
 
 
 def delimited_headers(
     spark: SparkSession, path: str | Sequence[str], sep: str = ",", multi_line: bool = True
 ) -> DataFrame:
-    """``(path, headers)``: first record of every file; an aggregate that shuffles one row per
-    file and task."""
-    rows = _records(spark, path, sep, False, multi_line)
-    return rows.groupBy("path").agg(
-        F.min_by("cells", F.struct("start", "row_id")).alias("headers")
-    )
+    """``(path, headers)``: first record of every file that has one; no other record is cut."""
+    lines, firsts = _placed_lines(spark, path, sep, multi_line)
+    of_first = lines.join(firsts.withColumnRenamed("row_id", "first_id"), ["path", "first_id"], "left_semi")
+    cells = delimited_cells(F.regexp_replace("record", r"\r\z", ""), sep)
+    return _joined_records(of_first).select("path", cells.alias("headers"))
 
 
-def _records(
-    spark: SparkSession, path: str | Sequence[str], sep: str, header: bool, multi_line: bool
-) -> DataFrame:
-    schema = ST.StructType(
-        [ST.StructField("first", ST.StringType()), ST.StructField("record", ST.StringType())]
-    )
-    rows = (
-        spark.read.schema(schema)
-        .option("columnNameOfCorruptRecord", "record")
-        .option("mode", "PERMISSIVE")
-        .option("multiLine", multi_line)
-        .option("header", header)
-        .option("enforceSchema", True)
-        .option("escape", '"')
-        .option("recursiveFileLookup", True)
-        .option("maxColumns", MAX_CELLS)
-        .csv(path if isinstance(path, str) else list(path), sep=sep)
-    )
-    # A record of one cell fits the schema and has no raw text.
-    cells = F.when(F.col("record").isNull(), F.array(F.coalesce("first", F.lit("")))).otherwise(
-        delimited_cells(F.regexp_replace("record", r"\r?\n\z", ""), sep)
-    )
-    return rows.select(
+def _quote_scan(whole: bool):
+    """Scan over lines in file order with ``path, start, row_id, from_plain, from_quoted, blank``.
+
+    A split does not know whether it starts inside quotes, so both cases are followed: the case
+    before every line, and the line its record starts with (null: one before the split). With
+    ``whole`` one row per split comes out, else one per line. Nested, so that it is shipped by value.
+    """
+
+    def follow(plain: np.ndarray, quoted: np.ndarray, now: bool) -> np.ndarray:
+        """Whether quotes are open after each line, when they are ``now`` before the first."""
+        places = np.arange(len(plain))
+        fixed = np.maximum.accumulate(np.where(plain == quoted, places, -1))
+        flips = np.cumsum(plain & ~quoted)
+        since = flips - np.where(fixed >= 0, flips[fixed], 0)
+        return np.where(fixed >= 0, plain[fixed], now) ^ (since % 2 == 1)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, state, first, filled = None, [False, True], [None, None], None
+
+        def summary() -> pa.RecordBatch:
+            values = [*split, *state, *first, filled]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _SPLIT, strict=True)], _SPLIT_NAMES)
+
+        for batch in batches:
+            path, start = batch.column("path").to_pylist(), batch.column("start").to_numpy()
+            ids = batch.column("row_id").to_numpy()
+            flags = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("from_plain", "from_quoted", "blank")]
+            new = np.flatnonzero(np.r_[True, (start[1:] != start[:-1]) | np.array([a != b for a, b in zip(path[1:], path)], bool)])
+            out: list[list] = [[], [], [], []]
+            for at, end in zip(new.tolist(), [*new[1:].tolist(), len(ids)], strict=True):
+                if split != (path[at], int(start[at])):
+                    if whole and split:
+                        yield summary()
+                    split, state, first, filled = (path[at], int(start[at])), [False, True], [None, None], None
+                plain, quoted, blank = (f[at:end] for f in flags)
+                for case in (0, 1):
+                    after = follow(plain, quoted, state[case])
+                    before = np.r_[state[case], after[:-1]]
+                    begun = np.maximum.accumulate(np.where(before, -1, np.arange(len(before))))
+                    ids_of = [int(ids[at + k]) if k >= 0 else first[case] for k in begun.tolist()]
+                    out[case] += before.tolist()
+                    out[2 + case] += ids_of
+                    if case == 0 and filled is None:
+                        full = np.flatnonzero(~blank | before)
+                        filled = ids_of[full[0]] if len(full) else None
+                    state[case], first[case] = bool(after[-1]), ids_of[-1]
+            if not whole:
+                kinds = [pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
+                added = [pa.array(v, t) for v, t in zip(out, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "open0", "open1", "first0", "first1"])
+        if whole and split:
+            yield summary()
+
+    return scan
+
+
+_SPLIT_NAMES = ["path", "start", "end0", "end1", "last0", "last1", "filled"]
+_SPLIT = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+
+
+def _placed_lines(
+    spark: SparkSession, path: str | Sequence[str], sep: str, multi_line: bool
+) -> tuple[DataFrame, DataFrame]:
+    """Lines ``(path, start, row_id, line, first_id, alone)`` with the line their record starts with, and
+    ``(path, row_id)`` of every file's first record.
+
+    Where a record ends depends on the quotes from the start of the file. For every line it is known
+    what it makes of either case, open quotes or none; a split sums that up in one row, splits are
+    put together per file, and only those that start inside quotes are joined to their lines.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    mark = delimiter_mark(sep)
+    complete = rf'(?:"(?:[^"]|"")*+"[^{mark}]*+|(?!")[^{mark}]*+){mark}'
+    is_open = F.lit(rf'(?s)\A(?:{complete})*+"(?:[^"]|"")*+\z')
+    source = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(paths)
+    lines = source.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("row_id"),
-        cells.alias("cells"),
+        F.rlike("value", is_open).alias("from_plain"),
+        F.rlike(F.concat(F.lit('"'), "value"), is_open).alias("from_quoted"),
+        F.rlike("value", F.lit(r"\A\r?\z")).alias("blank"),
+        F.col("value").alias("line"),
+    )
+    if not multi_line:
+        full = lines.filter(~F.col("blank")).select("path", "start", "row_id", "line")
+        in_file = F.min_by("row_id", F.struct("start", "row_id"))
+        firsts = full.groupBy("path").agg(in_file.alias("row_id"))
+        return full.withColumns({"first_id": F.col("row_id"), "alone": F.lit(True)}), firsts
+    splits = lines.drop("line").mapInArrow(
+        _quote_scan(True),
+        "path string, start bigint, end0 boolean, end1 boolean, last0 bigint, last1 bigint, filled bigint",
+    )
+    begin = F.struct(
+        F.lit(False).alias("open"),
+        F.lit(None).cast("bigint").alias("id"),
+        F.lit(None).cast("bigint").alias("filled"),
+        F.array().cast("array<struct<start:bigint,id:bigint>>").alias("quoted"),
+    )
+
+    def put(state: Column, split: Column) -> Column:
+        here = F.struct(split["start"].alias("start"), state["id"].alias("id"))
+        last = F.when(state["open"], split["last1"]).otherwise(split["last0"])
+        return F.struct(
+            F.when(state["open"], split["end1"]).otherwise(split["end0"]).alias("open"),
+            F.coalesce(last, state["id"]).alias("id"),
+            F.coalesce(state["filled"], split["filled"]).alias("filled"),
+            F.when(state["open"], F.concat(state["quoted"], F.array(here))).otherwise(state["quoted"]).alias("quoted"),
+        )
+
+    in_order = F.array_sort(F.collect_list(F.struct("start", "end0", "end1", "last0", "last1", "filled")))
+    files = splits.groupBy("path").agg(F.aggregate(in_order, begin, put).alias("f"))
+    firsts = files.select("path", F.col("f.filled").alias("row_id")).filter("row_id IS NOT NULL")
+    quoted = files.select(F.col("path").alias("_path"), F.inline("f.quoted").alias("_start", "_id"))
+
+    known = list(lines.schema.fields) + list(
+        ST.StructType.fromDDL("open0 boolean, open1 boolean, first0 bigint, first1 bigint").fields
+    )
+    scanned = lines.mapInArrow(_quote_scan(False), ST.StructType(known))
+    placed = scanned.join(
+        quoted, (F.col("path") == F.col("_path")) & (F.col("start") == F.col("_start")), "left"
+    )
+    inside = F.col("_start").isNotNull()
+    is_quoted = F.when(inside, F.col("open1")).otherwise(F.col("open0"))
+    stays_open = F.when(is_quoted, F.col("from_quoted")).otherwise(F.col("from_plain"))
+    rows = placed.select(
+        "path",
+        "start",
+        "row_id",
+        "line",
+        F.coalesce(F.when(inside, F.col("first1")).otherwise(F.col("first0")), "_id").alias("first_id"),
+        (~is_quoted & ~stays_open).alias("alone"),
+        (F.col("blank") & ~is_quoted).alias("_blank"),
+    )
+    return rows.filter(~F.col("_blank")).drop("_blank"), firsts
+
+
+def _joined_records(lines: DataFrame) -> DataFrame:
+    """``(path, start, row_id, record)``: only records of several lines are brought together."""
+    alone = lines.filter("alone").select("path", "start", "row_id", F.col("line").alias("record"))
+    pieces = F.array_sort(F.collect_list(F.struct("start", "row_id", "line")))
+    together = lines.filter(~F.col("alone")).groupBy("path", "first_id").agg(pieces.alias("p"))
+    several = together.select(
+        "path",
+        F.get("p", F.lit(0))["start"].alias("start"),
+        F.col("first_id").alias("row_id"),
+        F.array_join(F.transform("p", lambda x: x["line"]), "\n").alias("record"),
     )
+    return alone.unionByName(several)
 
 
 def read_json_docs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

@@ -1,8 +1,8 @@
 from __future__ import annotations
-
 import gzip
 import io
 import json
+import random
 import struct
 import tarfile
 import zipfile
@@ -162,6 +162,76 @@ def test_ragged_delimited(spark, corpus):
     assert with_header[0]["cells"] == ["name", "score"]
 
 
+@pytest.mark.parametrize("split", [7, 40, 10_000])
+def test_delimited_records_across_splits(spark, tmp_path, split):
+    pick = random.Random(split)
+    want = {}
+    for i in range(12):
+        text = "".join(pick.choice(["a", '"', '"', ",", "\n", "\r\n", '""', "é", 'x"y', ',"b\nc",', "\n\n"])
+                       for _ in range(pick.randrange(60)))
+        (tmp_path / f"f{i}.csv").write_bytes(text.encode())
+        want[f"f{i}.csv"] = model_records(text)
+    (tmp_path / "open.csv").write_text('h\n"' + "never closed\n" * 40)
+    want["open.csv"] = [["h"], ["never closed\n" * 39 + "never closed"]]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        body = S.read_delimited(spark, str(tmp_path), header=False).orderBy("path", "start", "row_id").collect()
+        rest = S.read_delimited(spark, str(tmp_path)).orderBy("path", "start", "row_id").collect()
+        heads = {r["path"].rsplit("/", 1)[-1]: r["headers"] for r in S.delimited_headers(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    for name, records in want.items():
+        assert [r["cells"] for r in body if r["path"].endswith("/" + name)] == records
+        assert [r["cells"] for r in rest if r["path"].endswith("/" + name)] == records[1:]
+        assert heads.get(name) == (records[0] if records else None)
+
+
+def model_records(text):
+    """Fields are quoted when they start with a quote; what follows the closing quote stays."""
+    records, cells, field = [], [], ""
+    state = "start"
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
+        if i == len(lines) - 1 and line == "" and state != "quoted":
+            break
+        if state != "quoted":
+            if line in ("", "\r"):
+                continue
+            cells, field, state = [], "", "start"
+        elif i == len(lines) - 1 and line == "":
+            break  # the line feed at the end of a file ends its last line
+        else:
+            field += "\n"
+        at, bare = 0, line
+        while at < len(bare):
+            c = bare[at]
+            if state == "quoted" and bare[at : at + 2] == '""':
+                field, at = field + '"', at + 2
+                continue
+            if state == "quoted" and c == '"':
+                state = "after"
+            elif state == "quoted":
+                field += c
+            elif c == ",":
+                cells.append(field)
+                field, state = "", "start"
+            elif c == '"' and state == "start":
+                state = "quoted"
+            else:
+                field, state = field + c, state if state == "after" else "plain"
+            at += 1
+        if state != "quoted":
+            if field.endswith("\r") and bare.endswith("\r"):
+                field = field[:-1]
+            cells.append(field)
+            records.append(cells)
+    if state == "quoted":
+        records.append([*cells, field.removesuffix("\r")])
+    return records
+
+
 def test_json_docs(spark, corpus):
     docs = S.read_json_docs(spark, [str(corpus / "bad.json"), str(corpus / "good.json")])
     rows = {r["path"].rsplit("/", 1)[-1]: r for r in docs.withColumn("j", F.to_json("value")).drop("value").collect()}
