@@ -645,6 +645,12 @@ SELECT 'o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice
   || o_orderdate || '|' || o_orderpriority AS cells
 FROM orders ORDER BY o_orderkey LIMIT 20"""
 
+ORACLE_SQL["image_headers"] = """
+SELECT 'img' || doc_id AS path, ['png', 'gif', 'bmp', 'jpeg', 'webp', 'ico', 'png'][1 + doc_id % 8] AS format,
+  CASE doc_id % 8 WHEN 5 THEN 256 WHEN 6 THEN NULL ELSE n_chars % 5000 + 1 END AS width,
+  CASE WHEN doc_id % 8 = 6 THEN NULL WHEN doc_id % 8 <> 5 THEN doc_id % 3000 + 1
+    WHEN (doc_id % 3000 + 1) % 256 = 0 THEN 256 ELSE (doc_id % 3000 + 1) % 256 END AS height
+FROM documents WHERE doc_id % 8 <> 7"""
 ORACLE_SQL["archive_manifest"] = f"""
 WITH {_XML},
 entries AS (

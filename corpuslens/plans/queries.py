@@ -598,6 +598,11 @@ def read_parquet_preview(spark, sf):
     return preview.withColumn("cells", F.array_join("cells", "|"))
 
 
+@query
+def image_headers(spark, sf):
+    return S.image_headers(V.image_files(_docs(spark, sf)))
+
+
 @query
 def archive_manifest(spark, sf):
     files = V.zipped_docs(_docs(spark, sf), "zip")

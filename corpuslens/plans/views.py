@@ -320,6 +320,40 @@ def paged_docs(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("id"), F.array_join(lines, "").alias("text"))
 
 
+def image_files(documents: DataFrame) -> DataFrame:
+    """``(path, content)``: documents as image files of a size given by length and id; the text
+    stands in comments before a JPEG frame, elsewhere behind the header."""
+    n = F.col("doc_id")
+    width, height = F.col("n_chars") % 5000 + 1, n % 3000 + 1
+
+    def big(value: Column, size: int) -> Column:
+        return F.lpad(F.hex(value), 2 * size, F.lit("0"))
+
+    def little(value: Column, size: int) -> Column:
+        digits = big(value, size)
+        return F.concat(*(F.substring(digits, 2 * i - 1, 2) for i in range(size, 0, -1)))
+
+    comments = F.transform(
+        F.regexp_extract_all("text", F.lit("(?s).{1,9000}"), F.lit(0)),
+        lambda c: _put("FFFE", big(F.octet_length(c) + 2, 2), F.hex(F.encode(c, "utf-8"))),
+    )
+    jpeg = _put("FFD8", F.array_join(comments, "FF"), "FFC40004AAAAFFC2001108", big(height, 2), big(width, 2), "03FFD9")
+    head = (
+        F.when(n % 8 == 0, _put("89504E470D0A1A0A0000000D49484452", big(width, 4), big(height, 4)))
+        .when(n % 8 == 1, _put("474946383961", little(width, 2), little(height, 2)))
+        .when(n % 8 == 2, _put("424D000000000000000000000000", "28000000", little(width, 4), little(2**32 - height, 4)))
+        .when(n % 8 == 3, jpeg)
+        .when(n % 8 == 4, _put("524946460000000057454250565038580A00000000000000", little(width - 1, 3), little(height - 1, 3)))
+        .when(n % 8 == 5, _put("00000100010000", big(height % 256, 1)))
+        .when(n % 8 == 6, "89504E470D0A1A0A0000")
+    )
+    content = F.concat(F.unhex(head), F.when(n % 8 == 6, F.lit(b"")).otherwise(F.encode("text", "utf-8")))
+    return documents.select(
+        F.concat(F.lit("img"), n.cast("string")).alias("path"),
+        F.coalesce(content, F.encode("text", "utf-8")).alias("content"),
+    )
+
+
 def wide_docs(documents: DataFrame) -> DataFrame:
     """``(id, text)``: some letters as wide characters, one as a mark, a tab behind every comma."""
     text = F.translate("text", "wvkc", "漢Ａ\u0301🙂")

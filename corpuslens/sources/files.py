@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 from pyspark.sql import Window as W
 
+from corpuslens.functions.images import image_header
 from corpuslens.functions.text import delimited_cells, delimiter_mark, json_value
 from corpuslens.limits import DEFAULTS, Limits
 from corpuslens.operators.tables import table_preview
@@ -343,6 +344,13 @@ def image_catalog(spark: SparkSession, path: str | Sequence[str], pixels: bool =
     return images.select(*columns)
 
 
+def image_headers(files: DataFrame) -> DataFrame:
+    """``(path, format, width, height)`` of the images among files with ``path`` and ``content``, from
+    their leading bytes; no pixel is decoded, and other files are left out."""
+    found = files.select("path", image_header(F.col("content")).alias("h"))
+    return found.filter("h IS NOT NULL").select("path", "h.*")
+
+
 def write_previews(
     previews: DataFrame, path: str, mode: str = "error", compact: bool = False
 ) -> None:
