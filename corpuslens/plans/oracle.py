@@ -77,6 +77,18 @@ ORACLE_SQL["detect_kind"] = (
 ORACLE_SQL["detect_kind_strict"] = f"WITH {_LISTING}, {_KINDS} SELECT id, kind FROM known"
 ORACLE_SQL["kind_by_rules"] = f"WITH {_LISTING} SELECT id, {_RULED} AS kind FROM listing"
 
+ORACLE_SQL["kind_by_rules_table"] = f"""
+WITH {_LISTING},
+rules AS (SELECT 'r' || lpad(doc_id::VARCHAR, 9, '0') AS name, doc_id AS n, lower(ext) AS e FROM named
+  WHERE doc_id % 101 <> 7),
+by_ext AS (SELECT e, min(name) AS x FROM rules WHERE n % 11 = 3 GROUP BY e),
+found AS (SELECT id, CASE WHEN is_dir THEN NULL WHEN low IS NULL AND id % 64 = 11 THEN 'gif'
+    WHEN low IS NULL OR (low = 'pdf' AND id % 64 = 9) THEN 'pdf' END AS m, low FROM listing)
+SELECT id, CASE WHEN x IS NULL OR y < x THEN y ELSE x END AS rule_kind FROM (
+  SELECT id, x, CASE m WHEN 'gif' THEN (SELECT min(name) FROM rules WHERE n % 97 IN (50, 53))
+    WHEN 'pdf' THEN (SELECT min(name) FROM rules WHERE n % 97 = 51) END AS y
+  FROM found LEFT JOIN by_ext ON low = e)"""
+
 # The formats whose leading bytes the view puts before the texts, in its order.
 _FORMATS = """
   image/png image/jpeg image/gif image/webp image/bmp image/tiff image/tiff image/vnd.microsoft.icon

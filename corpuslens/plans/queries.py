@@ -16,6 +16,7 @@ from corpuslens.limits import Limits
 from corpuslens.operators import lines as L
 from corpuslens.operators import markdown as MD
 from corpuslens.operators import reports as R
+from corpuslens.operators import rules as RL
 from corpuslens.operators import tables as TB
 from corpuslens.operators import trees as TR
 from corpuslens.plans import preview as P
@@ -119,6 +120,13 @@ def kind_by_rules(spark, sf):
     return rows.select("id", kind.alias("kind"))
 
 
+@query
+def kind_by_rules_table(spark, sf):
+    """As many rules as documents."""
+    rows = RL.with_rule_kind(_file_rows(spark, sf), V.rule_table(_docs(spark, sf)))
+    return rows.select("id", "rule_kind")
+
+
 @query
 def registry_report(spark, sf):
     return R.registry_report(P.with_kind(_file_rows(spark, sf), RULES), RULES)

@@ -170,6 +170,20 @@ def document_files(documents: DataFrame, containers: bool = True) -> DataFrame:
     )
 
 
+def rule_table(documents: DataFrame) -> DataFrame:
+    """``(name, extensions, mime)``: a rule per document, some with an extension or a pattern."""
+    n = F.col("doc_id")
+    patterns = (("image/",), ("application/*", "x"), ("text/html",), ("image/gif",))
+    mime = F.lit(None).cast("array<string>")
+    for i, group in enumerate(patterns):
+        mime = F.when(n % 97 == 50 + i, F.array(*map(F.lit, group))).otherwise(mime)
+    return documents.select(
+        F.when(n % 101 == 7, "markdown").otherwise(F.concat(F.lit("r"), F.lpad(n.cast("string"), 9, F.lit("0")))).alias("name"),
+        F.when(n % 11 == 3, F.array(F.upper(document_ext()), F.lit("none"))).alias("extensions"),
+        mime.alias("mime"),
+    )
+
+
 def url_entries(pages: DataFrame) -> DataFrame:
     """Pages as entries of one tree per host; query and fragment cut off."""
     path = F.regexp_extract("url", r"\Ahttps?://[^/]+/([^?#]*)", 1)

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.functions import detect as D
+from corpuslens.operators import rules as RL
+from corpuslens.sources import files as S
 from corpuslens.plans.preview import with_kind
 from corpuslens.registry import KINDS, Rule, registry_frame, winning_extensions
 
@@ -132,3 +134,43 @@ def test_detection_needs_no_shuffle(spark):
     df = spark.createDataFrame([("a", False, b"")], "path string, is_dir boolean, content binary")
     plan = with_kind(df, [Rule("q", ("q",), ("image/*",))])._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_rules_as_a_table(spark):
+    rows = [("a.ZZZ", b"x"), ("b", b"GIF89a"), ("c.gif", b"GIF89a"), ("d", b"%PDF-1"), ("e", None), ("f.md", b"")]
+    files = spark.createDataFrame(rows, "path string, content binary")
+    rules = [Rule("b-image", (), ("image/*",)), Rule("a-zzz", ("zzz", "Gif"), ()), Rule("markdown", ("md",), ("*",)),
+             Rule("c-pdf", (), ("application/pdf", "image/")), Rule("z-all", (), ("*",))]
+    table = spark.createDataFrame([(r.name, list(r.extensions), list(r.mime)) for r in rules] + [(None, ["md"], None)],
+                                  "name string, extensions array<string>, mime array<string>")
+    got = {r["path"]: r["rule_kind"] for r in RL.with_rule_kind(files, table).collect()}
+    kind = D.kind_by_rules(D.ext_of(F.col("path")), F.col("content"), rules)
+    want = {r["path"]: r["k"] for r in files.select("path", kind.alias("k")).collect()}
+    assert got == want == {"a.ZZZ": "a-zzz", "b": "b-image", "c.gif": "a-zzz", "d": "c-pdf", "e": None, "f.md": None}
+    many = spark.range(5000).selectExpr("concat('n', id) AS name", "array(concat('e', id)) AS extensions", "array('q/*') AS mime")
+    plan = RL.with_rule_kind(files, many)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000
+
+
+def test_image_headers(spark):
+    def chunk(kind, data):
+        return len(data).to_bytes(4, "big") + kind + data
+
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab" + b"\xff\xfe\xff\xff" + b"\xc0" * 65533 + b"\xff\xff\xff\xc4\x00\x02"
+    jpeg += b"\xff\xc2\x00\x0b\x08\x01\x02\x03\x04\x01"
+    blobs = {
+        "png": b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", (7).to_bytes(4, "big") + (70_000).to_bytes(4, "big")),
+        "gif": b"GIF87a\x03\x01\x04\x00", "jpeg": jpeg, "ico": b"\0\0\1\0\1\0\0\x20",
+        "bmp": b"BM" + bytes(12) + b"\x28\0\0\0" + (9).to_bytes(4, "little") + (-8).to_bytes(4, "little", signed=True),
+        "core": b"BM" + bytes(12) + b"\x0c\0\0\0\x05\0\x06\0",
+        "lossy": b"RIFF....WEBPVP8 " + bytes(10) + b"\x10\x40\x20\x80", "cut": b"\x89PNG\r\n\x1a\n",
+        "lossless": b"RIFF....WEBPVP8L" + bytes(4) + b"/" + (99 | 49 << 14).to_bytes(4, "little"),
+        "lost": b"\xff\xd8\xff\xda\0\4ab\xff\xc0", "none": b"text",
+    }
+    df = spark.createDataFrame(list(blobs.items()), "path string, content binary")
+    got = {r["path"]: tuple(r)[1:] for r in S.image_headers(df).collect()}
+    assert got == {
+        "png": ("png", 7, 70_000), "gif": ("gif", 259, 4), "jpeg": ("jpeg", 0x304, 0x102), "ico": ("ico", 256, 32),
+        "bmp": ("bmp", 9, 8), "core": ("bmp", 5, 6), "lossy": ("webp", 16, 32), "cut": ("png", None, None),
+        "lossless": ("webp", 100, 50), "lost": ("jpeg", None, None),
+    }
