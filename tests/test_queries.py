@@ -6,6 +6,7 @@ import importlib.util
 import shutil
 import subprocess
 import sys
+import tempfile
 from pathlib import Path
 
 import duckdb
@@ -14,6 +15,7 @@ import pytest
 import __spark_entry__ as entry
 from corpuslens.plans.oracle import ORACLE_SQL
 from corpuslens.plans.queries import QUERIES
+from corpuslens.plans.storage import work_dir
 
 DATA = Path("/root/testdata/sf0.001")
 ROOT = Path(__file__).resolve().parent.parent
@@ -68,3 +70,26 @@ def test_entry_without_the_training_data_operators(tmp_path):
     code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.QUERIES))"
     done = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
     assert done.stdout.strip() == "True"
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = Conf({k.replace("_", "."): v for k, v in conf.items()})
+
+    assert work_dir(Session(spark_master="local[2]"), "x").startswith(tempfile.gettempdir())
+    assert work_dir(Session(spark_master="yarn", spark_checkpoint_dir="s3://b/"), "x").startswith("s3://b/corpuslens/x-")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_dir(Session(spark_master="spark://h:7077"), "x")
+
+
+@pytest.mark.parametrize("missing", ["corpuslens.llm", "corpus_pipeline", "xxhash"])
+def test_entry_without_training_data_operators(missing):
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT, check=False)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout.split()[0]) >= 70
