@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corpuslens.plans.storage import work_dir
+
 SPACE = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = 256  # elements of an array summed in one go
@@ -19,16 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a temporary one where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpuslens-")
-
-
 def staged(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Write a frame to the shared folder and read it again: lineage is cut and lost executors
     cost nothing, as the files belong to none of them."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/corpuslens/{name}-{uuid.uuid4().hex}"
+    path = work_dir(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
