@@ -42,12 +42,40 @@ _LIST_BLOCK = (
     rf"|(?:{_N}[ \t]*\n)++(?=(?!{_N}(?:{_RULE}|{_FENCE})){_N}(?:{_TOP}|{_INNER}))"
     r"))*+"
 )
+_QUOTE = r" {0,3}>"
+_QUOTE_BLOCK = rf"(?:{_N}{_QUOTE}[^\n]*{_EOL})++"
+_INDENTED = r"(?: {4}| {0,3}\t)[ \t]*[^ \t\n]"
+_CODE_BLOCK = rf"{_N}{_INDENTED}[^\n]*{_EOL}(?:(?:{_N}[ \t]*\n)*+{_N}{_INDENTED}[^\n]*{_EOL})*+"
+_TABLE_START = (
+    rf"{_N}[^\n]*\n{_N} {{0,3}}(?=[^\n]*\|)\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*+\|?[ \t]*{_EOL}"
+)
+_UNDERLINE = rf"{_N} {{0,3}}(?:=+|-+)[ \t]*{_EOL}"
+_PLAIN = rf"(?!{_N}{_STOP})(?!{_TABLE_START})"  # a line that belongs to a paragraph
+_PARAGRAPH = (
+    rf"{_PLAIN}{_N}[^\n]*{_EOL}(?:{_PLAIN}(?!{_UNDERLINE}){_N}[^\n]*{_EOL})*+(?:{_UNDERLINE})?+"
+)
 _LINE = rf"{_N}[^\n]*{_EOL}"
-_BLOCKS = rf"{_FENCE_BLOCK}|{_TABLE_BLOCK}|{_LIST_BLOCK}|{_LINE}"
+_BLOCKS = (
+    rf"{_FENCE_BLOCK}|{_TABLE_BLOCK}|{_LIST_BLOCK}|{_QUOTE_BLOCK}|{_CODE_BLOCK}|{_PARAGRAPH}|{_LINE}"
+)
+QUOTE_LEVELS = 4  # quotes inside quotes that are opened
+
+
+def _opened(found: Column) -> Column:
+    """Blocks with the outermost quotes replaced by the blocks inside them."""
 
+    def inside(block: Column) -> Column:
+        bare = F.regexp_replace(block, rf"(?dm)^({_N}){_QUOTE}[ \t]?", "$1")
+        return F.when(
+            F.rlike(block, F.lit(rf"\A{_N}{_QUOTE}")), F.regexp_extract_all(bare, F.lit(_BLOCKS), F.lit(0))
+        ).otherwise(F.array(block))
 
-def blocks(text: Column) -> Column:
-    """Blocks of a document in order, each a run of numbered lines."""
+    return F.flatten(F.transform(found, inside))
+
+
+def blocks(text: Column, quotes: bool = True) -> Column:
+    """Blocks of a document in order, each a run of numbered lines. With ``quotes`` the blocks inside
+    quotes come in their place, without the marks; else a quote is one block."""
     numbered = F.array_join(
         F.transform(
             F.split(text, r"\r?\n", -1),
@@ -55,24 +83,68 @@ def blocks(text: Column) -> Column:
         ),
         "\n",
     )
-    return F.regexp_extract_all(numbered, F.lit(_BLOCKS), F.lit(0))
+    found = F.regexp_extract_all(numbered, F.lit(_BLOCKS), F.lit(0))
+    if not quotes:
+        return found
 
+    def opened(all_blocks: Column) -> Column:
+        for _ in range(QUOTE_LEVELS):
+            all_blocks = let(all_blocks, _opened)
+        return all_blocks
 
-def block_type(block: Column) -> Column:
-    """``fence``, ``table``, ``list`` or ``line``.
+    has_quotes = F.rlike(text, F.lit(rf"(?m)^{_QUOTE}"))
+    return let(found, lambda f: F.when(has_quotes, opened(f)).otherwise(f))
 
-    Single lines that open nothing are ``line``; a block of several lines that is neither fence nor
-    list can only be a table.
-    """
+
+def block_type(block: Column) -> Column:
+    """``fence``, ``list``, ``quote``, ``code`` (indented), ``table``, ``heading`` (underlined),
+    ``paragraph`` (of several lines) or ``line``: a single line that opens nothing, or an ATX heading."""
     item = rf"\A(?!{_N}{_RULE}){_N} {{0,3}}(?:[-*+]|\d{{1,9}}[.)])(?=[ \t]|\n|\z)"
+    several = F.rlike(block, F.lit(r"\n."))
     return (
         F.when(F.rlike(block, F.lit(rf"\A{_N}{_FENCE}")), "fence")
         .when(F.rlike(block, F.lit(item)), "list")
-        .when(F.rlike(block, F.lit(r"\n.")), "table")
+        .when(F.rlike(block, F.lit(rf"\A{_N}{_QUOTE}")), "quote")
+        .when(F.rlike(block, F.lit(rf"\A(?!{_TABLE_START}){_N}{_INDENTED}")), "code")
+        .when(several & F.rlike(block, F.lit(rf"\A{_TABLE_START}")), "table")
+        .when(several & F.rlike(block, F.lit(rf"\n{_UNDERLINE}\z")), "heading")
+        .when(several, "paragraph")
         .otherwise("line")
     )
 
 
+def heading(block: Column) -> Column:
+    """``struct<line_no, level, text>`` of a ``heading`` block or a ``line`` that is one; null else."""
+    atx = rf"\A{_N} {{0,3}}(#{{1,6}})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*\n?\z"
+    under = rf"\n{_N} {{0,3}}([=-])[=-]*[ \t]*\n?\z"
+    first = F.regexp_extract(block, r"\A(\d+)", 1).cast("bigint")
+    lines = F.split(F.regexp_replace(block, under, ""), "\n", -1)
+    joined = F.array_join(
+        F.transform(lines, lambda line: F.trim(F.regexp_replace(line, rf"\A{_N}", ""))), " "
+    )
+    return F.when(
+        block_type(block) == "heading",
+        F.struct(
+            first.alias("line_no"),
+            F.when(F.regexp_extract(block, under, 1) == "=", 1).otherwise(2).alias("level"),
+            joined.alias("text"),
+        ),
+    ).when(
+        F.rlike(block, F.lit(atx)),
+        F.struct(
+            first.alias("line_no"),
+            F.length(F.regexp_extract(block, atx, 1)).alias("level"),
+            F.regexp_extract(block, atx, 2).alias("text"),
+        ),
+    )
+
+
+def indented_code(block: Column) -> Column:
+    """Lines of an indented block without their four columns."""
+    plain = F.regexp_replace(F.regexp_replace(block, r"\n\z", ""), rf"(?dm)^{_N}", "")
+    return F.regexp_replace(plain, r"(?dm)^(?: {4}| {0,3}\t| +$)", "")
+
+
 def block_lines(block: Column) -> Column:
     """``array<struct<line_no, text>>`` of a block."""
     return F.transform(

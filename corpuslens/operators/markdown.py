@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +18,11 @@ def md_blocks(df: DataFrame, id_col: str = "id", text_col: str = "text") -> Data
     ).select(id_col, "block_no", M.block_type(F.col("block")).alias("type"), "block")
 
 
-def _blocks_of(df: DataFrame, kind: str, id_col: str, text_col: str) -> DataFrame:
-    """Blocks of one type, numbered from 1 among themselves."""
+def _blocks_of(df: DataFrame, kinds: Sequence[str], id_col: str, text_col: str) -> DataFrame:
+    """Blocks of some types, numbered from 1 among themselves."""
 
     def typed(block: Column) -> Column:
-        return M.block_type(block) == kind
+        return M.block_type(block).isin(*kinds)
 
     return df.select(
         id_col, F.posexplode(F.filter(M.blocks(F.col(text_col)), typed)).alias("pos", "block")
@@ -50,7 +52,7 @@ def _numbered_fences(blocks: Column) -> Column:
 
 def md_lines(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """``(id, line_no, text, in_fence, fence_no, lang)``; the marker lines belong to the fence."""
-    blocks = df.select(id_col, F.inline(_numbered_fences(M.blocks(F.col(text_col)))))
+    blocks = df.select(id_col, F.inline(_numbered_fences(M.blocks(F.col(text_col), quotes=False))))
     in_fence = F.col("fence_no").isNotNull()
 
     # As in md_lists, the language is put into the lines, not computed beside the generator.
@@ -71,28 +73,27 @@ def md_lines(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataF
 
 
 def md_headings(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """``(id, line_no, level, text)`` of ATX headings outside fences."""
-    pattern = r"\A {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*\z"
-    lines = _blocks_of(df, "line", id_col, text_col).select(
-        id_col, F.inline(M.block_lines(F.col("block")))
-    )
-    return lines.filter(F.rlike("text", F.lit(pattern))).select(
-        id_col,
-        "line_no",
-        F.length(F.regexp_extract("text", pattern, 1)).alias("level"),
-        M.inline_text(F.regexp_extract("text", pattern, 2)).alias("text"),
-    )
+    """``(id, line_no, level, text)`` of headings outside fences, with marks before or lines under
+    them, in quotes too; the lines of an underlined heading are joined by spaces."""
+
+    def headings(blocks: Column) -> Column:
+        return F.filter(F.transform(blocks, M.heading), lambda h: h.isNotNull())
+
+    found = df.select(id_col, F.inline(let(M.blocks(F.col(text_col)), headings)))
+    return found.select(id_col, "line_no", "level", M.inline_text(F.col("text")).alias("text"))
 
 
 def md_code_blocks(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """``(id, block_no, lang, code)`` of fences that are not blank."""
+    """``(id, block_no, lang, code)`` of fences that are not blank and of indented code."""
+    block = F.col("block")
+    fenced = M.block_type(block) == "fence"
     return (
-        _blocks_of(df, "fence", id_col, text_col)
+        _blocks_of(df, ["fence", "code"], id_col, text_col)
         .select(
             id_col,
             F.col("no").alias("block_no"),
-            M.fence_lang(F.col("block")).alias("lang"),
-            M.fence_code(F.col("block")).alias("code"),
+            F.when(fenced, M.fence_lang(block)).otherwise("").alias("lang"),
+            F.when(fenced, M.fence_code(block)).otherwise(M.indented_code(block)).alias("code"),
         )
         .filter(trim_unicode(F.col("code")) != "")
     )
@@ -164,7 +165,7 @@ def md_lists(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataF
             ),
         )
 
-    chunks = _blocks_of(df, "list", id_col, text_col).select(
+    chunks = _blocks_of(df, ["list"], id_col, text_col).select(
         id_col, F.col("no").alias("list_no"), F.inline(numbered_chunks(F.col("block")))
     )
     items = chunks.select(

@@ -348,6 +348,13 @@ UNION ALL SELECT id, 12 + b + 3 * m, 2, 'End [image: alt]' FROM sizes"""
 ORACLE_SQL["md_code_blocks"] = f"""
 WITH {_PLAIN} SELECT id, 1 AS block_no, 'sql' AS lang,
   array_to_string(list_concat(['# not a heading'], l), {LF}) AS code FROM plain"""
+ORACLE_SQL["md_headings_nested"] = f"""
+WITH {_PLAIN}
+SELECT id, 1 + 10 * (i // 4) + [0, 3, 5][1 + i % 4] AS line_no, [1, 2, 2][1 + i % 4] AS level, line AS text
+FROM each WHERE i % 4 < 3"""
+ORACLE_SQL["md_code_indented"] = f"""
+WITH {_PLAIN}
+SELECT id, 1 + i // 4 AS block_no, '' AS lang, '  ' || line AS code FROM each WHERE i % 4 = 3"""
 ORACLE_SQL["md_tables"] = f"""
 WITH {_PLAIN}, {_SIZES}
 SELECT id, 1 AS table_no, 9 + b + 2 * m AS line_no, 'line|size' AS headers, 'left|right' AS aligns,

@@ -290,6 +290,17 @@ def md_code_blocks(spark, sf):
     return MD.md_code_blocks(V.markdown_docs(_docs(spark, sf)))
 
 
+@query
+def md_headings_nested(spark, sf):
+    """Underlined headings and headings inside quotes."""
+    return MD.md_headings(V.nested_markdown(_docs(spark, sf)))
+
+
+@query
+def md_code_indented(spark, sf):
+    return MD.md_code_blocks(V.nested_markdown(_docs(spark, sf)))
+
+
 @query
 def md_tables(spark, sf):
     tables = MD.md_tables(V.markdown_docs(_docs(spark, sf)))

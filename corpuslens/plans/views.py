@@ -229,6 +229,18 @@ def markdown_docs(documents: DataFrame) -> DataFrame:
     ).select("id", text.alias("text"))
 
 
+def nested_markdown(documents: DataFrame) -> DataFrame:
+    """``(id, text)``: every line as an underlined heading, a quoted one, one in two quotes, or as code."""
+    lines = F.transform(
+        plain_lines(F.col("text")),
+        lambda l, i: F.when(i % 4 == 0, F.concat(l, F.lit("\n====\n\n")))
+        .when(i % 4 == 1, F.concat(F.lit("> ## "), l, F.lit("\n\n")))
+        .when(i % 4 == 2, F.concat(F.lit("> > "), l, F.lit("\n> > ---\n\n")))
+        .otherwise(F.concat(F.lit("      "), l, F.lit("\n\n"))),
+    )
+    return documents.select(F.col("doc_id").alias("id"), F.array_join(lines, "").alias("text"))
+
+
 def mail_messages(conversations: DataFrame) -> DataFrame:
     """``(id, raw)``: a message per turn in one of nine forms: plain, HTML, base64, quoted-printable,
     multipart with an attachment first, nested multipart with HTML first, HTML alone in a part in a

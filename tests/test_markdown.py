@@ -193,3 +193,28 @@ def test_long_documents(spark):
 def test_markdown_needs_no_shuffle(doc):
     for op in (MD.md_lines, MD.md_headings, MD.md_code_blocks, MD.md_tables, MD.md_lists):
         assert "Exchange" not in op(doc)._jdf.queryExecution().toString()
+
+
+def test_underlined_quoted_and_indented(spark):
+    text = (
+        "Two\nlines *here*\n  ====\n\nNot one\n\n---\n> # In *quote*\n> text\n> ---\n>\n> > ### Deep\n> >\n> > ```\n> > # no\n"
+        "> > ```\npara\n    still para\n\n    code 1\n\n\tcode 2\n      code 3\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n"
+        "last\n| c | d |\n|---|---|\nplain\n---\n- item\n-----\n"
+    )
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    heads = [tuple(r)[1:] for r in MD.md_headings(df).orderBy("line_no").collect()]
+    assert heads == [(1, 1, "Two lines here"), (8, 1, "In quote"), (9, 2, "text"), (12, 3, "Deep")]
+    code = [tuple(r)[1:] for r in MD.md_code_blocks(df).orderBy("block_no").collect()]
+    assert code == [(1, "", "# no"), (2, "", "code 1\n\ncode 2\n  code 3")]
+    tables = [(r["line_no"], r["headers"], r["rows"]) for r in MD.md_tables(df).orderBy("table_no").collect()]
+    assert tables[0] == (25, ["a", "b"], [["1", "2"]]) and tables[1][:2] == (30, ["c", "d"])
+    lines = MD.md_lines(df).filter("line_no in (8, 12)").orderBy("line_no").collect()
+    assert [r["text"] for r in lines] == ["> # In *quote*", "> > ### Deep"]
+
+
+def test_long_paragraphs_and_quotes_take_linear_time(spark):
+    text = "word word\n" * 60_000 + "====\n\n" + "> quoted\n" * 60_000 + "\n" + "    code\n" * 60_000
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    heads = MD.md_headings(df).collect()
+    assert [(h["line_no"], h["level"], len(h["text"])) for h in heads] == [(1, 1, 600_000 - 1)]
+    assert len(MD.md_code_blocks(df).collect()[0]["code"]) == 5 * 60_000 - 1
