@@ -376,7 +376,8 @@ def hex_line_array(content: Column, cols: int = 16) -> Column:
 
 
 def json_value(text: Column) -> Column:
-    """The one JSON value a text holds, as a variant; null when it is not exactly one.
+    """The one JSON value a text holds, as a variant; null when it is not exactly one. Repeated keys
+    are an error unless the plan is built under :func:`corpuslens.session.last_key_wins`.
 
     The parser stops at the end of the first value and ignores what follows. So the text is parsed
     inside brackets, alone and with a value behind it: only if it is one whole value do both

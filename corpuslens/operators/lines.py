@@ -9,6 +9,7 @@ from corpuslens.functions import mail as ML
 from corpuslens.functions import text as T
 from corpuslens.functions.detect import first_bytes
 from corpuslens.operators.ranking import first_per_group
+from corpuslens.session import last_key_wins
 
 
 def number_lines(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -94,6 +95,19 @@ def ini_rows(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataF
     return df.select(id_col, F.inline(T.ini_entries(F.col(text_col))))
 
 
+@last_key_wins
+def json_rows(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """``(id, text, error)``: JSON in canonical form, the last of repeated keys kept; else the raw text and
+    an error."""
+    found = df.select(id_col, F.col(text_col).alias("_raw"), T.json_canonical(F.col(text_col)).alias("_json"))
+    return found.select(
+        id_col,
+        F.coalesce("_json", "_raw").alias("text"),
+        F.when(F.col("_json").isNull(), "invalid json").alias("error"),
+    )
+
+
+@last_key_wins
 def notebook_cells(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """``(id, cell_no, cell_type, text, error)``; without cells one row with the raw text."""
     raw = F.col(text_col)

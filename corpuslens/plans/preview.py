@@ -16,6 +16,7 @@ from corpuslens.limits import DEFAULTS, Limits
 from corpuslens.functions import trees as FT
 from corpuslens.operators import trees
 from corpuslens.registry import KIND_NAMES, Rule
+from corpuslens.session import last_key_wins
 from corpuslens.sources.archives import MEMBERS, TREE_EXTENSIONS, container_parts, listing_entries
 from corpuslens.sources.files import (
     content_text,
@@ -307,6 +308,7 @@ def with_trees(df: DataFrame, limits: Limits) -> DataFrame:
     return drawn.drop("listed", "shown")
 
 
+@last_key_wins
 def preview_corpus(
     df: DataFrame,
     limits: Limits = DEFAULTS,

@@ -250,16 +250,11 @@ def hex_dump(spark, sf):
 
 @query
 def json_canonical(spark, sf):
-    # Every fourth value is broken, so the error column is exercised too.
-    props = F.when(F.col("event_id") % 4 == 3, F.concat(F.lit("{"), "props")).otherwise(F.col("props"))
-    found = V.table(spark, sf, "events").select(
-        "event_id", props.alias("raw"), T.json_canonical(props).alias("json")
-    )
-    return found.select(
-        "event_id",
-        F.coalesce("json", "raw").alias("text"),
-        F.when(F.col("json").isNull(), "invalid json").alias("error"),
-    )
+    # Every fourth value is broken, so the error column is exercised; every fifth repeats a key.
+    key, props = F.col("event_id"), F.col("props")
+    props = F.when(key % 5 == 1, F.concat(F.lit('{"k": [{"k": 1, "k": 2}], '), F.substr(props, F.lit(2)))).otherwise(props)
+    raw = F.when(key % 4 == 3, F.concat(F.lit("{"), "props")).otherwise(props)
+    return L.json_rows(V.table(spark, sf, "events").select("event_id", raw.alias("text")), "event_id")
 
 
 @query

@@ -16,6 +16,7 @@ from corpuslens.functions.images import image_header
 from corpuslens.functions.text import delimited_cells, delimiter_mark, json_value
 from corpuslens.limits import DEFAULTS, Limits
 from corpuslens.operators.tables import table_preview
+from corpuslens.session import last_key_wins
 
 MAX_CONTENT = 2**31 - 1 - 2**20  # a file is one binary value, which cannot be larger
 
@@ -277,6 +278,7 @@ def _joined_records(lines: DataFrame) -> DataFrame:
     return alone.unionByName(several)
 
 
+@last_key_wins
 def read_json_docs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """``(path, value variant, error, raw)``: one JSON value per file; a bad file gives an error
     row with its raw text, a file too large for one value an error row that is never read."""

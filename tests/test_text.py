@@ -430,3 +430,15 @@ def test_many_tabs_in_one_line(spark):
     assert counts == {1: 10_001, 2: 3, 3: 0}
     lines = L.wrap_lines(df.filter("id = 2"), 8).orderBy("row_no").collect()
     assert [r["text"] for r in lines] == ["a       ", "b", "", "x" * 8, "x" * 8, "x"]
+
+
+def test_last_of_repeated_keys(spark):
+    texts = ['{"b":1,"a":{"x":1,"x":[2]},"b":{"c":3}}', '{"a":1', "[1]", '{"a":1}{"a":2}', None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(2)
+    rows = L.json_rows(df)
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
+    got = [tuple(r)[1:] for r in rows.orderBy("id").collect()]
+    assert got == [
+        ('{"a":{"x":[2]},"b":{"c":3}}', None), (texts[1], "invalid json"), ("[1]", None),
+        (texts[3], "invalid json"), (None, "invalid json"),
+    ]
