@@ -317,9 +317,57 @@ def _outside_code(text: Column, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(text, rf"({code})|{pattern}", f"$1{replacement}")
 
 
-def inline_text(text: Column, keep_ticks: bool = True) -> Column:
+def _label(text: Column) -> Column:
+    """A link label in the form in which labels are equal."""
+    return F.lower(F.regexp_replace(F.trim(text), r"\s+", " "))
+
+
+def link_definitions(text: Column) -> Column:
+    """``array<struct<label, title>>`` of a document's link definitions outside fences; of equal labels
+    the first counts."""
+    line = r"(?m)^(?:\d+\x01)? {0,3}\[([^\[\]\n]+)\]:[ \t]*[^\s]+(?:[ \t]+(?:\"([^\"\n]*)\"|'([^'\n]*)'))?[ \t]*$"
+
+    def parse(found: Column) -> Column:
+        return F.struct(
+            _label(F.regexp_extract(found, line, 1)).alias("label"),
+            F.concat(F.regexp_extract(found, line, 2), F.regexp_extract(found, line, 3)).alias("title"),
+        )
+
+    def outside(all_blocks: Column) -> Column:
+        plain = F.filter(all_blocks, lambda b: block_type(b).isin("line", "paragraph"))
+        return F.transform(F.regexp_extract_all(F.array_join(plain, "\n"), F.lit(line), F.lit(0)), parse)
+
+    kind = "array<struct<label:string,title:string>>"
+    found = let(blocks(text), outside).cast(kind)
+    return F.when(F.contains(text, F.lit("]:")), found).otherwise(F.array().cast(kind))
+
+
+def resolved(text: Column, definitions: Column) -> Column:
+    """Text with its reference links as their texts and reference images as ``[image: label]``; what
+    has no definition stays."""
+    span = r"(!?)(?<!\\)\[((?:[^\[\]`]|`+[^`]*+`+)*+)\](?:\[([^\[\]]*+)\])?(?![(\[:])"
+    code = _CODE.replace(r"\1", r"\4")
+    either = F.lit(f"{span}|{code}")
+
+    def one(hit: Column) -> Column:
+        mark, shown, label = (F.regexp_extract(hit, span, i) for i in (1, 2, 3))
+        wanted = _label(F.when(F.trim(label) == "", shown).otherwise(label))
+        found = F.get(F.filter(definitions, lambda d: d["label"] == wanted), F.lit(0))
+        alt = F.trim(F.concat(found["title"], F.lit(" "), shown))
+        image = F.concat(F.lit("[image: "), F.when(alt == "", "image").otherwise(alt), F.lit("]"))
+        known = F.when(mark == "!", image).otherwise(shown)
+        return F.when(F.startswith(hit, F.lit("`")) | found.isNull(), hit).otherwise(known)
+
+    hits = F.concat(F.transform(F.regexp_extract_all(text, either, F.lit(0)), one), F.array(F.lit("")))
+    joined = F.zip_with(F.split(text, either, -1), hits, lambda plain, hit: F.concat(plain, hit))
+    has = (F.size(definitions) > 0) & F.contains(text, F.lit("["))
+    return F.when(has, F.array_join(joined, "")).otherwise(text)
+
+
+def inline_text(text: Column, keep_ticks: bool = True, definitions: Column | None = None) -> Column:
     """Inline markup removed: emphasis, strong, strike; a link becomes its text, an image
-    ``[image: label]`` with title and alt text as label; code spans keep their backticks.
+    ``[image: label]`` with title and alt text as label; code spans keep their backticks. With
+    ``definitions`` (see :func:`link_definitions`) links and images by reference too.
 
     Every step runs only on texts that hold its marks.
     """
@@ -369,7 +417,8 @@ def inline_text(text: Column, keep_ticks: bool = True) -> Column:
             t = guarded(t, mark, step)
         return t
 
-    return let(text, lambda t: F.when(F.rlike(t, F.lit(r"[*_`~\[<\\]")), run(t)).otherwise(t))
+    whole = text if definitions is None else let(text, lambda t: resolved(t, definitions))
+    return let(whole, lambda t: F.when(F.rlike(t, F.lit(r"[*_`~\[<\\]")), run(t)).otherwise(t))
 
 
 def _image(text: Column, pattern: str, label: str) -> Column:

@@ -25,8 +25,10 @@ def _blocks_of(df: DataFrame, kinds: Sequence[str], id_col: str, text_col: str)
         return M.block_type(block).isin(*kinds)
 
     return df.select(
-        id_col, F.posexplode(F.filter(M.blocks(F.col(text_col)), typed)).alias("pos", "block")
-    ).select(id_col, (F.col("pos") + 1).cast("bigint").alias("no"), "block")
+        id_col,
+        M.link_definitions(F.col(text_col)).alias("_links"),
+        F.posexplode(F.filter(M.blocks(F.col(text_col)), typed)).alias("pos", "block"),
+    ).select(id_col, "_links", (F.col("pos") + 1).cast("bigint").alias("no"), "block")
 
 
 def _numbered_fences(blocks: Column) -> Column:
@@ -79,8 +81,10 @@ def md_headings(df: DataFrame, id_col: str = "id", text_col: str = "text") -> Da
     def headings(blocks: Column) -> Column:
         return F.filter(F.transform(blocks, M.heading), lambda h: h.isNotNull())
 
-    found = df.select(id_col, F.inline(let(M.blocks(F.col(text_col)), headings)))
-    return found.select(id_col, "line_no", "level", M.inline_text(F.col("text")).alias("text"))
+    links = M.link_definitions(F.col(text_col)).alias("_links")
+    found = df.select(id_col, links, F.inline(let(M.blocks(F.col(text_col)), headings)))
+    text = M.inline_text(F.col("text"), definitions=F.col("_links"))
+    return found.select(id_col, "line_no", "level", text.alias("text"))
 
 
 def md_code_blocks(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -110,7 +114,9 @@ def md_tables(
 
     def clean(line: Column) -> Column:
         cells = M.table_cells(line)
-        return F.transform(cells, lambda c: M.inline_text(c, keep_ticks=False))
+        return F.transform(
+            cells, lambda c: M.inline_text(c, keep_ticks=False, definitions=F.col("_links"))
+        )
 
     def is_table(block: Column) -> Column:
         lines = M.block_lines(block)
@@ -120,15 +126,19 @@ def md_tables(
         )
 
     tables = df.select(
-        id_col, F.posexplode(F.filter(M.blocks(F.col(text_col)), is_table)).alias("pos", "block")
+        id_col,
+        M.link_definitions(F.col(text_col)).alias("_links"),
+        F.posexplode(F.filter(M.blocks(F.col(text_col)), is_table)).alias("pos", "block"),
     ).select(
         id_col,
+        "_links",
         (F.col("pos") + 1).cast("bigint").alias("table_no"),
         M.block_lines(F.col("block")).alias("lines"),
     )
     body = F.slice("lines", F.lit(3), F.greatest(F.size("lines") - 2, F.lit(0)))
     headers = tables.select(
         id_col,
+        "_links",
         "table_no",
         F.get("lines", F.lit(0))["line_no"].alias("line_no"),
         clean(F.get("lines", F.lit(0))["text"]).alias("headers"),
@@ -166,12 +176,12 @@ def md_lists(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataF
         )
 
     chunks = _blocks_of(df, ["list"], id_col, text_col).select(
-        id_col, F.col("no").alias("list_no"), F.inline(numbered_chunks(F.col("block")))
+        id_col, "_links", F.col("no").alias("list_no"), F.inline(numbered_chunks(F.col("block")))
     )
     items = chunks.select(
-        id_col, "list_no", "first", "pos", F.inline(M.item_tree(F.col("chunk")))
+        id_col, "_links", "list_no", "first", "pos", F.inline(M.item_tree(F.col("chunk")))
     )
-    items = items.withColumn("text", M.inline_text(F.col("text")))
+    items = items.withColumn("text", M.inline_text(F.col("text"), definitions=F.col("_links")))
     number = F.when(
         (F.col("depth") == 0) & (F.col("pos") > 0), F.col("first") + F.col("pos")
     ).otherwise(F.col("number"))

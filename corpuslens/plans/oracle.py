@@ -367,6 +367,10 @@ SELECT id, 1 AS list_no, 3 + i + (i + 1) // 3 AS line_no, 0 AS depth, false AS o
 UNION ALL SELECT id, 1, 4 + i + (i + 1) // 3, 1, false, NULL, 'in it', '  • in it' FROM each
   WHERE i % 3 = 1
 UNION ALL SELECT id, 2, 4 + b + i, 0, true, 5 + i, line, (5 + i) || '. ' || line FROM each"""
+ORACLE_SQL["md_reference_links"] = f"""
+WITH {_PLAIN}
+SELECT id, i + 1 AS line_no, CASE WHEN i % 5 = 4 THEN '[' || line || '][No4]' ELSE line END
+  || ' [image: Two pic] No  1 no3 `[no3]`' AS text FROM each"""
 ORACLE_SQL["md_inline_text"] = f"""
 WITH {_PLAIN}
 SELECT id, i AS line_no, CASE i % 6 WHEN 0 THEN line || ' x' WHEN 1 THEN 'a ' || line || ' b'

@@ -315,6 +315,11 @@ def md_lists(spark, sf):
     return MD.md_lists(V.markdown_docs(_docs(spark, sf)))
 
 
+@query
+def md_reference_links(spark, sf):
+    return MD.md_lists(V.linked_markdown(_docs(spark, sf))).select("id", "line_no", "text")
+
+
 @query
 def md_inline_text(spark, sf):
     lines = V.plain_lines(F.col("text"))

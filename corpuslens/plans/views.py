@@ -241,6 +241,21 @@ def nested_markdown(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("id"), F.array_join(lines, "").alias("text"))
 
 
+def linked_markdown(documents: DataFrame) -> DataFrame:
+    """``(id, text)``: every line as a list item with a link, an image and a name by reference, the
+    definitions behind them; every fifth one has none."""
+    items = F.transform(
+        plain_lines(F.col("text")),
+        lambda l, i: F.concat(
+            F.lit("- ["), l, F.lit("][No"), (i % 5).cast("string"), F.lit("] ![pic][no2] [No  1][] [no3] `[no3]`\n")
+        ),
+    )
+    ends = "\n[no0]: http://e.org/0\n [NO1]: <x> 'title one'\n\n[no2]: p.png \"Two\"\n[no 1]: y\n[no3]: z\n```\n[no4]: no\n```\n"
+    return documents.select(
+        F.col("doc_id").alias("id"), F.concat(F.array_join(items, ""), F.lit(ends)).alias("text")
+    )
+
+
 def mail_messages(conversations: DataFrame) -> DataFrame:
     """``(id, raw)``: a message per turn in one of nine forms: plain, HTML, base64, quoted-printable,
     multipart with an attachment first, nested multipart with HTML first, HTML alone in a part in a

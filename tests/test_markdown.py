@@ -218,3 +218,18 @@ def test_long_paragraphs_and_quotes_take_linear_time(spark):
     heads = MD.md_headings(df).collect()
     assert [(h["line_no"], h["level"], len(h["text"])) for h in heads] == [(1, 1, 600_000 - 1)]
     assert len(MD.md_code_blocks(df).collect()[0]["code"]) == 5 * 60_000 - 1
+
+
+def test_references(spark):
+    text = (
+        "# [Two][a  B] and ![x][t] [t][] [T] [none][no] \\[t] `[t]` [t](u) [**b**][t]\n\n"
+        "| [h][t] |\n|---|\n| ![][t] |\n\n> - [t]\n\n[A b]: <u> 'ti'\n[t]: u \"Title\"\n[t]: v \"later\"\n"
+        "```\n[no]: x\n```\n"
+    )
+    df = spark.createDataFrame([(1, text), (2, "# [t] [a][b]\n")], "id int, text string")
+    heads = {r["id"]: r["text"] for r in MD.md_headings(df).collect()}
+    assert heads[1] == "Two and [image: Title x] t T [none][no] [t] `[t]` t b"
+    assert heads[2] == "[t] [a][b]"
+    table = MD.md_tables(df).collect()[0]
+    assert (table["headers"], table["rows"]) == (["h"], [["[image: Title]"]])
+    assert [r["text"] for r in MD.md_lists(df).collect()] == ["t"]
