@@ -599,7 +599,7 @@ def read_json_docs(spark, sf):
         F.to_json(F.struct(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")))
     )
     suppliers = V.table(spark, sf, "supplier").select(doc.alias("value"))
-    suppliers.write.option("maxRecordsPerFile", 1).text(path)
+    V.write_each(suppliers, path)
     docs = S.read_json_docs(spark, path)
     return docs.select(
         F.try_variant_get("value", "$.name", "string").alias("s_name"),

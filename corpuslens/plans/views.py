@@ -7,13 +7,19 @@ Every view is one narrow projection of a table, so it grows with it. The matchin
 from __future__ import annotations
 
 import io
+import os
 import tarfile
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.sources.files import plain_path
+
 # Extensions given to documents by ``doc_id`` modulo the length of the list.
 EXTENSIONS: tuple[str, ...] = (
     "md", "txt", "HTML", "py", "json", "csv", "ini", "eml", "ipynb", "pdf", "tar.gz", "", "xls",
@@ -27,6 +33,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+FILES_PER_TASK = 2_000
+
+
+def write_each(rows: DataFrame, path: str) -> None:
+    """Every row of one text column as a file of its own, closed by a line feed, in a folder per task;
+    as many tasks as the number of files asks for.
+
+    Where the folder is mounted, tasks write with the system's own calls: Hadoop's local file system
+    starts a process per file to set its permissions. Elsewhere Spark's writer is used, and each task
+    moves its files to their place itself, which else the driver does, one after the other.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    spread = rows.repartition(max(cores, -(-rows.count() // FILES_PER_TASK)))
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    if place.startswith("file:"):
+        os.makedirs(plain_path(place), exist_ok=True)
+        spread.mapInArrow(_file_writer(plain_path(place)), "n bigint").agg(F.sum("n")).first()
+    else:
+        writer = spread.write.option("maxRecordsPerFile", 1)
+        writer.option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
+
+
+def _file_writer(root: str):
+    """Function that writes the files of a task. A file gets its name when it is whole, so that a
+    repeated task only replaces files by their like."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        folder = f"{root}/part-{task.partitionId():05d}"
+        os.makedirs(folder, exist_ok=True)
+        begun, n = f"{folder}/.{task.taskAttemptId()}", 0
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                with open(begun, "wb") as out:
+                    out.write((value or "").encode() + b"\n")
+                os.replace(begun, f"{folder}/{n:09d}.txt")
+                n += 1
+        yield pa.record_batch({"n": pa.array([n], pa.int64())})
+
+    return write
+
+
 def document_ext() -> Column:
     """Extension a document gets in the listing."""
     names = F.array(*[F.lit(e) for e in EXTENSIONS])

@@ -16,6 +16,7 @@ from corpuslens.functions import text as T
 from corpuslens.limits import UNCUT, Limits
 from corpuslens.operators import trees as TR
 from corpuslens.plans import preview as P
+from corpuslens.plans import views as V
 from corpuslens.sources import archives as A
 from corpuslens.sources import files as S
 from corpuslens.streaming import previews as ST
@@ -239,6 +240,26 @@ def test_json_docs(spark, corpus):
     assert rows["bad.json"]["error"] == "invalid json" and rows["bad.json"]["raw"] == "{nope"
 
 
+def test_oversize_json_is_found_without_reading_the_others(spark, corpus, monkeypatch):
+    paths = [str(corpus / "bad.json"), str(corpus / "good.json")]
+    assert S.read_json_docs(spark, paths).rdd.getNumPartitions() == 2  # one per file, none for too large ones
+    monkeypatch.setattr(S, "MAX_CONTENT", (corpus / "bad.json").stat().st_size)
+    errors = {r["path"].rsplit("/", 1)[-1]: r["error"] for r in S.read_json_docs(spark, paths).collect()}
+    assert errors == {"bad.json": "invalid json", "good.json": "file too large"}
+
+
+def test_rows_of_one_task_are_written_as_files_by_many(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(V, "FILES_PER_TASK", 10)
+    rows = spark.range(0, 100, 1, 1).selectExpr("IF(id = 7, NULL, concat('a\n', id, 'ü')) AS value")
+    for place in (tmp_path / "plain", tmp_path / "with scheme"):
+        V.write_each(rows, str(place) if place.name == "plain" else f"file://{place}")
+        files = [p for p in place.rglob("*") if p.is_file()]
+        assert sorted(p.read_text() for p in files) == sorted(["\n", *(f"a\n{i}ü\n" for i in range(100) if i != 7)])
+        assert len({p.parent for p in files}) == 10
+    V.write_each(rows.limit(0), str(tmp_path / "none"))
+    assert S.read_json_docs(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_parquet_preview(spark, tmp_path):
     path = str(tmp_path / "t.parquet")
     spark.range(100).selectExpr("id", "id / 2 AS half", "IF(id = 1, NULL, 'x') AS s").write.parquet(path)
