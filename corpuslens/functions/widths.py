@@ -30,16 +30,34 @@ def width(char: str) -> int:
     return 2 if _within(code, TWO) or unicodedata.east_asian_width(char) in "WF" else 1
 
 
+FAN = 8  # ranges or groups of them that are tried one after the other
+
+
+def _grouped(ranges: list[tuple[int, int]]) -> str:
+    """Ranges in order as the inside of a pattern class. A class tries its parts one by one, so they are
+    groups that are left at once by a character outside their bounds, groups of groups above."""
+    if not ranges:
+        return ""
+    parts = [(first, last, f"\\x{{{first:X}}}-\\x{{{last:X}}}") for first, last in ranges]
+    while len(parts) > 1:
+        cuts = [parts[i : i + FAN] for i in range(0, len(parts), FAN)]
+        parts = [
+            (c[0][0], c[-1][1], f"[\\x{{{c[0][0]:X}}}-\\x{{{c[-1][1]:X}}}&&[{''.join(p for *_, p in c)}]]")
+            for c in cuts
+        ]
+    return parts[0][2]
+
+
 def _pattern_class(holds: Callable[[int], bool]) -> str:
-    parts, first = [], None
+    ranges, first = [], None
     for code in range(0xA0, 0x110001):
         inside = code < 0x110000 and holds(code)
         if inside and first is None:
             first = code
         elif not inside and first is not None:
-            parts.append(f"\\x{{{first:X}}}-\\x{{{code - 1:X}}}")
+            ranges.append((first, code - 1))
             first = None
-    return "".join(parts)
+    return _grouped(ranges)
 
 
 @cache

@@ -5,6 +5,7 @@ import io
 import json
 import quopri
 import random
+import re
 import unicodedata
 from email import message_from_string
 from email.header import Header, decode_header, make_header
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import mail as ML
 from corpuslens.functions import text as T
+from corpuslens.functions import widths
 from corpuslens.operators import lines as L
 
 SPACES = "\t\x0b\x0c\r \x85\xa0       　"
@@ -188,6 +190,23 @@ def test_wide_characters_and_tabs_in_one_long_line(spark):
     assert [r["text"] for r in rows] == [r[2] for r in model_wrap(text, 21)]
 
 
+def test_width_classes_try_few_ranges_per_character(spark):
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    df = spark.createDataFrame([("".join(every),)], "text string")
+    for inside, columns in zip(widths.classes(), (0, 2), strict=True):
+        found = df.select(F.array_join(F.regexp_extract_all("text", F.lit(f"[{inside}]"), F.lit(0)), "")).first()[0]
+        assert found == "".join(c for c in every if ord(c) >= 0xA0 and widths.width(c) == columns)
+        depth, parts = 0, [0]
+        for token in re.findall(r"&&\[|\[|\]+|\\x\{\w+\}-\\x\{\w+\}", inside):
+            if token.startswith("]"):
+                del parts[len(parts) - len(token) // 2 :]
+            elif token == "&&[":
+                parts.append(0)
+            elif token != "[":
+                parts[-1] += 1
+            assert max(parts) <= 2 * widths.FAN
+
+
 def test_lines_and_pages(spark):
     df = spark.createDataFrame([(1, "a\nb\n"), (2, "1\n2\n3\n4\n5"), (3, "")], "id int, text string")
     numbered = L.number_lines(df).orderBy("id", "line_no").collect()
