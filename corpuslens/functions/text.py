@@ -241,10 +241,13 @@ def _columns(text: Column) -> Column:
     """Text with one character per column: no control characters but tabs and line feeds, none
     without a width, and a ``FILL`` behind every wide one."""
     zero, two = classes()
-    clean = F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F\x7F-\x9F]", "")
-    shown = F.regexp_replace(clean, rf"(?md)^[{zero}]++$", GONE)
-    shown = F.regexp_replace(F.regexp_replace(shown, f"[{zero}]", ""), f"([{two}])", rf"$1{FILL}")
-    return F.when(F.rlike(clean, F.lit(r"[\xAD\x{300}-\x{10FFFF}]")), shown).otherwise(clean)
+
+    def shown(clean: Column) -> Column:
+        out = F.regexp_replace(clean, rf"(?md)^[{zero}]++$", GONE)
+        out = F.regexp_replace(F.regexp_replace(out, f"[{zero}]", ""), f"([{two}])", rf"$1{FILL}")
+        return F.when(F.rlike(clean, F.lit(r"[\xAD\x{300}-\x{10FFFF}]")), out).otherwise(clean)
+
+    return let(F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F\x7F-\x9F]", ""), shown)
 
 
 def _piece_pattern(width: int) -> str:
@@ -273,7 +276,12 @@ def _fill_in_order(line: Column, width: int) -> Column:
         rows = F.regexp_extract_all(
             F.concat(F.repeat(F.lit("-"), col), part), F.lit(_piece_pattern(width)), F.lit(0)
         )
-        return F.when(part == "", col).otherwise(F.length(F.element_at(rows, -1)))
+        whole = F.pmod(col + F.length(part) - 1, F.lit(width)) + 1  # rows without wide characters
+        return (
+            F.when(part == "", col)
+            .when(F.contains(part, F.lit(FILL)), F.length(F.element_at(rows, -1)))
+            .otherwise(whole)
+        )
 
     def step(state: Column, part: Column) -> Column:
         def with_end(end: Column) -> Column:

@@ -6,6 +6,7 @@ import json
 import quopri
 import random
 import re
+import time
 import unicodedata
 from email import message_from_string
 from email.header import Header, decode_header, make_header
@@ -207,6 +208,16 @@ def test_width_classes_try_few_ranges_per_character(spark):
             assert max(parts) <= 2 * widths.FAN
 
 
+def test_wide_pages_of_a_long_text_are_counted_quickly(spark):
+    line = "some letters,\tand 漢 between\n"
+    df = spark.createDataFrame([(1, line * 150_000)], "id int, text string")
+    L.page_counts(df.limit(0), 20, 30).collect()
+    begun = time.monotonic()
+    found = L.page_counts(df, 20, 30).first()["n_lines"]
+    assert time.monotonic() - begun < 6
+    assert found == (len(model_wrap(line, 30)) - 1) * 150_000 + 1
+
+
 def test_lines_and_pages(spark):
     df = spark.createDataFrame([(1, "a\nb\n"), (2, "1\n2\n3\n4\n5"), (3, "")], "id int, text string")
     numbered = L.number_lines(df).orderBy("id", "line_no").collect()
