@@ -349,14 +349,28 @@ def resolved(text: Column, definitions: Column) -> Column:
     code = _CODE.replace(r"\1", r"\4")
     either = F.lit(f"{span}|{code}")
 
+    # Parts, label and definition are bound: in the body of a lambda they would be computed again
+    # for every definition and every use.
     def one(hit: Column) -> Column:
-        mark, shown, label = (F.regexp_extract(hit, span, i) for i in (1, 2, 3))
-        wanted = _label(F.when(F.trim(label) == "", shown).otherwise(label))
-        found = F.get(F.filter(definitions, lambda d: d["label"] == wanted), F.lit(0))
-        alt = F.trim(F.concat(found["title"], F.lit(" "), shown))
-        image = F.concat(F.lit("[image: "), F.when(alt == "", "image").otherwise(alt), F.lit("]"))
-        known = F.when(mark == "!", image).otherwise(shown)
-        return F.when(F.startswith(hit, F.lit("`")) | found.isNull(), hit).otherwise(known)
+        def known(shown: Column, found: Column) -> Column:
+            alt = F.trim(F.concat(found["title"], F.lit(" "), shown))
+            image = F.concat(F.lit("[image: "), F.when(alt == "", "image").otherwise(alt), F.lit("]"))
+            text = F.when(F.startswith(hit, F.lit("!")), image).otherwise(shown)
+            return F.when(found.isNull(), hit).otherwise(text)
+
+        def looked_up(shown: Column) -> Column:
+            label = F.regexp_extract(hit, span, 3)
+            return let(
+                let(
+                    _label(F.when(F.trim(label) == "", shown).otherwise(label)),
+                    lambda wanted: F.get(F.filter(definitions, lambda d: d["label"] == wanted), F.lit(0)),
+                ),
+                lambda found: known(shown, found),
+            )
+
+        return F.when(F.startswith(hit, F.lit("`")), hit).otherwise(
+            let(F.regexp_extract(hit, span, 2), looked_up)
+        )
 
     hits = F.concat(F.transform(F.regexp_extract_all(text, either, F.lit(0)), one), F.array(F.lit("")))
     joined = F.zip_with(F.split(text, either, -1), hits, lambda plain, hit: F.concat(plain, hit))

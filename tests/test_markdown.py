@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -233,3 +234,13 @@ def test_references(spark):
     table = MD.md_tables(df).collect()[0]
     assert (table["headers"], table["rows"]) == (["h"], [["[image: Title]"]])
     assert [r["text"] for r in MD.md_lists(df).collect()] == ["t"]
+
+
+def test_many_references_to_many_definitions(spark):
+    links = "".join(f"- [a{i}][n {i % 400}] ![p][N  {i % 400}]\n" for i in range(4_000))
+    text = links + "\n" + "".join(f"[n {i}]: u 't{i}'\n" for i in range(400))
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    begun = time.monotonic()
+    rows = [r["text"] for r in MD.md_lists(df).collect()]
+    assert rows == [f"a{i} [image: t{i % 400} p]" for i in range(4_000)]
+    assert time.monotonic() - begun < 8
