@@ -12,12 +12,12 @@ import tarfile
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.sources.archives import GROUP_BYTES
 from corpuslens.sources.files import plain_path
 
 # Extensions given to documents by ``doc_id`` modulo the length of the list.
@@ -466,7 +466,9 @@ def magic_docs(documents: DataFrame) -> DataFrame:
 
 
 def _packer():
-    """Pandas UDF: a text becomes a zip or tar file with one member per line."""
+    """Arrow UDF: a text becomes a zip or tar file with one member per line. Files go on in groups of
+    some megabytes, however many texts come at once."""
+    most = GROUP_BYTES
 
     def pack_zip(value: str, odt: bool) -> bytes:
         out = io.BytesIO()
@@ -500,10 +502,19 @@ def _packer():
             return None
         return pack_tar(value) if form == "tar" else pack_zip(value, form == "odt")
 
-    def pack_all(text: pd.Series, form: pd.Series) -> pd.Series:
-        return pd.Series([pack(*pair) for pair in zip(text, form)], dtype=object)
-
-    return F.pandas_udf(pack_all, "binary").asNondeterministic()
+    def pack_all(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for text, form in batches:
+            packed, size = [], 0
+            for pair in zip(text, form):
+                packed.append(pack(*(x.as_py() for x in pair)))
+                size += len(packed[-1] or b"")
+                if size >= most:
+                    yield pa.array(packed, pa.binary())
+                    packed, size = [], 0
+            if packed:
+                yield pa.array(packed, pa.binary())
+
+    return F.arrow_udf(pack_all, "binary").asNondeterministic()
 
 
 def zipped_docs(documents: DataFrame, ext: str) -> DataFrame:

@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ MEMBERS = "array<struct<seq:bigint,member:string,text:string,error:string>>"
 _LISTED = "array<struct<seq:bigint,path:string,is_dir:boolean,size:bigint,bits:bigint>>"
 MAX_MEMBER = 2**28  # bytes of an inflated member: what one value of a row may sensibly hold
 
+GROUP_BYTES = 2**22  # about what a task's Python holds of found rows before they go on
+
 
 def _entry_reader() -> Callable[[str, bytes], Iterator[tuple]]:
     """Function that yields ``(path, is_dir, size, mode bits)`` of a zip or tar file. Nested, so that
@@ -156,9 +159,21 @@ def manifest_entries(manifest: DataFrame) -> DataFrame:
 
 
 def _container_reader() -> Callable[..., Column]:
-    """Pandas UDF that opens each container once, for its text members or its entries; nested to be
-    shipped by value."""
-    most, entries = MAX_MEMBER, _entry_reader()
+    """Arrow UDF that opens each container once, for its text members or its entries; nested to be
+    shipped by value. What is found goes on in groups of some megabytes, however many containers
+    come at once."""
+    most, entries, group = MAX_MEMBER, _entry_reader(), GROUP_BYTES
+    member = [("seq", pa.int64()), ("member", pa.string()), ("text", pa.string()), ("error", pa.string())]
+    listed = [("seq", pa.int64()), ("path", pa.string()), ("is_dir", pa.bool_()), ("size", pa.int64())]
+    listed.append(("bits", pa.int64()))
+    opened = pa.struct(
+        [("members", pa.list_(pa.struct(member))), ("entries", pa.list_(pa.struct(listed))), ("error", pa.string())]
+    )
+
+    def weight(row: dict) -> int:
+        """About the bytes that a found row takes."""
+        texts = sum(500 + len(m["text"] or "") for m in row["members"] or ())
+        return 100 + texts + 500 * len(row["entries"] or ())
 
     def member_text(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> tuple[str | None, str | None]:
         """Text of a member, or why there is none; the others of the container stay."""
@@ -194,21 +209,28 @@ def _container_reader() -> Callable[..., Column]:
         except Exception as reason:  # noqa: BLE001 - a bad archive must not fail the job
             return None, f"unreadable archive: {reason}"
 
-    def open_all(
-        content: pd.Series, pattern: pd.Series, first_only: pd.Series, form: pd.Series
-    ) -> pd.DataFrame:
-        rows = []
-        for blob, expr, once, kind in zip(content, pattern, first_only, form):
-            members = found = error = None
-            if blob is not None and kind is not None:
-                found, error = list_entries(blob, kind)
-            elif blob is not None and expr is not None:
-                members, error = read(blob, expr, bool(once))
-            rows.append((members, found, error))
-        return pd.DataFrame(rows, columns=["members", "entries", "error"], dtype=object)
+    def open_one(blob: bytes | None, expr: str | None, once: bool | None, kind: str | None) -> dict:
+        members = found = error = None
+        if blob is not None and kind is not None:
+            found, error = list_entries(blob, kind)
+        elif blob is not None and expr is not None:
+            members, error = read(blob, expr, bool(once))
+        return {"members": members, "entries": found, "error": error}
+
+    def open_all(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            rows, size = [], 0
+            for row in zip(*columns):
+                rows.append(open_one(*(x.as_py() for x in row)))
+                size += weight(rows[-1])
+                if size >= group:
+                    yield pa.array(rows, opened)
+                    rows, size = [], 0
+            if rows:
+                yield pa.array(rows, opened)
 
     # Marked as nondeterministic so that the planner never runs it twice for one row.
-    return F.pandas_udf(
+    return F.arrow_udf(
         open_all, f"members {MEMBERS}, entries {_LISTED}, error string"
     ).asNondeterministic()
 

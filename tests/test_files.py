@@ -9,6 +9,7 @@ import zipfile
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -486,3 +487,23 @@ def test_archive_tree_is_bounded(spark, corpus):
     assert {r["tree_id"].rsplit("/", 1)[-1]: r["n_nodes"] for r in TR.count_nodes(nodes).collect()} == {
         "t.zip": 5, "t.tar": 4, "t.tar.gz": 4, "lone.gz": 2
     }
+
+
+def test_containers_go_through_python_in_groups(spark, monkeypatch):
+    """However many rows come at once, what is made of them goes on in groups of bounded size."""
+    texts = ["\n".join(f"line {i} {j}" for j in range(20)) for i in range(40)]
+    for module in (V, A):
+        monkeypatch.setattr(module, "GROUP_BYTES", 20_000)
+    lit = lambda value: pa.array([value] * 40, pa.string())
+    packed = list(V._packer().func(iter([(pa.array(texts), lit("zip"))])))
+    assert len(packed) > 3 and max(p.nbytes for p in packed) < 30_000
+    content = pa.concat_arrays(packed)
+    assert [len(p) for p in A._container_reader().func(iter([]))] == []
+    reader = A._container_reader().func
+    once = pa.array([False] * 40)
+    docs = list(reader(iter([(content, lit(r"lines/.*"), once, lit(None))])))
+    trees = list(reader(iter([(content, lit(None), once, lit("zip"))])))
+    assert len(docs) > 1 and len(trees) > 3
+    found = [[m["text"] for m in row["members"]] for group in docs for row in group.to_pylist()]
+    assert found == [t.split("\n") for t in texts]
+    assert [len(row["entries"]) for group in trees for row in group.to_pylist()] == [23] * 40
