@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from math import log10
+from struct import calcsize, pack, unpack_from
 
 import numpy as np
 import pyarrow as pa
@@ -151,6 +152,48 @@ def frequent_words(rows: DataFrame) -> tuple[int, dict[bytes, int]]:
     return tokens, {bytes(r["word"]): r["n"] for r in hot}
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned numbers as planes of their bytes, the upper ones that are all zero left out, compressed."""
+    width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    raw = np.ascontiguousarray(values.astype("<u8").view("u1").reshape(-1, 8)[:, :width].T)
+    body = pa.compress(raw, codec="zstd", asbytes=True) if raw.size else b""
+    return pack("<QQB", len(body), len(values), width) + body
+
+
+def _from_planes(raw: memoryview) -> tuple[np.ndarray, memoryview]:
+    """The numbers at the start of ``raw``, and what follows."""
+    size, n, width = unpack_from("<QQB", raw)
+    raw = raw[calcsize("<QQB") :]
+    out = np.zeros((n, 8), "u1")
+    if size:
+        planes = pa.decompress(raw[:size], decompressed_size=n * width, codec="zstd", asbytes=True)
+        out[:, :width] = np.frombuffer(planes, "u1").reshape(width, n).T
+    return out.view("<u8").reshape(-1), raw[size:]
+
+
+def dense(values: np.ndarray) -> bytes:
+    """Numbers that are not negative, in few bytes: in order as their differences, keys that repeat as
+    their places in the list of different ones."""
+    values = values.astype("u8")
+    if len(values) > 1 and (values[1:] >= values[:-1]).all():
+        return b"s" + _planes(np.diff(values, prepend=np.uint64(0)))
+    if len(values) and values.max() >> np.uint64(32):
+        keys, places = np.unique(values, return_inverse=True)
+        if 4 * len(keys) < 3 * len(values):
+            return b"k" + _planes(np.diff(keys, prepend=np.uint64(0))) + _planes(places)
+    return b"p" + _planes(values)
+
+
+def plain(raw: bytes, kind: str) -> np.ndarray:
+    """What :func:`dense` was given, as an array of ``kind``."""
+    form, (values, rest) = raw[:1], _from_planes(memoryview(raw)[1:])
+    if form != b"p":
+        values = np.cumsum(values, dtype="u8")
+    if form == b"k":
+        values = values[_from_planes(rest)[0]]
+    return values.astype(kind)
+
+
 #: Of a block and part: words, how many pairs each has, the words before, training tokens of the
 #: pairs; tokens of the pairs, and the documents of these tokens. Only ``COUNTED`` goes to parts.
 PAIRS = (
@@ -159,6 +202,7 @@ PAIRS = (
 )
 
 
+NUMBERS = {"word": "u8", "fan": "u4", "before": "u8", "trained": "u4", "times": "u4", "docs": "u2", "sizes": "i8"}
 COUNTED = ["part", "block", "word", "fan", "before", "trained"]
 KEPT = ["block", "part", "times", "docs", "ids", "sizes"]
 
@@ -217,6 +261,20 @@ def _sorter(parts: int, hot: np.ndarray):
     return sort
 
 
+def _dense_pairs(sort):
+    """The pairs of :func:`_sorter` with their numbers in few bytes: they are written twice."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sort(batches):
+            for name, kind in NUMBERS.items():
+                column = batch.column(name).to_pylist()
+                column = [None if x is None else dense(np.frombuffer(x, kind)) for x in column]
+                batch = batch.set_column(batch.schema.get_field_index(name), name, pa.array(column, pa.binary()))
+            yield batch
+
+    return work
+
+
 OUT = (
     "kind string, block bigint, part int, seen binary, count binary, lost binary, "
     "hpart int, keys binary, history binary, counts array<bigint>"
@@ -255,9 +313,9 @@ def _part(parts: int, hot: np.ndarray, hot_counts: np.ndarray):
         for batch in batches:
             for row in batch.select(COUNTED).to_pylist():
                 places.append((row["block"], row["part"]))
-                word.append(np.repeat(np.frombuffer(row["word"], "u8"), np.frombuffer(row["fan"], "u4")))
-                before.append(np.frombuffer(row["before"], "u8"))
-                trained.append(np.frombuffer(row["trained"], "u4"))
+                word.append(np.repeat(plain(row["word"], "u8"), plain(row["fan"], "u4")))
+                before.append(plain(row["before"], "u8"))
+                trained.append(plain(row["trained"], "u4"))
         if not places:
             return
         ends = np.cumsum([0, *map(len, before)])
@@ -288,8 +346,8 @@ def _part(parts: int, hot: np.ndarray, hot_counts: np.ndarray):
         for (block, part), lo, hi in zip(places, ends[:-1], ends[1:], strict=True):
             mine = rank[lo:hi]
             r = seen[mine]
-            yield _row("back", 1, KIND, block=[block], part=[part], seen=[r.tobytes()],
-                       count=[count[number[mine]].tobytes()], lost=[v[mine[r == 0]].tobytes()])
+            yield _row("back", 1, KIND, block=[block], part=[part], seen=[dense(r)],
+                       count=[dense(count[number[mine]])], lost=[dense(v[mine[r == 0]])])
         del rank
         # what was seen after each history
         known = np.flatnonzero(seen)
@@ -310,8 +368,8 @@ def _part(parts: int, hot: np.ndarray, hot_counts: np.ndarray):
         for p in range(parts):
             some = order[where[p] : where[p + 1]]
             if len(some):
-                yield _row("hist", 1, KIND, hpart=[p], keys=[keys[some].tobytes()],
-                           history=[table[some].T.astype("f8").tobytes()])
+                yield _row("hist", 1, KIND, hpart=[p], keys=[dense(keys[some])],
+                           history=[dense(table[some].T.reshape(-1))])
 
     return work
 
@@ -321,12 +379,12 @@ def _sums(kept: pa.Table, back: pa.Table) -> pa.Table:
     kept, back = kept.sort_by("part"), back.sort_by("part")
 
     def joined(table: pa.Table, name: str, type_: str) -> np.ndarray:
-        return np.concatenate([np.frombuffer(x, type_) for x in table.column(name).to_pylist()])
+        return np.concatenate([plain(x, type_) for x in table.column(name).to_pylist()])
 
     times, marked = joined(kept, "times", "u4"), joined(kept, "docs", "u2")
     docs = (marked >> 1).astype("i8")
     own = kept.filter(pc.is_valid(kept.column("ids"))).to_pylist()[0]
-    n, sizes = len(own["ids"]), np.frombuffer(own["sizes"], "i8")
+    n, sizes = len(own["ids"]), plain(own["sizes"], "i8")
     rids = np.arange(n) + (own["block"] << 16)
     seen = joined(back, "seen", "i8")
     r, c = np.repeat(seen, times), np.repeat(joined(back, "count", "i8"), times)
@@ -364,8 +422,8 @@ def _weights(d: list[float], e: list[float], tokens: int):
         keys, rows = [], []
         for batch in batches:
             for row in batch.to_pylist():
-                keys.append(np.frombuffer(row["keys"], "u8"))
-                rows.append(np.frombuffer(row["history"], "f8").reshape(len(HISTORY), -1))
+                keys.append(plain(row["keys"], "u8"))
+                rows.append(plain(row["history"], "f8").reshape(len(HISTORY), -1))
         if not keys:
             return
         key, table = np.concatenate(keys), np.concatenate(rows, axis=1)
@@ -420,7 +478,7 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     parts = min(1 << 20, max(LEAST_PARTS, -(-tokens // PART_TOKENS)))
     hot = np.array([word_key(w) for w in frequent], "u8")
     hot_counts = np.array(list(frequent.values()), "i8")
-    pairs = staged(rows.mapInArrow(_sorter(parts, hot), PAIRS), "lm-pairs")
+    pairs = staged(rows.mapInArrow(_dense_pairs(_sorter(parts, hot)), PAIRS), "lm-pairs")
     counted = pairs.select(*COUNTED).repartitionById(parts, F.col("part"))
     tables = staged(counted.mapInArrow(_part(parts, hot, hot_counts), OUT), "lm-tables", by=["kind"])
 

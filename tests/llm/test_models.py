@@ -168,6 +168,38 @@ def test_parts_get_counts_and_no_tokens(monkeypatch):
     assert to_parts(5000) == to_parts(50)
 
 
+def test_numbers_in_few_bytes():
+    pick = np.random.default_rng(5)
+    keys = pick.integers(0, 2**64, 3000, "u8", endpoint=False)
+    repeated = keys[(3000 * pick.random(20_000) ** 3).astype(int)]
+    small = pick.integers(0, 300, 20_000)
+    for values, most in (
+        (repeated, 8 * 7_000),  # 8 * 20_000 as they are
+        (keys, 8 * 3000 + 200),
+        (np.sort(keys), 7 * 3000 + 200),
+        (small, 2 * 20_000),
+        (np.array([0, 2**64 - 1, 1], "u8"), 60),
+        (np.zeros(0, "u8"), 60),
+        (np.r_[7.0, 0, 3], 60),
+    ):
+        raw = lm_score.dense(values)
+        assert lm_score.plain(raw, values.dtype.str).tolist() == values.tolist()
+        assert len(raw) <= most
+
+
+def test_pairs_are_written_in_few_bytes(monkeypatch):
+    monkeypatch.setattr(lm_score, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    pick = random.Random(3)
+    texts = [" ".join(f"w{int(pick.expovariate(0.002))}" for _ in range(200)).encode() for _ in range(500)]
+    batch = pa.record_batch({"id": range(500), "train": [i % 7 != 2 for i in range(500)], "raw": texts})
+    sort = lm_score._sorter(12, np.empty(0, "u8"))
+    sizes = []
+    for work in (sort, lm_score._dense_pairs(sort)):
+        rows = [r for b in work(iter([batch])) for r in b.to_pylist()]
+        sizes.append(sum(len(r[c] or b"") for r in rows for c in lm_score.NUMBERS))
+    assert sizes[1] < 0.45 * sizes[0]
+
+
 def test_words_frequent_in_no_block_are_split(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "PART_TOKENS", 40)
     monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 1500)
