@@ -2,16 +2,18 @@
 
 The work is laid out so that tokens stay with their block. Tasks sort the tokens of a block of
 documents into pairs (word, the word before); of each pair only its training count goes to the part
-of the word, once per block however often the pair occurs. A part adds up the counts of its pairs
-and words, builds its piece of the n-gram table and sends the counts back to the blocks, which add
-up, per document, the logarithms that depend on them; what a discount multiplies is added up as a
-number of tokens per count. Only backing off needs the word before: each part reports what it has
-seen after a history, these reports add up to the exactly normalised backoff weight of the history,
-and only tokens in unseen pairs are joined with it. The counts of counts come last, and the sums
-turn into scores.
+of the word, once per block however often the pair occurs; the documents of its tokens go along,
+packed, so that nothing has to be kept elsewhere. A part adds up the counts of its pairs and words,
+builds its piece of the n-gram table and sends the counts back to the blocks, which add up, per
+document, the logarithms that depend on them; what a discount multiplies is added up as a number of
+tokens per count. Only backing off needs the word before: each part reports what it has seen after
+a history, these reports add up to the exactly normalised backoff weight of the history, and only
+tokens in unseen pairs are joined with it. The counts of counts come last, and the sums turn into
+scores. Pairs are written once on their way to the parts and once on their way back.
 
 Frequent words (training counts of ``1 / HOT_SHARE`` of all tokens or a quarter of a part) are split
-over parts by the word before; they are found by counting all words first. Words are known by 64
+over parts by the word before; they are found by counting words first: all of them in ``BUCKETS`` by
+their hash, then one by one those of buckets that may hold a frequent word. Words are known by 64
 bits of their hash.
 """
 
@@ -38,6 +40,7 @@ BLOCK_TOKENS, BLOCK_DOCS = 1_500_000, 32_000  # of a block a task sorts at once
 PART_TOKENS = 1_700_000  # of a part on average
 LEAST_PARTS = 12
 HOT_SHARE = 512  # a word with 1/512 of all tokens is hot
+BUCKETS = 1 << 16  # of words, counted together
 START, END = 0, 1  # keys of the place before a text and of its end
 R = [f"r{k}" for k in range(1, CUT + 1)]  # tokens in pairs seen k times
 U = [f"u{k}" for k in range(CUT + 1)]  # tokens in unseen pairs whose word was seen k times
@@ -114,18 +117,15 @@ def word_key(word: bytes) -> int:
     return END if word == END_WORD else max(xxhash.xxh64_intdigest(word), 2)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block its tokens (no word), and the words of its training tokens."""
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
+    """Per block its tokens, the words of its training tokens, how often they occur, and their buckets."""
     counts: Counter[bytes] = Counter()
     tokens = 0
 
-    def found() -> pa.RecordBatch:
-        return pa.record_batch(
-            {
-                "word": pa.array([None, *counts], pa.binary()),
-                "n": pa.array([tokens, *counts.values()], pa.int64()),
-            }
-        )
+    def found() -> tuple[int, list[bytes], np.ndarray, np.ndarray]:
+        keys = np.fromiter(map(word_key, counts), "u8", len(counts))
+        times = np.fromiter(counts.values(), "i8", len(counts))
+        return tokens, list(counts), times, (mixed(keys) % np.uint64(BUCKETS)).astype("i8")
 
     for batch in batches:
         for train, raw in zip(batch.column("train").to_pylist(), batch.column("raw").to_pylist(), strict=True):
@@ -142,13 +142,43 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found()
 
 
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block its tokens (no bucket), and the training tokens of every bucket."""
+    for tokens, _, times, buckets in _word_counts(batches):
+        sums = np.bincount(buckets, times, BUCKETS).astype("i8")
+        some = np.flatnonzero(sums)
+        yield pa.record_batch(
+            {
+                "bucket": pa.array([None, *some.tolist()], pa.int32()),
+                "n": pa.array(np.r_[tokens, sums[some]], pa.int64()),
+            }
+        )
+
+
+def _counted(heavy: np.ndarray):
+    """Per block the words of its training tokens that are in ``heavy`` buckets."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, words, times, buckets in _word_counts(batches):
+            some = np.flatnonzero(np.isin(buckets, heavy))
+            yield pa.record_batch(
+                {"word": pa.array([words[i] for i in some], pa.binary()), "n": pa.array(times[some], pa.int64())}
+            )
+
+    return work
+
+
 def frequent_words(rows: DataFrame) -> tuple[int, dict[bytes, int]]:
     """All tokens, and the training counts of words too frequent for one part."""
-    words = rows.mapInArrow(_counted, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    words = staged(words, "lm-words")
-    tokens = words.filter("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = rows.mapInArrow(_bucket_counts, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sums = {r["bucket"]: r["n"] for r in buckets.collect()}  # of BUCKETS at most
+    tokens = sums.pop(None, 0)
     least = min(-(-tokens // HOT_SHARE), PART_TOKENS // 4)
-    hot = words.filter(F.col("word").isNotNull() & (F.col("n") >= least)).collect()
+    heavy = np.array([b for b, n in sums.items() if n >= least], "i8")
+    if not len(heavy):
+        return tokens, {}
+    words = rows.mapInArrow(_counted(heavy), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    hot = words.filter(F.col("n") >= least).collect()
     return tokens, {bytes(r["word"]): r["n"] for r in hot}
 
 
@@ -195,7 +225,7 @@ def plain(raw: bytes, kind: str) -> np.ndarray:
 
 
 #: Of a block and part: words, how many pairs each has, the words before, training tokens of the
-#: pairs; tokens of the pairs, and the documents of these tokens. Only ``COUNTED`` goes to parts.
+#: pairs; tokens of the pairs, and the documents of these tokens. Parts hand on ``KEPT`` as it is.
 PAIRS = (
     "part int, block bigint, word binary, fan binary, before binary, trained binary, times binary, docs binary, "
     "ids array<bigint>, sizes binary"
@@ -203,8 +233,7 @@ PAIRS = (
 
 
 NUMBERS = {"word": "u8", "fan": "u4", "before": "u8", "trained": "u4", "times": "u4", "docs": "u2", "sizes": "i8"}
-COUNTED = ["part", "block", "word", "fan", "before", "trained"]
-KEPT = ["block", "part", "times", "docs", "ids", "sizes"]
+KEPT = ["part", "fan", "times", "docs", "ids", "sizes"]
 
 
 def pair_order(part: np.ndarray, now: np.ndarray, before: np.ndarray, parts: int, words: int) -> np.ndarray:
@@ -232,6 +261,7 @@ def _sorter(parts: int, hot: np.ndarray):
             stop = np.r_[first, len(now)]
             part, now, before = part[first], now[first], before[first]
             trained = np.add.reduceat(doc % 2, first, dtype="u4")
+            doc = doc >> 1
             where = np.searchsorted(part, np.arange(parts + 1))
             me = (task << 20) | number
             for p in range(parts):
@@ -262,7 +292,7 @@ def _sorter(parts: int, hot: np.ndarray):
 
 
 def _dense_pairs(sort):
-    """The pairs of :func:`_sorter` with their numbers in few bytes: they are written twice."""
+    """The pairs of :func:`_sorter` with their numbers in few bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sort(batches):
@@ -275,20 +305,22 @@ def _dense_pairs(sort):
     return work
 
 
-OUT = (
-    "kind string, block bigint, part int, seen binary, count binary, lost binary, "
-    "hpart int, keys binary, history binary, counts array<bigint>"
-)
-KIND = {"block": pa.int64(), "part": pa.int32(), "seen": pa.binary(), "count": pa.binary(), "lost": pa.binary()}
-KIND |= {"hpart": pa.int32(), "keys": pa.binary(), "history": pa.binary(), "counts": pa.list_(pa.int64())}
+#: Of a part, by where they go (``home``): counts for a block with what the block had sent along,
+#: what was seen after the histories of a part, and counts of counts.
+BINARY = ("fan", "seen", "count", "lost", "times", "docs", "sizes", "keys", "history")
+OUT = "kind string, home bigint, part int, ids array<bigint>, counts array<bigint>"
+OUT += "".join(f", {c} binary" for c in BINARY)
+KIND = {"home": pa.int64(), "part": pa.int32(), "ids": pa.list_(pa.int64()), "counts": pa.list_(pa.int64())}
+KIND |= dict.fromkeys(BINARY, pa.binary())
 SUMMED = (
     "kind string, rid bigint, id bigint, n_tokens bigint, held boolean, "
     + ", ".join(f"{c} double" for c in SUMS)
-    + ", key bigint, n double"
+    + ", key bigint, n double, keys binary, history binary, counts array<bigint>"
 )
 DOC = {"rid": pa.int64(), "id": pa.int64(), "n_tokens": pa.int64(), "held": pa.bool_()}
 DOC |= dict.fromkeys(SUMS, pa.float64())
 DOC |= {"key": pa.int64(), "n": pa.float64()}
+DOC |= {"keys": pa.binary(), "history": pa.binary(), "counts": pa.list_(pa.int64())}
 
 
 def _row(kind: str, rows: int, types: dict[str, pa.DataType], /, **given) -> pa.RecordBatch:
@@ -309,14 +341,14 @@ def _part(parts: int, hot: np.ndarray, hot_counts: np.ndarray):
     hot, hot_counts = hot[order], hot_counts[order]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, before, trained, places = [], [], [], []
+        word, before, trained, sent = [], [], [], []
         for batch in batches:
-            for row in batch.select(COUNTED).to_pylist():
-                places.append((row["block"], row["part"]))
+            for row in batch.to_pylist():
+                sent.append((row["block"], {c: [row[c]] for c in KEPT}))
                 word.append(np.repeat(plain(row["word"], "u8"), plain(row["fan"], "u4")))
                 before.append(plain(row["before"], "u8"))
                 trained.append(plain(row["trained"], "u4"))
-        if not places:
+        if not sent:
             return
         ends = np.cumsum([0, *map(len, before)])
         word, before, trained = map(np.concatenate, (word, before, trained))
@@ -341,13 +373,13 @@ def _part(parts: int, hot: np.ndarray, hot_counts: np.ndarray):
         own = count[~is_hot]
         few = np.bincount(np.minimum(own, CUT + 2), minlength=CUT + 3)
         pairs = np.bincount(np.minimum(seen, CUT + 2), minlength=CUT + 3)
-        yield _row("cc", 1, KIND, counts=[[*few[1:-1], (own > 0).sum(), own.sum(), *pairs[1:-1]]])
+        yield _row("cc", 1, KIND, home=[0], counts=[[*few[1:-1], (own > 0).sum(), own.sum(), *pairs[1:-1]]])
         # back to the blocks
-        for (block, part), lo, hi in zip(places, ends[:-1], ends[1:], strict=True):
-            mine = rank[lo:hi]
-            r = seen[mine]
-            yield _row("back", 1, KIND, block=[block], part=[part], seen=[dense(r)],
-                       count=[dense(count[number[mine]])], lost=[dense(v[mine[r == 0]])])
+        for (block, kept), lo, hi in zip(sent, ends[:-1], ends[1:], strict=True):
+            mine, fan = rank[lo:hi], plain(kept["fan"][0], "i8")
+            r, first = seen[mine], mine[np.cumsum(fan) - fan]  # pair of every word
+            yield _row("back", 1, KIND, home=[block], seen=[dense(r)], count=[dense(count[number[first]])],
+                       lost=[dense(v[mine[r == 0]])], **kept)
         del rank
         # what was seen after each history
         known = np.flatnonzero(seen)
@@ -368,26 +400,27 @@ def _part(parts: int, hot: np.ndarray, hot_counts: np.ndarray):
         for p in range(parts):
             some = order[where[p] : where[p + 1]]
             if len(some):
-                yield _row("hist", 1, KIND, hpart=[p], keys=[dense(keys[some])],
+                yield _row("hist", 1, KIND, home=[p], keys=[dense(keys[some])],
                            history=[dense(table[some].T.reshape(-1))])
 
     return work
 
 
-def _sums(kept: pa.Table, back: pa.Table) -> pa.Table:
+def _sums(back: pa.Table) -> pa.Table:
     """Sums of the documents of a block, and their tokens in unseen pairs by history."""
-    kept, back = kept.sort_by("part"), back.sort_by("part")
+    back = back.sort_by("part")
 
-    def joined(table: pa.Table, name: str, type_: str) -> np.ndarray:
-        return np.concatenate([plain(x, type_) for x in table.column(name).to_pylist()])
+    def joined(name: str, type_: str) -> np.ndarray:
+        return np.concatenate([plain(x, type_) for x in back.column(name).to_pylist()])
 
-    times, marked = joined(kept, "times", "u4"), joined(kept, "docs", "u2")
-    docs = (marked >> 1).astype("i8")
-    own = kept.filter(pc.is_valid(kept.column("ids"))).to_pylist()[0]
+    times, docs = joined("times", "u4"), joined("docs", "i8")
+    own = back.filter(pc.is_valid(back.column("ids"))).to_pylist()[0]
     n, sizes = len(own["ids"]), plain(own["sizes"], "i8")
-    rids = np.arange(n) + (own["block"] << 16)
-    seen = joined(back, "seen", "i8")
-    r, c = np.repeat(seen, times), np.repeat(joined(back, "count", "i8"), times)
+    if not np.array_equal(np.bincount(docs, minlength=n), sizes // 2):
+        raise ValueError("a task that ran again had its rows in another order; write the input to files first")
+    rids = np.arange(n) + (own["home"] << 16)
+    seen = joined("seen", "i8")
+    r, c = np.repeat(seen, times), np.repeat(np.repeat(joined("count", "i8"), joined("fan", "i8")), times)
 
     def add(mask: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
         return np.bincount(docs[mask], None if weight is None else weight[mask], n).astype("f8")
@@ -404,7 +437,7 @@ def _sums(kept: pa.Table, back: pa.Table) -> pa.Table:
     sums |= {f"u{k}": add((r == 0) & (c == k)) for k in range(CUT + 1)}
     out = [_row("doc", n, DOC, rid=rids, id=own["ids"], held=sizes % 2 == 0, n_tokens=sizes // 2, **sums)]
     # tokens in unseen pairs wait for the weight of their history
-    history, at = np.unique(joined(back, "lost", "u8"), return_inverse=True)
+    history, at = np.unique(joined("lost", "u8"), return_inverse=True)
     place = np.zeros(len(seen), "i8")
     place[seen == 0] = at
     mask = r == 0
@@ -415,31 +448,44 @@ def _sums(kept: pa.Table, back: pa.Table) -> pa.Table:
     return pa.Table.from_batches(out)
 
 
+def _histories(rows: pa.Table) -> pa.Table:
+    """What was seen after the histories of a part, each once."""
+    raw = rows.select(["keys", "history"]).to_pylist()
+    key = np.concatenate([plain(row["keys"], "u8") for row in raw])
+    table = [plain(row["history"], "f8").reshape(len(HISTORY), -1) for row in raw]
+    order = np.argsort(key, kind="stable")
+    key, table = key[order], np.concatenate(table, axis=1)[:, order]
+    head, _ = _grouped(key)
+    table = np.add.reduceat(table, head, axis=1)
+    out = _row("hist", 1, DOC, keys=[dense(key[head])], history=[dense(table.reshape(-1))])
+    return pa.Table.from_batches([out])
+
+
+def _gathered(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """What the parts have sent to one place."""
+    kind = key[0].as_py()
+    if kind == "back":
+        return _sums(rows)
+    if kind == "hist":
+        return _histories(rows)
+    return pa.Table.from_batches([_row(kind, len(rows), DOC, counts=rows.column("counts").to_pylist())])
+
+
 def _weights(d: list[float], e: list[float], tokens: int):
     """Backoff weight and total of every history of a part, as one logarithm."""
+    k = np.arange(1, CUT + 1)[:, None]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, rows = [], []
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys.append(plain(row["keys"], "u8"))
-                rows.append(plain(row["history"], "f8").reshape(len(HISTORY), -1))
-        if not keys:
-            return
-        key, table = np.concatenate(keys), np.concatenate(rows, axis=1)
-        order = np.argsort(key, kind="stable")
-        key, table = key[order], table[:, order]
-        head, _ = _grouped(key)
-        table = np.add.reduceat(table, head, axis=1)
-        k = np.arange(1, CUT + 1)[:, None]
-        total = table[0] + (k * table[1 : CUT + 1]).sum(0)
-        used = table[0] + (k * np.array(d)[:, None] * table[1 : CUT + 1]).sum(0)
-        lower = table[CUT + 1] + (k * np.array(e)[:, None] * table[CUT + 2 :]).sum(0)
-        left, rest = 1 - used / (total + 1), 1 - lower / (tokens + 1)
-        term = np.log10(left) - np.log10(rest) + np.log10(total + 1)
-        for i in range(0, len(head), 50_000):
-            some = slice(i, i + 50_000)
-            yield pa.record_batch({"key": pa.array(key[head][some].view("i8")), "term": pa.array(term[some])})
+        for row in (row for batch in batches for row in batch.to_pylist()):
+            key, table = plain(row["keys"], "u8"), plain(row["history"], "f8").reshape(len(HISTORY), -1)
+            total = table[0] + (k * table[1 : CUT + 1]).sum(0)
+            used = table[0] + (k * np.array(d)[:, None] * table[1 : CUT + 1]).sum(0)
+            lower = table[CUT + 1] + (k * np.array(e)[:, None] * table[CUT + 2 :]).sum(0)
+            left, rest = 1 - used / (total + 1), 1 - lower / (tokens + 1)
+            term = np.log10(left) - np.log10(rest) + np.log10(total + 1)
+            for i in range(0, len(key), 50_000):
+                some = slice(i, i + 50_000)
+                yield pa.record_batch({"key": pa.array(key[some].view("i8")), "term": pa.array(term[some])})
 
     return work
 
@@ -469,6 +515,8 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     1 leaves every history some mass, so no score is infinite. Null text counts as empty: the end
     alone. A null key is learnt from. Repeated rows are scored, and learnt from, each; without
     training rows every word is unknown; an empty table gives no rows. Other columns are ignored.
+    Rows are read as often as a task runs, in the order of their files; where a frame has them in
+    another order when a lost task runs again, the job fails: stage such a frame first.
     """
     held = F.coalesce(crc32_fold(F.col(key), FOLDS) == HELD_OUT, F.lit(False))
     rows = df.select(
@@ -478,12 +526,12 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     parts = min(1 << 20, max(LEAST_PARTS, -(-tokens // PART_TOKENS)))
     hot = np.array([word_key(w) for w in frequent], "u8")
     hot_counts = np.array(list(frequent.values()), "i8")
-    pairs = staged(rows.mapInArrow(_dense_pairs(_sorter(parts, hot)), PAIRS), "lm-pairs")
-    counted = pairs.select(*COUNTED).repartitionById(parts, F.col("part"))
-    tables = staged(counted.mapInArrow(_part(parts, hot, hot_counts), OUT), "lm-tables", by=["kind"])
+    pairs = rows.mapInArrow(_dense_pairs(_sorter(parts, hot)), PAIRS).repartitionById(parts, F.col("part"))
+    told = pairs.mapInArrow(_part(parts, hot, hot_counts), OUT)
+    summed = staged(told.groupBy("kind", "home").applyInArrow(_gathered, SUMMED), "lm-sums", by=["kind"])
 
-    def kind(name: str, *columns: str, of: DataFrame = tables) -> DataFrame:
-        return of.filter(F.col("kind") == name).select(*columns)
+    def kind(name: str, *columns: str) -> DataFrame:
+        return summed.filter(F.col("kind") == name).select(*columns)
 
     width = 2 * (CUT + 1) + 2
     sums = [F.coalesce(F.sum(F.col("counts")[i]), F.lit(0)) for i in range(width)]
@@ -495,20 +543,11 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     e, d = discounts(counts[: CUT + 1]), discounts(counts[CUT + 3 :])
     once = [counts[i] * (i + 1) for i in range(CUT)]  # tokens of words seen 1 to CUT times
     unknown = 1 - (total - sum(n * (1 - x) for n, x in zip(once, e, strict=True))) / (total + 1)
-    weights = (
-        kind("hist", "hpart", "keys", "history")
-        .repartitionById(parts, F.col("hpart"))
-        .mapInArrow(_weights(d, e, total), "key bigint, term double")
-    )
-    weights = staged(weights, "lm-weights")
-    back = kind("back", "block", "part", "seen", "count", "lost").groupBy("block")
-    summed = pairs.select(*KEPT).groupBy("block").cogroup(back).applyInArrow(_sums, SUMMED)
-    summed = staged(summed, "lm-sums", by=["kind"])
-    lost = kind("lost", "rid", "key", "n", of=summed).join(weights, "key", "left")
+    weights = kind("hist", "keys", "history").mapInArrow(_weights(d, e, total), "key bigint, term double")
+    lost = kind("lost", "rid", "key", "n").join(weights, "key", "left")
     backed = lost.select("rid", (F.col("n") * F.coalesce("term", F.lit(0.0))).alias("backoff"))
-    told = ["rid", "id", "n_tokens", "held", *SUMS]
     backed = backed.groupBy("rid").agg(F.sum("backoff").alias("backoff")).hint("merge")
-    added = kind("doc", *told, of=summed).join(backed, "rid", "left")
+    added = kind("doc", "rid", "id", "n_tokens", "held", *SUMS).join(backed, "rid", "left")
     seen = F.col("a")
     for k in range(1, CUT + 1):
         seen = seen + F.col(f"r{k}") * log10(d[k - 1] * k)

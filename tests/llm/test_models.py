@@ -10,9 +10,10 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from corpuslens.llm import lm_score
+from corpuslens.llm import common, lm_score
 from corpuslens.llm.common import table
 from corpuslens.llm.quality import PASSING, classify_quality, keep_quality, tree_paths
 
@@ -209,6 +210,51 @@ def test_words_frequent_in_no_block_are_split(spark, monkeypatch):
     assert tokens == 30 * 1002 and hot == {b"often": 30, lm_score.END_WORD: 30}
 
 
+def test_pairs_are_written_once(documents, monkeypatch):
+    names = []
+
+    def staged(df, name, by=()):
+        names.append(name)
+        return common.staged(df, name, by)
+
+    monkeypatch.setattr(lm_score, "staged", staged)
+    check_katz(documents)
+    assert names == ["lm-sums"]
+
+
+def test_words_are_counted_in_buckets_first():
+    words = [f"w{i}".encode() for i in range(100_000)]
+    raw = [b" ".join(words), b" ".join(words[:2] * 50), b"held out"]
+    batch = pa.record_batch({"id": range(3), "train": [True, True, False], "raw": raw})
+    found = [r for b in lm_score._bucket_counts(iter([batch])) for r in b.to_pylist()]
+    assert found[0] == {"bucket": None, "n": 100_001 + 101 + 3} and len(found) <= lm_score.BUCKETS + 1
+    assert sum(r["n"] for r in found[1:]) == 100_001 + 101
+    heavy = np.array([r["bucket"] for r in found[1:] if r["n"] >= 50])
+    some = {r["word"]: r["n"] for b in lm_score._counted(heavy)(iter([batch])) for r in b.to_pylist()}
+    assert (some[b"w0"], some[b"w1"]) == (51, 51) and len(some) < 50
+
+
+def test_counts_for_another_block_are_not_taken(monkeypatch):
+    monkeypatch.setattr(lm_score, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    none = np.empty(0, "u8")
+
+    def back(texts):
+        batch = pa.record_batch({"id": range(2), "train": [True, True], "raw": texts})
+        sent = pa.Table.from_batches(list(lm_score._dense_pairs(lm_score._sorter(2, none))(iter([batch]))))
+        out = []
+        for part in range(2):
+            own = sent.filter(pc.equal(sent["part"], part)).to_batches()
+            table = pa.Table.from_batches(list(lm_score._part(2, none, none.astype("i8"))(iter(own))))
+            out.append(table.filter(pc.equal(table["kind"], "back")))
+        return out
+
+    one, other = back([b"a b c d e f", b"a"]), back([b"a", b"a b c d e f"])
+    sums = lm_score._sums(pa.concat_tables(one)).to_pylist()
+    assert [r["n_tokens"] for r in sums if r["kind"] == "doc"] == [7, 2]
+    with pytest.raises(ValueError, match="another order"):
+        lm_score._sums(pa.concat_tables([one[0], other[1]]))
+
+
 def test_katz_without_training_rows(spark):
     held = next(i for i in range(100) if fold(i, 7) == 2)
     row = lm_score.score_documents(spark.createDataFrame([(held, "a b")], "doc_id bigint, text string")).first()
