@@ -14,7 +14,7 @@ scores. Pairs are written once on their way to the parts and once on their way b
 Frequent words (training counts of ``1 / HOT_SHARE`` of all tokens or a quarter of a part) are split
 over parts by the word before; they are found by counting words first: all of them in ``BUCKETS`` by
 their hash, then one by one those of buckets that may hold a frequent word. Words are known by 64
-bits of their hash.
+bits of their hash, common ones by their place in a list, as pairs are mostly of these.
 """
 
 from __future__ import annotations
@@ -41,6 +41,9 @@ PART_TOKENS = 1_700_000  # of a part on average
 LEAST_PARTS = 12
 HOT_SHARE = 512  # a word with 1/512 of all tokens is hot
 BUCKETS = 1 << 16  # of words, counted together
+COMMON_SHARE = 1 << 18  # a word with 1/2^18 of all tokens is common, if it has
+COMMON_TIMES = 4  # in a block
+CODES = 1 << 20  # keys below it are marks and common words
 START, END = 0, 1  # keys of the place before a text and of its end
 R = [f"r{k}" for k in range(1, CUT + 1)]  # tokens in pairs seen k times
 U = [f"u{k}" for k in range(CUT + 1)]  # tokens in unseen pairs whose word was seen k times
@@ -73,7 +76,7 @@ class Block:
 
     def add(self, doc: int | None, train: bool, raw: bytes | None) -> None:
         found = (raw or b"").lower().split()
-        tokens = np.fromiter(map(self.words.__getitem__, found), "i8", len(found))
+        tokens = np.fromiter(map(self.words.__getitem__, found), "i4", len(found))
         self.docs.append((doc, train, tokens))
         self.size += len(found) + 1
 
@@ -82,70 +85,87 @@ class Block:
 
     def tokens(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of all tokens, of the words before them, and of their documents."""
-        end, start = np.array([END]), np.array([START])
+        end, start = np.array([END], "i4"), np.array([START], "i4")
         now = np.concatenate([x for _, _, t in self.docs for x in (t, end)])
         before = np.concatenate([x for _, _, t in self.docs for x in (start, t)])
         lengths = [len(t) + 1 for _, _, t in self.docs]
-        return now, before, np.repeat(np.arange(len(lengths)), lengths)
+        return now, before, np.repeat(np.arange(len(lengths), dtype="i4"), lengths)
 
     def train(self) -> np.ndarray:
         return np.array([t for _, t, _ in self.docs], bool)
 
 
+def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bool, bytes | None]]:
+    """Rows of the columns ``id``, ``train`` and ``raw``; few texts at a time are objects."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            some = batch.slice(lo, 500)
+            yield from zip(*(some.column(c).to_pylist() for c in ("id", "train", "raw")), strict=True)
+
+
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     block = Block()
-    for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("id", "train", "raw")]
-        for row in zip(*columns, strict=True):
-            block.add(*row)
-            if block.full():
-                yield block
-                block = Block()
+    for row in texts(batches):
+        block.add(*row)
+        if block.full():
+            yield block
+            block = Block()
     if block.docs:
         yield block
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 END_WORD = b"\n"  # stands for the end where words are named
 
 
 def word_key(word: bytes) -> int:
-    return END if word == END_WORD else max(xxhash.xxh64_intdigest(word), 2)
+    return END if word == END_WORD else max(xxhash.xxh64_intdigest(word), CODES)
+
+
+def coded(keys: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Keys, those in the sorted list ``common`` as their places in it."""
+    if not len(common):
+        return keys
+    at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
+    return np.where(common[at] == keys, at.astype("u8") + np.uint64(END + 1), keys)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
-    """Per block its tokens, the words of its training tokens, how often they occur, and their buckets."""
+    """Per block its tokens, the words of its training tokens, their keys, and how often they occur."""
     counts: Counter[bytes] = Counter()
     tokens = 0
 
     def found() -> tuple[int, list[bytes], np.ndarray, np.ndarray]:
         keys = np.fromiter(map(word_key, counts), "u8", len(counts))
-        times = np.fromiter(counts.values(), "i8", len(counts))
-        return tokens, list(counts), times, (mixed(keys) % np.uint64(BUCKETS)).astype("i8")
-
-    for batch in batches:
-        for train, raw in zip(batch.column("train").to_pylist(), batch.column("raw").to_pylist(), strict=True):
-            words = (raw or b"").lower().split()
-            tokens += len(words) + 1
-            if train:
-                counts.update(words)
-                counts[END_WORD] += 1
-            if tokens >= BLOCK_TOKENS:
-                yield found()
-                counts.clear()
-                tokens = 0
+        return tokens, list(counts), keys, np.fromiter(counts.values(), "i8", len(counts))
+
+    for _, train, raw in texts(batches):
+        words = (raw or b"").lower().split()
+        tokens += len(words) + 1
+        if train:
+            counts.update(words)
+            counts[END_WORD] += 1
+        if tokens >= BLOCK_TOKENS:
+            yield found()
+            counts.clear()
+            tokens = 0
     if tokens:
         yield found()
 
 
+def buckets(keys: np.ndarray) -> np.ndarray:
+    return (mixed(keys) % np.uint64(BUCKETS)).astype("i8")
+
+
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per block its tokens (no bucket), and the training tokens of every bucket."""
-    for tokens, _, times, buckets in _word_counts(batches):
-        sums = np.bincount(buckets, times, BUCKETS).astype("i8")
+    for tokens, _, keys, times in _word_counts(batches):
+        sums = np.bincount(buckets(keys), times, BUCKETS).astype("i8")
         some = np.flatnonzero(sums)
         yield pa.record_batch(
             {
@@ -156,47 +176,66 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _counted(heavy: np.ndarray):
-    """Per block the words of its training tokens that are in ``heavy`` buckets."""
+    """Per block the words of its training tokens that are in ``heavy`` buckets; of others that occur
+    ``COMMON_TIMES``, the keys."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words, times, buckets in _word_counts(batches):
-            some = np.flatnonzero(np.isin(buckets, heavy))
+        for _, words, keys, times in _word_counts(batches):
+            whole = np.isin(buckets(keys), heavy)
+            some = np.flatnonzero(whole | (times >= COMMON_TIMES))
             yield pa.record_batch(
-                {"word": pa.array([words[i] for i in some], pa.binary()), "n": pa.array(times[some], pa.int64())}
+                {
+                    "word": pa.array([words[i] if whole[i] else None for i in some], pa.binary()),
+                    "key": pa.array(keys[some].view("i8")),
+                    "n": pa.array(times[some]),
+                }
             )
 
     return work
 
 
-def frequent_words(rows: DataFrame) -> tuple[int, dict[bytes, int]]:
-    """All tokens, and the training counts of words too frequent for one part."""
-    buckets = rows.mapInArrow(_bucket_counts, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    sums = {r["bucket"]: r["n"] for r in buckets.collect()}  # of BUCKETS at most
+def counted_words(rows: DataFrame) -> tuple[int, dict[bytes, int], np.ndarray]:
+    """All tokens, the training counts of words too frequent for one part, and keys of common words."""
+    found = rows.mapInArrow(_bucket_counts, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sums = {r["bucket"]: r["n"] for r in found.collect()}  # of BUCKETS at most
     tokens = sums.pop(None, 0)
     least = min(-(-tokens // HOT_SHARE), PART_TOKENS // 4)
     heavy = np.array([b for b, n in sums.items() if n >= least], "i8")
-    if not len(heavy):
-        return tokens, {}
-    words = rows.mapInArrow(_counted(heavy), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    hot = words.filter(F.col("n") >= least).collect()
-    return tokens, {bytes(r["word"]): r["n"] for r in hot}
+    words = rows.mapInArrow(_counted(heavy), "word binary, key bigint, n bigint").groupBy("word", "key")
+    often = min(least, -(-tokens // COMMON_SHARE))
+    found = words.agg(F.sum("n").alias("n")).filter(F.col("n") >= often)
+    found = found.select(F.when(F.col("n") >= least, F.col("word")).alias("word"), "key", "n").toArrow()
+    hot = found.filter(pc.is_valid(found["word"]))
+    keys = np.unique(found["key"].to_numpy().view("u8"))
+    return tokens, dict(zip(hot["word"].to_pylist(), hot["n"].to_pylist(), strict=True)), keys[keys > END][: CODES - 2]
+
+
+def frequent_words(rows: DataFrame) -> tuple[int, dict[bytes, int]]:
+    """All tokens, and the training counts of words too frequent for one part."""
+    return counted_words(rows)[:2]
+
+
+HEAD = "<IIB"
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Unsigned numbers as planes of their bytes, the upper ones that are all zero left out, compressed."""
+    """Unsigned numbers as planes of their bytes, the upper ones that are all zero left out, compressed
+    where that makes them smaller."""
     width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
-    raw = np.ascontiguousarray(values.astype("<u8").view("u1").reshape(-1, 8)[:, :width].T)
-    body = pa.compress(raw, codec="zstd", asbytes=True) if raw.size else b""
-    return pack("<QQB", len(body), len(values), width) + body
+    raw = values.astype("<u8").view("u1").reshape(-1, 8)[:, :width].T.tobytes()
+    body = pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+    return pack(HEAD, min(len(body), len(raw)), len(values), width) + (body if len(body) < len(raw) else raw)
 
 
 def _from_planes(raw: memoryview) -> tuple[np.ndarray, memoryview]:
     """The numbers at the start of ``raw``, and what follows."""
-    size, n, width = unpack_from("<QQB", raw)
-    raw = raw[calcsize("<QQB") :]
+    size, n, width = unpack_from(HEAD, raw)
+    raw = raw[calcsize(HEAD) :]
     out = np.zeros((n, 8), "u1")
     if size:
-        planes = pa.decompress(raw[:size], decompressed_size=n * width, codec="zstd", asbytes=True)
+        planes = raw[:size]
+        if size < n * width:
+            planes = pa.decompress(planes, decompressed_size=n * width, codec="zstd", asbytes=True)
         out[:, :width] = np.frombuffer(planes, "u1").reshape(width, n).T
     return out.view("<u8").reshape(-1), raw[size:]
 
@@ -243,13 +282,13 @@ def pair_order(part: np.ndarray, now: np.ndarray, before: np.ndarray, parts: int
     return np.lexsort((before, now, part))
 
 
-def _sorter(parts: int, hot: np.ndarray):
+def _sorter(parts: int, hot: np.ndarray, common: np.ndarray = np.empty(0, "u8")):
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for number, block in enumerate(blocks(batches)):
             now, before, doc = block.tokens()
-            keys = block.words.keys64()
-            home = mixed(keys) % np.uint64(parts)
+            keys = coded(block.words.keys64(), common)
+            home = (mixed(keys) % np.uint64(parts)).astype("i4")
             part = home[now]
             split = np.isin(keys, hot)[now]
             part[split] = mixed(keys[now[split]] ^ mixed(keys[before[split]])) % np.uint64(parts)
@@ -522,11 +561,11 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     rows = df.select(
         F.col(key).cast("bigint").alias("id"), (~held).alias("train"), F.col(text).cast("binary").alias("raw")
     )
-    tokens, frequent = frequent_words(rows)
+    tokens, frequent, common = counted_words(rows)
     parts = min(1 << 20, max(LEAST_PARTS, -(-tokens // PART_TOKENS)))
-    hot = np.array([word_key(w) for w in frequent], "u8")
+    hot = coded(np.array([word_key(w) for w in frequent], "u8"), common)
     hot_counts = np.array(list(frequent.values()), "i8")
-    pairs = rows.mapInArrow(_dense_pairs(_sorter(parts, hot)), PAIRS).repartitionById(parts, F.col("part"))
+    pairs = rows.mapInArrow(_dense_pairs(_sorter(parts, hot, common)), PAIRS).repartitionById(parts, F.col("part"))
     told = pairs.mapInArrow(_part(parts, hot, hot_counts), OUT)
     summed = staged(told.groupBy("kind", "home").applyInArrow(_gathered, SUMMED), "lm-sums", by=["kind"])
 

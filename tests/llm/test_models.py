@@ -230,8 +230,38 @@ def test_words_are_counted_in_buckets_first():
     assert found[0] == {"bucket": None, "n": 100_001 + 101 + 3} and len(found) <= lm_score.BUCKETS + 1
     assert sum(r["n"] for r in found[1:]) == 100_001 + 101
     heavy = np.array([r["bucket"] for r in found[1:] if r["n"] >= 50])
-    some = {r["word"]: r["n"] for b in lm_score._counted(heavy)(iter([batch])) for r in b.to_pylist()}
-    assert (some[b"w0"], some[b"w1"]) == (51, 51) and len(some) < 50
+    for buckets in (heavy, heavy[:0]):
+        some = [r for b in lm_score._counted(buckets)(iter([batch])) for r in b.to_pylist()]
+        assert len(some) < 50 and all((r["word"] is None) == (not len(buckets)) for r in some)
+        times = {r["key"] % 2**64: r["n"] for r in some}
+        assert (times[lm_score.word_key(b"w0")], times[lm_score.word_key(b"w1")]) == (51, 51)
+
+
+def test_short_keys_are_dealt_evenly():
+    for parts in (12, 256, 4700):
+        home = lm_score.mixed(np.arange(2, 100 * parts, dtype="u8")) % np.uint64(parts)
+        assert 50 < np.bincount(home.astype("i8"), minlength=parts).min()
+
+
+def test_common_words_have_short_keys(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    pick = random.Random(8)
+    texts = [" ".join(f"w{int(pick.expovariate(0.0005))}" for _ in range(200)).encode() for _ in range(1000)]
+    rows = spark.createDataFrame([(i, True, t) for i, t in enumerate(texts)], "id bigint, train boolean, raw binary")
+    tokens, hot, common = lm_score.counted_words(rows)
+    times = Counter(w for t in texts for w in t.split())
+    assert tokens == 201_000 and hot == {lm_score.END_WORD: 1000}
+    assert set(common.tolist()) >= {lm_score.word_key(w) for w, n in times.items() if n > 40}
+    assert lm_score.END not in common.tolist() and sorted(common.tolist()) == common.tolist()
+    other = lm_score.word_key(b"other")
+    keys = np.array([lm_score.START, lm_score.END, common[0], common[-1], other], "u8")
+    assert lm_score.coded(keys, common).tolist() == [0, 1, 2, len(common) + 1, other]
+    batch = pa.record_batch({"id": range(1000), "train": [True] * 1000, "raw": texts})
+    sizes = []
+    for known in (common[:0], common):
+        sort = lm_score._dense_pairs(lm_score._sorter(300, np.empty(0, "u8"), known))
+        sizes.append(sum(len(r["word"] + r["before"]) for b in sort(iter([batch])) for r in b.to_pylist()))
+    assert sizes[1] < 0.7 * sizes[0]
 
 
 def test_counts_for_another_block_are_not_taken(monkeypatch):
