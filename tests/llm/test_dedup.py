@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpuslens.llm import jaccard_join
@@ -125,6 +126,77 @@ def test_links_in_memory_connect_what_all_pairs_connect():
     assert classes(link_sets(sets, 85)) == classes(every)
 
 
+def regions_of(texts, percent=85):
+    """Entries of all texts, as a task of regions gets them, and what it makes of them."""
+    raw = pa.array([t.encode() for t in texts], pa.binary())
+    batches = [pa.record_batch({"raw": raw[i : i + 100]}) for i in range(0, len(raw), 100)]
+    prefix = jaccard_join._prefixer(4, percent, np.empty(0, "u8"), np.empty(0, "i8"))
+    entries = pa.Table.from_batches(prefix(iter(batches)))
+    by_region = entries.sort_by([("shingle", "ascending"), ("node", "ascending")])
+    made = jaccard_join._region_join(percent)(iter(by_region.to_batches(max_chunksize=500)))
+    return entries, pa.Table.from_batches(made).to_pydict()
+
+
+def varied(pick, words, share):
+    return [f"t{pick.randrange(10**6)}" if pick.random() < share else w for w in words]
+
+
+def test_pairs_of_near_copies_grow_with_the_documents():
+    pick = random.Random(6)
+    base = [f"{'w' * pick.randrange(1, 9)}{pick.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join([*base, f"copy{k}"]) for k in range(60)]
+    assert len(regions_of(texts)[1]["a"]) < 10 * len(texts)
+
+
+def test_regions_of_near_copies_lie_in_few_tasks():
+    pick = random.Random(7)
+    base = [f"{'w' * pick.randrange(1, 9)}{pick.randrange(10**6)}" for _ in range(400)]
+    found = regions_of([" ".join(base)])[0].to_pydict()
+    regions = [r >> 40 for r, n in zip(found["shingle"], found["n"], strict=True) if n]
+    assert 4 * len(set(regions)) < 3 * len(regions)
+
+
+def test_a_link_of_a_large_region_is_kept_where_the_pair_also_meets_elsewhere(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "REGION", 2)
+    rows = {"shingle": [1, 1, 2, 2, 2], "node": [5, 6, 5, 6, 7], "n": [90] * 5}
+    batch = pa.record_batch({k: pa.array(v, pa.int64()) for k, v in rows.items()})
+    made = pa.Table.from_batches(jaccard_join._region_join(85)(iter([batch]))).to_pylist()
+    assert {(r["a"], r["b"]): r["need"] for r in made} == {(5, 6): 0, (5, 7): 0}
+
+
+def test_sets_of_members_travel_in_the_shorter_form():
+    pick = random.Random(9)
+    texts = [" ".join(varied(pick, [""] * 400, 1)), "é" * 5000 + " " + " ".join(varied(pick, ["b"] * 3, 1))]
+    shingles = jaccard_join._shingler(4)
+    keys = [jaccard_join._set_key(shingles(t.encode())[0]) for t in texts]
+    raw = pa.record_batch({"id": pa.array([1, 2]), "raw": pa.array([t.encode() for t in texts], pa.binary())})
+    (texts_packed,) = jaccard_join._packer(iter([raw]))
+    ones = {c: pa.array([1, 2]) for c in ("family", "rep", "n")}
+    joined = pa.record_batch({**ones, "key": pa.array(keys), "packed": texts_packed.column("packed")})
+    (members,) = jaccard_join._attacher(4)(iter([joined]))
+    packed = members.column("packed").to_pylist()
+    assert [p[:1] for p in packed] == [jaccard_join.TEXT, jaccard_join.SHINGLES]
+    for text, p in zip(texts, packed, strict=True):
+        found = shingles(text.encode())[0]
+        assert (jaccard_join._unpacker(4)(p) == found).all() and len(p) <= 1 + found.nbytes
+
+
+def test_families_of_many_near_copies(spark):
+    pick = random.Random(8)
+    rows = []
+    for _ in range(6):
+        base = [f"{'w' * pick.randrange(1, 6)}{pick.randrange(300)}" for _ in range(pick.randrange(20, 90))]
+        for k in range(30):
+            text = varied(pick, base, pick.choice([0, 0.01, 0.03]))
+            rows.append((len(rows), " ".join(text[: len(text) - pick.choice([0, 1, k % 8])])))
+    long = "wwwwwwwwwwwwwww1 wwwwwwwwwwwwwww2 wwwwwwwwwwwwwww3 wwwwwwwwwwwwwww4 wwwwwwwwwwwwwww5"
+    for k in range(30):  # one vertex by their longest words, not similar
+        rows.append((len(rows), f"{long} " + " ".join(f"x{k}y{i}" for i in range(20))))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    check_linked(df)
+    check_linked(df, family=3000)
+
+
 def test_similar_documents_share_a_cell():
     pick = np.random.default_rng(4)
     for _ in range(500):
