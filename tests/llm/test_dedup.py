@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from corpuslens.llm import jaccard_join
 from corpuslens.llm.components import components
 from corpuslens.llm.exact_dedup import MAX_DEPTH, dedup_exact, directory
@@ -126,11 +127,11 @@ def test_links_in_memory_connect_what_all_pairs_connect():
     assert classes(link_sets(sets, 85)) == classes(every)
 
 
-def regions_of(texts, percent=85):
+def regions_of(texts, percent=85, width=4):
     """Entries of all texts, as a task of regions gets them, and what it makes of them."""
     raw = pa.array([t.encode() for t in texts], pa.binary())
     batches = [pa.record_batch({"raw": raw[i : i + 100]}) for i in range(0, len(raw), 100)]
-    prefix = jaccard_join._prefixer(4, percent, np.empty(0, "u8"), np.empty(0, "i8"))
+    prefix = jaccard_join._prefixer(width, percent, np.empty(0, "u8"), np.empty(0, "i8"))
     entries = pa.Table.from_batches(prefix(iter(batches)))
     by_region = entries.sort_by([("shingle", "ascending"), ("node", "ascending")])
     made = jaccard_join._region_join(percent)(iter(by_region.to_batches(max_chunksize=500)))
@@ -146,6 +147,8 @@ def test_pairs_of_near_copies_grow_with_the_documents():
     base = [f"{'w' * pick.randrange(1, 9)}{pick.randrange(10**6)}" for _ in range(200)]
     texts = [" ".join([*base, f"copy{k}"]) for k in range(60)]
     assert len(regions_of(texts)[1]["a"]) < 10 * len(texts)
+    pipeline = regions_of(texts, corpus_pipeline.PERCENT, corpus_pipeline.WORDS)
+    assert len(pipeline[1]["a"]) < 10 * len(texts)
 
 
 def test_regions_of_near_copies_lie_in_few_tasks():
